@@ -19,13 +19,14 @@ def token_count(text: Column) -> Column:
 
 
 def is_over_limit(text: Column, limit: int = MAX_TOKENS) -> Column:
-    return token_count(text) > limit
+    """More than ``limit`` tokens. A text of that many characters or fewer cannot be, and is not scanned."""
+    return (F.length(text) > limit) & (token_count(text) > limit)
 
 
-def truncate_tokens(text: Column, limit: int = MAX_TOKENS) -> Column:
+def truncate_tokens(text: Column, over_limit: Column, limit: int = MAX_TOKENS) -> Column:
     """The text up to its ``limit``-th token; texts within the limit stay as they are."""
     kept = F.slice(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0)), 1, limit)
-    return F.when(is_over_limit(text, limit), F.array_join(kept, "")).otherwise(text)
+    return F.when(over_limit, F.array_join(kept, "")).otherwise(text)
 
 
 def words(text: Column) -> Column:

@@ -1,8 +1,7 @@
 """Keyword search over posts and their thread titles.
 
-A posting row says how often one word occurs in the title and the message of one post. Word counts are built
-inside the row, so making postings needs no shuffle, and a saved postings table (sorted by word) lets a search
-read only the words it asks for.
+A posting row says how often one word occurs in the title and the message of one post. A saved postings table,
+sorted by word, lets a search read only the words it asks for; without one, a search builds the postings it needs.
 """
 
 from __future__ import annotations
@@ -10,14 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from forumlens.functions import scoring, text
-from forumlens.operators.joins import fits_broadcast, lookup_join
-from forumlens.operators.ranking import largest_limit, top_per_query, within_own_limit
+from forumlens.operators.joins import BROADCAST_ROWS, fits_broadcast, lookup_join
+from forumlens.operators.ranking import top_per_query, within_own_limit
+from forumlens.operators.store import titles_of
 from forumlens.schemas import TITLE_BOOST
 
 # A posting with this word stands for the post itself; it carries the field lengths of every post.
 POST_MARKER = ""
-_TITLE_TAG = " 1"
-_MESSAGE_TAG = " 0"
 
 HIT_FIELDS = ("title", "message", "date", "user", "discussion_id", "node", "post_id")
 
@@ -39,58 +37,28 @@ def lexical_documents(posts: DataFrame, threads: DataFrame, *extra: str) -> Data
     )
 
 
-def _word_runs(tagged: Column, plain: Column) -> Column:
-    """Positions where a new word starts in the sorted words."""
-    count = F.size(plain)
-    places = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.filter(places, lambda i: (i == 1) | (F.get(plain, i - 1) != F.get(plain, i - 2)))
-
-
 def postings(documents: DataFrame) -> DataFrame:
-    """``post_id, date, title_length, message_length, term, title_count, message_count`` plus a marker per post."""
+    """``post_id, date, title_length, message_length, term, title_count, message_count`` plus a marker per post.
+
+    Counting combines inside each task before it shuffles. A semi join on ``term`` on top of this moves below the
+    grouping, so a search shuffles only the words it asks for.
+    """
     found = documents.select(
         "post_id",
         "date",
         text.words(F.col("title")).alias("title_words"),
         text.words(F.col("message")).alias("message_words"),
     )
-    tagged = found.select(
+    listed = found.select(
         "post_id",
         "date",
         F.size("title_words").alias("title_length"),
         F.size("message_words").alias("message_length"),
-        F.sort_array(
-            F.concat(
-                F.transform("title_words", lambda w: F.concat(w, F.lit(_TITLE_TAG))),
-                F.transform("message_words", lambda w: F.concat(w, F.lit(_MESSAGE_TAG))),
-            )
-        ).alias("tagged"),
+        F.posexplode(F.concat(F.array(F.lit(POST_MARKER)), "title_words", "message_words")).alias("place", "term"),
     )
-    plain = tagged.withColumn("plain", F.transform("tagged", lambda w: F.substring_index(w, " ", 1)))
-    runs = plain.withColumn("starts", _word_runs(F.col("tagged"), F.col("plain")))
-
-    def entry(start: Column, number: Column) -> Column:
-        end = F.coalesce(F.get("starts", number + 1), F.size("plain") + 1)
-        in_title = F.size(
-            F.filter(F.slice("tagged", start, end - start), lambda w: F.endswith(w, F.lit(_TITLE_TAG)))
-        )
-        return F.struct(
-            F.get("plain", start - 1).alias("term"),
-            in_title.alias("title_count"),
-            (end - start - in_title).alias("message_count"),
-        )
-
-    marker = F.array(
-        F.struct(
-            F.lit(POST_MARKER).alias("term"), F.lit(0).alias("title_count"), F.lit(0).alias("message_count")
-        )
-    )
-    return runs.select(
-        "post_id",
-        "date",
-        "title_length",
-        "message_length",
-        F.inline(F.concat(marker, F.transform("starts", entry))),
+    return listed.groupBy("post_id", "date", "title_length", "message_length", "term").agg(
+        F.count_if((F.col("place") > 0) & (F.col("place") <= F.col("title_length"))).alias("title_count"),
+        F.count_if(F.col("place") > F.col("title_length")).alias("message_count"),
     )
 
 
@@ -100,40 +68,44 @@ def write_postings(rows: DataFrame, directory: str) -> None:
     ordered.write.mode("overwrite").parquet(directory)
 
 
-def _statistics(rows: DataFrame, title_length: Column, message_length: Column) -> DataFrame:
-    return rows.agg(
+def _per_term(rows: DataFrame) -> DataFrame:
+    """Posts per word and field; the marker's row describes the whole corpus."""
+    return rows.groupBy("term").agg(
         F.count("*").alias("posts"),
-        F.sum(title_length).alias("title_words"),
-        F.sum(message_length).alias("message_words"),
-        F.avg(title_length).alias("average_title"),
-        F.avg(message_length).alias("average_message"),
+        F.count_if(F.col("title_count") > 0).alias("title_posts"),
+        F.count_if(F.col("message_count") > 0).alias("message_posts"),
+        F.sum("title_length").alias("title_words"),
+        F.sum("message_length").alias("message_words"),
     )
 
 
-def document_statistics(documents: DataFrame) -> DataFrame:
-    """Number of posts, total and average field lengths, from the texts."""
-    return _statistics(
-        documents, F.size(text.words(F.col("title"))), F.size(text.words(F.col("message")))
-    )
+def _is_word() -> Column:
+    """Tells words from the marker by their counts.
+
+    Unlike a condition on the word it cannot move below the grouping, so both uses of one grouping read the same
+    shuffle instead of reading the texts twice.
+    """
+    return (F.col("title_posts") + F.col("message_posts")) > 0
 
 
-def posting_statistics(rows: DataFrame) -> DataFrame:
-    """The same from saved postings: only the marker rows are read."""
-    return _statistics(
-        rows.where(F.col("term") == POST_MARKER), F.col("title_length"), F.col("message_length")
+def _of_corpus(per_term: DataFrame) -> DataFrame:
+    return per_term.where(~_is_word()).select(
+        "posts",
+        "title_words",
+        "message_words",
+        (F.col("title_words") / F.col("posts")).alias("average_title"),
+        (F.col("message_words") / F.col("posts")).alias("average_message"),
     )
 
 
+def corpus_statistics(rows: DataFrame) -> DataFrame:
+    """Number of posts and total and average field lengths, read from the marker rows."""
+    return _of_corpus(_per_term(rows.where(F.col("term") == POST_MARKER)))
+
+
 def document_frequency(rows: DataFrame) -> DataFrame:
     """Posts per word and field."""
-    return (
-        rows.where(F.col("term") != POST_MARKER)
-        .groupBy("term")
-        .agg(
-            F.count_if(F.col("title_count") > 0).alias("title_posts"),
-            F.count_if(F.col("message_count") > 0).alias("message_posts"),
-        )
-    )
+    return _per_term(rows).where(_is_word()).select("term", "title_posts", "message_posts")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -142,29 +114,33 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return found.select("query_id", F.size("terms").alias("needed"), F.explode("terms").alias("term"))
 
 
-def _term_weights(rows: DataFrame, terms: DataFrame, statistics: DataFrame, small: bool) -> DataFrame:
-    """Distinct query words with the corpus figures their score needs."""
-    asked = terms.select("term").distinct()
-    counted = document_frequency(lookup_join(rows, asked, "term", "post_id", small))
-    corpus = statistics.select(F.struct("posts", "average_title", "average_message")).scalar()
-    return counted.withColumn("corpus", corpus).select(
+def _term_weights(rows: DataFrame) -> DataFrame:
+    """Words with the corpus figures their score needs."""
+    per_term = _per_term(rows)
+    corpus = _of_corpus(per_term).select(F.struct("posts", "average_title", "average_message")).scalar()
+    return per_term.where(_is_word()).select(
         "term",
-        "corpus.average_title",
-        "corpus.average_message",
-        scoring.inverse_document_frequency(F.col("corpus.posts"), F.col("title_posts")).alias("title_idf"),
-        scoring.inverse_document_frequency(F.col("corpus.posts"), F.col("message_posts")).alias("message_idf"),
+        corpus["average_title"].alias("average_title"),
+        corpus["average_message"].alias("average_message"),
+        scoring.inverse_document_frequency(corpus["posts"], F.col("title_posts")).alias("title_idf"),
+        scoring.inverse_document_frequency(corpus["posts"], F.col("message_posts")).alias("message_idf"),
     )
 
 
-def score_matches(rows: DataFrame, queries: DataFrame, statistics: DataFrame) -> DataFrame:
+def score_matches(rows: DataFrame, queries: DataFrame) -> DataFrame:
     """Posts that hold every word of a query, each word in either field, with their relevance.
 
-    ``query_id, post_id, date, relevance``: the sum of BM25 weights over words and fields, titles boosted.
+    ``query_id, post_id, date, relevance``: the sum of BM25 weights over words and fields, titles boosted. The
+    postings of the asked words and the markers are read once, for the corpus figures and for the scores.
     """
     terms = query_terms(queries)
     small = fits_broadcast(terms)
-    weighted = terms.join(_bounded(_term_weights(rows, terms, statistics, small), small), "term")
-    matched = lookup_join(rows.where(F.col("term") != POST_MARKER), weighted, "term", "post_id", small)
+    marker = terms.sparkSession.range(1).select(F.lit(POST_MARKER).alias("term"))
+    asked = terms.select("term").union(marker).distinct()
+    # Salting does not help a semi join; without a broadcast the skew join of the adaptive planner splits hot words.
+    rows = rows.join(_bounded(asked, small), "term", "left_semi")
+    weighted = terms.join(_bounded(_term_weights(rows), small), "term")
+    matched = lookup_join(rows, weighted, "term", "post_id", small)
     weight = TITLE_BOOST * scoring.bm25(
         F.col("title_count"), F.col("title_length"), F.col("average_title"), F.col("title_idf")
     ) + scoring.bm25(
@@ -187,25 +163,25 @@ def _bounded(rows: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(rows) if small else rows
 
 
-def rank_matches(matches: DataFrame, queries: DataFrame, origin: Column) -> DataFrame:
-    """Relevance plus recency, best first: ``query_id, rank, score, post_id, date``."""
+def rank_matches(matches: DataFrame, queries: DataFrame, origin: Column, largest: int) -> DataFrame:
+    """Relevance plus recency, best first: ``query_id, rank, score, post_id, date``.
+
+    ``largest`` is the largest result limit of the batch.
+    """
     scored = matches.withColumn("score", F.col("relevance") + scoring.recency(F.col("date"), origin))
     order = [F.round("score", 9).desc(), F.col("date").desc(), F.col("post_id")]
-    ranked = top_per_query(scored, order, largest_limit(queries))
+    ranked = top_per_query(scored, order, largest)
     return within_own_limit(ranked, queries).select("query_id", "rank", "score", "post_id", "date")
 
 
-def project_hits(ranked: DataFrame, posts: DataFrame, threads: DataFrame, few: bool = False) -> DataFrame:
+def project_hits(ranked: DataFrame, posts: DataFrame, threads: DataFrame) -> DataFrame:
     """The seven output fields of every hit.
 
-    Hits meet the posts before the threads; ``few`` says that they were checked to fit a broadcast, so that
-    neither table is shuffled.
+    ``ranked`` is read twice and should be a written table. Hits meet the posts before the threads.
     """
     hits = ranked.select("query_id", "rank", "score", "post_id")
-    found = posts.join(_bounded(hits, few), "post_id")
-    asked = posts.join(_bounded(hits.select("post_id"), few), "post_id").select("thread_id").distinct()
-    titles = threads.select("thread_id", "title", "node").join(_bounded(asked, few), "thread_id", "left_semi")
-    fields = lexical_documents(found, titles, "query_id", "rank", "score")
+    titles = titles_of(hits, posts, threads.select("thread_id", "title", "node"))
+    fields = lexical_documents(posts.join(hits, "post_id"), titles, "query_id", "rank", "score")
     return fields.select("query_id", "rank", "score", *HIT_FIELDS)
 
 
@@ -218,12 +194,20 @@ def match_clauses(documents: DataFrame, clauses: DataFrame) -> DataFrame:
     ``must_not`` clauses alone matches nothing. Words count in either field, a phrase within one field.
     """
     wanted = clauses.select("query_id", "clause_no", "kind", F.lower("text").alias("text"))
-    small = fits_broadcast(wanted)
+    is_prefix, is_phrase = F.col("kind") == "prefix", F.col("kind") == "phrase"
+    # One row about the clause batch: its size, and lengths that are bounded by its longest clause.
+    count, prefix_lengths, phrase_lengths = wanted.agg(
+        F.count("*"),
+        F.array_sort(F.collect_set(F.when(is_prefix, F.length("text")))),
+        F.array_sort(F.collect_set(F.when(is_phrase, F.size(text.words(F.col("text")))))),
+    ).first()
+    small = count <= BROADCAST_ROWS
     required = ~F.col("kind").isin("should", "must_not")
     needed = wanted.groupBy("query_id").agg(F.count_if(required).alias("needed"))
-    hits = _word_hits(documents, wanted.where("kind <> 'phrase'"), small).unionByName(
-        _phrase_hits(documents, wanted.where("kind = 'phrase'"), small)
-    )
+    hits = _word_hits(documents, wanted.where(~is_phrase), prefix_lengths, small)
+    if phrase_lengths:
+        phrases = _phrase_hits(documents, wanted.where(is_phrase), phrase_lengths, small)
+        hits = hits.unionByName(phrases)
     return (
         hits.groupBy("query_id", "post_id")
         .agg(
@@ -241,14 +225,11 @@ def match_clauses(documents: DataFrame, clauses: DataFrame) -> DataFrame:
 _CLAUSE_HIT = ("query_id", "clause_no", "kind", "post_id")
 
 
-def _distinct_values(rows: DataFrame, value: Column) -> list[int]:
-    """Distinct lengths of clauses. There are no more of them than the longest clause has characters."""
-    return sorted(r[0] for r in rows.select(value).distinct().collect())
-
+def _word_hits(documents: DataFrame, clauses: DataFrame, lengths: list[int], small: bool) -> DataFrame:
+    """Posts with the word, or a word with the start, that a clause names; one row per clause and post.
 
-def _word_hits(documents: DataFrame, clauses: DataFrame, small: bool) -> DataFrame:
-    """Posts with the word, or a word with the start, that a clause names; one row per clause and post."""
-    lengths = _distinct_values(clauses.where("kind = 'prefix'"), F.length("text"))
+    ``lengths`` are the lengths of the prefixes in the batch.
+    """
     found = documents.select(
         "post_id",
         F.array_distinct(F.concat(text.words(F.col("title")), text.words(F.col("message")))).alias("words"),
@@ -269,14 +250,14 @@ def _word_hits(documents: DataFrame, clauses: DataFrame, small: bool) -> DataFra
 _RUN_WORDS = 3
 
 
-def _phrase_hits(documents: DataFrame, clauses: DataFrame, small: bool) -> DataFrame:
+def _phrase_hits(documents: DataFrame, clauses: DataFrame, sizes: list[int], small: bool) -> DataFrame:
     """Posts where a phrase occurs word by word.
 
     The first words of a phrase are an equality key against the runs of neighbouring words of every post. Only
-    longer phrases need the text again, and only for the posts that hold their first words.
+    longer phrases need the text again, and only for the posts that hold their first words. ``sizes`` are the word
+    counts of the phrases in the batch.
     """
     phrases = clauses.select("*", text.words(F.col("text")).alias("parts")).where(F.size("parts") > 0)
-    sizes = _distinct_values(phrases, F.size("parts"))
     found = documents.select(
         "post_id",
         text.words(F.col("title")).alias("title_words"),
@@ -288,13 +269,13 @@ def _phrase_hits(documents: DataFrame, clauses: DataFrame, small: bool) -> DataF
         places = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
         return F.transform(places, lambda i: F.array_join(F.slice(field, i, F.lit(length)), " "))
 
-    lengths = sorted({min(n, _RUN_WORDS) for n in sizes})
+    lengths = sorted({min(n, _RUN_WORDS) for n in sizes if n > 0})
     every_run = [runs(field, n) for field in ("title_words", "message_words") for n in lengths]
     every_run = F.array_distinct(F.concat(*every_run)) if every_run else F.array().cast("array<string>")
     keys = found.select("post_id", F.explode(every_run).alias("key"))
     keyed = phrases.withColumn("key", F.array_join(F.slice("parts", 1, _RUN_WORDS), " "))
     hits = lookup_join(keys, keyed, "key", "post_id", small)
-    if not sizes or sizes[-1] <= _RUN_WORDS:
+    if max(sizes) <= _RUN_WORDS:
         return hits.select(*_CLAUSE_HIT)
     complete = hits.where(F.size("parts") <= _RUN_WORDS).select(*_CLAUSE_HIT)
     phrase = F.concat(F.lit(" "), F.array_join("parts", " "), F.lit(" "))

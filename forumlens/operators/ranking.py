@@ -24,7 +24,7 @@ def top_per_query(hits: DataFrame, order: list[Column], k: int) -> DataFrame:
 
 
 def largest_limit(queries: DataFrame) -> int:
-    """The largest ``max_results`` of a batch, one row from Spark."""
+    """The largest ``max_results`` of a batch: one row, read from the query batch alone."""
     return with_result_limit(queries).agg(F.max("max_results")).first()[0] or 0
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from forumlens.functions import vectors
-from forumlens.operators.joins import nullable_key_left_join
+from forumlens.operators.joins import fits_broadcast, nullable_key_left_join
 from forumlens.schemas import UPSERT_COLUMNS
 
 POST = "post"
@@ -40,6 +40,15 @@ def lookup_one(items: DataFrame, key: str, value: int) -> DataFrame:
     return items.where(F.col(key) == value)
 
 
+def titles_of(hits: DataFrame, posts: DataFrame, threads: DataFrame) -> DataFrame:
+    """The threads that the posts of some hits belong to. Only ids take part until the threads are chosen.
+
+    There are no more threads than hits, so a count of the hits decides whether their ids may be broadcast.
+    """
+    ids = posts.select("post_id", "thread_id").join(hits.select("post_id"), "post_id").select("thread_id").distinct()
+    return threads.join(F.broadcast(ids) if fits_broadcast(hits) else ids, "thread_id", "left_semi")
+
+
 def missing(ids: DataFrame, items: DataFrame, key: str) -> DataFrame:
     """Ids that no item has. A missing id is NULL or 0 for rows of the other kind; those are not asked."""
     return ids.where(present(key)).select(key).distinct().join(items.select(key), key, "left_anti")
@@ -90,8 +99,9 @@ def last_wins(rows: DataFrame, key: str, version: str) -> DataFrame:
 def upsert(store: DataFrame, rows: DataFrame, key: str, update: tuple[str, ...] = UPSERT_COLUMNS) -> DataFrame:
     """The store with rows inserted, or merged into the row that has their key.
 
-    An existing key takes only the ``update`` columns. ``rows`` must be unique by key. A small batch is
-    broadcast by Spark for the merge, and only ids of the store take part in finding the new keys.
+    An existing key takes only the ``update`` columns. ``rows`` must be unique by key, and is read twice, so it
+    should be a written table. A small batch is broadcast by Spark for the merge, and only ids of the store take
+    part in finding the new keys.
     """
     merged = _replace(store, rows, key, {c: F.col(f"_new_{c}") for c in update}, update)
     fresh = rows.join(store.where(F.col(key).isNotNull()).select(key), key, "left_anti")

@@ -12,6 +12,7 @@ from forumlens.functions import text, vectors
 from forumlens.operators import store as ops
 from forumlens.operators.embedding import Embedder
 from forumlens.schemas import MAX_TOKENS
+from forumlens.sources.snapshots import materialize
 
 _TEXT_COLUMN = {ops.POST: "message", ops.THREAD: "title"}
 
@@ -29,11 +30,9 @@ def embed_items(
     Texts over the token limit are cut before embedding; the flag tells so from the uncut text.
     """
     key, source = ops.KEYS[kind], F.col(_TEXT_COLUMN[kind])
-    made = items.select(
-        key,
-        text.is_over_limit(source, max_tokens).alias("is_truncated"),
-        embedder(text.truncate_tokens(source, max_tokens)).alias("embedding"),
-    )
+    flagged = items.select(key, source.alias("text"), text.is_over_limit(source, max_tokens).alias("is_truncated"))
+    cut = text.truncate_tokens(F.col("text"), F.col("is_truncated"), max_tokens)
+    made = flagged.select(key, "is_truncated", embedder(cut).alias("embedding"))
     ids = {k: F.col(c) if k == kind else F.lit(None).cast("bigint") for k, c in ops.KEYS.items()}
     return made.select(
         row_key(kind).alias("vec_id"),
@@ -111,9 +110,12 @@ def rebuild(
 def refresh(
     ids: DataFrame, items: DataFrame, store: DataFrame, kind: str, embedder: Embedder, dim: int, now: Column
 ) -> DataFrame:
-    """The store with the given items embedded again and upserted; unknown ids are skipped."""
+    """The store with the given items embedded again and upserted; unknown ids are skipped.
+
+    The new vectors are written once, because the upsert reads them twice.
+    """
     key = ops.KEYS[kind]
-    rows = accepted(embed_items(ops.lookup(items, ids, key), kind, embedder, dim, now))
+    rows = materialize(accepted(embed_items(ops.lookup(items, ids, key), kind, embedder, dim, now)))
     return ops.upsert(store, rows, key)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from forumlens.functions import scoring, text, vectors
 from forumlens.operators import embedding, knn, lexical, results, store as ops
-from forumlens.operators.ranking import with_result_limit
+from forumlens.operators.ranking import largest_limit, with_result_limit
 from forumlens.plans import maintenance, search
 from forumlens.sources import snapshots, tables
 
@@ -92,16 +92,12 @@ def _stored_hits(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _details(spark: SparkSession, directory: str) -> DataFrame:
-    hits = _stored_hits(spark, directory)
-    few = search.few_hits(tables.vector_queries(spark, directory), 10)
-    return results.resolve_details(hits, tables.posts(spark, directory), tables.threads(spark, directory), few)
+    hits = snapshots.materialize(_stored_hits(spark, directory))
+    return results.resolve_details(hits, tables.posts(spark, directory), tables.threads(spark, directory))
 
 
 def _keyword_matches(spark: SparkSession, directory: str, queries: DataFrame) -> DataFrame:
-    documents = _documents(spark, directory)
-    return lexical.score_matches(
-        lexical.postings(documents), queries, lexical.document_statistics(documents)
-    )
+    return lexical.score_matches(lexical.postings(_documents(spark, directory)), queries)
 
 
 # Sources and sinks
@@ -145,8 +141,8 @@ def offset_page(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def store_upsert(spark: SparkSession, directory: str) -> DataFrame:
-    merged = ops.upsert(tables.embedding_store(spark, directory), _embedded_posts(spark, directory), "post_id")
-    return _store_rows(merged)
+    rows = snapshots.materialize(_embedded_posts(spark, directory))
+    return _store_rows(ops.upsert(tables.embedding_store(spark, directory), rows, "post_id"))
 
 
 @query
@@ -326,7 +322,7 @@ def export_report(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def lexical_stats(spark: SparkSession, directory: str) -> DataFrame:
-    found = lexical.document_statistics(_documents(spark, directory))
+    found = lexical.corpus_statistics(lexical.postings(_documents(spark, directory)))
     return found.select(
         "posts",
         "title_words",
@@ -399,11 +395,11 @@ def token_counts(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def truncate_text(spark: SparkSession, directory: str) -> DataFrame:
-    cut = tables.read_parquet(spark, directory, "documents").select(
-        "doc_id",
-        text.is_over_limit(F.col("text"), TRUNCATE_AT).alias("is_truncated"),
-        text.truncate_tokens(F.col("text"), TRUNCATE_AT).alias("kept"),
+    flagged = tables.read_parquet(spark, directory, "documents").select(
+        "doc_id", "text", text.is_over_limit(F.col("text"), TRUNCATE_AT).alias("is_truncated")
     )
+    kept = text.truncate_tokens(F.col("text"), F.col("is_truncated"), TRUNCATE_AT)
+    cut = flagged.select("doc_id", "is_truncated", kept.alias("kept"))
     return cut.select("doc_id", "is_truncated", F.length("kept").alias("characters"), F.md5("kept").alias("digest"))
 
 
@@ -460,7 +456,8 @@ def lexical_score(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def lexical_topk(spark: SparkSession, directory: str) -> DataFrame:
     queries = tables.keyword_queries(spark, directory)
-    ranked = lexical.rank_matches(_keyword_matches(spark, directory, queries), queries, _origin())
+    matches = _keyword_matches(spark, directory, queries)
+    ranked = lexical.rank_matches(matches, queries, _origin(), largest_limit(queries))
     return ranked.withColumn("score", F.round("score", 6))
 
 

@@ -1,4 +1,8 @@
-"""Search jobs over a batch of queries."""
+"""Search jobs over a batch of queries.
+
+Ranking runs when a search is called: its hits, at most a result limit per query, are written to the shared folder
+and only then meet posts and threads. The scan behind the ranking so runs once, though its hits are read often.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from forumlens.functions import text
 from forumlens.operators import knn, lexical, results
 from forumlens.operators.embedding import Embedder, embed_queries
-from forumlens.operators.joins import BROADCAST_ROWS, fits_broadcast
 from forumlens.operators.ranking import largest_limit, within_own_limit
 from forumlens.schemas import DEFAULT_COSINE_RESULTS
-
-
-def few_hits(queries: DataFrame, k: int) -> bool:
-    """Whether ``k`` hits for every query stay within the broadcast bound."""
-    return fits_broadcast(queries, BROADCAST_ROWS // max(k, 1))
+from forumlens.sources.snapshots import materialize
 
 
 def vector_hits(queries: DataFrame, store: DataFrame, embedder: Embedder) -> DataFrame:
@@ -26,8 +25,9 @@ def vector_hits(queries: DataFrame, store: DataFrame, embedder: Embedder) -> Dat
 def vector_search(
     queries: DataFrame, store: DataFrame, posts: DataFrame, threads: DataFrame, embedder: Embedder
 ) -> DataFrame:
-    few = few_hits(queries, largest_limit(queries))
-    return results.resolve_details(vector_hits(queries, store, embedder), posts, threads, few)
+    """Details of the nearest posts and threads of every query."""
+    hits = materialize(vector_hits(queries, store, embedder))
+    return results.resolve_details(hits, posts, threads)
 
 
 def cosine_search(
@@ -38,21 +38,14 @@ def cosine_search(
     return hits.withColumn("similarity_text", text.four_decimals(F.col("similarity")))
 
 
-def keyword_hits(queries: DataFrame, postings: DataFrame, statistics: DataFrame, origin: Column) -> DataFrame:
-    """Ranked keyword hits: ``query_id, rank, score, post_id, date``."""
-    return lexical.rank_matches(lexical.score_matches(postings, queries, statistics), queries, origin)
-
-
 def keyword_search(
     queries: DataFrame, posts: DataFrame, threads: DataFrame, origin: Column, saved: DataFrame | None = None
 ) -> DataFrame:
     """Keyword hits with their output fields. ``saved`` postings stand in for reading the texts."""
-    if saved is None:
-        documents = lexical.lexical_documents(posts, threads)
-        ranked = keyword_hits(queries, lexical.postings(documents), lexical.document_statistics(documents), origin)
-    else:
-        ranked = keyword_hits(queries, saved, lexical.posting_statistics(saved), origin)
-    return lexical.project_hits(ranked, posts, threads, few_hits(queries, largest_limit(queries)))
+    rows = lexical.postings(lexical.lexical_documents(posts, threads)) if saved is None else saved
+    matches = lexical.score_matches(rows, queries)
+    ranked = materialize(lexical.rank_matches(matches, queries, origin, largest_limit(queries)))
+    return lexical.project_hits(ranked, posts, threads)
 
 
 def combined_search(

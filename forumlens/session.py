@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .appName("forumlens")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
