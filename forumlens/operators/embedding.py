@@ -1,4 +1,7 @@
-"""Text to vector. An embedder is a function from a text column to an ``array<float>`` column."""
+"""Text to vector. An embedder is a function from a text column to an ``array<float>`` column.
+
+Embedders are marked nondeterministic, so that a filter on the vector stays above the call and does not repeat it.
+"""
 
 from __future__ import annotations
 
@@ -49,7 +52,8 @@ def hashed_embedder(dim: int) -> Embedder:
         parts = [_hashed_vectors(lists[start : start + step], dim) for start in range(0, len(lists), step)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
 
-    return lambda column: vectors(text.words(column))
+    once = vectors.asNondeterministic()
+    return lambda column: once(text.words(column))
 
 
 def model_embedder(
@@ -75,7 +79,7 @@ def model_embedder(
                     out[row] = vector
             yield pa.array(out, pa.list_(pa.float32()))
 
-    return vectors
+    return vectors.asNondeterministic()
 
 
 def embed_column(items: DataFrame, column: str, embedder: Embedder) -> DataFrame:

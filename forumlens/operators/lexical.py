@@ -135,8 +135,8 @@ def score_matches(rows: DataFrame, queries: DataFrame) -> DataFrame:
     """
     terms = query_terms(queries)
     small = fits_broadcast(terms)
-    marker = terms.sparkSession.range(1).select(F.lit(POST_MARKER).alias("term"))
-    asked = terms.select("term").union(marker).distinct()
+    with_marker = F.concat(F.array(F.lit(POST_MARKER)), text.words(F.col("query")))
+    asked = queries.select(F.explode(with_marker).alias("term"))
     # Salting does not help a semi join; without a broadcast the skew join of the adaptive planner splits hot words.
     rows = rows.join(_bounded(asked, small), "term", "left_semi")
     weighted = terms.join(_bounded(_term_weights(rows), small), "term")

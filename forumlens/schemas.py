@@ -20,6 +20,15 @@ VECTOR_RESULTS_KEY = "faiss_results"
 KEYWORD_RESULTS_KEY = "elasticsearch_results"
 COMBINED_RESULTS_KEY = "combined_results"
 
+# Raw tables the forum views read.
+RAW_TABLES = {
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "benchmark": "item_id bigint, text string",
+    "pages": "page_id bigint, url string, html string",
+}
+
 POSTS = T.StructType(
     [
         T.StructField("post_id", T.LongType()),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from forumlens.functions import text
+from forumlens.schemas import RAW_TABLES
 
 # First post date of the views and the distance between two posts, in seconds.
 FIRST_POST_DATE = 1704067200
@@ -14,7 +15,7 @@ VIEW_DIM = 64
 
 
 def read_parquet(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    return spark.read.schema(RAW_TABLES[name]).parquet(f"{directory}/{name}.parquet")
 
 
 def read_jdbc(
