@@ -14,7 +14,7 @@ def fits_broadcast(rows: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return rows.limit(limit + 1).count() <= limit
 
 
-def lookup_join(big: DataFrame, small: DataFrame, key: str, spread_on: str, broadcast: bool, how: str = "inner"):
+def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], spread_on: str, broadcast: bool) -> DataFrame:
     """Join a large side whose key may be hot to a small side.
 
     A checked small side is broadcast and the large side never moves. Otherwise the large side is salted by
@@ -22,10 +22,10 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, spread_on: str, broa
     holds more than a salt's share of a hot key.
     """
     if broadcast:
-        return big.join(F.broadcast(small), key, how)
+        return big.join(F.broadcast(small), keys)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread_on), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
 def nullable_key_left_join(left: DataFrame, right: DataFrame, key: str, spread_on: str) -> DataFrame:

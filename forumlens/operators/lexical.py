@@ -6,7 +6,9 @@ sorted by word, lets a search read only the words it asks for; without one, a se
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from forumlens.functions import scoring, text
 from forumlens.operators.joins import BROADCAST_ROWS, fits_broadcast, lookup_join
@@ -17,6 +19,16 @@ from forumlens.schemas import TITLE_BOOST
 # A posting with this word stands for the post itself; it carries the field lengths of every post.
 POST_MARKER = ""
 
+POSTINGS = (
+    "post_id bigint, date bigint, title_length int, message_length int, term string, title_count bigint, "
+    "message_count bigint, bucket int"
+)
+TERMS = (
+    "term string, posts bigint, title_posts bigint, message_posts bigint, title_words bigint, message_words bigint, "
+    "buckets int"
+)
+WORD_BUCKETS = 1024
+
 HIT_FIELDS = ("title", "message", "date", "user", "discussion_id", "node", "post_id")
 
 
@@ -62,10 +74,39 @@ def postings(documents: DataFrame) -> DataFrame:
     )
 
 
-def write_postings(rows: DataFrame, directory: str) -> None:
-    """Save postings sorted by word. Range bounds include the post, so one frequent word fills many files."""
-    ordered = rows.repartitionByRange("term", "post_id").sortWithinPartitions("term", "post_id")
-    ordered.write.mode("overwrite").parquet(directory)
+@dataclass(frozen=True)
+class LexicalIndex:
+    """Saved keyword tables: postings in buckets of words, and the figures of every word."""
+
+    postings: DataFrame
+    terms: DataFrame
+    buckets: int
+
+
+def _bucket(count: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(count)).cast("int")
+
+
+def write_index(documents: DataFrame, directory: str, buckets: int = WORD_BUCKETS) -> LexicalIndex:
+    """Save the postings and word figures of documents.
+
+    Bucket directories let a search read only those of its words. Range bounds include the post, so a frequent word
+    fills many files, and each file holds few buckets.
+    """
+    rows = postings(documents).withColumn("bucket", _bucket(buckets))
+    ordered = rows.repartitionByRange("bucket", "term", "post_id").sortWithinPartitions("bucket", "term", "post_id")
+    ordered.write.partitionBy("bucket").parquet(f"{directory}/postings")
+    saved = documents.sparkSession.read.schema(rows.schema).parquet(f"{directory}/postings")
+    terms = _per_term(saved).withColumn("buckets", F.lit(buckets))
+    terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{directory}/terms")
+    return read_index(documents.sparkSession, directory)
+
+
+def read_index(spark: SparkSession, directory: str) -> LexicalIndex:
+    terms = spark.read.schema(TERMS).parquet(f"{directory}/terms")
+    first = terms.select("buckets").first()
+    saved = spark.read.schema(POSTINGS).parquet(f"{directory}/postings")
+    return LexicalIndex(saved, terms.drop("buckets"), first[0] if first else 1)
 
 
 def _per_term(rows: DataFrame) -> DataFrame:
@@ -109,38 +150,54 @@ def document_frequency(rows: DataFrame) -> DataFrame:
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """The distinct words of every query and their number; blank queries have none."""
+    """The distinct words of every query, numbered, and how many there are; blank queries have none."""
     found = queries.select("query_id", F.array_distinct(text.words(F.col("query"))).alias("terms"))
-    return found.select("query_id", F.size("terms").alias("needed"), F.explode("terms").alias("term"))
+    listed = found.select("query_id", F.size("terms").alias("needed"), F.posexplode("terms").alias("number", "term"))
+    return listed.select("query_id", "needed", "number", "term")
 
 
-def _term_weights(rows: DataFrame) -> DataFrame:
-    """Words with the corpus figures their score needs."""
-    per_term = _per_term(rows)
-    corpus = _of_corpus(per_term).select(F.struct("posts", "average_title", "average_message")).scalar()
+def _term_weights(per_term: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Words with the figures their score needs."""
+    figures = corpus.select(F.struct("posts", "average_title", "average_message")).scalar()
     return per_term.where(_is_word()).select(
         "term",
-        corpus["average_title"].alias("average_title"),
-        corpus["average_message"].alias("average_message"),
-        scoring.inverse_document_frequency(corpus["posts"], F.col("title_posts")).alias("title_idf"),
-        scoring.inverse_document_frequency(corpus["posts"], F.col("message_posts")).alias("message_idf"),
+        figures["average_title"].alias("average_title"),
+        figures["average_message"].alias("average_message"),
+        scoring.inverse_document_frequency(figures["posts"], F.col("title_posts")).alias("title_idf"),
+        scoring.inverse_document_frequency(figures["posts"], F.col("message_posts")).alias("message_idf"),
     )
 
 
-def score_matches(rows: DataFrame, queries: DataFrame) -> DataFrame:
+def _weighted_matches(rows: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
+    """Postings of the asked words with their figures. One pass over the texts serves figures and matches."""
+    # The first word of each query brings the marker along: no more than twice the rows of the checked terms.
+    with_marker = F.when(F.col("number") == 0, F.array("term", F.lit(POST_MARKER))).otherwise(F.array("term"))
+    asked = terms.select(F.explode(with_marker).alias("term"))
+    rows = rows.join(_bounded(asked, small), "term", "left_semi")
+    per_term = _per_term(rows)
+    weights = _term_weights(per_term, _of_corpus(per_term))
+    return lookup_join(rows, terms.join(_bounded(weights, small), "term"), ["term"], "post_id", small)
+
+
+def _saved_matches(index: LexicalIndex, terms: DataFrame, small: bool) -> DataFrame:
+    """The same from saved tables; the buckets of the words prune the postings that are read."""
+    asked = index.terms.join(_bounded(terms.select("term"), small), "term", "left_semi")
+    corpus = _of_corpus(index.terms.where(F.col("term") == POST_MARKER))
+    weighted = terms.join(_bounded(_term_weights(asked, corpus), small), "term")
+    keyed = weighted.withColumn("bucket", _bucket(index.buckets))
+    return lookup_join(index.postings, keyed, ["bucket", "term"], "post_id", small)
+
+
+def score_matches(source: DataFrame | LexicalIndex, queries: DataFrame) -> DataFrame:
     """Posts that hold every word of a query, each word in either field, with their relevance.
 
-    ``query_id, post_id, date, relevance``: the sum of BM25 weights over words and fields, titles boosted. The
-    postings of the asked words and the markers are read once, for the corpus figures and for the scores.
+    ``query_id, post_id, date, relevance``: the sum of BM25 weights over words and fields, titles boosted.
+    ``source`` is a frame of postings or a saved index.
     """
     terms = query_terms(queries)
     small = fits_broadcast(terms)
-    with_marker = F.concat(F.array(F.lit(POST_MARKER)), text.words(F.col("query")))
-    asked = queries.select(F.explode(with_marker).alias("term"))
-    # Salting does not help a semi join; without a broadcast the skew join of the adaptive planner splits hot words.
-    rows = rows.join(_bounded(asked, small), "term", "left_semi")
-    weighted = terms.join(_bounded(_term_weights(rows), small), "term")
-    matched = lookup_join(rows, weighted, "term", "post_id", small)
+    matches = _saved_matches if isinstance(source, LexicalIndex) else _weighted_matches
+    matched = matches(source, terms, small)
     weight = TITLE_BOOST * scoring.bm25(
         F.col("title_count"), F.col("title_length"), F.col("average_title"), F.col("title_idf")
     ) + scoring.bm25(
@@ -243,7 +300,7 @@ def _word_hits(documents: DataFrame, clauses: DataFrame, lengths: list[int], sma
     keys = found.select("post_id", F.explode(F.concat("words", *map(starts, lengths))).alias("key"))
     is_prefix = F.col("kind") == "prefix"
     keyed = clauses.withColumn("key", F.concat(F.when(is_prefix, "prefix ").otherwise(""), F.col("text")))
-    return lookup_join(keys, keyed, "key", "post_id", small).select(*_CLAUSE_HIT)
+    return lookup_join(keys, keyed, ["key"], "post_id", small).select(*_CLAUSE_HIT)
 
 
 # Phrases join on runs of at most this many words; longer ones are then compared with the whole text.
@@ -274,7 +331,7 @@ def _phrase_hits(documents: DataFrame, clauses: DataFrame, sizes: list[int], sma
     every_run = F.array_distinct(F.concat(*every_run)) if every_run else F.array().cast("array<string>")
     keys = found.select("post_id", F.explode(every_run).alias("key"))
     keyed = phrases.withColumn("key", F.array_join(F.slice("parts", 1, _RUN_WORDS), " "))
-    hits = lookup_join(keys, keyed, "key", "post_id", small)
+    hits = lookup_join(keys, keyed, ["key"], "post_id", small)
     if max(sizes) <= _RUN_WORDS:
         return hits.select(*_CLAUSE_HIT)
     complete = hits.where(F.size("parts") <= _RUN_WORDS).select(*_CLAUSE_HIT)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BinaryType
 
 from forumlens.functions import vectors
 from forumlens.operators.joins import fits_broadcast, nullable_key_left_join
@@ -134,11 +135,18 @@ def of_kind(store: DataFrame, kind: str | None) -> DataFrame:
     return store if kind is None else store.where(F.col(KEYS[kind]).isNotNull())
 
 
+def decoded(store: DataFrame) -> DataFrame:
+    """A store read from a database, where vectors are float32 blobs, with vectors as arrays."""
+    return store.withColumn("embedding", vectors.decode_blob("embedding"))
+
+
 def with_validation(store: DataFrame, dim: int) -> DataFrame:
-    """Adds ``reason`` for the vector and ``length_issue`` for the recorded length."""
+    """Adds ``reason`` for the vector, an array or a blob, and ``length_issue`` for the recorded length."""
+    is_blob = isinstance(store.schema["embedding"].dataType, BinaryType)
+    reason = vectors.blob_validation_reason if is_blob else vectors.validation_reason
     return store.withColumns(
         {
-            "reason": vectors.validation_reason(F.col("embedding"), dim),
+            "reason": reason(F.col("embedding"), dim),
             "length_issue": vectors.has_stored_length_issue(F.col("embedding_length"), dim),
         }
     )

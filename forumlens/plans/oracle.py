@@ -511,6 +511,7 @@ _ORACLE: dict[str, str] = {
         "SELECT query_id, rank, round(score, 6) AS score, post_id, date FROM keyword_ranked", "keyword_ranked"
     ),
     "lexical_search": _with("SELECT * FROM keyword_hits", "keyword_hits"),
+    "lexical_search_saved": _with("SELECT * FROM keyword_hits", "keyword_hits"),
     "queries_without_hits": _with(
         f"""SELECT query_id, 'No results found for "' || {_escaped('query')} || '".' AS message FROM text_queries
             WHERE length(trim(query)) > 0 AND query_id NOT IN (SELECT query_id FROM text_matches)""",

@@ -472,6 +472,19 @@ def lexical_search(spark: SparkSession, directory: str) -> DataFrame:
     return hits.withColumn("score", F.round("score", 6))
 
 
+@query
+def lexical_search_saved(spark: SparkSession, directory: str) -> DataFrame:
+    index = lexical.write_index(_documents(spark, directory), snapshots.scratch_directory(spark), buckets=64)
+    hits = search.keyword_search(
+        tables.keyword_queries(spark, directory),
+        tables.posts(spark, directory),
+        tables.threads(spark, directory),
+        _origin(),
+        index,
+    )
+    return hits.withColumn("score", F.round("score", 6))
+
+
 @query
 def queries_without_hits(spark: SparkSession, directory: str) -> DataFrame:
     queries = tables.text_queries(spark, directory)

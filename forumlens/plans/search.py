@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from forumlens.functions import text
 from forumlens.operators import knn, lexical, results
 from forumlens.operators.embedding import Embedder, embed_queries
+from forumlens.operators.lexical import LexicalIndex
 from forumlens.operators.ranking import largest_limit, within_own_limit
 from forumlens.schemas import DEFAULT_COSINE_RESULTS
 from forumlens.sources.snapshots import materialize
@@ -39,11 +40,11 @@ def cosine_search(
 
 
 def keyword_search(
-    queries: DataFrame, posts: DataFrame, threads: DataFrame, origin: Column, saved: DataFrame | None = None
+    queries: DataFrame, posts: DataFrame, threads: DataFrame, origin: Column, saved: LexicalIndex | None = None
 ) -> DataFrame:
-    """Keyword hits with their output fields. ``saved`` postings stand in for reading the texts."""
-    rows = lexical.postings(lexical.lexical_documents(posts, threads)) if saved is None else saved
-    matches = lexical.score_matches(rows, queries)
+    """Keyword hits with their output fields. A saved index stands in for reading the texts."""
+    source = saved or lexical.postings(lexical.lexical_documents(posts, threads))
+    matches = lexical.score_matches(source, queries)
     ranked = materialize(lexical.rank_matches(matches, queries, origin, largest_limit(queries)))
     return lexical.project_hits(ranked, posts, threads)
 
@@ -55,7 +56,7 @@ def combined_search(
     threads: DataFrame,
     embedder: Embedder,
     origin: Column,
-    saved: DataFrame | None = None,
+    saved: LexicalIndex | None = None,
     use_keyword_date: bool = False,
 ) -> DataFrame:
     """Vector and keyword results of every query, merged newest first."""

@@ -16,16 +16,22 @@ from forumlens.plans import maintenance
 from forumlens.schemas import EMBEDDING_STORE, VECTOR_EXPORT
 from forumlens.sources.snapshots import read_batches, write_batch
 
+_DATE_COLUMN = {ops.POST: "post_date", ops.THREAD: "last_post_date"}
+
 
 def item_stream(spark: SparkSession, directory: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
     """Posts or threads that arrive as Parquet files."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(directory)
 
 
-def _stored_before(spark: SparkSession, directory: str, schema: StructType, batch_id: int) -> DataFrame:
+def _stored_before(spark: SparkSession, directory: str, batch_id: int, existing: DataFrame | None) -> DataFrame:
+    """Ids already stored: in earlier batches of this store, and in ``existing`` rows kept elsewhere."""
     if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    return read_batches(spark, directory, schema, before=batch_id).drop("batch_id")
+        stored = spark.createDataFrame([], EMBEDDING_STORE)
+    else:
+        stored = read_batches(spark, directory, EMBEDDING_STORE, before=batch_id).drop("batch_id")
+    keys = list(ops.KEYS.values())
+    return stored.select(keys) if existing is None else stored.select(keys).union(existing.select(keys))
 
 
 def start_backfill(
@@ -36,13 +42,14 @@ def start_backfill(
     kind: str,
     embedder: Embedder,
     dim: int,
+    existing: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Embed every streamed item that the store lacks, then stop."""
+    """Embed every streamed item that the store lacks, then stop. Of an item that arrives twice the newest counts."""
     key = ops.KEYS[kind]
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        stored = _stored_before(batch.sparkSession, store_directory, EMBEDDING_STORE, batch_id)
-        newest = batch.dropDuplicates([key])
+        stored = _stored_before(batch.sparkSession, store_directory, batch_id, existing)
+        newest = ops.last_wins(batch, key, _DATE_COLUMN[kind])
         rows = maintenance.backfill(newest, stored, kind, embedder, dim, F.current_timestamp()).persist()
         write_batch(maintenance.accepted(rows), store_directory, batch_id)
         write_batch(maintenance.quarantined(rows), quarantine_directory, batch_id)
