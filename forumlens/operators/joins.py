@@ -9,11 +9,6 @@ BROADCAST_ROWS = 100_000
 SALTS = 64
 
 
-def fits_broadcast(rows: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Counts at most ``limit + 1`` rows, so the check costs little however large the input is."""
-    return rows.limit(limit + 1).count() <= limit
-
-
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], spread_on: str, broadcast: bool) -> DataFrame:
     """Join a large side whose key may be hot to a small side.
 

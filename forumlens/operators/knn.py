@@ -196,6 +196,7 @@ def nearest(
     carry: tuple[str, ...] = ("post_id", "thread_id"),
     broadcast_queries: int = BROADCAST_QUERIES,
     chunk_vectors: int = CHUNK_VECTORS,
+    scan_tasks: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest stored vectors of every query.
 
@@ -203,12 +204,16 @@ def nearest(
     in ``carry``. The result adds ``rank`` and either ``distance`` (squared L2, ascending) or ``similarity``
     (cosine, descending). Equal scores rank by ``vec_id``. Vectors without a score (NULL, other length, not
     finite, zero for cosine) are left out, and a query gets fewer than ``k`` rows when fewer exist.
+
+    Each task of the scan hands ``k`` rows per query to the ranking. For a large batch over very many splits,
+    ``scan_tasks`` lets fewer tasks read several splits each, without a shuffle.
     """
     columns = ["vec_id", *carry]
     batch = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
     stored = corpus.select("embedding", *columns).where(F.col("embedding").isNotNull())
     head = batch.limit(broadcast_queries + 1).toArrow()
     if head.num_rows <= broadcast_queries:
+        stored = stored.coalesce(scan_tasks) if scan_tasks else stored
         hits = _scan(stored, QueryBlock.of(head, metric), max(k, 1), metric, columns)
     else:
         hits = _grid(batch, stored, max(k, 1), metric, columns, broadcast_queries, chunk_vectors)

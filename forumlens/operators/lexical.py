@@ -11,8 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from forumlens.functions import scoring, text
-from forumlens.operators.joins import BROADCAST_ROWS, fits_broadcast, lookup_join
-from forumlens.operators.ranking import top_per_query, within_own_limit
+from forumlens.operators.joins import BROADCAST_ROWS, lookup_join
+from forumlens.operators.ranking import BatchFigures, top_per_query, within_own_limit
 from forumlens.operators.store import titles_of
 from forumlens.schemas import TITLE_BOOST
 
@@ -188,14 +188,14 @@ def _saved_matches(index: LexicalIndex, terms: DataFrame, small: bool) -> DataFr
     return lookup_join(index.postings, keyed, ["bucket", "term"], "post_id", small)
 
 
-def score_matches(source: DataFrame | LexicalIndex, queries: DataFrame) -> DataFrame:
+def score_matches(source: DataFrame | LexicalIndex, queries: DataFrame, figures: BatchFigures) -> DataFrame:
     """Posts that hold every word of a query, each word in either field, with their relevance.
 
     ``query_id, post_id, date, relevance``: the sum of BM25 weights over words and fields, titles boosted.
     ``source`` is a frame of postings or a saved index.
     """
     terms = query_terms(queries)
-    small = fits_broadcast(terms)
+    small = figures.few_words
     matches = _saved_matches if isinstance(source, LexicalIndex) else _weighted_matches
     matched = matches(source, terms, small)
     weight = TITLE_BOOST * scoring.bm25(
@@ -220,25 +220,23 @@ def _bounded(rows: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(rows) if small else rows
 
 
-def rank_matches(matches: DataFrame, queries: DataFrame, origin: Column, largest: int) -> DataFrame:
-    """Relevance plus recency, best first: ``query_id, rank, score, post_id, date``.
-
-    ``largest`` is the largest result limit of the batch.
-    """
+def rank_matches(matches: DataFrame, queries: DataFrame, origin: Column, figures: BatchFigures) -> DataFrame:
+    """Relevance plus recency, best first: ``query_id, rank, score, post_id, date``."""
     scored = matches.withColumn("score", F.col("relevance") + scoring.recency(F.col("date"), origin))
     order = [F.round("score", 9).desc(), F.col("date").desc(), F.col("post_id")]
-    ranked = top_per_query(scored, order, largest)
+    ranked = top_per_query(scored, order, figures.largest)
     return within_own_limit(ranked, queries).select("query_id", "rank", "score", "post_id", "date")
 
 
-def project_hits(ranked: DataFrame, posts: DataFrame, threads: DataFrame) -> DataFrame:
+def project_hits(ranked: DataFrame, posts: DataFrame, threads: DataFrame, few: bool) -> DataFrame:
     """The seven output fields of every hit.
 
-    ``ranked`` is read twice and should be a written table. Hits meet the posts before the threads.
+    ``ranked`` is read twice and should be a written table; ``few`` says that it fits a broadcast, so that neither
+    posts nor threads are shuffled. Hits meet the posts before the threads.
     """
     hits = ranked.select("query_id", "rank", "score", "post_id")
-    titles = titles_of(hits, posts, threads.select("thread_id", "title", "node"))
-    fields = lexical_documents(posts.join(hits, "post_id"), titles, "query_id", "rank", "score")
+    titles = titles_of(hits, posts, threads.select("thread_id", "title", "node"), few)
+    fields = lexical_documents(posts.join(_bounded(hits, few), "post_id"), titles, "query_id", "rank", "score")
     return fields.select("query_id", "rank", "score", *HIT_FIELDS)
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from forumlens.functions import text
+from forumlens.operators.joins import BROADCAST_ROWS
 from forumlens.schemas import DEFAULT_RESULTS
 
 
@@ -23,9 +27,30 @@ def top_per_query(hits: DataFrame, order: list[Column], k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
 
 
-def largest_limit(queries: DataFrame) -> int:
-    """The largest ``max_results`` of a batch: one row, read from the query batch alone."""
-    return with_result_limit(queries).agg(F.max("max_results")).first()[0] or 0
+@dataclass(frozen=True)
+class BatchFigures:
+    """What a search must know about its query batch before it plans: three numbers, read in one pass."""
+
+    queries: int
+    words: int
+    largest: int
+
+    @property
+    def few_words(self) -> bool:
+        return self.words <= BROADCAST_ROWS
+
+    @property
+    def few_hits(self) -> bool:
+        return self.queries * self.largest <= BROADCAST_ROWS
+
+
+def batch_figures(queries: DataFrame) -> BatchFigures:
+    """Number of queries, distinct words summed over queries, and the largest ``max_results``."""
+    words = F.size(F.array_distinct(text.words(F.col("query")))) if "query" in queries.columns else F.lit(0)
+    counted = with_result_limit(queries).agg(
+        F.count("*"), F.coalesce(F.sum(words), F.lit(0)), F.coalesce(F.max("max_results"), F.lit(0))
+    )
+    return BatchFigures(*counted.first())
 
 
 def within_own_limit(ranked: DataFrame, queries: DataFrame) -> DataFrame:

@@ -24,19 +24,23 @@ def post_details(posts: DataFrame, threads: DataFrame) -> DataFrame:
     return posts.select("post_id", "thread_id", "message", "post_date").join(titles, "thread_id")
 
 
-def resolve_details(hits: DataFrame, posts: DataFrame, threads: DataFrame) -> DataFrame:
+def resolve_details(hits: DataFrame, posts: DataFrame, threads: DataFrame, few: bool) -> DataFrame:
     """Details of ranked hits: ``query_id, rank`` and the fields of a result.
 
-    ``hits`` is read several times and should be a written table: its size then tells Spark to broadcast it, so
-    that posts and threads are not shuffled. Hits whose post or thread is gone are dropped and leave a gap in the
+    ``hits`` is read several times and should be a written table; ``few`` says that it fits a broadcast, so that
+    neither posts nor threads are shuffled. Hits whose post or thread is gone are dropped and leave a gap in the
     ranks.
     """
+
+    def sized(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if few else rows
+
     tagged = with_kind(hits)
     post_hits = tagged.where(F.col("type") == POST).select("query_id", "rank", "type", "post_id")
     thread_hits = tagged.where(F.col("type") == THREAD).select("query_id", "rank", "type", "thread_id")
-    found = posts.select("post_id", "thread_id", "message", "post_date").join(post_hits, "post_id")
-    titles = titles_of(post_hits, posts, threads.select("thread_id", F.col("title").alias("thread_title")))
-    titled = threads.select("thread_id", "title", "last_post_date").join(thread_hits, "thread_id")
+    found = posts.select("post_id", "thread_id", "message", "post_date").join(sized(post_hits), "post_id")
+    titles = titles_of(post_hits, posts, threads.select("thread_id", F.col("title").alias("thread_title")), few)
+    titled = threads.select("thread_id", "title", "last_post_date").join(sized(thread_hits), "thread_id")
     columns = ["query_id", "rank", *DETAIL.names]
     details = found.join(titles, "thread_id").unionByName(titled, allowMissingColumns=True)
     return details.select(*columns)

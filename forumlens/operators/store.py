@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType
 
 from forumlens.functions import vectors
-from forumlens.operators.joins import fits_broadcast, nullable_key_left_join
+from forumlens.operators.joins import nullable_key_left_join
 from forumlens.schemas import UPSERT_COLUMNS
 
 POST = "post"
@@ -41,13 +41,15 @@ def lookup_one(items: DataFrame, key: str, value: int) -> DataFrame:
     return items.where(F.col(key) == value)
 
 
-def titles_of(hits: DataFrame, posts: DataFrame, threads: DataFrame) -> DataFrame:
+def titles_of(hits: DataFrame, posts: DataFrame, threads: DataFrame, few: bool) -> DataFrame:
     """The threads that the posts of some hits belong to. Only ids take part until the threads are chosen.
 
-    There are no more threads than hits, so a count of the hits decides whether their ids may be broadcast.
+    There are no more of these threads than hits, so if the hits fit a broadcast their thread ids do, too.
     """
-    ids = posts.select("post_id", "thread_id").join(hits.select("post_id"), "post_id").select("thread_id").distinct()
-    return threads.join(F.broadcast(ids) if fits_broadcast(hits) else ids, "thread_id", "left_semi")
+    wanted = hits.select("post_id")
+    ids = posts.select("post_id", "thread_id").join(F.broadcast(wanted) if few else wanted, "post_id")
+    ids = ids.select("thread_id").distinct()
+    return threads.join(F.broadcast(ids) if few else ids, "thread_id", "left_semi")
 
 
 def missing(ids: DataFrame, items: DataFrame, key: str) -> DataFrame:

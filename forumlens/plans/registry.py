@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from forumlens.functions import scoring, text, vectors
 from forumlens.operators import embedding, knn, lexical, results, store as ops
-from forumlens.operators.ranking import largest_limit, with_result_limit
+from forumlens.operators.ranking import batch_figures, with_result_limit
 from forumlens.plans import maintenance, search
 from forumlens.sources import snapshots, tables
 
@@ -93,11 +93,12 @@ def _stored_hits(spark: SparkSession, directory: str) -> DataFrame:
 
 def _details(spark: SparkSession, directory: str) -> DataFrame:
     hits = snapshots.materialize(_stored_hits(spark, directory))
-    return results.resolve_details(hits, tables.posts(spark, directory), tables.threads(spark, directory))
+    few = batch_figures(tables.vector_queries(spark, directory)).few_hits
+    return results.resolve_details(hits, tables.posts(spark, directory), tables.threads(spark, directory), few)
 
 
 def _keyword_matches(spark: SparkSession, directory: str, queries: DataFrame) -> DataFrame:
-    return lexical.score_matches(lexical.postings(_documents(spark, directory)), queries)
+    return lexical.score_matches(lexical.postings(_documents(spark, directory)), queries, batch_figures(queries))
 
 
 # Sources and sinks
@@ -457,7 +458,7 @@ def lexical_score(spark: SparkSession, directory: str) -> DataFrame:
 def lexical_topk(spark: SparkSession, directory: str) -> DataFrame:
     queries = tables.keyword_queries(spark, directory)
     matches = _keyword_matches(spark, directory, queries)
-    ranked = lexical.rank_matches(matches, queries, _origin(), largest_limit(queries))
+    ranked = lexical.rank_matches(matches, queries, _origin(), batch_figures(queries))
     return ranked.withColumn("score", F.round("score", 6))
 
 

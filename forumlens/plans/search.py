@@ -12,23 +12,28 @@ from forumlens.functions import text
 from forumlens.operators import knn, lexical, results
 from forumlens.operators.embedding import Embedder, embed_queries
 from forumlens.operators.lexical import LexicalIndex
-from forumlens.operators.ranking import largest_limit, within_own_limit
+from forumlens.operators.ranking import BatchFigures, batch_figures, within_own_limit
 from forumlens.schemas import DEFAULT_COSINE_RESULTS
 from forumlens.sources.snapshots import materialize
 
 
-def vector_hits(queries: DataFrame, store: DataFrame, embedder: Embedder) -> DataFrame:
+def vector_hits(queries: DataFrame, store: DataFrame, embedder: Embedder, largest: int) -> DataFrame:
     """Nearest vectors of every text query by squared L2, each query with its own result limit."""
-    hits = knn.nearest(embed_queries(queries, embedder), store, largest_limit(queries))
-    return within_own_limit(hits, queries)
+    return within_own_limit(knn.nearest(embed_queries(queries, embedder), store, largest), queries)
 
 
 def vector_search(
-    queries: DataFrame, store: DataFrame, posts: DataFrame, threads: DataFrame, embedder: Embedder
+    queries: DataFrame,
+    store: DataFrame,
+    posts: DataFrame,
+    threads: DataFrame,
+    embedder: Embedder,
+    figures: BatchFigures | None = None,
 ) -> DataFrame:
     """Details of the nearest posts and threads of every query."""
-    hits = materialize(vector_hits(queries, store, embedder))
-    return results.resolve_details(hits, posts, threads)
+    figures = figures or batch_figures(queries)
+    hits = materialize(vector_hits(queries, store, embedder, figures.largest))
+    return results.resolve_details(hits, posts, threads, figures.few_hits)
 
 
 def cosine_search(
@@ -40,13 +45,19 @@ def cosine_search(
 
 
 def keyword_search(
-    queries: DataFrame, posts: DataFrame, threads: DataFrame, origin: Column, saved: LexicalIndex | None = None
+    queries: DataFrame,
+    posts: DataFrame,
+    threads: DataFrame,
+    origin: Column,
+    saved: LexicalIndex | None = None,
+    figures: BatchFigures | None = None,
 ) -> DataFrame:
     """Keyword hits with their output fields. A saved index stands in for reading the texts."""
+    figures = figures or batch_figures(queries)
     source = saved or lexical.postings(lexical.lexical_documents(posts, threads))
-    matches = lexical.score_matches(source, queries)
-    ranked = materialize(lexical.rank_matches(matches, queries, origin, largest_limit(queries)))
-    return lexical.project_hits(ranked, posts, threads)
+    matches = lexical.score_matches(source, queries, figures)
+    ranked = materialize(lexical.rank_matches(matches, queries, origin, figures))
+    return lexical.project_hits(ranked, posts, threads, figures.few_hits)
 
 
 def combined_search(
@@ -60,6 +71,7 @@ def combined_search(
     use_keyword_date: bool = False,
 ) -> DataFrame:
     """Vector and keyword results of every query, merged newest first."""
-    details = vector_search(queries, store, posts, threads, embedder)
-    keyword = keyword_search(queries, posts, threads, origin, saved)
+    figures = batch_figures(queries)
+    details = vector_search(queries, store, posts, threads, embedder, figures)
+    keyword = keyword_search(queries, posts, threads, origin, saved, figures)
     return results.fuse(details, keyword, use_keyword_date)

@@ -100,6 +100,7 @@ def test_top_k_is_a_prefix(spark):
     q, corpus = frames(spark, vectors, vectors[:3])
     whole = rows_of(knn.nearest(q, corpus, 200), "query_id", "rank", "vec_id")
     assert rows_of(knn.nearest(q, corpus, 9), "query_id", "rank", "vec_id") == [r for r in whole if r[1] <= 9]
+    assert rows_of(knn.nearest(q, corpus, 200, scan_tasks=2), "query_id", "rank", "vec_id") == whole
 
 
 def test_large_values_rank_exactly(spark):

@@ -6,7 +6,7 @@ from helpers import forum, rows_of
 from pyspark.sql import functions as F
 
 from forumlens.operators import joins, lexical
-from forumlens.operators.ranking import largest_limit
+from forumlens.operators.ranking import BatchFigures, batch_figures
 from forumlens.plans import registry
 from forumlens.sources import tables
 
@@ -59,7 +59,7 @@ ASKED = [
 
 
 def scored(documents, queries):
-    matches = lexical.score_matches(lexical.postings(documents), queries)
+    matches = lexical.score_matches(lexical.postings(documents), queries, batch_figures(queries))
     return rows_of(matches.withColumn("relevance", F.round("relevance", 9)), "query_id", "post_id", "relevance")
 
 
@@ -74,12 +74,17 @@ def test_scores_over_the_tables(spark, small):
     assert scored(documents, queries) == brute_force(documents, [tuple(r) for r in queries.collect()])
 
 
+def test_figures_of_a_batch(spark):
+    assert batch_figures(spark.createDataFrame(ASKED, QUERIES)) == BatchFigures(8, 9, 10)
+    assert batch_figures(spark.createDataFrame([], QUERIES)) == BatchFigures(0, 0, 0)
+
+
 def test_salted_joins_give_the_same_rows(spark, small, monkeypatch):
     documents = registry._documents(spark, small)
     queries = tables.keyword_queries(spark, small)
     clauses = tables.word_clauses(spark, small, ("must", "must_not"))
     scores, matches = scored(documents, queries), rows_of(lexical.match_clauses(documents, clauses))
-    monkeypatch.setattr(lexical, "fits_broadcast", lambda rows: False)
+    monkeypatch.setattr(BatchFigures, "few_words", False)
     monkeypatch.setattr(lexical, "BROADCAST_ROWS", -1)
     assert scored(documents, queries) == scores
     assert rows_of(lexical.match_clauses(documents, clauses)) == matches
@@ -88,7 +93,7 @@ def test_salted_joins_give_the_same_rows(spark, small, monkeypatch):
 def test_saved_index_gives_the_same_hits(spark, documents, tmp_path):
     queries = spark.createDataFrame(ASKED, QUERIES)
     index = lexical.write_index(documents, str(tmp_path / "index"), buckets=8)
-    matches = lexical.score_matches(index, queries)
+    matches = lexical.score_matches(index, queries, batch_figures(queries))
     rounded = matches.withColumn("relevance", F.round("relevance", 9))
     assert rows_of(rounded, "query_id", "post_id", "relevance") == scored(documents, queries)
     fresh = lexical.postings(documents)
@@ -99,7 +104,7 @@ def test_saved_index_gives_the_same_hits(spark, documents, tmp_path):
 def test_saved_index_reads_only_the_asked_buckets(spark, documents, tmp_path):
     index = lexical.write_index(documents, str(tmp_path / "index"), buckets=8)
     queries = spark.createDataFrame([(1, "quick", None)], QUERIES)
-    matches = lexical.score_matches(index, queries)
+    matches = lexical.score_matches(index, queries, batch_figures(queries))
     scans = [l for l in matches._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in l]
     postings = [l for l in scans if "message_length" in l]
     assert len(postings) == 1 and "dynamicpruning" in postings[0]
@@ -111,7 +116,7 @@ def test_ranking_uses_each_limit_and_breaks_ties(spark):
         "query_id bigint, post_id bigint, date bigint, relevance double",
     )
     queries = spark.createDataFrame([(1, "x", None), (2, "x", 1), (3, "x", 0)], QUERIES)
-    ranked = lexical.rank_matches(matches, queries, F.lit(100), largest_limit(queries))
+    ranked = lexical.rank_matches(matches, queries, F.lit(100), batch_figures(queries))
     assert rows_of(ranked, "query_id", "rank", "post_id") == [(1, 1, 2), (1, 2, 4), (1, 3, 5), (1, 4, 3), (2, 1, 6)]
 
 
@@ -119,7 +124,7 @@ def test_posts_without_a_thread_stay_searchable(spark):
     posts, threads = forum(spark)
     documents = lexical.lexical_documents(posts, threads.where("thread_id <> 1"))
     queries = spark.createDataFrame([(1, "quick", None)], QUERIES)
-    found = lexical.score_matches(lexical.postings(documents), queries)
+    found = lexical.score_matches(lexical.postings(documents), queries, batch_figures(queries))
     assert rows_of(found, "post_id") == [(1,), (2,), (5,)]
 
 
@@ -171,7 +176,7 @@ def test_hot_word_and_hot_thread(spark):
     )
     documents = lexical.lexical_documents(posts, threads)
     queries = spark.createDataFrame([(1, "hot 3", None), (2, "w77 hot", None)], QUERIES)
-    matches = lexical.score_matches(lexical.postings(documents), queries)
+    matches = lexical.score_matches(lexical.postings(documents), queries, batch_figures(queries))
     assert matches.where("query_id = 1").count() == sum(i % 7 == 3 for i in range(1, 3001))
     assert rows_of(matches.where("query_id = 2"), "post_id") == [(77,)]
 

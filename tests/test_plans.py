@@ -3,6 +3,7 @@
 import pytest
 
 from forumlens.operators import lexical, store as ops
+from forumlens.operators.ranking import batch_figures
 from forumlens.plans import maintenance, registry
 from forumlens.sources import tables
 
@@ -23,7 +24,7 @@ def test_ranking_limits_before_the_shuffle(spark, small):
     assert text.count("WindowGroupLimit") == 2
     queries = tables.keyword_queries(spark, small)
     matches = registry._keyword_matches(spark, small, queries)
-    ranked = lexical.rank_matches(matches, queries, registry._origin(), 10)
+    ranked = lexical.rank_matches(matches, queries, registry._origin(), batch_figures(queries))
     assert plan(ranked).count("WindowGroupLimit") == 2
 
 

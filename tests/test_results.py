@@ -9,12 +9,12 @@ from forumlens.sources import snapshots
 HITS = "query_id bigint, rank int, post_id bigint, thread_id bigint"
 
 
-def details(spark):
+def details(spark, few=True):
     hits = [
         (1, 1, 5, None), (1, 2, None, 2), (1, 3, 404, None), (1, 4, 1, 3), (1, 5, 0, 1), (1, 6, None, 404),
         (1, 7, None, None), (2, 1, 4, None),
     ]
-    return results.resolve_details(spark.createDataFrame(hits, HITS), *forum(spark))
+    return results.resolve_details(spark.createDataFrame(hits, HITS), *forum(spark), few)
 
 
 def test_details_keep_ranks_and_drop_dangling(spark):
@@ -30,11 +30,11 @@ def test_details_keep_ranks_and_drop_dangling(spark):
     assert (first["thread_title"], first["post_date"], first["title"]) == ("Brown fox facts", 1000, None)
 
 
-def keyword(spark):
+def keyword(spark, few=True):
     ranked = spark.createDataFrame(
         [(1, 1, 2.5, 2), (1, 2, 1.5, 5), (3, 1, 1.0, 3)], "query_id bigint, rank int, score double, post_id bigint"
     )
-    return lexical.project_hits(ranked, *forum(spark))
+    return lexical.project_hits(ranked, *forum(spark), few)
 
 
 def test_keyword_fields(spark):
@@ -45,6 +45,11 @@ def test_keyword_fields(spark):
     }
 
 
+def test_many_hits_give_the_same_rows(spark):
+    assert rows_of(details(spark, few=False)) == rows_of(details(spark))
+    assert rows_of(keyword(spark, few=False)) == rows_of(keyword(spark))
+
+
 def order(fused, query_id):
     rows = fused.where(F.col("query_id") == query_id).orderBy("position").collect()
     return [(r["source_no"], r["rank"]) for r in rows]
