@@ -1,4 +1,4 @@
-"""Time the headline queries and print one JSON line."""
+"""Time the headline queries in a warm session and print one JSON line."""
 
 from __future__ import annotations
 
@@ -37,24 +37,31 @@ HEADLINE = (
 )
 
 
-def main() -> None:
-    directory = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    cores = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
-    spark = local_session(cores, partitions=max(cores, 1))
+def timed_pass(spark, directory: str, names) -> dict[str, float]:
     all_queries = registry.all_queries()
-    wanted = sys.argv[1:] or HEADLINE
-    # One untimed query starts the executor threads and Python workers.
-    registry.knn_l2_topk(spark, directory).write.format("noop").mode("overwrite").save()
     seconds = {}
-    for name in wanted:
+    for name in names:
         start = time.perf_counter()
         all_queries[name](spark, directory).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+    return seconds
+
+
+def main() -> None:
+    directory = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+    cores = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
+    spark = local_session(cores, partitions=max(cores, 1))
+    wanted = sys.argv[1:] or HEADLINE
+    # The first pass pays for class loading, compilation and Python workers; both are reported.
+    first = timed_pass(spark, directory, wanted)
+    seconds = timed_pass(spark, directory, wanted)
     result = {
         "metric": "headline_queries_total",
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,
+        "first_pass": first,
+        "first_pass_value": round(sum(first.values()), 3),
         "sf": os.path.basename(directory.rstrip("/")).removeprefix("sf"),
         "cores": cores,
     }

@@ -120,10 +120,18 @@ def refresh(
 
 
 def export_rows(store: DataFrame, dim: int, after: int = 0) -> DataFrame:
-    """Validated post vectors for a search index, one per post, the last row of a post winning."""
+    """Validated post vectors for a search index, one per post, the last row of a post winning.
+
+    A first pass finds the posts that have more than one valid row and writes their last row key, so that the
+    vectors themselves need no shuffle while such posts are few.
+    """
     candidates = store.where(F.col("post_id") > after).select("vec_id", "post_id", "embedding", "embedding_length")
     good = candidates.where(vectors.validation_reason(F.col("embedding"), dim) == "valid")
-    return ops.last_wins(good, "post_id", "vec_id").select("post_id", "embedding", "embedding_length")
+    per_post = good.groupBy("post_id").agg(F.max("vec_id").alias("last_vec_id"), F.count("*").alias("rows"))
+    repeated = materialize(per_post.where(F.col("rows") > 1).select("post_id", "last_vec_id"))
+    last = F.coalesce(F.col("last_vec_id"), F.col("vec_id"))
+    winners = good.join(repeated, "post_id", "left").where(F.col("vec_id") == last)
+    return winners.select("post_id", "embedding", "embedding_length")
 
 
 def export_report(store: DataFrame, dim: int, after: int = 0) -> DataFrame:

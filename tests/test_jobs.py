@@ -122,6 +122,22 @@ def test_export_validates_and_keeps_the_last(spark):
     assert rows_of(report, "processed", "exported") == [(6, 3)]
 
 
+def test_export_does_not_shuffle_vectors(spark):
+    text = maintenance.export_rows(damaged(spark), DIM)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
+
+
+def test_export_of_a_post_with_a_third_of_all_rows(spark):
+    rows = [(i, 7 if i % 3 == 0 else i, None, [float(i % 5)] * DIM, DIM) for i in range(1, 301)]
+    found = maintenance.export_rows(stored(spark, rows), DIM).collect()
+    by_post = {}
+    for vec_id, post_id, *_ in rows:
+        by_post[post_id] = vec_id
+    assert sorted((r["post_id"], r["embedding"][0]) for r in found) == sorted(
+        (post_id, float(vec_id % 5)) for post_id, vec_id in by_post.items()
+    )
+
+
 def test_vector_search_finds_the_text_itself(spark):
     posts, threads = forum(spark)
     rows = maintenance.embed_items(posts, ops.POST, hashed_embedder(64), 64, now())
