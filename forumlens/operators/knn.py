@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from forumlens.operators.ranking import top_per_query
+from forumlens.sources.snapshots import materialize
 
 L2 = "l2"
 COSINE = "cosine"
@@ -23,7 +24,9 @@ COSINE = "cosine"
 # Scores are compared at this many decimals, so that equal scores stay ties whatever order their sums ran in.
 RANK_DECIMALS = 9
 
+# A query batch travels to the tasks if it has at most so many vectors and numbers (128 MB of doubles).
 BROADCAST_QUERIES = 4096
+BROADCAST_VALUES = 1 << 24
 CHUNK_VECTORS = 65536
 _BLOCK_SCORES = 1 << 22
 _EXACT_VALUES = 1 << 23
@@ -212,11 +215,13 @@ def nearest(
     batch = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
     stored = corpus.select("embedding", *columns).where(F.col("embedding").isNotNull())
     head = batch.limit(broadcast_queries + 1).toArrow()
-    if head.num_rows <= broadcast_queries:
+    dim = pc.max(pc.list_value_length(head.column("embedding"))).as_py() or 1
+    slice_rows = max(1, min(broadcast_queries, BROADCAST_VALUES // dim))
+    if head.num_rows <= slice_rows:
         stored = stored.coalesce(scan_tasks) if scan_tasks else stored
         hits = _scan(stored, QueryBlock.of(head, metric), max(k, 1), metric, columns)
     else:
-        hits = _grid(batch, stored, max(k, 1), metric, columns, broadcast_queries, chunk_vectors)
+        hits = _grid(materialize(batch), stored, max(k, 1), metric, columns, slice_rows, chunk_vectors)
     ranked = top_per_query(hits, [F.round("score", RANK_DECIMALS), F.col("vec_id")], k)
     name, sign = ("distance", 1) if metric == L2 else ("similarity", -1)
     return ranked.select("query_id", "rank", *columns, (sign * F.col("score")).alias(name))

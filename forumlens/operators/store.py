@@ -8,6 +8,7 @@ from pyspark.sql.types import BinaryType
 from forumlens.functions import vectors
 from forumlens.operators.joins import nullable_key_left_join
 from forumlens.schemas import UPSERT_COLUMNS
+from forumlens.sources.snapshots import materialize
 
 POST = "post"
 THREAD = "thread"
@@ -70,15 +71,18 @@ def embedded_ids(store: DataFrame, key: str) -> DataFrame:
     return store.where(F.col(key).isNotNull()).select(key).distinct()
 
 
+def pending_ids(items: DataFrame, store: DataFrame, key: str, after: int = 0) -> DataFrame:
+    ids = items.where(F.col(key) > after).select(key)
+    return ids.join(store.where(F.col(key).isNotNull()).select(key), key, "left_anti")
+
+
 def pending(items: DataFrame, store: DataFrame, key: str, after: int = 0) -> DataFrame:
     """Items without a vector.
 
-    Ids are compared first and the texts fetched for the pending ids only, so texts of finished items are never
-    shuffled.
+    The ids are found first and written, so that their true size decides the second join: while few are pending,
+    the texts are read without a shuffle.
     """
-    ids = items.where(F.col(key) > after).select(key)
-    open_ids = ids.join(store.where(F.col(key).isNotNull()).select(key), key, "left_anti")
-    return items.join(open_ids, key, "left_semi")
+    return items.join(materialize(pending_ids(items, store, key, after)), key, "left_semi")
 
 
 def orphans(store: DataFrame, posts: DataFrame, threads: DataFrame) -> DataFrame:

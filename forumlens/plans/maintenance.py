@@ -78,19 +78,24 @@ def check(store: DataFrame, dim: int, kind: str | None = None) -> DataFrame:
 def repair_candidates(store: DataFrame, items: DataFrame, kind: str, dim: int) -> DataFrame:
     """Invalid vectors whose source text exists: ``key, text column, reason, length_issue``.
 
-    Validation runs before the join, so only ids of invalid rows leave the scan of the store.
+    The ids of invalid rows are found by one scan of the store and written, so that their true size decides the
+    join: while few are invalid, the texts are read without a shuffle.
     """
     key = ops.KEYS[kind]
     invalid = ops.with_validation(store.where(F.col(key).isNotNull()), dim).where(ops.is_issue())
-    return invalid.select(key, "reason", "length_issue").join(items.select(key, _TEXT_COLUMN[kind]), key)
+    found = materialize(invalid.select(key, "reason", "length_issue"))
+    return found.join(items.select(key, _TEXT_COLUMN[kind]), key)
 
 
 def repair(
     store: DataFrame, items: DataFrame, kind: str, embedder: Embedder, dim: int, now: Column
 ) -> DataFrame:
-    """The store with every repairable vector made anew. Other rows are kept as they are."""
+    """The store with every repairable vector made anew. Other rows are kept as they are.
+
+    The new vectors are written first: embedding runs once, and a small repair does not shuffle the store.
+    """
     broken = repair_candidates(store, items, kind, dim).drop("reason", "length_issue")
-    fixed = accepted(embed_items(broken, kind, embedder, dim, now))
+    fixed = materialize(accepted(embed_items(broken, kind, embedder, dim, now)))
     return ops.update_existing(store, fixed, ops.KEYS[kind], now)
 
 
@@ -102,9 +107,13 @@ def repair_report(store: DataFrame, items: DataFrame, kind: str, dim: int) -> Da
 def rebuild(
     items: DataFrame, store: DataFrame, kind: str, embedder: Embedder, dim: int, now: Column, every_kind: bool = False
 ) -> DataFrame:
-    """The store with one kind deleted and embedded again; ``every_kind`` deletes all rows first."""
+    """The store with one kind deleted and embedded again; ``every_kind`` deletes all rows first.
+
+    After the deletion every item is pending, so none has to be looked for.
+    """
     cleared = ops.delete_kind(store, None if every_kind else kind)
-    return backfilled_store(items, cleared, kind, embedder, dim, now)
+    every_item = items.where(F.col(ops.KEYS[kind]) > 0)
+    return cleared.unionByName(accepted(embed_items(every_item, kind, embedder, dim, now)))
 
 
 def refresh(

@@ -113,10 +113,9 @@ def store_scan(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def store_with_dates(spark: SparkSession, directory: str) -> DataFrame:
-    dated = ops.with_dates(
-        tables.embedding_store(spark, directory), tables.posts(spark, directory), tables.threads(spark, directory)
-    )
-    return dated.select("vec_id", "post_id", "thread_id", "date", _total())
+    # The digest stands in for the vector, so that the joins move a number and not the vector.
+    store = tables.embedding_store(spark, directory).select("vec_id", "post_id", "thread_id", _total())
+    return ops.with_dates(store, tables.posts(spark, directory), tables.threads(spark, directory))
 
 
 @query
@@ -208,7 +207,8 @@ def store_kind(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def in_hits_semi(spark: SparkSession, directory: str) -> DataFrame:
-    found = ops.lookup(tables.posts(spark, directory), _stored_hits(spark, directory), "post_id")
+    hits = snapshots.materialize(_stored_hits(spark, directory))
+    found = ops.lookup(tables.posts(spark, directory), hits, "post_id")
     return found.select("post_id", "thread_id", "message")
 
 

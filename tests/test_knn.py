@@ -81,6 +81,16 @@ def test_blocks_inside_a_task(spark, monkeypatch):
     assert found == sorted(expected)
 
 
+def test_wide_queries_leave_the_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    vectors = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(60)]
+    q, corpus = frames(spark, vectors, vectors[:9])
+    expected = rows_of(knn.nearest(q, corpus, 4), "query_id", "rank", "vec_id")
+    monkeypatch.setattr(knn, "BROADCAST_VALUES", 16)
+    monkeypatch.setattr(knn, "_scan", None)
+    assert rows_of(knn.nearest(q, corpus, 4), "query_id", "rank", "vec_id") == expected
+
+
 def test_fewer_vectors_than_k(spark):
     vectors = [(1, [1.0, 0.0]), (2, [0.0, 1.0])]
     q, corpus = frames(spark, vectors, [(7, [1.0, 0.0])])

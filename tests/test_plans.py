@@ -35,8 +35,19 @@ def test_vectors_do_not_shuffle_in_search(spark, small):
 
 def test_pending_is_an_anti_join_on_ids(spark, small):
     posts, store = tables.posts(spark, small), tables.embedding_store(spark, small)
-    text = plan(ops.pending(posts, store, "post_id"))
-    assert "LeftAnti" in text and "LeftSemi" in text
+    ids = plan(ops.pending_ids(posts, store, "post_id"))
+    assert "LeftAnti" in ids and "text" not in ids
+    found = plan(ops.pending(posts, store, "post_id"))
+    assert "LeftSemi" in found and "hashpartitioning" not in found
+
+
+def test_small_repairs_do_not_shuffle_the_store(spark, small):
+    repaired = maintenance.repair(
+        tables.damaged_store(spark, small), tables.posts(spark, small), ops.POST,
+        registry._embedder(), registry.DIM, registry._now(),
+    )
+    text = plan(repaired)
+    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
 
 
 def test_word_filter_moves_below_the_grouping(spark, small):
