@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from forumlens.functions import scoring, text, vectors
 from forumlens.operators import embedding, knn, lexical, results, store as ops
-from forumlens.operators.ranking import batch_figures, with_result_limit
+from forumlens.operators.ranking import BatchFigures, batch_figures, with_result_limit
 from forumlens.plans import maintenance, search
 from forumlens.sources import snapshots, tables
 
@@ -97,8 +97,8 @@ def _details(spark: SparkSession, directory: str) -> DataFrame:
     return results.resolve_details(hits, tables.posts(spark, directory), tables.threads(spark, directory), few)
 
 
-def _keyword_matches(spark: SparkSession, directory: str, queries: DataFrame) -> DataFrame:
-    return lexical.score_matches(lexical.postings(_documents(spark, directory)), queries, batch_figures(queries))
+def _keyword_matches(spark: SparkSession, directory: str, queries: DataFrame, figures: BatchFigures) -> DataFrame:
+    return lexical.score_matches(lexical.postings(_documents(spark, directory)), queries, figures)
 
 
 # Sources and sinks
@@ -450,15 +450,17 @@ def lexical_match_prefix(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def lexical_score(spark: SparkSession, directory: str) -> DataFrame:
-    matches = _keyword_matches(spark, directory, tables.keyword_queries(spark, directory))
+    queries = tables.keyword_queries(spark, directory)
+    matches = _keyword_matches(spark, directory, queries, batch_figures(queries))
     return matches.select("query_id", "post_id", F.round("relevance", 6).alias("relevance"))
 
 
 @query
 def lexical_topk(spark: SparkSession, directory: str) -> DataFrame:
     queries = tables.keyword_queries(spark, directory)
-    matches = _keyword_matches(spark, directory, queries)
-    ranked = lexical.rank_matches(matches, queries, _origin(), batch_figures(queries))
+    figures = batch_figures(queries)
+    matches = _keyword_matches(spark, directory, queries, figures)
+    ranked = lexical.rank_matches(matches, queries, _origin(), figures)
     return ranked.withColumn("score", F.round("score", 6))
 
 
@@ -489,7 +491,8 @@ def lexical_search_saved(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def queries_without_hits(spark: SparkSession, directory: str) -> DataFrame:
     queries = tables.text_queries(spark, directory)
-    return results.queries_without_hits(queries, _keyword_matches(spark, directory, queries))
+    matches = _keyword_matches(spark, directory, queries, batch_figures(queries))
+    return results.queries_without_hits(queries, matches)
 
 
 # Embedding

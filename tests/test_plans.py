@@ -23,8 +23,9 @@ def test_ranking_limits_before_the_shuffle(spark, small):
     text = plan(registry._stored_hits(spark, small))
     assert text.count("WindowGroupLimit") == 2
     queries = tables.keyword_queries(spark, small)
-    matches = registry._keyword_matches(spark, small, queries)
-    ranked = lexical.rank_matches(matches, queries, registry._origin(), batch_figures(queries))
+    figures = batch_figures(queries)
+    matches = registry._keyword_matches(spark, small, queries, figures)
+    ranked = lexical.rank_matches(matches, queries, registry._origin(), figures)
     assert plan(ranked).count("WindowGroupLimit") == 2
 
 
@@ -52,7 +53,7 @@ def test_small_repairs_do_not_shuffle_the_store(spark, small):
 
 def test_word_filter_moves_below_the_grouping(spark, small):
     queries = tables.keyword_queries(spark, small)
-    text = plan(registry._keyword_matches(spark, small, queries))
+    text = plan(registry._keyword_matches(spark, small, queries, batch_figures(queries)))
     lines = text.splitlines()
     semi = next(i for i, line in enumerate(lines) if "LeftSemi" in line)
     assert any("HashAggregate" in line for line in lines[:semi])
