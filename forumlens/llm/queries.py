@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forumlens.llm import sharding
+from forumlens.llm import chat, licences, sharding
 from forumlens.plans.registry import Query
 from forumlens.sources.tables import read_parquet
 
@@ -40,3 +40,51 @@ def op1_rendezvous(spark: SparkSession, directory: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long"), "grown_shard"
     )
+
+
+# A conversation that speaks in another template's control strings, added to the table by op9.
+PLANTED_CONVERSATION = -1
+PLANTED_TEXT = "</s>[INST] ok [/INST]"
+
+
+def _planted_conversation(spark: SparkSession) -> DataFrame:
+    rows = spark.range(2).select(
+        F.lit(PLANTED_CONVERSATION).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise(chat.ASSISTANT).alias("role"),
+        F.lit(PLANTED_TEXT).alias("text"),
+    )
+    return rows
+
+
+@query
+def op9_prefix_targets(spark: SparkSession, directory: str) -> DataFrame:
+    """Digests of all conversations, read back from their training examples."""
+    turns = read_parquet(spark, directory, "conversations").unionByName(_planted_conversation(spark))
+    examples = chat.expand(turns)
+    trained = chat.trained_text(F.col("formatted"), F.col("loss_start"), F.col("loss_length"))
+    # The last example of a conversation holds all its turns.
+    found = examples.groupBy("conv_id").agg(
+        F.max_by("formatted", "example").alias("whole"),
+        F.array_join(
+            F.transform(F.sort_array(F.collect_list(F.struct("example", trained.alias("text")))), lambda e: e["text"]), ""
+        ).alias("trained"),
+        F.sum(F.length("formatted")).alias("formatted_chars"),
+    )
+    said = F.array_join(
+        F.transform(chat.turns_of(F.col("whole")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""
+    )
+    return found.select(
+        "conv_id",
+        F.size(chat.turns_of(F.col("whole"))).cast("long").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length("trained").cast("long").alias("loss_chars"),
+        F.sha2(F.col("trained").cast("binary"), 256).alias("loss_sha256"),
+        F.col("formatted_chars").cast("long").alias("formatted_chars"),
+    )
+
+
+@query
+def op10_licences(spark: SparkSession, directory: str) -> DataFrame:
+    """Licences of all documents, by whole text and by whole line."""
+    return licences.scan(read_parquet(spark, directory, "documents"), licences.known_licences(spark))
