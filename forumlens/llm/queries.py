@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forumlens.llm import chat, licences, sharding
+from forumlens.llm import chat, licences, sharding, simhash
 from forumlens.plans.registry import Query
 from forumlens.sources.tables import read_parquet
 
@@ -88,3 +88,10 @@ def op9_prefix_targets(spark: SparkSession, directory: str) -> DataFrame:
 def op10_licences(spark: SparkSession, directory: str) -> DataFrame:
     """Licences of all documents, by whole text and by whole line."""
     return licences.scan(read_parquet(spark, directory, "documents"), licences.known_licences(spark))
+
+
+@query
+def op7_simhash(spark: SparkSession, directory: str) -> DataFrame:
+    """Fingerprints of all documents and the components of those that differ in at most four bits."""
+    found = simhash.near_duplicates(read_parquet(spark, directory, "documents"))
+    return found.withColumn("fingerprint", F.lower(F.hex("fingerprint")))
