@@ -1,5 +1,103 @@
-"""Equivalent SQL for the queries of this subpackage, where SQL can express them on whole tables."""
+"""Equivalent SQL, written for DuckDB, for the queries that SQL can express on whole tables."""
+
+from __future__ import annotations
+
+from forumlens.llm.chat import ASSISTANT, CLOSE, END, OPEN, ROLE_ESCAPES, TEXT_ESCAPES
+from forumlens.llm.decontamination import WORD_PATTERN
+from forumlens.llm.licences import COPYRIGHT_LINE, EQUIVALENT_WORDS, KNOWN_TEXTS, SEPARATORS
+from forumlens.llm.queries import PLANTED_CONVERSATION, PLANTED_TEXT
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _words(column: str) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"regexp_extract_all(translate({column}, '{upper}', '{upper.lower()}'), '{WORD_PATTERN}')"
+
+
+def _decontamination(n: int) -> str:
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce({_words("text")}, []) AS w FROM documents),
+    i AS (SELECT item_id, {_words("text")} AS w FROM benchmark),
+    grams AS (
+      SELECT DISTINCT item_id, least(len(w), {n}) AS size, array_to_string(w[s:s + {n} - 1], ' ') AS gram
+      FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {n} + 1, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT size FROM grams),
+    windows AS (
+      SELECT doc_id, s, size, array_to_string(w[s:s + size - 1], ' ') AS gram FROM (
+        SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM d, sizes WHERE len(w) >= size)),
+    hits AS (SELECT doc_id, s, size, item_id FROM windows JOIN grams USING (size, gram)),
+    places AS (
+      SELECT doc_id, count(DISTINCT p) AS n_hit
+      FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM hits) GROUP BY doc_id),
+    found AS (
+      SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+           coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
+def _escaped(column: str, table) -> str:
+    for plain, escaped in table:
+        column = f"replace({column}, {_text(plain)}, {_text(escaped)})"
+    return column
+
+
+def _prefix_targets() -> str:
+    head = f"{len(OPEN) + len(CLOSE)} + length({_escaped('role', ROLE_ESCAPES)})"
+    body = f"length({_escaped('text', TEXT_ESCAPES)})"
+    planted = f"SELECT {PLANTED_CONVERSATION}, turn, role, {_text(PLANTED_TEXT)}"
+    return f"""
+    WITH turns AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL {planted} FROM (VALUES (0, 'user'), (1, '{ASSISTANT}')) AS v(turn, role)),
+    placed AS (
+      SELECT *, row_number() OVER place AS n, count(*) OVER (PARTITION BY conv_id) AS turns,
+             sum({head} + {body} + {len(END)}) OVER place AS chars
+      FROM turns WINDOW place AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (WHERE role = '{ASSISTANT}'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = '{ASSISTANT}'), '')) AS loss_sha256,
+           sum(chars) FILTER (WHERE role = '{ASSISTANT}' OR n = turns)::BIGINT AS formatted_chars
+    FROM placed GROUP BY conv_id"""
+
+
+def _canonical(column: str) -> str:
+    form = f"regexp_replace(lower(coalesce({column}, '')), {_text(COPYRIGHT_LINE)}, '', 'g')"
+    form = f"replace(regexp_replace({form}, {_text(SEPARATORS)}, '  ', 'g'), chr(10), '  ' || chr(10) || '  ')"
+    form = f"('  ' || {form} || '  ')"
+    for other, usual in EQUIVALENT_WORDS.items():
+        form = f"replace({form}, ' {other.replace(' ', '  ')} ', ' {usual.replace(' ', '  ')} ')"
+    return form
+
+
+def _licences() -> str:
+    def digest(form: str) -> str:
+        return f"sha256(trim(regexp_replace({form}, '[ \\n]+', ' ', 'g')))"
+
+    known = ", ".join(f"({_text(name)}, {_text(text)})" for name, text in KNOWN_TEXTS)
+    return f"""
+    WITH known AS (
+      SELECT {digest(_canonical("text"))} AS d, min(licence) AS licence
+      FROM (VALUES {known}) AS k(licence, text) GROUP BY d),
+    forms AS (SELECT doc_id, {_canonical("text")} AS form FROM documents),
+    notices AS (
+      SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices
+      FROM (SELECT doc_id, {digest("line")} AS d
+            FROM (SELECT doc_id, unnest(string_split(form, chr(10))) AS line FROM forms)) JOIN known USING (d)
+      GROUP BY doc_id)
+    SELECT doc_id, {digest("form")} AS text_digest, licence, coalesce(notices, '') AS notices
+    FROM forms LEFT JOIN known ON d = {digest("form")} LEFT JOIN notices USING (doc_id)"""
 
 
 def all_oracles() -> dict[str, str]:
-    return {}
+    return {
+        "op5_decontamination": _decontamination(10),
+        "op9_prefix_targets": _prefix_targets(),
+        "op10_licences": _licences(),
+    }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forumlens.llm import chat, licences, sharding, simhash
+from forumlens.llm import chat, decontamination, licences, sharding, simhash
 from forumlens.plans.registry import Query
 from forumlens.sources.tables import read_parquet
 
@@ -95,3 +95,18 @@ def op7_simhash(spark: SparkSession, directory: str) -> DataFrame:
     """Fingerprints of all documents and the components of those that differ in at most four bits."""
     found = simhash.near_duplicates(read_parquet(spark, directory, "documents"))
     return found.withColumn("fingerprint", F.lower(F.hex("fingerprint")))
+
+
+@query
+def op5_decontamination(spark: SparkSession, directory: str) -> DataFrame:
+    """Hit words and items of all documents against all benchmark texts."""
+    documents = read_parquet(spark, directory, "documents")
+    found = decontamination.scan(documents, read_parquet(spark, directory, "benchmark"), ["doc_id"])
+    return found.select(
+        "source.doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
