@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forumlens.llm import chat, decontamination, licences, sharding, simhash
+from forumlens.llm import chat, decontamination, language, licences, sharding, simhash
 from forumlens.plans.registry import Query
 from forumlens.sources.tables import read_parquet
 
@@ -110,3 +110,13 @@ def op5_decontamination(spark: SparkSession, directory: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query
+def op8_language(spark: SparkSession, directory: str) -> DataFrame:
+    """The language of all documents; the held-out quarter takes no part in training."""
+    documents = read_parquet(spark, directory, "documents")
+    profiles = language.train(documents.where(~language.held_out(F.col("doc_id"))))
+    found = language.predict(documents, profiles, ["doc_id"])
+    doc_id = F.col("source.doc_id")
+    return found.select(doc_id, language.held_out(doc_id).alias("held_out"), "lang_pred", "score")
