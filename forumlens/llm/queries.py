@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forumlens.llm import chat, decontamination, language, licences, sharding, simhash
+from forumlens.llm import chat, decontamination, language, licences, packing, sharding, simhash
 from forumlens.plans.registry import Query
 from forumlens.sources.tables import read_parquet
 
 SHARDS = 16
+TOKENIZER = "byte_bpe_50k.json"
 
 _QUERIES: dict[str, Query] = {}
 
 
+def tokenizer_path() -> str:
+    """Where the vocabulary lies; it has the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 def query(run: Query) -> Query:
     _QUERIES[run.__name__] = run
     return run
@@ -120,3 +128,9 @@ def op8_language(spark: SparkSession, directory: str) -> DataFrame:
     found = language.predict(documents, profiles, ["doc_id"])
     doc_id = F.col("source.doc_id")
     return found.select(doc_id, language.held_out(doc_id).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_packing(spark: SparkSession, directory: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 ids."""
+    return packing.pack(read_parquet(spark, directory, "documents"), tokenizer_path())
