@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forumlens.llm import chat, decontamination, language, licences, packing, sharding, simhash
+from forumlens.llm import chat, decontamination, language, licences, packing, sharding, simhash, warc
 from forumlens.plans.registry import Query
+from forumlens.sources.snapshots import scratch_directory
 from forumlens.sources.tables import read_parquet
 
 SHARDS = 16
@@ -134,3 +135,12 @@ def op8_language(spark: SparkSession, directory: str) -> DataFrame:
 def op3_packing(spark: SparkSession, directory: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 ids."""
     return packing.pack(read_parquet(spark, directory, "documents"), tokenizer_path())
+
+
+@query
+def op4_warc(spark: SparkSession, directory: str) -> DataFrame:
+    """Write all pages into archives and read the archives back."""
+    archives = scratch_directory(spark)
+    warc.write_archives(read_parquet(spark, directory, "pages"), archives)
+    found = warc.read_archives(spark, archives)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
