@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forumlens.llm import chat, decontamination, language, licences, packing, sharding, simhash, warc
+from forumlens.llm import chat, decontamination, extraction, language, licences, packing, sharding, simhash, warc
 from forumlens.plans.registry import Query
 from forumlens.sources.snapshots import scratch_directory
 from forumlens.sources.tables import read_parquet
@@ -144,3 +144,11 @@ def op4_warc(spark: SparkSession, directory: str) -> DataFrame:
     warc.write_archives(read_parquet(spark, directory, "pages"), archives)
     found = warc.read_archives(spark, archives)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op2_extraction(spark: SparkSession, directory: str) -> DataFrame:
+    """The main text of all pages."""
+    field = extraction.train(extraction.labelled_pages(spark))
+    found = extraction.extract(read_parquet(spark, directory, "pages"), field, ["page_id", "url"])
+    return found.select("source.page_id", "source.url", "text", F.length("text").cast("long").alias("n_chars"))
