@@ -18,7 +18,7 @@ from forumlens.llm.blocks import Block, leaf_blocks
 from forumlens.llm.labelled_pages import labelled_page
 
 # Labelled pages, steps of training, and the penalty on weights.
-TRAINING_PAGES = 600
+TRAINING_PAGES = 1000
 STEPS = 120
 PENALTY = 0.02
 

@@ -66,6 +66,8 @@ class _Writer:
                 link = ' href="/x"' if mark == "a" else ""
                 close = f"</{mark}>" if self.chance(0.8) else ""
                 sentences[place] = f"<{mark}{link}>{sentences[place]}{close}"
+        if self.chance(0.25):
+            sentences[0] = f'{self.words(1, 6).capitalize()} <a href="/x">{self.words(1, 3)}</a> {self.sentence(1, 8)}'
         return self.random.choice((" ", " ", "<br>", "\n")).join(sentences)
 
     def open(self, kind: str, mark: str | None = None) -> tuple[str, str]:
@@ -100,6 +102,10 @@ class _Writer:
             inner = self.links()
             if self.chance(0.3):
                 inner = f"<h3>{self.line(kind)}</h3>{inner}"
+        elif kind == "header" and self.chance(0.6):
+            inner = "<{0}>{1}</{0}>".format(self.random.choice(("h1", "h1", "h2", "p")), self.words(1, 3).title())
+            if self.chance(0.5):
+                inner += f"<nav>{self.links()}</nav>"
         elif kind == "comments":
             each = [f"<p>{self.paragraph()}</p>" for _ in range(self.random.randint(1, 4))]
             wrap = self.random.choice(("div", "li", "article"))
@@ -125,20 +131,20 @@ class _Writer:
             made.append(f'<p class="byline">{self.words(2, 5)}</p>')
         for _ in range(self.random.randint(1, 14)):
             draw = self.random.random()
-            if draw < 0.72:
+            if draw < 0.69:
                 made.append(f"<p>{self.paragraph()}" + ("</p>" if self.chance(0.9) else ""))
-            elif draw < 0.80:
+            elif draw < 0.77:
                 made.append(f"<{(h := self.random.choice(('h2', 'h3', 'h4')))}>{self.words(1, 7)}</{h}>")
-            elif draw < 0.86:
+            elif draw < 0.83:
                 items = "".join(f"<li>{self.sentence(1, 9)}</li>" for _ in range(self.random.randint(2, 5)))
                 made.append(f"<ul>{items}</ul>")
-            elif draw < 0.89:
+            elif draw < 0.86:
                 made.append(f"<blockquote>{self.sentence()}</blockquote>")
-            elif draw < 0.91:
+            elif draw < 0.88:
                 made.append(f"<pre>{self.words(2, 9)}\n{self.words(2, 9)}</pre>")
-            elif draw < 0.93:
+            elif draw < 0.90:
                 made.append(f"<figure><img src=x><figcaption>{self.sentence()}</figcaption></figure>")
-            elif draw < 0.95:
+            elif draw < 0.92:
                 made.append(f"<table><tr><td>{self.words(1, 3)}</td><td>{self.words(1, 3)}</td></tr></table>")
             else:
                 made.append(self.part(self.random.choice(("ad", "side", "form", "ad", "notice")), "0"))
@@ -150,15 +156,19 @@ class _Writer:
 
     def page(self) -> str:
         start, end = self.open("content", "1")
-        if not any(sign in start for sign in ("article", "main", "class", "id")):
-            start = f'<article {MARK}="1">'
-            end = "</article>"
+        if self.chance(0.08):  # an element without any sign
+            start, end = f'<div {MARK}="1">', "</div>"
+        elif not any(sign in start for sign in ("article", "main", "class", "id")):
+            start, end = f'<article {MARK}="1">', "</article>"
         before = [kind for kind in ("header", "menu", "notice", "ad", "menu", "form", "side") if self.chance(0.45)]
         after = [kind for kind in ("comments", "side", "ad", "form", "notice") if self.chance(0.3)]
         self.random.shuffle(before)
         self.random.shuffle(after)
         if self.chance(0.9):
             after.append("footer")
+        if self.chance(0.06):  # a page of nothing but text
+            tag = self.random.choice(("p", "p", "div"))
+            return "".join(f'<{tag} {MARK}="1">{self.paragraph()}</{tag}>' for _ in range(self.random.randint(1, 3)))
         made = [self.part(kind) for kind in before]
         made.append(start + self.body() + end)
         made += [self.part(kind) for kind in after]
