@@ -16,6 +16,7 @@ from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,8 @@ _pre_tokens = re.compile(
 _other = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ‐-‧]").search
 # Bytes that the byte-level vocabulary writes as themselves; the others are U+0100 and on, in order.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-# Entries that a worker remembers, in each of two generations.
-_REMEMBERED = 1 << 18
+# Entries of a kind that a worker remembers, in each of two generations: some 200 bytes each.
+_REMEMBERED = 1 << 19
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -88,7 +89,8 @@ class _Tokens:
 
     def _merged(self, token: str) -> bytes:
         spelled = token.encode().decode("latin-1").translate(self.spelling)
-        return np.array([part.id for part in self.merge(spelled)], "<u4").tobytes()
+        ids = [part.id for part in self.merge(spelled)]
+        return pack_ids(f"<{len(ids)}I", *ids)
 
     def _joined(self, text: str) -> bytes:
         return b"".join(map(self.tokens.__getitem__, _pre_tokens(text)))
