@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forumlens.llm import chat, decontamination, extraction, language, licences, packing, sharding, simhash, warc
+from forumlens.llm import chat, decontamination, extraction, fingerprints, language, licences, packing, sharding, simhash, warc
 from forumlens.plans.registry import Query
 from forumlens.sources.snapshots import scratch_directory
 from forumlens.sources.tables import read_parquet
@@ -152,3 +152,9 @@ def op2_extraction(spark: SparkSession, directory: str) -> DataFrame:
     field = extraction.train(extraction.labelled_pages(spark))
     found = extraction.extract(read_parquet(spark, directory, "pages"), field, ["page_id", "url"])
     return found.select("source.page_id", "source.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op6_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.edited_fingerprints(read_parquet(spark, directory, "documents"))
