@@ -21,8 +21,6 @@ DIGITS = 8
 # Uniform variates take so many bits of a hash, three from each; ranks are compared at so many steps per unit.
 _BITS = 21
 _STEPS = 1 << 25
-_TERM, _CHARS, _SHA = 0, 1, 2
-_SHA_DIGITS = 13
 
 
 def words_of(text: Column) -> Column:
@@ -97,48 +95,44 @@ def neighbours(rows: DataFrame) -> DataFrame:
     )
 
 
+def counted(hashes: str, starts: str) -> Column:
+    """Distinct hashes and their counts, from a sorted array and the places where its runs start."""
+    runs = F.sequence(F.lit(0), F.size(starts) - 1)
+    start = F.col(starts)
+    ends = F.coalesce(F.size(hashes), F.lit(0))
+    each = F.transform(
+        runs,
+        lambda i: F.struct(
+            F.get(F.col(hashes), F.get(start, i)).alias("term"),
+            (F.coalesce(F.get(start, i + 1), ends) - F.get(start, i)).cast("double").alias("count"),
+        ),
+    )
+    return F.when(F.size(starts) > 0, each)
+
+
 def fingerprints(rows: DataFrame, samples: int = SAMPLES, words: int = WORDS) -> DataFrame:
     """``id, side, n_chars, sha256, signature`` for every row and side of ``rows`` (``id`` long, ``key``, ``sides``).
 
-    ``sides`` is an array of texts. ``rows`` must be partitioned by ``key``; then nothing moves: shingles are counted and
-    sampled where their text is. The signature joins the samples as hexadecimal digits, zeros without shingles.
+    ``sides`` is an array of texts. ``rows`` must be partitioned by ``key``; then nothing moves: shingles are counted in the
+    row of their text and sampled in its task, which holds one signature per text and never the shingles of all its texts. The
+    signature joins the samples as hexadecimal digits, zeros without shingles.
     """
-    sha = F.sha2(F.col("own").cast("binary"), 256)
-    digest = [
-        F.struct(F.lit(_SHA + i).alias("kind"), _number(F.substring(sha, 1 + i * _SHA_DIGITS, _SHA_DIGITS)).alias("value"))
-        for i in range(5)
-    ]
-    size = F.struct(F.lit(_CHARS).alias("kind"), F.length("own").cast("long").alias("value"))
-    parts = F.concat(
-        F.array(size, *digest),
-        F.transform(terms("words", words), lambda h: F.struct(F.lit(_TERM).alias("kind"), h.alias("value"))),
-    )
     each = rows.select("key", "id", F.posexplode_outer("sides").alias("side", "own"))
-    # An outer generator has no filter inferred below it, which would build the shingles a second time, word by word.
-    each = each.withColumn("words", words_of(F.col("own"))).select("key", "id", "side", F.inline_outer(parts))
-    # Figures of the text travel as rows among its shingles, so that the groups hold numbers only.
-    counted = each.groupBy("key", "id", "side", "kind", "value").agg(F.count("*").alias("count"))
-    counted = counted.withColumn("log_count", F.ln(F.col("count").cast("double")))
-    of_term, value = F.col("kind") == _TERM, F.col("value")
-    least = [
-        F.min(F.when(of_term, sample(number, value, F.col("log_count")))).alias(f"s{number}") for number in range(samples)
-    ]
-    figures = [F.max(F.when(F.col("kind") == kind, value)).alias(f"f{kind}") for kind in range(_CHARS, _SHA + 5)]
-    found = counted.groupBy("key", "id", "side").agg(*least, *figures)
+    sha = F.sha2(F.col("own").cast("binary"), 256)
+    each = each.select("key", "id", "side", F.length("own").alias("n_chars"), sha.alias("sha256"), words_of(F.col("own")).alias("words"))
+    own = ["key", "id", "side", "n_chars", "sha256"]
+    # Arrays are columns before lambdas use them, since an expression would be evaluated again for every element.
+    each = each.select(*own, F.sort_array(terms("words", words)).alias("hashes"))
+    places = F.sequence(F.lit(0), F.size("hashes") - 1)
+    begins = F.filter(places, lambda i: (i == 0) | (F.get(F.col("hashes"), i) != F.get(F.col("hashes"), i - 1)))
+    each = each.select(*own, "hashes", F.when(F.size("hashes") > 0, begins).otherwise(F.array().cast("array<int>")).alias("starts"))
+    # An outer generator has no filter inferred below it, which would build the arrays a second time.
+    each = each.select(*own, F.inline_outer(counted("hashes", "starts")))
+    each = each.withColumn("log_count", F.ln("count"))
+    least = [F.min(sample(number, F.col("term"), F.col("log_count"))).alias(f"s{number}") for number in range(samples)]
+    found = each.groupBy(*own).agg(*least)
     low = [F.coalesce(F.col(f"s{n}"), F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF)) for n in range(samples)]
-    hexes = [F.lpad(F.lower(F.hex(F.col(f"f{_SHA + i}"))), 13 if i < 4 else 12, "0") for i in range(5)]
-    return found.select(
-        "key",
-        "id",
-        "side",
-        F.col(f"f{_CHARS}").alias("n_chars"),
-        F.concat(*hexes).alias("sha256"),
-        F.concat(*[F.lpad(F.lower(F.hex(part)), DIGITS, "0") for part in low]).alias("signature"),
-    )
-
-
-def _number(digits: Column) -> Column:
-    return F.conv(digits, 16, 10).cast("long")
+    return found.select(*own, F.concat(*[F.lpad(F.lower(F.hex(part)), DIGITS, "0") for part in low]).alias("signature"))
 
 
 def likeness(left: Column, right: Column) -> Column:
