@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from forumlens.sources.snapshots import materialize
 
-SAMPLES = 32
+SAMPLES = 16
 WORDS = 5
 # Hexadecimal digits of a sample in a fingerprint.
 DIGITS = 8
 
+# A sample's least rank is beyond the bound that excludes terms with a probability of exp(-40), some 4e-18.
+CERTAIN = 40.0
+
 # Uniform variates take so many bits of a hash, three from each; ranks are compared at so many steps per unit.
 _BITS = 21
 _STEPS = 1 << 25
@@ -45,21 +48,26 @@ def _uniform(bits: Column, place: int) -> Column:
     return (part.cast("double") + 0.5) * 2.0**-_BITS
 
 
-def sample(number: int, term: Column, log_count: Column) -> Column:
+def sample(number: int, term: Column, count: Column, log_count: Column, total: Column) -> Column:
     """Rank and identity of a term in one sample as a number: the rank above, the identity in the lower 32 bits.
 
     ``r`` and ``c`` are gamma variates of shape 2, sums of two exponential ones, and ``b`` is uniform. The count is taken
-    at the step ``t`` at or below it, and the rank is the logarithm of ``c`` over the next step.
+    at the step ``t`` at or below it, and the rank is the logarithm of ``c / exp(r (t - b + 1))``. NULL where the term
+    cannot have the least rank: the least of all is exponential with the rate ``total``, the sum of the counts, so it is
+    above ``CERTAIN / total`` with a probability of ``exp(-CERTAIN)``, and a bound without logarithms shows for most terms
+    that they are.
     """
     first = F.xxhash64(term, F.lit(2 * number))
     second = F.xxhash64(term, F.lit(2 * number + 1))
-    r = -F.ln(_uniform(first, 0) * _uniform(first, 1))
-    c = -F.ln(_uniform(second, 0) * _uniform(second, 1))
-    b = _uniform(first, 2)
+    small_r, small_c, b = _uniform(first, 0) * _uniform(first, 1), _uniform(second, 0) * _uniform(second, 1), _uniform(first, 2)
+    # -ln(x) is at least 1 - x; a weighted geometric mean is at least the harmonic one.
+    shrink = F.when(count == 1, small_r / ((1 - b) + b * small_r)).otherwise(small_r / count)
+    r, c = -F.ln(small_r), -F.ln(small_c)
     step = F.floor(log_count / r + b)
     rank = F.ln(c) - r * (step - b + 1)
     identity = F.xxhash64(first, step).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.shiftleft(F.floor(rank * _STEPS).cast("long"), 32).bitwiseOR(identity)
+    packed = F.shiftleft(F.floor(rank * _STEPS).cast("long"), 32).bitwiseOR(identity)
+    return F.when((1 - small_c) * shrink * total <= CERTAIN, packed)
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -107,7 +115,7 @@ def counted(hashes: str, starts: str) -> Column:
             (F.coalesce(F.get(start, i + 1), ends) - F.get(start, i)).cast("double").alias("count"),
         ),
     )
-    return F.when(F.size(starts) > 0, each)
+    return each
 
 
 def fingerprints(rows: DataFrame, samples: int = SAMPLES, words: int = WORDS) -> DataFrame:
@@ -122,14 +130,20 @@ def fingerprints(rows: DataFrame, samples: int = SAMPLES, words: int = WORDS) ->
     each = each.select("key", "id", "side", F.length("own").alias("n_chars"), sha.alias("sha256"), words_of(F.col("own")).alias("words"))
     own = ["key", "id", "side", "n_chars", "sha256"]
     # Arrays are columns before lambdas use them, since an expression would be evaluated again for every element.
-    each = each.select(*own, F.sort_array(terms("words", words)).alias("hashes"))
+    each = each.select(*own, terms("words", words).alias("hashes"))
+    own.append("total")
+    each = each.select("*", F.size("hashes").cast("double").alias("total"), F.array_distinct("hashes").alias("different"))
+    repeats = F.size("different") < F.size("hashes")
+    each = each.select(*own, "different", F.when(repeats, F.sort_array("hashes")).alias("hashes"))
     places = F.sequence(F.lit(0), F.size("hashes") - 1)
     begins = F.filter(places, lambda i: (i == 0) | (F.get(F.col("hashes"), i) != F.get(F.col("hashes"), i - 1)))
-    each = each.select(*own, "hashes", F.when(F.size("hashes") > 0, begins).otherwise(F.array().cast("array<int>")).alias("starts"))
+    each = each.select(*own, "different", "hashes", F.when(F.col("hashes").isNotNull(), begins).alias("starts"))
+    once = F.transform("different", lambda term: F.struct(term.alias("term"), F.lit(1.0).alias("count")))
+    pairs = F.when(F.col("starts").isNull(), once).otherwise(counted("hashes", "starts"))
     # An outer generator has no filter inferred below it, which would build the arrays a second time.
-    each = each.select(*own, F.inline_outer(counted("hashes", "starts")))
-    each = each.withColumn("log_count", F.ln("count"))
-    least = [F.min(sample(number, F.col("term"), F.col("log_count"))).alias(f"s{number}") for number in range(samples)]
+    each = each.select(*own, F.inline_outer(pairs)).withColumn("log_count", F.ln("count"))
+    figures = F.col("term"), F.col("count"), F.col("log_count"), F.col("total")
+    least = [F.min(sample(number, *figures)).alias(f"s{number}") for number in range(samples)]
     found = each.groupBy(*own).agg(*least)
     low = [F.coalesce(F.col(f"s{n}"), F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF)) for n in range(samples)]
     return found.select(*own, F.concat(*[F.lpad(F.lower(F.hex(part)), DIGITS, "0") for part in low]).alias("signature"))
