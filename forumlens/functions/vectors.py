@@ -53,12 +53,14 @@ def validation_reason(vector: Column, dim: int = EXPECTED_DIM, limit: float = MA
     """``valid``, or the first check that fails: none, length, nonfinite, extreme.
 
     The valid branch stands before the two failing ones, so that a good row computes its peak once;
-    NaN and infinity both compare greater than the limit and fall through to their own branch.
+    NaN and infinity both compare greater than the limit and fall through to their own branch. An element that is
+    NULL counts as not finite.
     """
     peak = max_abs(vector)
     return (
         F.when(vector.isNull(), "none")
         .when(F.size(vector) != dim, "length")
+        .when(F.exists(vector, lambda x: x.isNull()), "nonfinite")
         .when(peak <= limit, "valid")
         .when(peak.isNull() | F.isnan(peak) | (peak == float("inf")), "nonfinite")
         .otherwise("extreme")

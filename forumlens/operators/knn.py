@@ -1,14 +1,16 @@
 """Exact nearest neighbours of a batch of query vectors.
 
 Every task scores blocks of stored vectors against the query matrix and keeps the best k per query, so a
-task sends k rows per query to the final ranking and vectors never shuffle. A query batch within the
-broadcast bound travels to the tasks; a larger one is cut into slices that meet bounded corpus chunks.
+task sends k rows per query to the final ranking and vectors never shuffle. A query batch travels to the tasks
+in slices of bounded size, each of which meets the corpus where it is stored. Vectors are compared with queries
+of their own length, whatever other lengths the batch holds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,9 @@ COSINE = "cosine"
 # Scores are compared at this many decimals, so that equal scores stay ties whatever order their sums ran in.
 RANK_DECIMALS = 9
 
-# A query batch travels to the tasks if it has at most so many vectors and numbers (128 MB of doubles).
+# A slice of the query batch has about so many vectors and numbers (128 MB of doubles) at most.
 BROADCAST_QUERIES = 4096
 BROADCAST_VALUES = 1 << 24
-CHUNK_VECTORS = 65536
 _BLOCK_SCORES = 1 << 22
 _EXACT_VALUES = 1 << 23
 
@@ -40,20 +41,19 @@ class QueryBlock:
     matrix: np.ndarray
 
     @staticmethod
-    def of(rows: pa.Table | pa.RecordBatch, metric: str) -> QueryBlock:
-        ids, vectors = rows.column("query_id"), rows.column("embedding")
-        if isinstance(vectors, pa.ChunkedArray):
-            ids, vectors = ids.combine_chunks(), vectors.combine_chunks()
-        known, matrix = _matrix(vectors, None, metric)
-        return QueryBlock(ids.to_numpy(zero_copy_only=False)[known], matrix)
+    def by_length(rows: pa.Table, metric: str) -> list[QueryBlock]:
+        """One block per vector length; queries without a score are left out."""
+        ids = rows.column("query_id").combine_chunks().to_numpy(zero_copy_only=False)
+        vectors = rows.column("embedding").combine_chunks()
+        lengths = np.unique(pc.fill_null(pc.list_value_length(vectors), 0).to_numpy())
+        found = ((ids, *_matrix(vectors, int(length), metric)) for length in lengths if length)
+        return [QueryBlock(ids[known], matrix) for ids, known, matrix in found if len(known)]
 
 
-def _matrix(vectors: pa.ListArray, dim: int | None, metric: str) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(vectors: pa.ListArray, dim: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and doubles of the vectors that have a score: right length, finite, nonzero for cosine."""
     sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()
-    if dim is None:
-        dim = int(sizes.max(initial=0))
-    rows = np.flatnonzero(sizes == dim) if dim else np.empty(0, dtype=np.int64)
+    rows = np.flatnonzero(sizes == dim)
     flat = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
     matrix = flat.astype(np.float64).reshape(len(rows), dim)
     usable = np.isfinite(matrix).all(axis=1)
@@ -144,53 +144,22 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return pa.schema([pa.field(f.name, arrow[f.dataType]) for f in schema])
 
 
-def _scan(corpus: DataFrame, block: QueryBlock, k: int, metric: str, columns: list[str]) -> DataFrame:
+def _scan(corpus: DataFrame, blocks: list[QueryBlock], k: int, metric: str, columns: list[str]) -> DataFrame:
     schema = _hit_schema(corpus, columns)
     arrow = _arrow_schema(schema)
-    shared = corpus.sparkSession.sparkContext.broadcast(block)
+    shared = corpus.sparkSession.sparkContext.broadcast(blocks)
 
     def best_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _BestHits(shared.value, k, metric, columns)
+        found = [_BestHits(block, k, metric, columns) for block in shared.value]
         for batch in batches:
-            best.add(batch)
-        yield from best.result(arrow)
+            for best in found:
+                best.add(batch)
+        for best in found:
+            yield from best.result(arrow)
 
     return corpus.mapInArrow(best_of_partition, schema)
 
 
-def _grid(
-    queries: DataFrame, corpus: DataFrame, k: int, metric: str, columns: list[str], slice_rows: int, chunk_rows: int
-) -> DataFrame:
-    """Slices of the query batch against chunks of the corpus; both sides of a cell have a bounded size."""
-    slices = -(-queries.count() // slice_rows)
-    chunks = max(1, -(-corpus.count() // chunk_rows))
-    schema = _hit_schema(corpus, columns)
-    arrow = _arrow_schema(schema)
-
-    def cell(part: str, count: int, key: str):
-        return F.pmod(F.xxhash64(key), F.lit(count)).alias(part)
-
-    def every(part: str, count: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<bigint>")).alias(part)
-
-    left = corpus.select("*", cell("chunk", chunks, "vec_id")).select("*", every("slice", slices))
-    right = queries.select("query_id", "embedding", cell("slice", slices, "query_id"))
-    right = right.select("*", every("chunk", chunks))
-
-    def best_of_cell(vectors: pa.Table, batch: pa.Table) -> pa.Table:
-        best = _BestHits(QueryBlock.of(batch, metric), k, metric, columns)
-        if len(best.block.ids):
-            for part in vectors.to_batches(max_chunksize=10_000):
-                best.add(part)
-        return pa.Table.from_batches(best.result(arrow), schema=arrow)
-
-    return (
-        left.groupBy("slice", "chunk")
-        .cogroup(right.groupBy("slice", "chunk"))
-        .applyInArrow(best_of_cell, schema)
-    )
-
-
 def nearest(
     queries: DataFrame,
     corpus: DataFrame,
@@ -198,7 +167,6 @@ def nearest(
     metric: str = L2,
     carry: tuple[str, ...] = ("post_id", "thread_id"),
     broadcast_queries: int = BROADCAST_QUERIES,
-    chunk_vectors: int = CHUNK_VECTORS,
     scan_tasks: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest stored vectors of every query.
@@ -214,14 +182,18 @@ def nearest(
     columns = ["vec_id", *carry]
     batch = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
     stored = corpus.select("embedding", *columns).where(F.col("embedding").isNotNull())
-    head = batch.limit(broadcast_queries + 1).toArrow()
-    dim = pc.max(pc.list_value_length(head.column("embedding"))).as_py() or 1
-    slice_rows = max(1, min(broadcast_queries, BROADCAST_VALUES // dim))
-    if head.num_rows <= slice_rows:
-        stored = stored.coalesce(scan_tasks) if scan_tasks else stored
-        hits = _scan(stored, QueryBlock.of(head, metric), max(k, 1), metric, columns)
-    else:
-        hits = _grid(materialize(batch), stored, max(k, 1), metric, columns, slice_rows, chunk_vectors)
+    figures = batch.agg(F.count("*").alias("rows"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("dim")).first()
+    slice_rows = max(1, min(broadcast_queries, BROADCAST_VALUES // max(1, figures["dim"])))
+    slices = max(1, -(-figures["rows"] // slice_rows))
+    stored = stored.coalesce(scan_tasks) if scan_tasks else stored
+    # Several slices are read from a written table, one at a time.
+    batch = materialize(batch) if slices > 1 else batch
+    part = F.pmod(F.xxhash64("query_id"), F.lit(slices))
+    scans = [
+        _scan(stored, QueryBlock.by_length(own.toArrow(), metric), max(k, 1), metric, columns)
+        for own in ([batch.where(part == n) for n in range(slices)] if slices > 1 else [batch])
+    ]
+    hits = reduce(DataFrame.unionByName, scans)
     ranked = top_per_query(hits, [F.round("score", RANK_DECIMALS), F.col("vec_id")], k)
     name, sign = ("distance", 1) if metric == L2 else ("similarity", -1)
     return ranked.select("query_id", "rank", *columns, (sign * F.col("score")).alias(name))

@@ -29,6 +29,7 @@ TERMS = (
 )
 WORD_BUCKETS = 1024
 
+# The fields of a keyword hit.
 HIT_FIELDS = ("title", "message", "date", "user", "discussion_id", "node", "post_id")
 
 

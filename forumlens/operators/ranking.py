@@ -17,12 +17,23 @@ def with_result_limit(queries: DataFrame, default: int = DEFAULT_RESULTS) -> Dat
     return queries.withColumn("max_results", F.coalesce(wanted, F.lit(default)))
 
 
+# From this bound on, Spark does not limit the rows of a window before it shuffles them.
+_LIMITED_BELOW = 1000
+_PARTS = 64
+
+
 def top_per_query(hits: DataFrame, order: list[Column], k: int) -> DataFrame:
     """The first ``k`` hits of every query with their rank.
 
-    The constant bound lets Spark keep only ``k`` rows per query in each partition before it shuffles, so a
-    query that matches a large part of the corpus sends ``k`` rows per task, not all its matches.
+    A small constant bound lets Spark keep only ``k`` rows per query in each partition before it shuffles, so a
+    query that matches a large part of the corpus sends ``k`` rows per task, not all its matches. For a large bound
+    every query is ranked in parts first, so that no task sees more than ``k`` rows of each part.
     """
+    if k >= _LIMITED_BELOW:
+        part = F.pmod(F.xxhash64(*[c for c in hits.columns if c != "query_id"]), F.lit(_PARTS))
+        by_part = Window.partitionBy("query_id", "_part").orderBy(*order)
+        hits = hits.withColumn("_part", part).withColumn("_place", F.row_number().over(by_part))
+        hits = hits.where(F.col("_place") <= k).drop("_part", "_place")
     by_query = Window.partitionBy("query_id").orderBy(*order)
     return hits.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
 

@@ -94,29 +94,37 @@ def orphans(store: DataFrame, posts: DataFrame, threads: DataFrame) -> DataFrame
 
 
 def last_wins(rows: DataFrame, key: str, version: str) -> DataFrame:
-    """One row per key, the one with the highest version.
+    """One row per key, whole: the one with the highest version; NULL is below every version, and among equal versions
+    the content decides, by its hash, so that the answer does not depend on the order of rows.
 
     ``max_by`` combines within each task first, so a key that holds much of the data shuffles one row per task.
     """
     others = [c for c in rows.columns if c != key]
-    kept = rows.groupBy(key).agg(F.max_by(F.struct(*others), F.col(version)).alias("row"))
+    ties = F.xxhash64(*others)
+    order = F.struct(F.col(version).isNotNull(), F.col(version), ties)
+    kept = rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("row"))
     return kept.select(key, "row.*").select(*rows.columns)
 
 
 def upsert(store: DataFrame, rows: DataFrame, key: str, update: tuple[str, ...] = UPSERT_COLUMNS) -> DataFrame:
     """The store with rows inserted, or merged into the row that has their key.
 
-    An existing key takes only the ``update`` columns. ``rows`` must be unique by key, and is read twice, so it
-    should be a written table. A small batch is broadcast by Spark for the merge, and only ids of the store take
+    An existing key takes only the ``update`` columns. Of rows that repeat a key one is taken, the last updated, so
+    the store never gains a row for a key that it has. ``rows`` is read twice, so it should be a written table. A small batch is broadcast by Spark for the merge, and only ids of the store take
     part in finding the new keys.
     """
+    rows = last_wins(rows, key, "last_updated")
     merged = _replace(store, rows, key, {c: F.col(f"_new_{c}") for c in update}, update)
     fresh = rows.join(store.where(F.col(key).isNotNull()).select(key), key, "left_anti")
     return merged.unionByName(fresh, allowMissingColumns=True).select(*store.columns)
 
 
 def update_existing(store: DataFrame, rows: DataFrame, key: str, now: Column) -> DataFrame:
-    """The store with vectors of known keys replaced and their time set; other rows are not added."""
+    """The store with vectors of known keys replaced and their time set; other rows are not added.
+
+    Of rows that repeat a key the last updated is taken: the store keeps its rows.
+    """
+    rows = last_wins(rows, key, "last_updated")
     values = {c: F.col(f"_new_{c}") for c in UPSERT_COLUMNS}
     return _replace(store, rows, key, values | {"last_updated": now}, UPSERT_COLUMNS).select(*store.columns)
 

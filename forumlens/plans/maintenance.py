@@ -95,6 +95,8 @@ def repair(
     The new vectors are written first: embedding runs once, and a small repair does not shuffle the store.
     """
     broken = repair_candidates(store, items, kind, dim).drop("reason", "length_issue")
+    # A key may have several broken vectors; its text is embedded once and replaces all of them.
+    broken = broken.dropDuplicates([ops.KEYS[kind]])
     fixed = materialize(accepted(embed_items(broken, kind, embedder, dim, now)))
     return ops.update_existing(store, fixed, ops.KEYS[kind], now)
 

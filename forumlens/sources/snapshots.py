@@ -33,9 +33,16 @@ def materialize(rows: DataFrame) -> DataFrame:
     return write_snapshot(rows, scratch_directory(rows.sparkSession))
 
 
+def is_complete(spark: SparkSession, directory: str) -> bool:
+    """Whether a write to the directory has ended: writers leave a marker when they commit."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{directory.rstrip('/')}/_SUCCESS")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def build_if_missing(rows: DataFrame, directory: str) -> DataFrame:
-    """The snapshot in ``directory``, built from ``rows`` only when it is not there yet."""
-    rows.write.mode("ignore").parquet(directory)
+    """The snapshot in ``directory``, built from ``rows`` when it is not there, or not whole after a lost writer."""
+    if not is_complete(rows.sparkSession, directory):
+        rows.write.mode("overwrite").parquet(directory)
     return rows.sparkSession.read.schema(rows.schema).parquet(directory)
 
 

@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
 from helpers import rows_of
+from pyspark.sql import functions as F
 
 from forumlens.operators import knn
+from forumlens.operators.ranking import top_per_query
 
 CORPUS = "vec_id bigint, post_id bigint, thread_id bigint, embedding array<float>"
 QUERIES = "query_id bigint, embedding array<float>"
@@ -45,7 +47,7 @@ def test_equals_brute_force(spark, metric, grid):
     vectors += [(1000, None), (1001, [1.0, 2.0]), (1002, [float("nan")] * 6), (1003, [0.0] * 6)]
     queries = [(i, (rng.integers(-2, 3, size=6) / 2).tolist()) for i in range(23)] + [(99, None)]
     q, corpus = frames(spark, vectors, queries)
-    limits = {"broadcast_queries": 5, "chunk_vectors": 64} if grid else {}
+    limits = {"broadcast_queries": 5} if grid else {}
     hits = knn.nearest(q, corpus, 7, metric, **limits)
     assert rows_of(hits, "query_id", "rank", "vec_id") == brute_force(vectors, queries, 7, metric)
 
@@ -81,14 +83,17 @@ def test_blocks_inside_a_task(spark, monkeypatch):
     assert found == sorted(expected)
 
 
-def test_wide_queries_leave_the_broadcast(spark, monkeypatch):
+def test_wide_queries_come_in_slices(spark, monkeypatch):
     rng = np.random.default_rng(9)
     vectors = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(60)]
     q, corpus = frames(spark, vectors, vectors[:9])
     expected = rows_of(knn.nearest(q, corpus, 4), "query_id", "rank", "vec_id")
     monkeypatch.setattr(knn, "BROADCAST_VALUES", 16)
-    monkeypatch.setattr(knn, "_scan", None)
+    scans = []
+    scan = knn._scan
+    monkeypatch.setattr(knn, "_scan", lambda *args: scans.append(args) or scan(*args))
     assert rows_of(knn.nearest(q, corpus, 4), "query_id", "rank", "vec_id") == expected
+    assert len(scans) == 5
 
 
 def test_fewer_vectors_than_k(spark):
@@ -118,3 +123,22 @@ def test_large_values_rank_exactly(spark):
     vectors = [(i, [1.0e6 + i * 0.0625, 1.0e6]) for i in range(50)]
     q, corpus = frames(spark, vectors, [(1, [1.0e6 + 1.0, 1.0e6])])
     assert rows_of(knn.nearest(q, corpus, 5), "rank", "vec_id") == [(1, 16), (2, 15), (3, 17), (4, 14), (5, 18)]
+
+
+@pytest.mark.parametrize("slice_rows", [2, 4096])
+def test_mixed_lengths_get_their_own_answers(spark, slice_rows):
+    vectors = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, None)]
+    queries = [(1, [1.0, 0.1]), (2, [0.1, 1.0]), (3, [1.0, 0.0, 0.1]), (4, [1.0]), (5, [])]
+    q, corpus = frames(spark, vectors, queries)
+    found = rows_of(knn.nearest(q, corpus, 3, broadcast_queries=slice_rows), "query_id", "rank", "vec_id")
+    assert found == [(1, 1, 1), (1, 2, 2), (2, 1, 2), (2, 2, 1), (3, 1, 3)]
+
+
+@pytest.mark.parametrize("k", [1, 1000, 5000])
+def test_ranking_in_parts(spark, k):
+    hits = spark.range(3000).select((F.col("id") % 2).alias("query_id"), "id", (F.col("id") % 7).alias("score"))
+    ranked = top_per_query(hits, [F.col("score"), F.col("id")], k)
+    expected = [
+        (q, n + 1, i) for q in (0, 1) for n, (_, i) in enumerate(sorted((i % 7, i) for i in range(q, 3000, 2))[:k])
+    ]
+    assert sorted(rows_of(ranked, "query_id", "rank", "id")) == sorted(expected)

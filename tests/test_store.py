@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from forumlens.operators import joins, store as ops
 from forumlens.schemas import EMBEDDING_STORE
+from forumlens.sources import snapshots
 
 OLD = datetime.datetime(2024, 1, 1)
 NEW = datetime.datetime(2024, 2, 1)
@@ -73,6 +74,30 @@ def test_upsert_twice_is_upsert_once(spark):
     assert rows_of(ops.upsert(once, rows, "post_id")) == rows_of(once)
 
 
+def test_repeated_keys_do_not_add_rows(spark):
+    rows = changes(spark, [(2, [9.0, 9.0]), (2, [7.0, 7.0]), (50, [8.0, 8.0]), (50, [8.0, 8.0])])
+    assert ops.upsert(base(spark), rows, "post_id").count() == base(spark).count() + 1
+    assert ops.update_existing(base(spark), rows, "post_id", F.lit(NEW)).count() == base(spark).count()
+
+
+def test_last_wins_keeps_whole_rows(spark):
+    rows = spark.createDataFrame(
+        [(1, None, "a"), (2, 5, "b"), (2, None, "c"), (3, 7, "d"), (3, 7, "e")], "id long, version long, text string"
+    )
+    found = {r["id"]: r["text"] for r in ops.last_wins(rows, "id", "version").collect()}
+    assert found[1] == "a" and found[2] == "b" and found[3] in ("d", "e")
+    again = {r["id"]: r["text"] for r in ops.last_wins(rows.orderBy(F.desc("text")).repartition(3), "id", "version").collect()}
+    assert again == found
+
+
+def test_half_written_snapshot_is_built_again(spark, tmp_path):
+    folder = tmp_path / "index"
+    (folder / "_temporary").mkdir(parents=True)
+    rows = spark.range(5)
+    assert snapshots.build_if_missing(rows, str(folder)).count() == 5
+    assert snapshots.build_if_missing(spark.range(9), str(folder)).count() == 5
+
+
 def test_update_only_touches_known_keys(spark):
     rows = changes(spark, [(2, [9.0, 9.0]), (50, [8.0, 8.0])])
     updated = ops.update_existing(base(spark), rows, "post_id", F.lit(NEW))

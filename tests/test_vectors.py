@@ -84,3 +84,9 @@ def test_distances_match_numpy(spark):
 def test_cosine_of_zero_vector_is_null(spark):
     frame = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0])], "a array<float>, b array<float>")
     assert frame.select(vectors.cosine(F.col("a"), F.col("b"))).first()[0] is None
+
+
+def test_null_element_is_not_finite(spark):
+    rows = spark.createDataFrame([([1.0, None],), ([None, None],), ([1.0, 2.0],)], "v array<double>")
+    found = [r[0] for r in rows.select(vectors.validation_reason(F.col("v"), 2)).collect()]
+    assert found == ["nonfinite", "nonfinite", "valid"]
