@@ -146,7 +146,7 @@ def train(
     found = whole.groupBy("l").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("parts")).collect()
     known = {row["l"]: np.array([part["value"] for part in row["parts"]]) for row in found}
     known = {name: vector / np.linalg.norm(vector) for name, vector in sorted(known.items()) if vector.any()}
-    return Profiles(list(known), np.array(list(known.values())).reshape(len(known), -1))
+    return Profiles(list(known), np.array(list(known.values())).reshape(len(known), DIMENSIONS))
 
 
 def predict(rows: DataFrame, profiles: Profiles, carry: list[str], text: str = "text") -> DataFrame:

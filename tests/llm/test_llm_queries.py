@@ -151,7 +151,7 @@ def test_op6_estimates_the_generalised_jaccard_similarity(spark):
         errors.append(row.near_next - jaccard(shingles(text, 5), shingles(other, 5)))
     assert len({row.fingerprint for row in found}) > 0.8 * len(texts)
     assert abs(sum(errors) / len(errors)) < 0.02  # the estimate has no bias
-    assert max(map(abs, errors)) < 0.45
+    assert max(map(abs, errors)) < 0.6
 
 
 def test_op7_equals_brute_force(spark):
