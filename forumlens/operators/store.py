@@ -119,12 +119,12 @@ def upsert(store: DataFrame, rows: DataFrame, key: str, update: tuple[str, ...]
     return merged.unionByName(fresh, allowMissingColumns=True).select(*store.columns)
 
 
-def update_existing(store: DataFrame, rows: DataFrame, key: str, now: Column) -> DataFrame:
+def update_existing(store: DataFrame, rows: DataFrame, key: str, now: Column, unique: bool = False) -> DataFrame:
     """The store with vectors of known keys replaced and their time set; other rows are not added.
 
-    Of rows that repeat a key the last updated is taken: the store keeps its rows.
+    Of rows that repeat a key the last updated is taken: the store keeps its rows. ``unique`` says that none do.
     """
-    rows = last_wins(rows, key, "last_updated")
+    rows = rows if unique else last_wins(rows, key, "last_updated")
     values = {c: F.col(f"_new_{c}") for c in UPSERT_COLUMNS}
     return _replace(store, rows, key, values | {"last_updated": now}, UPSERT_COLUMNS).select(*store.columns)
 

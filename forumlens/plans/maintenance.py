@@ -98,7 +98,7 @@ def repair(
     # A key may have several broken vectors; its text is embedded once and replaces all of them.
     broken = broken.dropDuplicates([ops.KEYS[kind]])
     fixed = materialize(accepted(embed_items(broken, kind, embedder, dim, now)))
-    return ops.update_existing(store, fixed, ops.KEYS[kind], now)
+    return ops.update_existing(store, fixed, ops.KEYS[kind], now, unique=True)
 
 
 def repair_report(store: DataFrame, items: DataFrame, kind: str, dim: int) -> DataFrame:
