@@ -41,8 +41,8 @@ _pre_tokens = re.compile(
 _other = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ‐-‧]").search
 # Bytes that the byte-level vocabulary writes as themselves; the others are U+0100 and on, in order.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-# Entries of a kind that a worker remembers, in each of two generations: some 200 bytes each.
-_REMEMBERED = 1 << 19
+# Pre-tokens and parts that a worker remembers, in each of two generations: some 200 bytes each.
+_TOKENS_KEPT, _PARTS_KEPT = 1 << 17, 1 << 18
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -50,15 +50,15 @@ Plan = list[tuple[tuple[int, ...], int]]
 class _Known(dict):
     """Results of a function, forgotten by generations: what was used since the last change stays."""
 
-    def __init__(self, compute):
+    def __init__(self, compute, kept: int):
         super().__init__()
-        self.compute, self.older = compute, {}
+        self.compute, self.kept, self.older = compute, kept, {}
 
     def __missing__(self, asked: str) -> bytes:
         found = self.older.get(asked)
         if found is None:
             found = self.compute(asked)
-        if len(self) >= _REMEMBERED:
+        if len(self) >= self.kept:
             self.older = dict(self)
             self.clear()
         self[asked] = found
@@ -81,8 +81,8 @@ class _Tokens:
         self.merge = self.tokenizer.model.tokenize
         hidden = [byte for byte in range(256) if byte not in _VISIBLE]
         self.spelling = {byte: 256 + place for place, byte in enumerate(hidden)}
-        self.tokens = _Known(self._merged)
-        self.parts = _Known(lambda part: self._joined(" " + part))
+        self.tokens = _Known(self._merged, _TOKENS_KEPT)
+        self.parts = _Known(lambda part: self._joined(" " + part), _PARTS_KEPT)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
