@@ -42,7 +42,7 @@ _other = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ‐-‧]").search
 # Bytes that the byte-level vocabulary writes as themselves; the others are U+0100 and on, in order.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 # Pre-tokens and parts that a worker remembers, in each of two generations: some 200 bytes each.
-_TOKENS_KEPT, _PARTS_KEPT = 1 << 17, 1 << 18
+_TOKENS_KEPT, _PARTS_KEPT = 1 << 16, 1 << 19
 
 Plan = list[tuple[tuple[int, ...], int]]
 
