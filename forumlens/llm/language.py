@@ -20,6 +20,12 @@ DIMENSIONS = 1024
 GRAM = 3
 # Training texts of a language: all, or a sample by the hash of the key of about so many.
 TRAINING_DOCUMENTS = 5000
+# Cosines of a text without a known n-gram have a standard deviation of DIMENSIONS ** -0.5; four of them are chance.
+CHANCE = 4 * DIMENSIONS**-0.5
+# Fewer letters than this have too few n-grams for a low cosine to mean anything.
+TELLING_LETTERS = 20
+# This share of the labelled texts may fall below the least score.
+UNUSUAL = 0.001
 _SAMPLE_STEPS = 1 << 30
 _SYMBOLS_AT_ONCE = 1 << 18
 _SPACE = 32
@@ -189,3 +195,30 @@ def held_out(key: Column) -> Column:
 def rejected(language: Column) -> Column:
     """Whether a filter on language drops a text: it has no letters to tell its language by."""
     return language == UNKNOWN
+
+
+def least_score(
+    rows: DataFrame, profiles: Profiles, key: str = "doc_id", text: str = "text", language: str = "lang",
+    documents: int = TRAINING_DOCUMENTS,
+) -> float:
+    """The score below which a text is in none of the languages: what chance gives, or less if labelled texts of enough
+    letters whose language is found score less.
+    """
+    labelled = rows.select(key, text, language).where(F.col(language).isNotNull())
+    found = predict(_sampled(labelled, key, language, documents), profiles, [text, language], text)
+    found = found.where((F.col("lang_pred") == F.col("source")[language]) & _telling(F.col("source")[text]))
+    usual = found.agg(F.percentile_approx("score", UNUSUAL, 10000)).first()[0]
+    return CHANCE if usual is None else min(CHANCE, usual)
+
+
+def _telling(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"\P{L}+", "")) >= TELLING_LETTERS
+
+
+def unlike_all(text: Column, score: Column, least: float) -> Column:
+    """Whether a filter on language drops a text: it has enough letters, and no profile is like it."""
+    return (score < least) & _telling(text)
+
+
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
