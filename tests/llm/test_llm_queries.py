@@ -154,6 +154,19 @@ def test_op6_estimates_the_generalised_jaccard_similarity(spark):
     assert max(map(abs, errors)) < 0.6
 
 
+def test_op6_errors_stay_within_four_standard_errors(spark):
+    texts = {row["doc_id"]: row["text"] or "" for row in table("documents")}
+    ids = sorted(texts)
+    after = dict(zip(ids, [*ids[1:], ids[0]]))
+    for row in rows(spark, "op6_fingerprints"):
+        text, other = texts[row.doc_id], texts[after[row.doc_id]]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + other[:half]
+        assert len(row.fingerprint) == 64 * 8
+        assert abs(row.near_edited - jaccard(shingles(text, 5), shingles(edited, 5))) < 4 * 0.5 / 64**0.5
+        assert abs(row.near_next - jaccard(shingles(text, 5), shingles(other, 5))) < 4 * 0.5 / 64**0.5
+
+
 def test_op7_equals_brute_force(spark):
     def fingerprint(text):
         lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
