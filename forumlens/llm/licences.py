@@ -1,6 +1,6 @@
 """Licence scan by canonical digest: entire texts are normalised, digested and hash-joined to known licences.
 
-The canonical form has lower case, no copyright lines, no punctuation, one spelling for equivalent words, and two
+The canonical form has lower case, no copyright notices, no punctuation, one spelling for equivalent words, and two
 spaces around every word. Two texts have the same digest exactly if their canonical forms are equal, so a licence
 inside a longer text is no match for the whole text; every line is therefore looked up as a text of its own too,
 which finds one-line notices. Everything is expressions and joins; no Python runs on the rows.
@@ -51,6 +51,16 @@ EQUIVALENT_WORDS = {
 # and how a copyright line begins, in lower case.
 SEPARATORS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F\xA0\x{2010}-\x{201F}\x{2026}]+"
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]*"
+# What canonical texts leave out, wherever a text is wrapped: lines of a sign or year, and names that stand alone. SQL has
+# the rule above, which agrees on texts without other lines that begin with the word.
+_NO_NAME = (
+    "holders?|owners?|notices?|laws?|licen[sc]es?|statements?|interests?|protections?|infringements?|disclaimers?|"
+    "permissions?|rights?|treat(?:y|ies)|and|or|in|to|of|is|on|for|the"
+)
+COPYRIGHT_NOTICE = (
+    r"(?m)^[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:\(c\)|©|\d{4})|©|\(c\)[^a-z0-9\n]*\d{4})[^\n]*"
+    rf"|(?:\A|(?<=\n\n))[^a-z0-9\n]*copyright[^a-z0-9\n]+(?!(?:{_NO_NAME})\b)[^\n]{{1,80}}(?=\n\s*\n)"
+)
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
@@ -128,7 +138,10 @@ KNOWN_TEXTS = (
 
 def canonical(text: Column) -> Column:
     """The canonical form with its line feeds; NULL counts as empty."""
-    form = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    # Few texts have what a notice must have; the others need no search for one.
+    may_have = lower.contains("copyright") | lower.contains("©") | lower.contains("(c)")
+    form = F.when(may_have, F.regexp_replace(lower, COPYRIGHT_NOTICE, "")).otherwise(lower)
     form = F.replace(F.regexp_replace(form, SEPARATORS, "  "), F.lit("\n"), F.lit("  \n  "))
     form = F.concat(F.lit("  "), form, F.lit("  "))
     for other, usual in EQUIVALENT_WORDS.items():

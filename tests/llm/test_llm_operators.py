@@ -1,6 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names for every operator."""
 
 import random
+import re
+import textwrap
 from collections import Counter, defaultdict
 
 import pytest
@@ -275,6 +277,20 @@ def test_licences(spark, odd, empty):
     assert licences.scan(odd, known).count() == len(ODD) and licences.scan(empty, known).count() == 0
 
 
+def test_licences_in_any_layout(spark):
+    rows, expected = [], []
+    for licence, text in licences.KNOWN_TEXTS:
+        paragraphs = [" ".join(part.split()) for part in re.split(r"\n\s*\n", text)]
+        for width in (*range(30, 121), 100000):
+            wrapped = "\n\n".join(textwrap.fill(part, width, break_long_words=False) for part in paragraphs)
+            rows += [wrapped, "Copyright (c) 2020 Someone\n\n" + wrapped, "Copyright Some One\n\n" + wrapped]
+        rows.append(" ".join(paragraphs))
+        expected += [licence] * (len(rows) - len(expected))
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {row.doc_id: row.licence for row in licences.scan(frame, licences.known_licences(spark)).collect()}
+    assert [found[i] for i in range(len(rows))] == expected
+
+
 NATIVE = ("op6_fingerprints", "op9_prefix_targets", "op10_licences")
 
 
