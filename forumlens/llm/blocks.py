@@ -16,7 +16,7 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED_TAGS = frozenset(
-    "audio button canvas iframe math noscript object script select style svg template textarea title video".split()
+    "audio button canvas iframe noscript object script select style svg template textarea title video".split()
 )
 CLOSED_BY = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"),
@@ -77,7 +77,7 @@ class Block:
 def _scope_features(tag: str, attributes: str, parent: Scope | None) -> list[str]:
     found = [f"in:{tag}", f"under:{parent.tag if parent else ''}>{tag}"]
     for _, value in _NAMED.findall(attributes):
-        for part in _NAME_PART.findall(value.strip("\"'"))[:8]:
+        for part in _NAME_PART.findall(value.strip("\"'")):
             found.append(f"name:{part.lower()}")
             found.append(f"stem:{part.lower()[:4]}")
     return found
@@ -120,7 +120,9 @@ def leaf_blocks(html: str) -> list[Block]:
             continue
         name, closing = name.lower(), bool(tag[1] or tag[4])
         if name in SKIPPED_TAGS:
-            end = None if closing else _ENDS[name].search(html, at)
+            # An icon that ends in its own tag has no content.
+            empty = name == "svg" and (tag[3] or tag[6] or "").endswith("/")
+            end = None if closing or empty else _ENDS[name].search(html, at)
             if end:
                 at = end.end()
             elif not closing and name in ("script", "style"):

@@ -90,6 +90,19 @@ def test_extraction_of_varied_pages(spark):
     assert MARK not in "".join(field.features)
 
 
+def test_blocks_keep_what_follows_empty_icons():
+    page = (
+        "<body><div><svg class=icon/><svg viewBox='0 0 1 1' /></div><article><p>The text with "
+        "<math><mi>x</mi></math>.</p></article><footer><svg><path d='M0'/><text>no</text></svg>End</footer></body>"
+    )
+    assert [block.text for block in leaf_blocks(page)] == ["The text with x.", "End"]
+
+
+def test_blocks_use_all_names():
+    page = "<div class='mt-4 px-2 py-3 w-full max-w-lg text-sm flex-row sidebar'><p>Some text.</p></div>"
+    assert any("name:sidebar" in scope.features for scope in leaf_blocks(page)[0].scope.chain())
+
+
 def test_packing(spark, odd, empty):
     path = queries.tokenizer_path()
     found = packing.pack(odd, path).collect()
