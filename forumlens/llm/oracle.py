@@ -5,7 +5,9 @@ from __future__ import annotations
 from forumlens.llm.chat import ASSISTANT, CLOSE, END, OPEN, ROLE_ESCAPES, TEXT_ESCAPES
 from forumlens.llm.decontamination import WORD_PATTERN
 from forumlens.llm.licences import COPYRIGHT_LINE, EQUIVALENT_WORDS, KNOWN_TEXTS, SEPARATORS
-from forumlens.llm.queries import PLANTED_CONVERSATION, PLANTED_TEXT
+from forumlens.llm.linkgraph import ALLOW, BLOCK, DAMPING, LINK, THRESHOLD, URL_PARTS, WAVES
+from forumlens.llm.queries import PLANTED_CONVERSATION, PLANTED_TEXT, URL_RULES
+from forumlens.llm.ranked_search import RESULTS, TERM_PATTERN
 
 
 def _text(value: str) -> str:
@@ -95,9 +97,98 @@ def _licences() -> str:
     FROM forms LEFT JOIN known ON d = {digest("form")} LEFT JOIN notices USING (doc_id)"""
 
 
+def _ranked_search() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    found = f"regexp_extract_all(translate(text, '{upper}', '{upper.lower()}'), '{TERM_PATTERN}')"
+    return f"""
+    WITH d AS (SELECT doc_id, {found} AS ws FROM documents),
+    total AS (SELECT count(*)::BIGINT AS docs, sum(len(ws))::BIGINT AS words FROM d WHERE len(ws) > 0),
+    asked AS (
+      SELECT item_id, term, count(*)::BIGINT AS times
+      FROM (SELECT item_id, unnest({found}) AS term FROM benchmark) GROUP BY ALL),
+    held AS (
+      SELECT doc_id, n, term, count(*)::BIGINT AS tf
+      FROM (SELECT doc_id, len(ws)::BIGINT AS n, unnest(ws) AS term FROM d)
+      WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+    weights AS (
+      SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+      FROM held CROSS JOIN total GROUP BY term, docs),
+    scored AS (
+      SELECT item_id, doc_id,
+             sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::BIGINT AS score
+      FROM asked JOIN held USING (term) JOIN weights USING (term) CROSS JOIN total GROUP BY item_id, doc_id)
+    SELECT item_id, rank, doc_id, score FROM (
+      SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank
+      FROM scored WHERE score > 0)
+    WHERE rank <= {RESULTS}"""
+
+
+def _link_graph() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rules = ", ".join(f"({_text(place.partition('/')[0])}, {_text('/' + place.partition('/')[2])}, '{v}')" for v, place in URL_RULES)
+
+    def host(url: str) -> str:
+        return f"translate(coalesce(regexp_extract({url}, {_text(URL_PARTS)}, 1), ''), '{upper}', '{upper.lower()}')"
+
+    def path(url: str) -> str:
+        return f"coalesce(regexp_extract({url}, {_text(URL_PARTS)}, 2), '')"
+
+    def judged(urls: str) -> str:
+        fits = "(host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)"
+        best = "length(rule_host) + length(rule_path) DESC, length(rule_host) DESC, v DESC"
+        return f"""
+      SELECT u.*, rule, v AS ruled FROM {urls} u LEFT JOIN (
+        SELECT DISTINCT ON (host, path) host, path, rule_host || rule_path AS rule, v
+        FROM (SELECT DISTINCT host, path FROM {urls}) JOIN rules ON {fits} ORDER BY host, path, {best}) USING (host, path)"""
+
+    waves = "".join(
+        f"""
+    w{n} AS MATERIALIZED (
+      SELECT a.side, a.target AS host, sum(w.rank * a.share * {DAMPING}e0) AS rank
+      FROM arcs a JOIN w{n - 1} w ON a.side = w.side AND a.origin = w.host GROUP BY a.side, a.target),"""
+        for n in range(1, WAVES + 1)
+    )
+    every = " UNION ALL ".join(f"SELECT side, host, rank FROM w{n}" for n in range(WAVES + 1))
+    return f"""
+    WITH rules(rule_host, rule_path, v) AS (VALUES {rules}),
+    urls AS (SELECT page_id, {host("url")} AS host, {path("url")} AS path FROM pages),
+    named AS (
+      SELECT source, CASE WHEN starts_with(link, '//') THEN ':' || link ELSE link END AS link
+      FROM (SELECT {host("url")} AS source, unnest(regexp_extract_all(html, {_text(LINK)}, 1)) AS link FROM pages)),
+    linked AS (
+      SELECT source, host, path, count(*) AS times
+      FROM (SELECT source, {host("link")} AS host, {path("link")} AS path FROM named)
+      WHERE host <> '' AND host <> source GROUP BY ALL),
+    own AS ({judged("urls")}),
+    others AS ({judged("linked")}),
+    counted AS (
+      SELECT host, sum(times) AS n, sum(CASE WHEN ruled = '{ALLOW}' THEN times ELSE 0 END) AS good,
+             sum(CASE WHEN ruled = '{BLOCK}' THEN times ELSE 0 END) AS bad
+      FROM (SELECT host, ruled, 1 AS times FROM own UNION ALL SELECT host, ruled, times FROM others)
+      WHERE host <> '' GROUP BY host),
+    edges AS (SELECT source, host, sum(times) AS times FROM linked WHERE source <> '' GROUP BY source, host),
+    ways AS (
+      SELECT '{ALLOW}' AS side, source AS origin, host AS target, times FROM edges
+      UNION ALL SELECT '{BLOCK}', host, source, times FROM edges),
+    arcs AS (SELECT side, origin, target, times / sum(times) OVER (PARTITION BY side, origin) AS share FROM ways),
+    w0 AS MATERIALIZED (
+      SELECT '{ALLOW}' AS side, host, good / n * {1 - DAMPING}e0 AS rank FROM counted WHERE good > 0
+      UNION ALL SELECT '{BLOCK}', host, bad / n * {1 - DAMPING}e0 FROM counted WHERE bad > 0),{waves}
+    ranks AS (SELECT side, host, sum(rank) AS rank FROM ({every}) GROUP BY side, host),
+    hosts AS (
+      SELECT host, coalesce(sum(rank) FILTER (side = '{ALLOW}'), 0) AS trust,
+             coalesce(sum(rank) FILTER (side = '{BLOCK}'), 0) AS distrust
+      FROM ranks GROUP BY host)
+    SELECT page_id, own.host, own.path, rule,
+           coalesce(ruled, CASE WHEN round(distrust / (trust + distrust), 9) > {THRESHOLD} THEN '{BLOCK}' END, '{ALLOW}') AS verdict
+    FROM own LEFT JOIN hosts ON own.host = hosts.host"""
+
+
 def all_oracles() -> dict[str, str]:
     return {
         "op5_decontamination": _decontamination(10),
         "op9_prefix_targets": _prefix_targets(),
         "op10_licences": _licences(),
+        "op11_ranked_search": _ranked_search(),
+        "op12_link_graph": _link_graph(),
     }

@@ -4,22 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forumlens.llm import chat, decontamination, extraction, fingerprints, language, licences, packing, sharding, simhash, warc
+from forumlens.llm import (
+    alignment, chat, decontamination, extraction, fingerprints, language, licences, linkgraph, packing, ranked_search, sharding,
+    simhash, warc,
+)
 from forumlens.plans.registry import Query
 from forumlens.sources.snapshots import scratch_directory
 from forumlens.sources.tables import read_parquet
 
 SHARDS = 16
 TOKENIZER = "byte_bpe_50k.json"
+RANKS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
 _QUERIES: dict[str, Query] = {}
 
 
-def tokenizer_path() -> str:
-    """Where the vocabulary lies; it has the same place on every machine."""
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where a vocabulary lies; it has the same place on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def query(run: Query) -> Query:
@@ -158,3 +162,29 @@ def op2_extraction(spark: SparkSession, directory: str) -> DataFrame:
 def op6_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return fingerprints.edited_fingerprints(read_parquet(spark, directory, "documents"))
+
+
+@query
+def op11_ranked_search(spark: SparkSession, directory: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    documents = read_parquet(spark, directory, "documents")
+    return ranked_search.search(documents, read_parquet(spark, directory, "benchmark"))
+
+
+# Verdicts of op12 on hosts and paths.
+URL_RULES = [
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
+]
+
+
+@query
+def op12_link_graph(spark: SparkSession, directory: str) -> DataFrame:
+    """Verdicts on the URLs of all pages, by rules and by the link graph of hosts."""
+    return linkgraph.filter_urls(read_parquet(spark, directory, "pages"), linkgraph.rules(spark, URL_RULES))
+
+
+@query
+def op13_alignment(spark: SparkSession, directory: str) -> DataFrame:
+    """Two tokenizers' tokens of all documents, aligned, with the counts of their id pairs over all documents."""
+    tokenizers = alignment.Tokenizers(*map(tokenizer_path, (TOKENIZER, RANKS, PIECES)))
+    return alignment.align(read_parquet(spark, directory, "documents"), tokenizers)

@@ -33,14 +33,14 @@ def rows(spark, name, directory=SMALL):
 
 def test_one_query_for_each_operator():
     names = [re.match(r"op(\d+)_", name)[1] for name in queries.all_queries()]
-    assert sorted(map(int, names)) == list(range(1, 11))
+    assert sorted(map(int, names)) == list(range(1, 14))
     assert "pipeline" in entry_points.queries()
 
 
 @pytest.mark.parametrize("name", sorted(oracle.all_oracles()))
 def test_query_equals_sql(spark, name):
     connection = duckdb.connect()
-    for part in ("conversations", "documents", "benchmark"):
+    for part in ("conversations", "documents", "benchmark", "pages"):
         connection.sql(f"CREATE VIEW {part} AS SELECT * FROM '{SF}/{part}.parquet'")
     answer = connection.execute(entry_points.oracle_sql()[name])
     kinds = {column[0]: str(column[1]) for column in answer.description}
