@@ -1,9 +1,12 @@
 """Ranked lexical search over an inverted index whose posting lists are blocked by geometry.
 
-A shard holds some thousand documents: their impacts term by term, and for every term a posting list. Documents of a list
+A shard holds some hundred documents: their impacts term by term, and for every term a posting list. Documents of a list
 are clustered by the similarity of their impacts, and a block keeps the coordinatewise maximum of its documents' impacts as
 a summary. The product of a query and a summary is at least the score of every document of the block, so a block whose
 product is below the score that a result needs is skipped, and only such blocks are: results are exact.
+
+Lists that hold much of the shard share one clustering of all its documents, whose blocks are listed under every such term
+that one of their documents has. Lists of a few documents are one block without a summary, which is always read.
 """
 
 from __future__ import annotations
@@ -18,17 +21,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from forumlens.sources.snapshots import materialize
+from forumlens.sources.snapshots import materialize, scratch_directory
 
 RESULTS = 20
 # Documents and term entries of a shard at most, and terms of a document from which it is a block by itself.
-SHARD_DOCUMENTS, SHARD_ENTRIES, WIDE = 4096, 1 << 18, 512
-# Mean documents of a block, and dimensions of the random projection in which documents are clustered.
-BLOCK, DIMENSIONS = 48, 32
+SHARD_DOCUMENTS, SHARD_ENTRIES, WIDE = 1024, 1 << 17, 1024
+# Mean documents of a block, documents of a list that needs no summary, the share of a shard's documents from which a list
+# takes the shared blocks, and dimensions of the random projection in which documents are clustered.
+BLOCK, FEW, SHARED, DIMENSIONS = 32, 24, 1 / 16, 16
+# Shards that share a row group of the written index.
+SHARDS_TOGETHER = 2
 # Entries of the queries that are searched in one pass: a term of an item is one.
-QUERY_ENTRIES = 1 << 18
+QUERY_ENTRIES = 1 << 20
 # A NULL key ranks after all others, as this number.
 _NO_KEY = 2**63 - 1
+_UNBOUNDED = 2**62
 
 # What separates terms (all of ASCII but digits and letters), and A-Z in lower case.
 _BYTES = bytes(b if b >= 128 or 48 <= b < 58 or 97 <= b < 123 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
@@ -109,7 +116,8 @@ def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Shard:
     """Documents and blocks. ``document_starts`` cut ``terms`` and ``impacts`` by document, ``member_starts`` cut
     ``members`` by block, ``list_terms`` and ``list_blocks`` pair a term with the blocks of its list, ``summary_terms``,
-    ``summary_blocks`` and ``summary_impacts`` are the summaries, ordered by term."""
+    ``summary_blocks`` and ``summary_impacts`` are the summaries, ordered by term; the first ``unbounded[0]`` blocks have
+    none."""
 
     documents: np.ndarray
     document_starts: np.ndarray
@@ -122,6 +130,7 @@ class Shard:
     summary_terms: np.ndarray
     summary_blocks: np.ndarray
     summary_impacts: np.ndarray
+    unbounded: np.ndarray
 
     def candidates(self, asked: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Blocks of the lists of a query's terms and the bounds that their summaries give, highest first."""
@@ -132,6 +141,7 @@ class Shard:
         # Sums of whole numbers below 2 ** 53, which doubles hold exactly.
         products = (np.repeat(weights, b - a) * self.summary_impacts[places]).astype(np.float64)
         bounds = np.bincount(self.summary_blocks[places], products, len(self.member_starts) - 1)[blocks].astype(np.int64)
+        bounds[blocks < self.unbounded[0]] = _UNBOUNDED
         order = np.argsort(-bounds, kind="stable")
         return blocks[order], bounds[order]
 
@@ -145,54 +155,96 @@ class Shard:
         return upto[ends] - upto[ends - sizes]
 
 
+def _points(starts: np.ndarray, terms: np.ndarray, pulls: np.ndarray) -> np.ndarray:
+    """Every document as a point of unit length: the sum of a random direction for each term, as long as what the term adds
+    to a score."""
+    sizes = np.diff(starts)
+    points = np.zeros((len(sizes), DIMENSIONS), np.float32)
+    if len(terms):
+        used, place = np.unique(terms, return_inverse=True)
+        directions = _mixed(used)
+        filled = np.flatnonzero(sizes)
+        points[filled] = np.add.reduceat(directions[place] * pulls.astype(np.float32)[:, None], starts[filled], axis=0)
+    return points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-9)
+
+
+def _mixed(terms: np.ndarray) -> np.ndarray:
+    """Directions that depend on nothing but the term: numbers from -1 to 1 out of mixed bits."""
+    x = (terms.astype(np.uint64)[:, None] * np.uint64(DIMENSIONS) + np.arange(1, DIMENSIONS + 1, dtype=np.uint64)) * np.uint64(
+        0x9E3779B97F4A7C15
+    )
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x >> np.uint64(40)).astype(np.float32) / 2**23 - 1).astype(np.float32)
+
+
+def _clusters(points: np.ndarray) -> np.ndarray:
+    """The cluster of every document, numbered without gaps: that of the most similar of evenly chosen centres."""
+    centres = points[np.linspace(0, len(points) - 1, -(-len(points) // BLOCK)).astype(int)]
+    return np.unique(np.argmax(points @ centres.T, axis=1), return_inverse=True)[1]
+
+
 def build_shard(documents: np.ndarray, starts: np.ndarray, terms: np.ndarray, impacts: np.ndarray, weights: np.ndarray) -> Shard:
     """The shard of documents whose terms and impacts are given one document after the other."""
     sizes = np.diff(starts)
     owner = np.repeat(np.arange(len(documents)), sizes)
-    wide = sizes >= WIDE
-    # Every document as a point: a random direction for each term, as long as what the term adds to a score.
-    used, place = np.unique(terms, return_inverse=True)
-    directions = np.stack([np.random.default_rng(int(term)).standard_normal(DIMENSIONS) for term in used]) if len(used) else np.zeros((0, DIMENSIONS))
-    points = np.zeros((len(documents), DIMENSIONS), np.float32)
-    if len(terms):
-        pulls = (directions[place] * (weights[terms] * impacts)[:, None]).astype(np.float32)
-        filled = np.flatnonzero(sizes)
-        points[filled] = np.add.reduceat(pulls, starts[filled], axis=0)
-    points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-9)
-
-    # Blocks of narrow documents, list by list; a block's number grows with its term.
-    narrow = np.flatnonzero(~wide[owner])
-    order = narrow[np.argsort(terms[narrow], kind="stable")]
-    listed, first = np.unique(terms[order], return_index=True)
-    block_of, made, block_terms = np.zeros(len(order), np.int64), 0, []
-    for term, a, b in zip(listed.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
-        wanted = -(-(b - a) // BLOCK)
-        if wanted > 1:
-            own = points[owner[order[a:b]]]
-            centres = own[np.linspace(0, b - a - 1, wanted).astype(int)]
-            nearest = np.argmax(own @ centres.T, axis=1)
-            _, nearest = np.unique(nearest, return_inverse=True)
-            block_of[a:b] = made + nearest
-            wanted = int(nearest.max()) + 1
-        else:
-            block_of[a:b] = made
-        block_terms += [term] * wanted
-        made += wanted
-    by_block = np.argsort(block_of, kind="stable")
-    members, member_blocks = owner[order][by_block], block_of[by_block]
-
-    # A document with very many terms is a block of its own in all its lists.
-    alone = np.flatnonzero(wide)
-    members = np.concatenate([members, alone])
-    member_blocks = np.concatenate([member_blocks, made + np.arange(len(alone))])
-    list_terms = np.concatenate([np.array(block_terms, np.int64), terms[_runs(starts[alone], sizes[alone])]])
-    list_blocks = np.concatenate([np.arange(made), np.repeat(made + np.arange(len(alone)), sizes[alone])])
+    points = _points(starts, terms, weights[terms] * impacts)
+    narrow = sizes < WIDE
+    entries = np.flatnonzero(narrow[owner])
+    order = entries[np.argsort(terms[entries], kind="stable")]
+    listed, first, lengths = np.unique(terms[order], return_index=True, return_counts=True)
+    members, list_terms, list_blocks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    blocks: list[np.ndarray] = [np.zeros(0, np.int64)]
+    made = 0
+
+    def put(rows: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Documents as members of new blocks, numbered from 0 without gaps; the numbers that these blocks take."""
+        nonlocal made
+        order = np.argsort(numbers, kind="stable")
+        members.append(rows[order])
+        blocks.append(made + numbers[order])
+        fresh = made + np.arange(int(numbers.max()) + 1 if len(numbers) else 0)
+        made += len(fresh)
+        return fresh
+
+    # Short lists: a block each, without a summary.
+    short = lengths <= FEW
+    own = order[_runs(first[short], lengths[short])]
+    list_blocks.append(put(owner[own], np.repeat(np.arange(int(short.sum())), lengths[short])))
+    list_terms.append(listed[short])
+    unbounded = made
+    # Lists of their own clusters.
+    frequent = ~short & (lengths > max(FEW, SHARED * len(documents)))
+    for term, a, length in zip(*(column[~short & ~frequent].tolist() for column in (listed, first, lengths))):
+        rows = owner[order[a : a + length]]
+        fresh = put(rows, _clusters(points[rows]))
+        list_blocks.append(fresh)
+        list_terms.append(np.full(len(fresh), term))
+    # Frequent terms list the blocks of one clustering of all documents.
+    if frequent.any():
+        rows = np.flatnonzero(narrow)
+        numbers = _clusters(points[rows])
+        fresh = put(rows, numbers)
+        cluster = np.zeros(len(documents), np.int64)
+        cluster[rows] = numbers
+        own = order[_runs(first[frequent], lengths[frequent])]
+        pairs = np.unique(np.stack([terms[own], fresh[cluster[owner[own]]]]), axis=1)
+        list_terms.append(pairs[0])
+        list_blocks.append(pairs[1])
+    # A document with very many terms is a block by itself in all its lists.
+    alone = np.flatnonzero(~narrow)
+    fresh = put(alone, np.arange(len(alone)))
+    list_terms.append(terms[_runs(starts[alone], sizes[alone])])
+    list_blocks.append(np.repeat(fresh, sizes[alone]))
+
+    members, blocks, list_terms, list_blocks = map(np.concatenate, (members, blocks, list_terms, list_blocks))
     by_term = np.argsort(list_terms, kind="stable")
-    blocks = made + len(alone)
-    member_starts = np.searchsorted(member_blocks, np.arange(blocks + 1))
-
-    summaries = _summaries(members, member_blocks, starts, sizes, terms, impacts)
-    return Shard(documents, starts, terms, impacts, member_starts, members, list_terms[by_term], list_blocks[by_term], *summaries)
+    member_starts = np.searchsorted(blocks, np.arange(made + 1))
+    bounded = int(member_starts[unbounded])
+    summaries = _summaries(members[bounded:], blocks[bounded:], starts, sizes, terms, impacts)
+    return Shard(
+        documents, starts, terms, impacts, member_starts, members, list_terms[by_term], list_blocks[by_term], *summaries,
+        np.array([unbounded]),
+    )
 
 
 _AT_ONCE = 1 << 21
@@ -211,10 +263,11 @@ def _summaries(members, member_blocks, starts, sizes, terms, impacts):
         own = members[at:upto]
         places = _runs(starts[own], sizes[own])
         blocks = np.repeat(member_blocks[at:upto], sizes[own])
-        order = np.lexsort((impacts[places], terms[places], blocks))
-        block, term, impact = blocks[order], terms[places][order], impacts[places][order]
-        last = np.flatnonzero(np.append((np.diff(block) != 0) | (np.diff(term) != 0), True)) if len(order) else order
-        found.append((term[last], block[last], impact[last]))
+        # One number for block, term and impact, each with room for its largest value.
+        packed = (blocks << 42) | (terms[places].astype(np.int64) << 20) | impacts[places]
+        packed.sort()
+        last = packed[np.flatnonzero(np.append(np.diff(packed >> 20) != 0, True))] if len(packed) else packed
+        found.append(((last >> 20) & ((1 << 22) - 1), last >> 42, last & ((1 << 20) - 1)))
         at = upto
     term, block, impact = (np.concatenate([part[i] for part in found]) if found else np.zeros(0, np.int64) for i in range(3))
     order = np.argsort(term, kind="stable")
@@ -222,7 +275,7 @@ def _summaries(members, member_blocks, starts, sizes, terms, impacts):
 
 
 _FIELDS = tuple(Shard.__dataclass_fields__)
-INDEX = ", ".join(f"{name} array<bigint>" for name in _FIELDS)
+INDEX = ", ".join(f"{name} array<{'bigint' if name == 'documents' else 'int'}>" for name in _FIELDS)
 
 
 def build_index(rows: DataFrame, corpus: Corpus, weights: np.ndarray) -> DataFrame:
@@ -235,7 +288,8 @@ def build_index(rows: DataFrame, corpus: Corpus, weights: np.ndarray) -> DataFra
         starts = np.concatenate([[0], np.cumsum(sizes)])
         impacts = corpus.impacts(times, np.repeat(n, sizes))
         made = build_shard(documents, starts, terms, impacts, shared.value)
-        lists = [pa.array([getattr(made, name).astype(np.int64)], pa.list_(pa.int64())) for name in _FIELDS]
+        kinds = {name: (np.int64, pa.int64()) if name == "documents" else (np.int32, pa.int32()) for name in _FIELDS}
+        lists = [pa.array([getattr(made, name).astype(kind)], pa.list_(arrow)) for name, (kind, arrow) in kinds.items()]
         return pa.RecordBatch.from_arrays(lists, names=_FIELDS)
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,6 +316,12 @@ def build_index(rows: DataFrame, corpus: Corpus, weights: np.ndarray) -> DataFra
     return rows.mapInArrow(of_batches, INDEX)
 
 
+def write_index(shards: DataFrame, directory: str) -> DataFrame:
+    """Write shards and read them back. A shard is a large row, so that few of them may share a row group."""
+    shards.write.mode("errorifexists").option("parquet.block.row.count.limit", SHARDS_TOGETHER).parquet(directory)
+    return shards.sparkSession.read.schema(shards.schema).parquet(directory)
+
+
 @dataclass
 class Query:
     """An item's terms by number, and their weights times their repeats."""
@@ -324,7 +384,7 @@ def search_index(index: DataFrame, queries: list[Query], vocabulary: int, result
         best = Best(shared.value, results, vocabulary)
         for batch in batches:
             for row in range(batch.num_rows):
-                best.add(Shard(*(batch.column(name)[row].values.to_numpy() for name in _FIELDS)))
+                best.add(Shard(*(batch.column(name)[row].values.to_numpy().astype(np.int64) for name in _FIELDS)))
         for query, found in zip(best.queries, best.found):
             if found:
                 columns = [[query.item] * len(found), [-document for _, document in found], [score for score, _ in found]]
@@ -368,7 +428,7 @@ def search(
             numbers = np.array([places[term] for term in terms], np.int64)
             order = np.argsort(numbers)
             queries.append(Query(row, numbers[order], weights[numbers[order]] * np.array(times, np.int64)[order]))
-        index = materialize(build_index(rows, corpus, weights))
+        index = write_index(build_index(rows, corpus, weights), scratch_directory(spark))
         hits = materialize(search_index(index, queries, len(vocabulary), results))
         found = hits if found is None else found.unionByName(hits)
     order = Window.partitionBy("item").orderBy(F.col("score").desc(), "document")

@@ -57,6 +57,7 @@ def drawn(seed, count, longest=60):
 
 def test_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ranked_search, "BLOCK", 5)
+    monkeypatch.setattr(ranked_search, "FEW", 2)
     documents = drawn(1, 400) + [(1000 + i, "c0 c1 r7 r8") for i in range(60)]
     documents += [(2000, " ".join(f"r{i} c{i % 12}" for i in range(300))), (2001, "c0 " * 50_000 + "r9")]
     items = drawn(2, 25, 30) + [(90, "r7 R7 r8 zzz"), (91, "unknown"), (92, "c0")]
@@ -95,6 +96,7 @@ def shard_of(documents, asked):
 def test_summaries_bound_every_document_of_their_block(monkeypatch, wide):
     monkeypatch.setattr(ranked_search, "WIDE", wide)
     monkeypatch.setattr(ranked_search, "BLOCK", 6)
+    monkeypatch.setattr(ranked_search, "FEW", 3)
     monkeypatch.setattr(ranked_search, "_AT_ONCE", 100)
     documents = drawn(3, 300)
     asked = sorted({t for _, text in documents for t in words(text)})
@@ -117,6 +119,9 @@ def test_summaries_bound_every_document_of_their_block(monkeypatch, wide):
             own = slice(shard.document_starts[document], shard.document_starts[document + 1])
             for term, impact in zip(shard.terms[own], shard.impacts[own]):
                 largest[int(term)] = max(largest[int(term)], int(impact))
+        if block < shard.unbounded[0]:
+            assert not any(b == block for b, _ in summaries) and len(members) <= 3
+            continue
         assert {(block, t): i for t, i in largest.items()} == {k: v for k, v in summaries.items() if k[0] == block}
         bound = sum(weights[t] * i for t, i in largest.items())
         assert (every[members] <= bound).all()
