@@ -1,33 +1,10 @@
-"""Keyword search over posts and their thread titles.
-
-A posting row says how often one word occurs in the title and the message of one post. A saved postings table,
-sorted by word, lets a search read only the words it asks for; without one, a search builds the postings it needs.
-"""
+"""Keyword documents and the output fields of keyword hits."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from forumlens.functions import scoring, text
-from forumlens.operators.joins import BROADCAST_ROWS, lookup_join
-from forumlens.operators.ranking import BatchFigures, top_per_query, within_own_limit
 from forumlens.operators.store import titles_of
-from forumlens.schemas import TITLE_BOOST
-
-# A posting with this word stands for the post itself; it carries the field lengths of every post.
-POST_MARKER = ""
-
-POSTINGS = (
-    "post_id bigint, date bigint, title_length int, message_length int, term string, title_count bigint, "
-    "message_count bigint, bucket int"
-)
-TERMS = (
-    "term string, posts bigint, title_posts bigint, message_posts bigint, title_words bigint, message_words bigint, "
-    "buckets int"
-)
-WORD_BUCKETS = 1024
 
 # The fields of a keyword hit.
 HIT_FIELDS = ("title", "message", "date", "user", "discussion_id", "node", "post_id")
@@ -50,185 +27,10 @@ def lexical_documents(posts: DataFrame, threads: DataFrame, *extra: str) -> Data
     )
 
 
-def postings(documents: DataFrame) -> DataFrame:
-    """``post_id, date, title_length, message_length, term, title_count, message_count`` plus a marker per post.
-
-    Counting combines inside each task before it shuffles. A semi join on ``term`` on top of this moves below the
-    grouping, so a search shuffles only the words it asks for.
-    """
-    found = documents.select(
-        "post_id",
-        "date",
-        text.words(F.col("title")).alias("title_words"),
-        text.words(F.col("message")).alias("message_words"),
-    )
-    listed = found.select(
-        "post_id",
-        "date",
-        F.size("title_words").alias("title_length"),
-        F.size("message_words").alias("message_length"),
-        F.posexplode(F.concat(F.array(F.lit(POST_MARKER)), "title_words", "message_words")).alias("place", "term"),
-    )
-    return listed.groupBy("post_id", "date", "title_length", "message_length", "term").agg(
-        F.count_if((F.col("place") > 0) & (F.col("place") <= F.col("title_length"))).alias("title_count"),
-        F.count_if(F.col("place") > F.col("title_length")).alias("message_count"),
-    )
-
-
-@dataclass(frozen=True)
-class LexicalIndex:
-    """Saved keyword tables: postings in buckets of words, and the figures of every word."""
-
-    postings: DataFrame
-    terms: DataFrame
-    buckets: int
-
-
-def _bucket(count: int) -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(count)).cast("int")
-
-
-def write_index(documents: DataFrame, directory: str, buckets: int = WORD_BUCKETS) -> LexicalIndex:
-    """Save the postings and word figures of documents.
-
-    Bucket directories let a search read only those of its words. Range bounds include the post, so a frequent word
-    fills many files, and each file holds few buckets.
-    """
-    rows = postings(documents).withColumn("bucket", _bucket(buckets))
-    ordered = rows.repartitionByRange("bucket", "term", "post_id").sortWithinPartitions("bucket", "term", "post_id")
-    ordered.write.partitionBy("bucket").parquet(f"{directory}/postings")
-    saved = documents.sparkSession.read.schema(rows.schema).parquet(f"{directory}/postings")
-    terms = _per_term(saved).withColumn("buckets", F.lit(buckets))
-    terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{directory}/terms")
-    return read_index(documents.sparkSession, directory)
-
-
-def read_index(spark: SparkSession, directory: str) -> LexicalIndex:
-    terms = spark.read.schema(TERMS).parquet(f"{directory}/terms")
-    first = terms.select("buckets").first()
-    saved = spark.read.schema(POSTINGS).parquet(f"{directory}/postings")
-    return LexicalIndex(saved, terms.drop("buckets"), first[0] if first else 1)
-
-
-def _per_term(rows: DataFrame) -> DataFrame:
-    """Posts per word and field; the marker's row describes the whole corpus."""
-    return rows.groupBy("term").agg(
-        F.count("*").alias("posts"),
-        F.count_if(F.col("title_count") > 0).alias("title_posts"),
-        F.count_if(F.col("message_count") > 0).alias("message_posts"),
-        F.sum("title_length").alias("title_words"),
-        F.sum("message_length").alias("message_words"),
-    )
-
-
-def _is_word() -> Column:
-    """Tells words from the marker by their counts.
-
-    Unlike a condition on the word it cannot move below the grouping, so both uses of one grouping read the same
-    shuffle instead of reading the texts twice.
-    """
-    return (F.col("title_posts") + F.col("message_posts")) > 0
-
-
-def _of_corpus(per_term: DataFrame) -> DataFrame:
-    return per_term.where(~_is_word()).select(
-        "posts",
-        "title_words",
-        "message_words",
-        (F.col("title_words") / F.col("posts")).alias("average_title"),
-        (F.col("message_words") / F.col("posts")).alias("average_message"),
-    )
-
-
-def corpus_statistics(rows: DataFrame) -> DataFrame:
-    """Number of posts and total and average field lengths, read from the marker rows."""
-    return _of_corpus(_per_term(rows.where(F.col("term") == POST_MARKER)))
-
-
-def document_frequency(rows: DataFrame) -> DataFrame:
-    """Posts per word and field."""
-    return _per_term(rows).where(_is_word()).select("term", "title_posts", "message_posts")
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """The distinct words of every query, numbered, and how many there are; blank queries have none."""
-    found = queries.select("query_id", F.array_distinct(text.words(F.col("query"))).alias("terms"))
-    listed = found.select("query_id", F.size("terms").alias("needed"), F.posexplode("terms").alias("number", "term"))
-    return listed.select("query_id", "needed", "number", "term")
-
-
-def _term_weights(per_term: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Words with the figures their score needs."""
-    figures = corpus.select(F.struct("posts", "average_title", "average_message")).scalar()
-    return per_term.where(_is_word()).select(
-        "term",
-        figures["average_title"].alias("average_title"),
-        figures["average_message"].alias("average_message"),
-        scoring.inverse_document_frequency(figures["posts"], F.col("title_posts")).alias("title_idf"),
-        scoring.inverse_document_frequency(figures["posts"], F.col("message_posts")).alias("message_idf"),
-    )
-
-
-def _weighted_matches(rows: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """Postings of the asked words with their figures. One pass over the texts serves figures and matches."""
-    # The first word of each query brings the marker along: no more than twice the rows of the checked terms.
-    with_marker = F.when(F.col("number") == 0, F.array("term", F.lit(POST_MARKER))).otherwise(F.array("term"))
-    asked = terms.select(F.explode(with_marker).alias("term"))
-    rows = rows.join(_bounded(asked, small), "term", "left_semi")
-    per_term = _per_term(rows)
-    weights = _term_weights(per_term, _of_corpus(per_term))
-    return lookup_join(rows, terms.join(_bounded(weights, small), "term"), ["term"], "post_id", small)
-
-
-def _saved_matches(index: LexicalIndex, terms: DataFrame, small: bool) -> DataFrame:
-    """The same from saved tables; the buckets of the words prune the postings that are read."""
-    asked = index.terms.join(_bounded(terms.select("term"), small), "term", "left_semi")
-    corpus = _of_corpus(index.terms.where(F.col("term") == POST_MARKER))
-    weighted = terms.join(_bounded(_term_weights(asked, corpus), small), "term")
-    keyed = weighted.withColumn("bucket", _bucket(index.buckets))
-    return lookup_join(index.postings, keyed, ["bucket", "term"], "post_id", small)
-
-
-def score_matches(source: DataFrame | LexicalIndex, queries: DataFrame, figures: BatchFigures) -> DataFrame:
-    """Posts that hold every word of a query, each word in either field, with their relevance.
-
-    ``query_id, post_id, date, relevance``: the sum of BM25 weights over words and fields, titles boosted.
-    ``source`` is a frame of postings or a saved index.
-    """
-    terms = query_terms(queries)
-    small = figures.few_words
-    matches = _saved_matches if isinstance(source, LexicalIndex) else _weighted_matches
-    matched = matches(source, terms, small)
-    weight = TITLE_BOOST * scoring.bm25(
-        F.col("title_count"), F.col("title_length"), F.col("average_title"), F.col("title_idf")
-    ) + scoring.bm25(
-        F.col("message_count"), F.col("message_length"), F.col("average_message"), F.col("message_idf")
-    )
-    return (
-        matched.groupBy("query_id", "post_id")
-        .agg(
-            F.first("date").alias("date"),
-            F.first("needed").alias("needed"),
-            F.count("*").alias("found"),
-            F.sum(weight).alias("relevance"),
-        )
-        .where(F.col("found") == F.col("needed"))
-        .select("query_id", "post_id", "date", "relevance")
-    )
-
-
 def _bounded(rows: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(rows) if small else rows
 
 
-def rank_matches(matches: DataFrame, queries: DataFrame, origin: Column, figures: BatchFigures) -> DataFrame:
-    """Relevance plus recency, best first: ``query_id, rank, score, post_id, date``."""
-    scored = matches.withColumn("score", F.col("relevance") + scoring.recency(F.col("date"), origin))
-    order = [F.round("score", 9).desc(), F.col("date").desc(), F.col("post_id")]
-    ranked = top_per_query(scored, order, figures.largest)
-    return within_own_limit(ranked, queries).select("query_id", "rank", "score", "post_id", "date")
-
-
 def project_hits(ranked: DataFrame, posts: DataFrame, threads: DataFrame, few: bool) -> DataFrame:
     """The seven output fields of every hit.
 
@@ -239,108 +41,3 @@ def project_hits(ranked: DataFrame, posts: DataFrame, threads: DataFrame, few: b
     titles = titles_of(hits, posts, threads.select("thread_id", "title", "node"), few)
     fields = lexical_documents(posts.join(_bounded(hits, few), "post_id"), titles, "query_id", "rank", "score")
     return fields.select("query_id", "rank", "score", *HIT_FIELDS)
-
-
-def match_clauses(documents: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Posts that satisfy the clauses of a query: ``query_id, post_id``.
-
-    ``clauses`` has ``query_id, clause_no, kind, text``, where kind is ``must``, ``should``, ``must_not`` (one
-    word each), ``phrase`` (neighbouring words) or ``prefix`` (start of a word). Required clauses must all match
-    and no ``must_not`` clause may; without a required clause one ``should`` clause is enough. A query of
-    ``must_not`` clauses alone matches nothing. Words count in either field, a phrase within one field.
-    """
-    wanted = clauses.select("query_id", "clause_no", "kind", F.lower("text").alias("text"))
-    is_prefix, is_phrase = F.col("kind") == "prefix", F.col("kind") == "phrase"
-    # One row about the clause batch: its size, and lengths that are bounded by its longest clause.
-    count, prefix_lengths, phrase_lengths = wanted.agg(
-        F.count("*"),
-        F.array_sort(F.collect_set(F.when(is_prefix, F.length("text")))),
-        F.array_sort(F.collect_set(F.when(is_phrase, F.size(text.words(F.col("text")))))),
-    ).first()
-    small = count <= BROADCAST_ROWS
-    required = ~F.col("kind").isin("should", "must_not")
-    needed = wanted.groupBy("query_id").agg(F.count_if(required).alias("needed"))
-    hits = _word_hits(documents, wanted.where(~is_phrase), prefix_lengths, small)
-    if phrase_lengths:
-        phrases = _phrase_hits(documents, wanted.where(is_phrase), phrase_lengths, small)
-        hits = hits.unionByName(phrases)
-    return (
-        hits.groupBy("query_id", "post_id")
-        .agg(
-            F.count_if(required).alias("required"),
-            F.count_if(F.col("kind") == "should").alias("optional"),
-            F.count_if(F.col("kind") == "must_not").alias("forbidden"),
-        )
-        .join(_bounded(needed, small), "query_id")
-        .where((F.col("forbidden") == 0) & (F.col("required") == F.col("needed")))
-        .where((F.col("needed") > 0) | (F.col("optional") > 0))
-        .select("query_id", "post_id")
-    )
-
-
-_CLAUSE_HIT = ("query_id", "clause_no", "kind", "post_id")
-
-
-def _word_hits(documents: DataFrame, clauses: DataFrame, lengths: list[int], small: bool) -> DataFrame:
-    """Posts with the word, or a word with the start, that a clause names; one row per clause and post.
-
-    ``lengths`` are the lengths of the prefixes in the batch.
-    """
-    found = documents.select(
-        "post_id",
-        F.array_distinct(F.concat(text.words(F.col("title")), text.words(F.col("message")))).alias("words"),
-    )
-
-    def starts(length: int) -> Column:
-        long_enough = F.filter("words", lambda w: F.length(w) >= length)
-        cut = F.transform(long_enough, lambda w: F.concat(F.lit("prefix "), F.substring(w, 1, length)))
-        return F.array_distinct(cut)
-
-    keys = found.select("post_id", F.explode(F.concat("words", *map(starts, lengths))).alias("key"))
-    is_prefix = F.col("kind") == "prefix"
-    keyed = clauses.withColumn("key", F.concat(F.when(is_prefix, "prefix ").otherwise(""), F.col("text")))
-    return lookup_join(keys, keyed, ["key"], "post_id", small).select(*_CLAUSE_HIT)
-
-
-# Phrases join on runs of at most this many words; longer ones are then compared with the whole text.
-_RUN_WORDS = 3
-
-
-def _phrase_hits(documents: DataFrame, clauses: DataFrame, sizes: list[int], small: bool) -> DataFrame:
-    """Posts where a phrase occurs word by word.
-
-    The first words of a phrase are an equality key against the runs of neighbouring words of every post. Only
-    longer phrases need the text again, and only for the posts that hold their first words. ``sizes`` are the word
-    counts of the phrases in the batch.
-    """
-    phrases = clauses.select("*", text.words(F.col("text")).alias("parts")).where(F.size("parts") > 0)
-    found = documents.select(
-        "post_id",
-        text.words(F.col("title")).alias("title_words"),
-        text.words(F.col("message")).alias("message_words"),
-    )
-
-    def runs(field: str, length: int) -> Column:
-        last = F.size(field) - length + 1
-        places = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.array_join(F.slice(field, i, F.lit(length)), " "))
-
-    lengths = sorted({min(n, _RUN_WORDS) for n in sizes if n > 0})
-    every_run = [runs(field, n) for field in ("title_words", "message_words") for n in lengths]
-    every_run = F.array_distinct(F.concat(*every_run)) if every_run else F.array().cast("array<string>")
-    keys = found.select("post_id", F.explode(every_run).alias("key"))
-    keyed = phrases.withColumn("key", F.array_join(F.slice("parts", 1, _RUN_WORDS), " "))
-    hits = lookup_join(keys, keyed, ["key"], "post_id", small)
-    if max(sizes) <= _RUN_WORDS:
-        return hits.select(*_CLAUSE_HIT)
-    complete = hits.where(F.size("parts") <= _RUN_WORDS).select(*_CLAUSE_HIT)
-    phrase = F.concat(F.lit(" "), F.array_join("parts", " "), F.lit(" "))
-    checked = (
-        documents.select("post_id", "title", "message")
-        .join(hits.where(F.size("parts") > _RUN_WORDS), "post_id")
-        .where(
-            F.contains(text.padded_words(F.col("title")), phrase)
-            | F.contains(text.padded_words(F.col("message")), phrase)
-        )
-    )
-    return complete.unionByName(checked.select(*_CLAUSE_HIT))

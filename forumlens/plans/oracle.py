@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from forumlens.functions.text import TOKEN_PATTERN, WORD_PATTERN
-from forumlens.plans.registry import DIM, NOW, RECENCY_ORIGIN, TRUNCATE_AT
-
-_SHORTEST = "list_sort(list_transform({items}, lambda w: {{'n': length(w), 'value': w}}))"
-
+from forumlens.plans.registry import DIM, FUSED_LIMITS, NOW, RECENCY_ORIGIN, TRUNCATE_AT
+from forumlens.sources.tables import LIMITS, PLACES
 
 def _words(column: str) -> str:
     return f"regexp_extract_all(lower({column}), '{WORD_PATTERN}')"
@@ -75,16 +73,74 @@ def _idf(matching: str) -> str:
     return f"ln(1e0 + (posts - {matching} + 0.5e0) / ({matching} + 0.5e0))"
 
 
-def _matches(queries: str) -> str:
-    """All-words matches with relevance, as ``query_id, post_id, date, relevance``."""
-    title = _bm25("title_count", "title_length", "average_title", _idf("title_posts"))
-    message = _bm25("message_count", "message_length", "average_message", _idf("message_posts"))
+_WORD_SCORE = "3e0 * {} + {}".format(
+    _bm25("title_count", "title_length", "average_title", _idf("title_posts")),
+    _bm25("message_count", "message_length", "average_message", _idf("message_posts")),
+)
+
+
+def _matches(clauses: str) -> str:
+    """Posts that satisfy the clauses of a query, as ``query_id, post_id, date, relevance``."""
+    phrase = _bm25("times", "length", "average", "idf")
     return f"""
-    SELECT query_id, post_id, any_value(post_date) AS date, sum(3e0 * {title} + {message}) AS relevance
-    FROM (SELECT query_id, len(terms) AS needed, unnest(terms) AS term
-          FROM (SELECT query_id, list_distinct({_words("query")}) AS terms FROM {queries}))
-    JOIN term_counts USING (term) JOIN term_posts USING (term) CROSS JOIN lexical_totals
-    GROUP BY query_id, post_id, needed HAVING count(*) = needed"""
+    WITH hits AS (
+      SELECT query_id, clause_no, kind, post_id, post_date, {_WORD_SCORE} AS score
+      FROM (SELECT * FROM {clauses} WHERE kind IN ('must', 'should', 'must_not')) c
+      JOIN term_counts t ON t.term = c.text JOIN term_posts USING (term) CROSS JOIN lexical_totals
+      UNION ALL
+      SELECT query_id, clause_no, kind, post_id, post_date, sum(boost * {phrase})
+      FROM (SELECT * FROM {clauses} WHERE kind = 'phrase') c
+      JOIN (SELECT text, sum({_idf("title_posts")}) AS title_idf, sum({_idf("message_posts")}) AS message_idf
+            FROM (SELECT text, unnest(string_split(text, ' ')) AS term
+                  FROM (SELECT DISTINCT text FROM {clauses} WHERE kind = 'phrase'))
+            JOIN term_posts USING (term) CROSS JOIN lexical_totals GROUP BY text) USING (text)
+      JOIN (SELECT gram AS text, post_id, post_date, times, length, field = 'title' AS in_title,
+                   CASE WHEN field = 'title' THEN 3e0 ELSE 1e0 END AS boost FROM grams) USING (text)
+      CROSS JOIN lexical_totals
+      CROSS JOIN LATERAL (SELECT CASE WHEN in_title THEN title_idf ELSE message_idf END AS idf,
+                                 CASE WHEN in_title THEN average_title ELSE average_message END AS average)
+      GROUP BY ALL
+      UNION ALL
+      SELECT query_id, clause_no, kind, post_id, post_date,
+             3e0 * max((title_count > 0)::INT) + max((message_count > 0)::INT)
+      FROM (SELECT * FROM {clauses} WHERE kind = 'prefix') c JOIN term_counts ON starts_with(term, c.text) GROUP BY ALL),
+    wanted AS (
+      SELECT query_id, count(*) FILTER (kind IN ('must', 'phrase', 'prefix')) AS needed FROM {clauses} GROUP BY query_id)
+    SELECT query_id, post_id, any_value(post_date) AS date,
+           coalesce(sum(score) FILTER (kind <> 'must_not'), 0) AS relevance
+    FROM hits JOIN wanted USING (query_id) GROUP BY query_id, post_id, needed
+    HAVING count(*) FILTER (kind IN ('must', 'phrase', 'prefix')) = needed AND count(*) FILTER (kind = 'must_not') = 0
+       AND (needed > 0 OR count(*) FILTER (kind = 'should') > 0)"""
+
+
+def _ranked(matches: str, queries: str) -> str:
+    return f"""
+    SELECT * EXCLUDE (max_results) FROM (SELECT query_id, post_id, date, score, coalesce(max_results, 10) AS max_results,
+          row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, date DESC, post_id)::INT AS rank
+        FROM (SELECT *, relevance + power(0.5e0, abs(date - {RECENCY_ORIGIN}) / 864000e0) AS score
+              FROM {matches} JOIN {queries} USING (query_id))) WHERE rank <= max_results"""
+
+
+def _hits(ranked: str) -> str:
+    return f"""SELECT query_id, rank, round(score, 6) AS score, title, message, date, user_name AS user,
+           thread_id AS discussion_id, node, post_id FROM {ranked} JOIN documents_by_post USING (post_id)"""
+
+
+def _keyword_queries(limits: tuple) -> str:
+    listed = ", ".join("NULL" if limit is None else str(limit) for limit in limits)
+    return f"""SELECT item_id * {PLACES} + place AS query_id,
+           CASE WHEN place = 0 THEN ' ' ELSE concat_ws(' ', ws[place], ws[place + 1]) END AS query,
+           [{listed}][(place % {len(limits)} + 1)::INT]::INT AS max_results
+           FROM (SELECT *, unnest(range(0, len(ws) + 1)) AS place FROM passages)"""
+
+
+def _pair_clauses(first: str, second: str, last: str) -> str:
+    """Clauses of the two words of every keyword request, and of a last word alone."""
+    return f"""SELECT * FROM (
+             SELECT item_id * {PLACES} + place AS query_id, 0 AS clause_no,
+                    CASE WHEN place < len(ws) THEN '{first}' ELSE '{last}' END AS kind, ws[place] AS text FROM word_places
+             UNION ALL SELECT item_id * {PLACES} + place, 1, '{second}', ws[place + 1] FROM word_places)
+           WHERE text IS NOT NULL"""
 
 
 _CTES: dict[str, tuple[tuple[str, ...], str]] = {
@@ -123,25 +179,62 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "vector_queries": ((), "SELECT vec_id AS query_id, embedding FROM embeddings"),
     "text_queries": ((), "SELECT item_id AS query_id, text AS query FROM benchmark"),
-    "short_words": (
-        (),
-        f"""SELECT item_id AS query_id, {_SHORTEST.format(items=f"list_distinct({_words('text')})")}[1:2] AS found
-            FROM benchmark""",
-    ),
-    "keyword_queries": (
-        ("short_words",),
-        "SELECT query_id, array_to_string(list_transform(found, lambda s: s.value), ' ') AS query FROM short_words",
+    "passages": ((), f"SELECT item_id, {_words('text')} AS ws FROM benchmark"),
+    "word_places": (("passages",), "SELECT *, unnest(range(1, len(ws) + 1)) AS place FROM passages"),
+    "keyword_queries": (("passages",), _keyword_queries(LIMITS)),
+    "fused_queries": (("passages",), _keyword_queries(FUSED_LIMITS)),
+    "must_clauses": (
+        ("keyword_queries",),
+        f"""SELECT query_id, 0 AS clause_no, 'must' AS kind, unnest(list_distinct({_words("query")})) AS text
+            FROM keyword_queries""",
+    ),
+    "fused_clauses": (
+        ("fused_queries",),
+        f"""SELECT query_id, 0 AS clause_no, 'must' AS kind, unnest(list_distinct({_words("query")})) AS text
+            FROM fused_queries""",
+    ),
+    "and_clauses": (("word_places",), _pair_clauses("must", "must", "must")),
+    "not_clauses": (("word_places",), _pair_clauses("must", "must_not", "must")),
+    "prefix_clauses": (("word_places",), _pair_clauses("must", "prefix", "prefix")),
+    "or_clauses": (
+        ("passages",),
+        "SELECT item_id AS query_id, 0 AS clause_no, 'should' AS kind, unnest(list_distinct(ws)) AS text FROM passages",
+    ),
+    "phrase_clauses": (
+        ("word_places",),
+        f"""SELECT item_id * {PLACES} + place * 10 + n AS query_id, 0 AS clause_no, 'phrase' AS kind,
+                   array_to_string(ws[place:place + n - 1], ' ') AS text
+            FROM (SELECT *, unnest(range(2, 7)) AS n FROM word_places) WHERE place + n - 1 <= len(ws)""",
+    ),
+    "phrase_queries": (("phrase_clauses",), "SELECT query_id, NULL::INT AS max_results FROM phrase_clauses"),
+    "mixed_clauses": (
+        ("word_places",),
+        f"""SELECT * FROM (
+              SELECT item_id * {PLACES} + place AS query_id, unnest([0, 1, 2]) AS clause_no,
+                     unnest(CASE place % 4 WHEN 0 THEN ['must', 'should', 'must_not'] WHEN 1 THEN ['phrase', 'should', '']
+                       WHEN 2 THEN ['must', 'prefix', ''] ELSE ['should', 'should', 'must_not'] END) AS kind,
+                     unnest(CASE WHEN place % 4 = 1
+                       THEN [array_to_string(ws[place:place + n - 1], ' '), ws[place + n], NULL]
+                       WHEN place % 4 = 2 THEN [ws[place], ws[place + 1], NULL]
+                       ELSE [ws[place], ws[place + 1], ws[place + 2]] END) AS text
+              FROM (SELECT *, place // 4 % 5 + 2 AS n FROM word_places)) WHERE text IS NOT NULL""",
+    ),
+    "mixed_queries": (
+        ("word_places",),
+        f"""SELECT item_id * {PLACES} + place AS query_id,
+                   [{", ".join("NULL" if limit is None else str(limit) for limit in LIMITS)}][(place // 4 % 4 + 1)::INT]::INT
+                     AS max_results FROM word_places""",
     ),
     "stored_hits": (("vector_queries", "store"), _nearest("vector_queries", "store", 10, "l2")),
     "stored_details": (("stored_hits", "posts", "threads"), _details("stored_hits")),
     "post_sums": (("posts",), _sums_of("posts", "post_id", "message")),
     "thread_sums": (("threads",), _sums_of("threads", "thread_id", "title")),
     "text_query_sums": (("text_queries",), _sums_of("text_queries", "query_id", "query")),
-    "keyword_query_sums": (("keyword_queries",), _sums_of("keyword_queries", "query_id", "query")),
+    "fused_query_sums": (("fused_queries",), _sums_of("fused_queries", "query_id", "query")),
     "post_vectors": (("post_sums",), _vectors_of("post", "post_id", "message")),
     "thread_vectors": (("thread_sums",), _vectors_of("thread", "thread_id", "title")),
     "text_query_vectors": (("text_query_sums",), _vectors_of("text_query", "query_id", "query")),
-    "keyword_query_vectors": (("keyword_query_sums",), _vectors_of("keyword_query", "query_id", "query")),
+    "fused_query_vectors": (("fused_query_sums",), _vectors_of("fused_query", "query_id", "query")),
     "post_rows": (
         ("post_vectors", "posts"),
         f"""SELECT post_id, NULL::BIGINT AS thread_id, embedding, {DIM} AS embedding_length,
@@ -187,26 +280,33 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT term, count(*) FILTER (title_count > 0) AS title_posts,
            count(*) FILTER (message_count > 0) AS message_posts FROM term_counts GROUP BY term""",
     ),
-    "keyword_matches": (
-        ("keyword_queries", "term_counts", "term_posts", "lexical_totals"),
-        _matches("keyword_queries"),
-    ),
-    "text_matches": (("text_queries", "term_counts", "term_posts", "lexical_totals"), _matches("text_queries")),
-    "keyword_ranked": (
-        ("keyword_matches",),
-        f"""SELECT * FROM (SELECT query_id, post_id, date, score,
-              row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, date DESC, post_id)::INT AS rank
-            FROM (SELECT *, relevance + power(0.5e0, abs(date - {RECENCY_ORIGIN}) / 864000e0) AS score
-                  FROM keyword_matches)) WHERE rank <= 10""",
-    ),
-    "keyword_hits": (
-        ("keyword_ranked", "documents_by_post"),
-        """SELECT query_id, rank, round(score, 6) AS score, title, message, date, user_name AS user,
-           thread_id AS discussion_id, node, post_id FROM keyword_ranked JOIN documents_by_post USING (post_id)""",
-    ),
-    "keyword_vector_hits": (
-        ("keyword_query_vectors", "text_store"),
-        _nearest("keyword_query_vectors", "text_store", 10, "l2"),
+    "grams": (
+        ("documents_by_post",),
+        """SELECT post_id, post_date, field, length, gram, count(*) AS times
+           FROM (SELECT post_id, post_date, field, len(ws) AS length, array_to_string(ws[s:s + n - 1], ' ') AS gram
+                 FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS s
+                       FROM (SELECT *, unnest(range(1, 7)) AS n FROM (
+                         SELECT post_id, post_date, 'title' AS field, title_words AS ws FROM documents_by_post
+                         UNION ALL SELECT post_id, post_date, 'message', message_words FROM documents_by_post))
+                       WHERE len(ws) >= n))
+           GROUP BY ALL""",
+    ),
+    **{
+        f"{name}_matches": (
+            (f"{name}_clauses", "term_counts", "term_posts", "lexical_totals", "grams"), _matches(f"{name}_clauses")
+        )
+        for name in ("must", "fused", "and", "or", "not", "phrase", "prefix", "mixed")
+    },
+    "keyword_ranked": (("must_matches", "keyword_queries"), _ranked("must_matches", "keyword_queries")),
+    "fused_ranked": (("fused_matches", "fused_queries"), _ranked("fused_matches", "fused_queries")),
+    "mixed_ranked": (("mixed_matches", "mixed_queries"), _ranked("mixed_matches", "mixed_queries")),
+    "phrase_ranked": (("phrase_matches", "phrase_queries"), _ranked("phrase_matches", "phrase_queries")),
+    "keyword_hits": (("keyword_ranked", "documents_by_post"), _hits("keyword_ranked")),
+    "fused_hits": (("fused_ranked", "documents_by_post"), _hits("fused_ranked")),
+    "fused_vector_hits": (
+        ("fused_query_vectors", "fused_queries", "text_store"),
+        f"""SELECT h.* FROM ({_nearest("fused_query_vectors", "text_store", 10, "l2")}) h
+            JOIN fused_queries USING (query_id) WHERE rank <= coalesce(max_results, 10)""",
     ),
     "text_vector_hits": (
         ("text_query_vectors", "text_store"),
@@ -217,19 +317,11 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         _nearest("text_query_vectors", "text_store", 5, "cosine"),
     ),
     "combined": (
-        ("keyword_vector_hits", "keyword_hits", "posts", "threads"),
+        ("fused_vector_hits", "fused_hits", "posts", "threads"),
         f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sort_key DESC, source_no, rank)::INT AS position
             FROM (SELECT *, coalesce(post_date, last_post_date, 0)::BIGINT AS sort_key FROM (
-              SELECT *, 0 AS source_no FROM ({_details("keyword_vector_hits")})
-              UNION ALL BY NAME SELECT *, 1 AS source_no FROM keyword_hits))""",
-    ),
-    "found_words": (
-        ("documents_by_post",),
-        "SELECT DISTINCT post_id, unnest(list_concat(title_words, message_words)) AS term FROM documents_by_post",
-    ),
-    "word_pair": (
-        ("short_words",),
-        "SELECT query_id, found[1].value AS first_word, found[2].value AS second_word FROM short_words",
+              SELECT *, 0 AS source_no FROM ({_details("fused_vector_hits")})
+              UNION ALL BY NAME SELECT *, 1 AS source_no FROM fused_hits))""",
     ),
 }
 
@@ -279,12 +371,13 @@ def _elements(rows: str, key: str) -> str:
         FROM (SELECT {key}, embedding, unnest(range({DIM})) AS position FROM {rows})"""
 
 
-def _pair_match(condition: str) -> str:
-    return f"""SELECT query_id, post_id FROM word_pair CROSS JOIN (SELECT DISTINCT post_id FROM found_words) p
-        LEFT JOIN found_words a ON a.post_id = p.post_id AND a.term = first_word
-        LEFT JOIN found_words b ON b.post_id = p.post_id AND b.term = second_word WHERE {condition}""".replace(
-        "SELECT query_id, post_id", "SELECT query_id, p.post_id", 1
-    )
+def _of_kept_posts(sql: str) -> str:
+    """The same over an index without every tenth post."""
+    return sql.replace("FROM posts JOIN threads USING (thread_id)", "FROM posts JOIN threads USING (thread_id) WHERE post_id % 10 <> 0", 1)
+
+
+def _matched(name: str) -> str:
+    return _with(f"SELECT query_id, post_id FROM {name}_matches", f"{name}_matches")
 
 
 _MERGED_ROW = f"""s.post_id, s.thread_id,
@@ -337,7 +430,8 @@ _ORACLE: dict[str, str] = {
         f"SELECT vec_id, post_id, thread_id, embedding_length, {_digest('embedding')} AS total FROM store", "store"
     ),
     "query_batch": _with(
-        "SELECT query_id, query, 10 AS max_results FROM keyword_queries WHERE length(trim(query)) > 0",
+        """SELECT query_id, query, coalesce(max_results, 10) AS max_results FROM keyword_queries
+           WHERE length(trim(query)) > 0""",
         "keyword_queries",
     ),
     "results_json": _with(
@@ -474,44 +568,27 @@ _ORACLE: dict[str, str] = {
         f"SELECT post_id, round(power(0.5e0, abs(post_date - {RECENCY_ORIGIN}) / 864000e0), 6) AS decay FROM posts",
         "posts",
     ),
-    "lexical_match_and": _with(
-        _pair_match("a.term IS NOT NULL AND (second_word IS NULL OR b.term IS NOT NULL)"), "word_pair", "found_words"
-    ),
-    "lexical_match_or": _with(
-        _pair_match("a.term IS NOT NULL OR b.term IS NOT NULL"), "word_pair", "found_words"
-    ),
-    "lexical_match_not": _with(
-        _pair_match("a.term IS NOT NULL AND b.term IS NULL"), "word_pair", "found_words"
-    ),
-    "lexical_match_phrase": _with(
-        f"""SELECT DISTINCT query_id, post_id FROM (
-              SELECT item_id AS query_id, {_SHORTEST.format(
-                  items="list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])"
-              )}[1].value AS phrase
-              FROM (SELECT item_id, {_words('text')} AS ws FROM benchmark) WHERE len(ws) > 1) q
-            JOIN (SELECT post_id, ' ' || array_to_string(title_words, ' ') || ' ' AS title_text,
-                    ' ' || array_to_string(message_words, ' ') || ' ' AS message_text FROM documents_by_post) d
-            ON contains(title_text, ' ' || phrase || ' ') OR contains(message_text, ' ' || phrase || ' ')""",
-        "documents_by_post",
-    ),
-    "lexical_match_prefix": _with(
-        f"""SELECT DISTINCT query_id, post_id FROM (
-              SELECT item_id AS query_id, substr(list_max({_words('text')}), 1, 3) AS start FROM benchmark) q
-            JOIN found_words ON starts_with(term, start)""",
-        "found_words",
-    ),
+    "lexical_match_and": _matched("and"),
+    "lexical_match_or": _matched("or"),
+    "lexical_match_not": _matched("not"),
+    "lexical_match_phrase": _matched("phrase"),
+    "lexical_match_prefix": _matched("prefix"),
     "lexical_score": _with(
-        "SELECT query_id, post_id, round(relevance, 6) AS relevance FROM keyword_matches", "keyword_matches"
+        "SELECT query_id, post_id, round(relevance, 6) AS relevance FROM must_matches", "must_matches"
     ),
     "lexical_topk": _with(
         "SELECT query_id, rank, round(score, 6) AS score, post_id, date FROM keyword_ranked", "keyword_ranked"
     ),
     "lexical_search": _with("SELECT * FROM keyword_hits", "keyword_hits"),
     "lexical_search_saved": _with("SELECT * FROM keyword_hits", "keyword_hits"),
+    "lexical_search_clauses": _with(_hits("mixed_ranked"), "mixed_ranked", "documents_by_post"),
+    "lexical_search_clauses_saved": _with(_hits("mixed_ranked"), "mixed_ranked", "documents_by_post"),
+    "lexical_search_phrases_saved": _with(_hits("phrase_ranked"), "phrase_ranked", "documents_by_post"),
+    "lexical_search_segments": _of_kept_posts(_with("SELECT * FROM keyword_hits", "keyword_hits")),
     "queries_without_hits": _with(
-        f"""SELECT query_id, 'No results found for "' || {_escaped('query')} || '".' AS message FROM text_queries
-            WHERE length(trim(query)) > 0 AND query_id NOT IN (SELECT query_id FROM text_matches)""",
-        "text_queries", "text_matches",
+        f"""SELECT query_id, 'No results found for "' || {_escaped('query')} || '".' AS message FROM keyword_queries
+            WHERE length(trim(query)) > 0 AND query_id NOT IN (SELECT query_id FROM must_matches)""",
+        "keyword_queries", "must_matches",
     ),
     "embed_posts": _with(_elements("post_vectors", "post_id"), "post_vectors"),
     "embed_threads": _with(_elements("thread_vectors", "thread_id"), "thread_vectors"),

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from forumlens.functions import scoring, text, vectors
-from forumlens.operators import embedding, knn, lexical, results, store as ops
-from forumlens.operators.ranking import BatchFigures, batch_figures, with_result_limit
+from forumlens.operators import clauses, embedding, keyword_index, knn, lexical, results, store as ops
+from forumlens.operators.ranking import batch_figures, with_result_limit
 from forumlens.plans import maintenance, search
 from forumlens.sources import snapshots, tables
 
@@ -19,6 +19,9 @@ DIM = tables.VIEW_DIM
 RECENCY_ORIGIN = 1707000000
 NOW = "2024-02-01 00:00:00"
 TRUNCATE_AT = 1000
+BUCKETS, SPAN = 16, 256
+# Result limits of requests whose results are fused.
+FUSED_LIMITS = (None, 1, 3)
 
 _QUERIES: dict[str, Query] = {}
 
@@ -82,10 +85,6 @@ def text_store(spark: SparkSession, directory: str) -> DataFrame:
     return _embedded_posts(spark, directory).unionByName(_embedded_threads(spark, directory))
 
 
-def _documents(spark: SparkSession, directory: str) -> DataFrame:
-    return lexical.lexical_documents(tables.posts(spark, directory), tables.threads(spark, directory))
-
-
 def _stored_hits(spark: SparkSession, directory: str) -> DataFrame:
     queries = tables.vector_queries(spark, directory)
     return knn.nearest(queries, tables.embedding_store(spark, directory), 10)
@@ -97,8 +96,26 @@ def _details(spark: SparkSession, directory: str) -> DataFrame:
     return results.resolve_details(hits, tables.posts(spark, directory), tables.threads(spark, directory), few)
 
 
-def _keyword_matches(spark: SparkSession, directory: str, queries: DataFrame, figures: BatchFigures) -> DataFrame:
-    return lexical.score_matches(lexical.postings(_documents(spark, directory)), queries, figures)
+def _matches(spark: SparkSession, directory: str, asked: DataFrame) -> DataFrame:
+    units = clauses.Units(asked)
+    index = clauses.index_for(tables.posts(spark, directory), tables.threads(spark, directory), units)
+    return clauses.matches(index, units)
+
+
+def _keyword_hits(spark: SparkSession, directory: str, queries: DataFrame) -> DataFrame:
+    return search.keyword_hits(queries, tables.posts(spark, directory), tables.threads(spark, directory), _origin())
+
+
+def _hits(spark: SparkSession, directory: str, queries: DataFrame, saved=None, asked: DataFrame | None = None) -> DataFrame:
+    """Ranked hits of a batch with their output fields."""
+    posts, threads = tables.posts(spark, directory), tables.threads(spark, directory)
+    hits = search.keyword_search(queries, posts, threads, _origin(), saved, asked=asked)
+    return hits.withColumn("score", F.round("score", 6))
+
+
+def _saved_index(spark: SparkSession, directory: str) -> keyword_index.KeywordIndex:
+    folder = snapshots.scratch_directory(spark)
+    return keyword_index.add(tables.posts(spark, directory), tables.threads(spark, directory), folder, BUCKETS, SPAN)
 
 
 # Sources and sinks
@@ -323,19 +340,20 @@ def export_report(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def lexical_stats(spark: SparkSession, directory: str) -> DataFrame:
-    found = lexical.corpus_statistics(lexical.postings(_documents(spark, directory)))
-    return found.select(
+    lengths = keyword_index.field_lengths(tables.posts(spark, directory), tables.threads(spark, directory))
+    return keyword_index.corpus_figures(lengths).select(
         "posts",
         "title_words",
         "message_words",
-        F.round("average_title", 6).alias("average_title"),
-        F.round("average_message", 6).alias("average_message"),
+        F.round(F.col("title_words") / F.col("posts"), 6).alias("average_title"),
+        F.round(F.col("message_words") / F.col("posts"), 6).alias("average_message"),
     )
 
 
 @query
 def lexical_doc_freq(spark: SparkSession, directory: str) -> DataFrame:
-    return lexical.document_frequency(lexical.postings(_documents(spark, directory)))
+    postings = keyword_index.field_postings(tables.posts(spark, directory), tables.threads(spark, directory))
+    return keyword_index.term_figures(postings.groupBy("term", "field").agg(F.count("*").alias("posts")))
 
 
 @query
@@ -422,77 +440,87 @@ def recency_decay(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def lexical_match_and(spark: SparkSession, directory: str) -> DataFrame:
-    clauses = tables.word_clauses(spark, directory, ("must", "must"))
-    return lexical.match_clauses(_documents(spark, directory), clauses)
+    return _matches(spark, directory, tables.word_clauses(spark, directory, ("must", "must"))).select("query_id", "post_id")
 
 
 @query
 def lexical_match_or(spark: SparkSession, directory: str) -> DataFrame:
-    clauses = tables.word_clauses(spark, directory, ("should", "should"))
-    return lexical.match_clauses(_documents(spark, directory), clauses)
+    return _matches(spark, directory, tables.passage_clauses(spark, directory)).select("query_id", "post_id")
 
 
 @query
 def lexical_match_not(spark: SparkSession, directory: str) -> DataFrame:
-    clauses = tables.word_clauses(spark, directory, ("must", "must_not"))
-    return lexical.match_clauses(_documents(spark, directory), clauses)
+    asked = tables.word_clauses(spark, directory, ("must", "must_not"))
+    return _matches(spark, directory, asked).select("query_id", "post_id")
 
 
 @query
 def lexical_match_phrase(spark: SparkSession, directory: str) -> DataFrame:
-    return lexical.match_clauses(_documents(spark, directory), tables.phrase_clauses(spark, directory))
+    return _matches(spark, directory, tables.phrase_clauses(spark, directory)).select("query_id", "post_id")
 
 
 @query
 def lexical_match_prefix(spark: SparkSession, directory: str) -> DataFrame:
-    return lexical.match_clauses(_documents(spark, directory), tables.prefix_clauses(spark, directory))
+    return _matches(spark, directory, tables.prefix_clauses(spark, directory)).select("query_id", "post_id")
 
 
 @query
 def lexical_score(spark: SparkSession, directory: str) -> DataFrame:
-    queries = tables.keyword_queries(spark, directory)
-    matches = _keyword_matches(spark, directory, queries, batch_figures(queries))
+    matches = _matches(spark, directory, clauses.must_clauses(tables.keyword_queries(spark, directory)))
     return matches.select("query_id", "post_id", F.round("relevance", 6).alias("relevance"))
 
 
 @query
 def lexical_topk(spark: SparkSession, directory: str) -> DataFrame:
-    queries = tables.keyword_queries(spark, directory)
-    figures = batch_figures(queries)
-    matches = _keyword_matches(spark, directory, queries, figures)
-    ranked = lexical.rank_matches(matches, queries, _origin(), figures)
+    ranked = _keyword_hits(spark, directory, tables.keyword_queries(spark, directory))
     return ranked.withColumn("score", F.round("score", 6))
 
 
 @query
 def lexical_search(spark: SparkSession, directory: str) -> DataFrame:
-    hits = search.keyword_search(
-        tables.keyword_queries(spark, directory),
-        tables.posts(spark, directory),
-        tables.threads(spark, directory),
-        _origin(),
-    )
-    return hits.withColumn("score", F.round("score", 6))
+    return _hits(spark, directory, tables.keyword_queries(spark, directory))
 
 
 @query
 def lexical_search_saved(spark: SparkSession, directory: str) -> DataFrame:
-    index = lexical.write_index(_documents(spark, directory), snapshots.scratch_directory(spark), buckets=64)
-    hits = search.keyword_search(
-        tables.keyword_queries(spark, directory),
-        tables.posts(spark, directory),
-        tables.threads(spark, directory),
-        _origin(),
-        index,
-    )
-    return hits.withColumn("score", F.round("score", 6))
+    return _hits(spark, directory, tables.keyword_queries(spark, directory), _saved_index(spark, directory))
+
+
+@query
+def lexical_search_clauses(spark: SparkSession, directory: str) -> DataFrame:
+    asked = tables.mixed_clauses(spark, directory)
+    return _hits(spark, directory, tables.mixed_queries(spark, directory), asked=asked)
+
+
+@query
+def lexical_search_clauses_saved(spark: SparkSession, directory: str) -> DataFrame:
+    asked, index = tables.mixed_clauses(spark, directory), _saved_index(spark, directory)
+    return _hits(spark, directory, tables.mixed_queries(spark, directory), index, asked)
+
+
+@query
+def lexical_search_phrases_saved(spark: SparkSession, directory: str) -> DataFrame:
+    asked, index = tables.phrase_clauses(spark, directory), _saved_index(spark, directory)
+    return _hits(spark, directory, asked.select("query_id"), index, asked)
+
+
+@query
+def lexical_search_segments(spark: SparkSession, directory: str) -> DataFrame:
+    """Search of an index to which posts were added three times, the last ones twice, and from which some were deleted."""
+    posts, threads = tables.posts(spark, directory), tables.threads(spark, directory)
+    folder = snapshots.scratch_directory(spark)
+    for part in range(3):
+        keyword_index.add(posts.where(F.col("post_id") % 3 == part), threads, folder, BUCKETS, SPAN)
+    keyword_index.add(posts.where(F.col("post_id") % 21 == 2), threads, folder)
+    index = keyword_index.delete(spark, folder, posts.where(F.col("post_id") % 10 == 0).select("post_id"))
+    return _hits(spark, directory, tables.keyword_queries(spark, directory), index)
 
 
 @query
 def queries_without_hits(spark: SparkSession, directory: str) -> DataFrame:
-    queries = tables.text_queries(spark, directory)
-    matches = _keyword_matches(spark, directory, queries, batch_figures(queries))
-    return results.queries_without_hits(queries, matches)
+    # One result of each request tells whether there is any.
+    queries = tables.keyword_queries(spark, directory)
+    return results.queries_without_hits(queries, _keyword_hits(spark, directory, queries.withColumn("max_results", F.lit(1))))
 
 
 # Embedding
@@ -542,7 +570,7 @@ def format_similarity(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def combined_search(spark: SparkSession, directory: str) -> DataFrame:
     fused = search.combined_search(
-        tables.keyword_queries(spark, directory),
+        tables.keyword_queries(spark, directory, FUSED_LIMITS),
         text_store(spark, directory),
         tables.posts(spark, directory),
         tables.threads(spark, directory),

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from forumlens.functions import text
-from forumlens.operators import knn, lexical, results
+from forumlens.operators import clauses, knn, lexical, results
 from forumlens.operators.embedding import Embedder, embed_queries
-from forumlens.operators.lexical import LexicalIndex
+from forumlens.operators.keyword_index import KeywordIndex
 from forumlens.operators.ranking import BatchFigures, batch_figures, within_own_limit
 from forumlens.schemas import DEFAULT_COSINE_RESULTS
 from forumlens.sources.snapshots import materialize
@@ -44,19 +44,36 @@ def cosine_search(
     return hits.withColumn("similarity_text", text.four_decimals(F.col("similarity")))
 
 
+def keyword_hits(
+    queries: DataFrame,
+    posts: DataFrame,
+    threads: DataFrame,
+    origin: Column,
+    saved: KeywordIndex | None = None,
+    asked: DataFrame | None = None,
+) -> DataFrame:
+    """Ranked keyword hits, written: ``query_id, rank, score, post_id, date``.
+
+    ``asked`` holds the clauses of the queries (``query_id, clause_no, kind, text``); without it every word of a query must
+    occur. A saved index stands in for reading the texts.
+    """
+    units = clauses.Units(clauses.must_clauses(queries) if asked is None else asked)
+    index = saved or clauses.index_for(posts, threads, units)
+    return materialize(clauses.ranked(index, units, queries, origin))
+
+
 def keyword_search(
     queries: DataFrame,
     posts: DataFrame,
     threads: DataFrame,
     origin: Column,
-    saved: LexicalIndex | None = None,
+    saved: KeywordIndex | None = None,
     figures: BatchFigures | None = None,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
-    """Keyword hits with their output fields. A saved index stands in for reading the texts."""
+    """Keyword hits with their output fields, see :func:`keyword_hits`."""
     figures = figures or batch_figures(queries)
-    source = saved or lexical.postings(lexical.lexical_documents(posts, threads))
-    matches = lexical.score_matches(source, queries, figures)
-    ranked = materialize(lexical.rank_matches(matches, queries, origin, figures))
+    ranked = keyword_hits(queries, posts, threads, origin, saved, asked)
     return lexical.project_hits(ranked, posts, threads, figures.few_hits)
 
 
@@ -67,11 +84,12 @@ def combined_search(
     threads: DataFrame,
     embedder: Embedder,
     origin: Column,
-    saved: LexicalIndex | None = None,
+    saved: KeywordIndex | None = None,
     use_keyword_date: bool = False,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
-    """Vector and keyword results of every query, merged newest first."""
+    """Vector and keyword results of every query, merged newest first; ``asked`` as in :func:`keyword_hits`."""
     figures = batch_figures(queries)
     details = vector_search(queries, store, posts, threads, embedder, figures)
-    keyword = keyword_search(queries, posts, threads, origin, saved, figures)
+    keyword = keyword_search(queries, posts, threads, origin, saved, figures, asked)
     return results.fuse(details, keyword, use_keyword_date)

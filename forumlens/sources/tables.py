@@ -115,48 +115,100 @@ def text_queries(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def _shortest(items, count: int):
-    """The ``count`` shortest strings of an array, equal lengths in alphabetical order."""
-    ranked = F.array_sort(F.transform(items, lambda x: F.struct(F.length(x).alias("n"), x.alias("value"))))
-    return F.transform(F.slice(ranked, 1, count), lambda s: s["value"])
+# Result limits that keyword requests have in turn, and how query ids hold item and place.
+LIMITS = (None, 1, 3, 2000)
+PLACES = 100_000
 
 
-def keyword_queries(spark: SparkSession, directory: str) -> DataFrame:
-    """Two-word requests: the two shortest words of every benchmark passage."""
-    found = F.array_distinct(text.words(F.col("query")))
-    return text_queries(spark, directory).select(
-        "query_id", text.join_words(_shortest(found, 2)).alias("query"), "max_results"
+def _places(spark: SparkSession, directory: str, first: int) -> DataFrame:
+    """``item_id, words, place``: every place of every benchmark passage, from ``first`` to its last word, which is place
+    ``size(words)``."""
+    passages = read_parquet(spark, directory, "benchmark").select("item_id", text.words(F.col("text")).alias("words"))
+    places = F.when(F.size("words") >= first, F.sequence(F.lit(first), F.size("words")))
+    return passages.select("item_id", "words", F.explode(places).alias("place"))
+
+
+def _in_turn(values: tuple, number):
+    return F.element_at(F.array(*[F.lit(value).cast("int") for value in values]), (number % len(values) + 1).cast("int"))
+
+
+def _word(offset: int):
+    """The word so many places after the place of a row; NULL beyond the passage."""
+    return F.get("words", F.col("place") - 1 + offset)
+
+
+def keyword_queries(spark: SparkSession, directory: str, limits: tuple = LIMITS) -> DataFrame:
+    """Each pair of neighbouring words of every benchmark passage, its last word alone, and a blank request."""
+    query = F.when(F.col("place") == 0, F.lit(" ")).otherwise(F.concat_ws(" ", _word(0), _word(1)))
+    return _places(spark, directory, 0).select(
+        (F.col("item_id") * PLACES + F.col("place")).alias("query_id"),
+        query.alias("query"),
+        _in_turn(limits, F.col("place")).alias("max_results"),
     )
 
 
 def word_clauses(spark: SparkSession, directory: str, kinds: tuple[str, str]) -> DataFrame:
-    """Two one-word clauses per benchmark passage, of the given kinds."""
-    found = F.array_distinct(text.words(F.col("query")))
-    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), F.col("position") + 1)
-    return (
-        text_queries(spark, directory)
-        .select("query_id", F.posexplode(_shortest(found, 2)).alias("position", "text"))
-        .select("query_id", F.col("position").alias("clause_no"), kind.alias("kind"), "text")
+    """A clause for each word of every keyword request, of the given kinds in turn."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), F.col("clause_no") + 1)
+    listed = keyword_queries(spark, directory).select("query_id", F.posexplode(text.words(F.col("query"))).alias("clause_no", "text"))
+    return listed.select("query_id", "clause_no", kind.alias("kind"), "text")
+
+
+def passage_clauses(spark: SparkSession, directory: str) -> DataFrame:
+    """Every different word of a benchmark passage as a clause of one request, of which one is enough."""
+    listed = text_queries(spark, directory).select(
+        "query_id", F.posexplode(F.array_distinct(text.words(F.col("query")))).alias("clause_no", "text")
     )
+    return listed.select("query_id", "clause_no", F.lit("should").alias("kind"), "text")
 
 
 def phrase_clauses(spark: SparkSession, directory: str) -> DataFrame:
-    """One phrase per benchmark passage: its shortest pair of neighbouring words."""
-    found = text.words(F.col("query"))
-    pairs = F.zip_with(found, F.slice(found, 2, F.size(found)), lambda a, b: F.concat(a, F.lit(" "), b))
-    pairs = F.filter(pairs, lambda p: p.isNotNull())
-    return (
-        text_queries(spark, directory)
-        .select("query_id", F.explode(_shortest(pairs, 1)).alias("text"))
-        .select("query_id", F.lit(0).alias("clause_no"), F.lit("phrase").alias("kind"), "text")
+    """Every run of 2 to 6 neighbouring words of every benchmark passage as a phrase."""
+    sized = _places(spark, directory, 1).select("*", F.explode(F.sequence(F.lit(2), F.lit(6))).alias("size"))
+    whole = sized.where(F.col("place") + F.col("size") - 1 <= F.size("words"))
+    return whole.select(
+        (F.col("item_id") * PLACES + F.col("place") * 10 + F.col("size")).alias("query_id"),
+        F.lit(0).alias("clause_no"),
+        F.lit("phrase").alias("kind"),
+        F.array_join(F.slice("words", F.col("place"), F.col("size")), " ").alias("text"),
     )
 
 
 def prefix_clauses(spark: SparkSession, directory: str) -> DataFrame:
-    """One word start per benchmark passage: three letters of its last word in the alphabet."""
-    return text_queries(spark, directory).select(
-        "query_id",
-        F.lit(0).alias("clause_no"),
-        F.lit("prefix").alias("kind"),
-        F.substring(F.array_max(text.words(F.col("query"))), 1, 3).alias("text"),
+    """Every keyword request with its last word as the start of a word."""
+    listed = keyword_queries(spark, directory).select("query_id", text.words(F.col("query")).alias("words"))
+    listed = listed.select("query_id", F.size("words").alias("size"), F.posexplode("words").alias("clause_no", "text"))
+    kind = F.when(F.col("clause_no") == F.col("size") - 1, "prefix").otherwise("must")
+    return listed.select("query_id", "clause_no", kind.alias("kind"), "text")
+
+
+def mixed_clauses(spark: SparkSession, directory: str) -> DataFrame:
+    """A request of several clauses at every place of every benchmark passage, of four shapes in turn: a required, an
+    optional and a forbidden word; a phrase of 2 to 6 words and an optional word; a required word and the start of one; two
+    optional words and a forbidden one."""
+    place = F.col("place")
+    size = (F.floor(place / 4) % 5 + 2).cast("int")
+    phrase = F.array_join(F.slice("words", place, size), " ")
+
+    def clauses(*listed):
+        return F.array(*[F.struct(F.lit(kind).alias("kind"), part.alias("text")) for kind, part in listed])
+
+    after = F.get("words", place - 1 + size)
+    shapes = (
+        F.when(place % 4 == 0, clauses(("must", _word(0)), ("should", _word(1)), ("must_not", _word(2))))
+        .when(place % 4 == 1, clauses(("phrase", phrase), ("should", after)))
+        .when(place % 4 == 2, clauses(("must", _word(0)), ("prefix", _word(1))))
+        .otherwise(clauses(("should", _word(0)), ("should", _word(1)), ("must_not", _word(2))))
+    )
+    listed = _places(spark, directory, 1).select(
+        (F.col("item_id") * PLACES + place).alias("query_id"), F.posexplode(shapes).alias("clause_no", "clause")
+    )
+    return listed.where(F.col("clause.text").isNotNull()).select("query_id", "clause_no", "clause.kind", "clause.text")
+
+
+def mixed_queries(spark: SparkSession, directory: str) -> DataFrame:
+    """``query_id, max_results`` of the requests of :func:`mixed_clauses`."""
+    return _places(spark, directory, 1).select(
+        (F.col("item_id") * PLACES + F.col("place")).alias("query_id"),
+        _in_turn(LIMITS, F.floor(F.col("place") / 4)).alias("max_results"),
     )

@@ -153,9 +153,9 @@ def test_vector_search_finds_the_text_itself(spark):
 
 
 def test_saved_index_in_combined_search(spark, small, tmp_path):
-    from forumlens.operators import lexical
+    from forumlens.operators import keyword_index
 
-    index = lexical.write_index(registry._documents(spark, small), str(tmp_path / "index"))
+    index = keyword_index.add(tables.posts(spark, small), tables.threads(spark, small), str(tmp_path / "index"), buckets=8, span=32)
     args = (
         tables.keyword_queries(spark, small), registry.text_store(spark, small), tables.posts(spark, small),
         tables.threads(spark, small), registry._embedder(), registry._origin(),

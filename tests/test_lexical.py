@@ -1,49 +1,87 @@
 import math
+import random
 
 import pytest
 import regex
 from helpers import forum, rows_of
 from pyspark.sql import functions as F
 
-from forumlens.operators import joins, lexical
+from forumlens.operators import clauses, joins, keyword_index, lexical
 from forumlens.operators.ranking import BatchFigures, batch_figures
-from forumlens.plans import registry
+from forumlens.plans import search
 from forumlens.sources import tables
 
 QUERIES = "query_id bigint, query string, max_results int"
 CLAUSES = "query_id bigint, clause_no int, kind string, text string"
+POSTS = "post_id bigint, thread_id bigint, user_name string, message string, post_date bigint"
+THREADS = "thread_id bigint, title string, last_post_date bigint, node bigint"
 
 
 def words(text):
     return regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
 
 
-def brute_force(documents, queries):
-    """All-words matches with BM25, straight from the texts."""
+def occurrences(phrase, field):
+    return sum(field[i : i + len(phrase)] == phrase for i in range(len(field) - len(phrase) + 1))
+
+
+def brute_force(documents, asked):
+    """Matches of clauses with their relevance, straight from the texts: ``asked`` lists (query, kind, text)."""
     docs = {r["post_id"]: (words(r["title"]), words(r["message"])) for r in documents.collect()}
     average = [sum(len(d[f]) for d in docs.values()) / len(docs) for f in (0, 1)]
+
+    def idf(word, place):
+        matching = sum(word in d[place] for d in docs.values())
+        return math.log(1 + (len(docs) - matching + 0.5) / (matching + 0.5))
+
+    def score(phrase, fields):
+        total = 0.0
+        for place, (field, boost) in enumerate(zip(fields, (3.0, 1.0))):
+            times = occurrences(phrase, field)
+            if times:
+                norm = 1.2 * (0.25 + 0.75 * len(field) / average[place])
+                total += boost * sum(idf(w, place) for w in phrase) * times * 2.2 / (times + norm)
+        return total
+
     out = []
-    for query_id, query, *_ in queries:
-        terms = set(words(query))
+    for query in sorted({q for q, _, _ in asked}):
         for post_id, fields in docs.items():
-            if not terms or not all(any(t in f for f in fields) for t in terms):
-                continue
-            score = 0.0
-            for term in terms:
-                for place, (field, boost) in enumerate(zip(fields, (3.0, 1.0))):
-                    matching = sum(term in d[place] for d in docs.values())
-                    tf = field.count(term)
-                    if tf:
-                        idf = math.log(1 + (len(docs) - matching + 0.5) / (matching + 0.5))
-                        norm = 1.2 * (0.25 + 0.75 * len(field) / average[place])
-                        score += boost * idf * tf * 2.2 / (tf + norm)
-            out.append((query_id, post_id, round(score, 9)))
+            total, required, forbidden, optional, any_required = 0.0, True, False, False, False
+            for _, kind, text in (a for a in asked if a[0] == query):
+                for phrase in [words(text)] if kind in ("phrase", "prefix") else [[w] for w in words(text)] or [[]]:
+                    if kind == "prefix":
+                        begins = [any(w.startswith(phrase[0]) for w in f) if phrase else False for f in fields]
+                        found, weight = any(begins), 3.0 * begins[0] + 1.0 * begins[1]
+                    else:
+                        found = bool(phrase) and any(occurrences(phrase, f) for f in fields)
+                        weight = score(phrase, fields) if found else 0.0
+                    any_required |= kind in clauses.REQUIRED
+                    required &= found or kind not in clauses.REQUIRED
+                    forbidden |= found and kind == "must_not"
+                    optional |= found and kind == "should"
+                    total += weight if kind != "must_not" else 0.0
+            if required and not forbidden and (any_required or optional):
+                out.append((query, post_id, round(total, 9)))
     return sorted(out, key=repr)
 
 
+def matched(index, asked):
+    found = clauses.matches(index, clauses.Units(asked))
+    return rows_of(found.withColumn("relevance", F.round("relevance", 9)), "query_id", "post_id", "relevance")
+
+
+def fresh(posts, threads, asked, span=2):
+    return matched(clauses.index_for(posts, threads, clauses.Units(asked), span), asked)
+
+
 @pytest.fixture(scope="module")
-def documents(spark):
-    return lexical.lexical_documents(*forum(spark))
+def tables_of(spark):
+    return forum(spark)
+
+
+@pytest.fixture(scope="module")
+def saved(tables_of, tmp_path_factory):
+    return keyword_index.add(*tables_of, str(tmp_path_factory.mktemp("index")), buckets=4, span=2)
 
 
 ASKED = [
@@ -58,20 +96,167 @@ ASKED = [
 ]
 
 
-def scored(documents, queries):
-    matches = lexical.score_matches(lexical.postings(documents), queries, batch_figures(queries))
-    return rows_of(matches.withColumn("relevance", F.round("relevance", 9)), "query_id", "post_id", "relevance")
-
-
-def test_scores_equal_brute_force(spark, documents):
-    queries = spark.createDataFrame(ASKED, QUERIES)
-    assert scored(documents, queries) == brute_force(documents, ASKED)
-
-
-def test_scores_over_the_tables(spark, small):
-    documents = registry._documents(spark, small)
-    queries = tables.keyword_queries(spark, small)
-    assert scored(documents, queries) == brute_force(documents, [tuple(r) for r in queries.collect()])
+def test_words_of_queries_equal_brute_force(spark, tables_of, saved):
+    asked = clauses.must_clauses(spark.createDataFrame(ASKED, QUERIES))
+    listed = [(q, "must", w) for q, text, _ in ASKED for w in dict.fromkeys(words(text))]
+    expected = brute_force(lexical.lexical_documents(*tables_of), listed)
+    assert fresh(*tables_of, asked) == expected
+    assert matched(saved, asked) == expected
+
+
+CASES = [
+    [("must", "quick"), ("must", "brown")], [("should", "lazy"), ("should", "answer")], [("must", "quick"), ("must_not", "lazy")],
+    [("must", "quick"), ("should", "lazy")], [("must_not", "lazy")], [("phrase", "quick brown")], [("phrase", "Brown Fox")],
+    [("phrase", "facts the")], [("phrase", "quick brown fox jumps over")], [("phrase", "quick brown fox jumps under")],
+    [("prefix", "tabell")], [("prefix", "grö")], [("prefix", "fox"), ("prefix", "qu")], [("prefix", "fox"), ("must", "see")],
+    [("should", "fox"), ("must_not", "fox")], [("phrase", "quick quick")], [("phrase", "fox")], [("must", "quick brown")],
+    [("must", "?")], [("should", "?"), ("should", "lazy")], [("phrase", ""), ("should", "fox")], [("prefix", "q"), ("should", "größen")],
+    [("must", None)], [("should", "the"), ("must_not", "absent")], [("phrase", "the quick brown"), ("phrase", "lazy dog"), ("prefix", "j")],
+]
+
+
+def test_clauses_equal_brute_force(spark, tables_of, saved):
+    listed = [(n, kind, text) for n, case in enumerate(CASES) for kind, text in case]
+    asked = spark.createDataFrame([(n, i, k, t) for n, case in enumerate(CASES) for i, (k, t) in enumerate(case)], CLAUSES)
+    expected = brute_force(lexical.lexical_documents(*tables_of), listed)
+    assert fresh(*tables_of, asked) == expected
+    assert matched(saved, asked) == expected
+
+
+def drawn(spark, count, seed, vocabulary=30):
+    """Posts over few words, one of which all have; busy threads; words repeat side by side."""
+    draw = random.Random(seed)
+    names = [f"w{i}" for i in range(vocabulary)]
+    text = lambda most: " ".join(["stop"] + draw.choices(names, range(1, vocabulary + 1), k=draw.randint(0, most)))
+    posts = [(i, 1 if i % 3 else i, "u", text(25), 1000 * (i % 40)) for i in range(1, count + 1)]
+    threads = [(i, text(4), 0, 0) for i in {p[1] for p in posts}]
+    return spark.createDataFrame(posts, POSTS), spark.createDataFrame(threads, THREADS), draw, names
+
+
+def test_phrases_of_repeated_words(spark, tmp_path):
+    posts, threads, draw, _ = drawn(spark, 150, 1, vocabulary=3)
+    listed = [(n, "phrase", " ".join(draw.choices(["w0", "w1", "w2", "stop"], k=2 + n % 5))) for n in range(40)]
+    asked = spark.createDataFrame([(n, 0, kind, text) for n, kind, text in listed], CLAUSES)
+    expected = brute_force(lexical.lexical_documents(posts, threads), listed)
+    assert expected and fresh(posts, threads, asked, 16) == expected
+    assert matched(keyword_index.add(posts, threads, str(tmp_path), 4, 16), asked) == expected
+
+
+@pytest.mark.parametrize("first_spans", [1, 4, 1000])
+def test_ranking_reads_only_what_can_matter(spark, first_spans, monkeypatch):
+    posts, threads, draw, names = drawn(spark, 400, 2)
+    listed = [(0, "must", "stop"), (1, "should", "stop"), (1, "should", "w3"), (2, "must", "w1"), (2, "should", "w29")]
+    for n in range(3, 25):
+        listed += [(n, draw.choice(["must", "should", "should", "must_not"]), draw.choice(names)) for _ in range(3)]
+        listed += [(n, "prefix", f"w{n % 10}")] * (n % 4 == 0) + [(n, "phrase", f"stop w{n}")] * (n % 5 == 0)
+    asked = spark.createDataFrame([(q, i, k, t) for i, (q, k, t) in enumerate(listed)], CLAUSES)
+    limits = [(n, (None, 1, 3, 2000)[n % 4]) for n in range(25)]
+    queries = spark.createDataFrame(limits, "query_id bigint, max_results int")
+    units, origin = clauses.Units(asked), 20_000
+    index = clauses.index_for(posts, threads, units, span=8)
+    read = []
+    score = clauses.Search.scores
+    monkeypatch.setattr(clauses.Search, "scores", lambda self, spans: read.append(spans.collect()) or score(self, spans))
+    found = clauses.ranked(index, units, queries, F.lit(origin), first_spans)
+    dates = {r["post_id"]: r["post_date"] for r in posts.collect()}
+    expected = {}
+    for query, post, relevance in brute_force(lexical.lexical_documents(posts, threads), listed):
+        score_of = relevance + 0.5 ** (abs(dates[post] - origin) / 864000)
+        expected.setdefault(query, []).append((-round(score_of, 8), -dates[post], post))
+    got = {}
+    for row in found.collect():
+        got.setdefault(row["query_id"], []).append((row["rank"], row["post_id"]))
+    for query, most in limits:
+        best = sorted(expected.get(query, []))[: 10 if most is None else most]
+        assert [post for _, post in sorted(got.get(query, []))] == [post for _, _, post in best], query
+    if first_spans == 1:
+        of_one = [row for rows in read for row in rows if row["query_id"] == 1]
+        assert len(of_one) < 50 / 2  # 50 spans hold the stop word; the query wants one post
+
+
+def test_many_required_words(spark):
+    text = " ".join(f"w{i}" for i in range(150))
+    posts = spark.createDataFrame([(1, 1, "u", text, 0), (2, 1, "u", text.replace("w70 ", ""), 0)], POSTS)
+    threads = spark.createDataFrame([(1, "t", 0, 0)], THREADS)
+    asked = clauses.must_clauses(spark.createDataFrame([(1, text, None), (2, text.replace("w70 ", ""), None)], QUERIES))
+    assert [(q, p) for q, p, _ in fresh(posts, threads, asked)] == [(1, 1), (2, 1), (2, 2)]
+
+
+def test_joins_without_broadcast_give_the_same(spark, tables_of, monkeypatch):
+    asked = spark.createDataFrame([(n, i, k, t) for n, case in enumerate(CASES) for i, (k, t) in enumerate(case)], CLAUSES)
+    expected = fresh(*tables_of, asked)
+    monkeypatch.setattr(clauses, "BROADCAST_ROWS", -1)
+    assert fresh(*tables_of, asked) == expected
+
+
+def test_no_posts_and_no_clauses(spark, tables_of):
+    posts, threads = tables_of
+    asked = spark.createDataFrame([(1, 0, "must", "quick"), (2, 0, "prefix", "q")], CLAUSES)
+    assert fresh(posts.where("false"), threads, asked) == []
+    assert fresh(posts, threads, asked.where("false")) == []
+    assert rows_of(search.keyword_hits(spark.createDataFrame([], QUERIES), posts, threads, F.lit(0))) == []
+
+
+def figures_of(index):
+    return rows_of(index.corpus), rows_of(index.terms, "term", "title_posts", "message_posts")
+
+
+def test_segments_equal_an_index_built_anew(spark, tmp_path):
+    posts, threads, draw, names = drawn(spark, 120, 3)
+    listed = [(n, kind, text) for n in range(30) for kind, text in [("must", draw.choice(names)), ("should", draw.choice(names))]]
+    listed += [(100 + n, "phrase", f"stop w{n}") for n in range(30)] + [(200 + n, "prefix", f"w{n}") for n in range(10)]
+    asked = spark.createDataFrame([(q, i, k, t) for i, (q, k, t) in enumerate(listed)], CLAUSES)
+    folder = str(tmp_path / "segments")
+    for part in range(3):
+        keyword_index.add(posts.where(F.col("post_id") % 3 == part), threads, folder, 4, 16)
+    changed = posts.where("post_id % 7 = 1").withColumn("message", F.concat(F.lit("new w5 w5 "), "message"))
+    keyword_index.add(changed, threads, folder)  # replaces what the index has of these posts
+    gone = posts.where("post_id % 5 = 0").select("post_id").union(spark.createDataFrame([(9999,)], "post_id bigint"))
+    index = keyword_index.delete(spark, folder, gone)
+    left = posts.where("post_id % 7 <> 1").unionByName(changed).where("post_id % 5 <> 0")
+    anew = keyword_index.add(left, threads, str(tmp_path / "anew"), 4, 16)
+    assert figures_of(index) == figures_of(anew)
+    expected = brute_force(lexical.lexical_documents(left, threads), listed)
+    assert matched(index, asked) == expected == matched(anew, asked)
+    packed = keyword_index.compact(spark, folder)
+    assert packed.deleted is None and figures_of(packed) == figures_of(anew)
+    assert matched(packed, asked) == expected
+
+
+def test_a_writer_that_stops_leaves_the_index_as_it_was(spark, tables_of, tmp_path, monkeypatch):
+    posts, threads = tables_of
+    folder = str(tmp_path)
+    keyword_index.add(posts.where("post_id < 4"), threads, folder, 4, 2)
+    before = figures_of(keyword_index.read(spark, folder))
+    publish = keyword_index.publish
+    monkeypatch.setattr(keyword_index, "publish", lambda *args: (_ for _ in ()).throw(RuntimeError("stopped")))
+    with pytest.raises(RuntimeError):
+        keyword_index.add(posts.where("post_id >= 4"), threads, folder)
+    assert figures_of(keyword_index.read(spark, folder)) == before
+    monkeypatch.setattr(keyword_index, "publish", publish)
+    index = keyword_index.add(posts.where("post_id >= 4"), threads, folder)
+    assert rows_of(index.corpus, "posts") == [(5,)]
+    with pytest.raises(ValueError):
+        keyword_index.read(spark, str(tmp_path / "nothing"))
+
+
+def test_index_holds_positions_and_no_text(saved):
+    assert "message" not in saved.postings.columns and "title" not in saved.postings.columns
+    quick = saved.postings.where("term = 'quick' and post_id = 2 and field = 1").first()
+    assert (quick["positions"], quick["length"]) == ([1, 5, 6], 7)
+
+
+def test_saved_index_reads_only_the_asked_buckets(spark, saved):
+    asked = clauses.must_clauses(spark.createDataFrame([(1, "quick", None)], QUERIES))
+    plan = clauses.matches(saved, clauses.Units(asked))._jdf.queryExecution().executedPlan().toString()
+    postings = [l for l in plan.splitlines() if "FileScan" in l and "positions" in l]
+    assert postings and all("dynamicpruning" in line for line in postings)
+
+
+def test_messages_do_not_move(tables_of):
+    plan = keyword_index.field_postings(*tables_of)._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        assert not ("Exchange" in line and ("message" in line or "words" in line))
 
 
 def test_figures_of_a_batch(spark):
@@ -79,106 +264,21 @@ def test_figures_of_a_batch(spark):
     assert batch_figures(spark.createDataFrame([], QUERIES)) == BatchFigures(0, 0, 0)
 
 
-def test_salted_joins_give_the_same_rows(spark, small, monkeypatch):
-    documents = registry._documents(spark, small)
-    queries = tables.keyword_queries(spark, small)
-    clauses = tables.word_clauses(spark, small, ("must", "must_not"))
-    scores, matches = scored(documents, queries), rows_of(lexical.match_clauses(documents, clauses))
-    monkeypatch.setattr(BatchFigures, "few_words", False)
-    monkeypatch.setattr(lexical, "BROADCAST_ROWS", -1)
-    assert scored(documents, queries) == scores
-    assert rows_of(lexical.match_clauses(documents, clauses)) == matches
-
-
-def test_saved_index_gives_the_same_hits(spark, documents, tmp_path):
-    queries = spark.createDataFrame(ASKED, QUERIES)
-    index = lexical.write_index(documents, str(tmp_path / "index"), buckets=8)
-    matches = lexical.score_matches(index, queries, batch_figures(queries))
-    rounded = matches.withColumn("relevance", F.round("relevance", 9))
-    assert rows_of(rounded, "query_id", "post_id", "relevance") == scored(documents, queries)
-    fresh = lexical.postings(documents)
-    assert rows_of(lexical.corpus_statistics(index.postings)) == rows_of(lexical.corpus_statistics(fresh))
-    assert rows_of(lexical.document_frequency(index.postings)) == rows_of(lexical.document_frequency(fresh))
-
-
-def test_saved_index_reads_only_the_asked_buckets(spark, documents, tmp_path):
-    index = lexical.write_index(documents, str(tmp_path / "index"), buckets=8)
-    queries = spark.createDataFrame([(1, "quick", None)], QUERIES)
-    matches = lexical.score_matches(index, queries, batch_figures(queries))
-    scans = [l for l in matches._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in l]
-    postings = [l for l in scans if "message_length" in l]
-    assert len(postings) == 1 and "dynamicpruning" in postings[0]
-
-
-def test_ranking_uses_each_limit_and_breaks_ties(spark):
-    matches = spark.createDataFrame(
-        [(1, 5, 100, 1.0), (1, 4, 100, 1.0), (1, 3, 200, 0.5), (1, 2, None, 9.0), (2, 5, 100, 1.0), (2, 6, 100, 2.0)],
-        "query_id bigint, post_id bigint, date bigint, relevance double",
-    )
-    queries = spark.createDataFrame([(1, "x", None), (2, "x", 1), (3, "x", 0)], QUERIES)
-    ranked = lexical.rank_matches(matches, queries, F.lit(100), batch_figures(queries))
-    assert rows_of(ranked, "query_id", "rank", "post_id") == [(1, 1, 2), (1, 2, 4), (1, 3, 5), (1, 4, 3), (2, 1, 6)]
-
-
-def test_posts_without_a_thread_stay_searchable(spark):
-    posts, threads = forum(spark)
-    documents = lexical.lexical_documents(posts, threads.where("thread_id <> 1"))
-    queries = spark.createDataFrame([(1, "quick", None)], QUERIES)
-    found = lexical.score_matches(lexical.postings(documents), queries, batch_figures(queries))
-    assert rows_of(found, "post_id") == [(1,), (2,), (5,)]
-
-
-@pytest.mark.parametrize(
-    "clauses, expected",
-    [
-        ([("must", "quick"), ("must", "brown")], [1, 2, 5]),
-        ([("should", "lazy"), ("should", "answer")], [1, 2]),
-        ([("must", "quick"), ("must_not", "lazy")], [2, 5]),
-        ([("must", "quick"), ("should", "lazy")], [1, 2, 5]),
-        ([("must_not", "lazy")], []),
-        ([("phrase", "quick brown")], [1]),
-        ([("phrase", "Brown Fox")], [1, 2, 3]),
-        ([("phrase", "facts the")], []),
-        ([("phrase", "quick brown fox jumps over")], [1]),
-        ([("phrase", "quick brown fox jumps under")], []),
-        ([("prefix", "tabell")], [4, 5]),
-        ([("prefix", "grö")], [4, 5]),
-        # Every post of thread 1 has "fox" through its title.
-        ([("prefix", "fox"), ("prefix", "qu")], [1, 2]),
-        ([("prefix", "fox"), ("must", "see")], [3]),
-        ([("should", "fox"), ("must_not", "fox")], []),
-    ],
-)
-def test_clauses(spark, documents, clauses, expected):
-    frame = spark.createDataFrame([(7, i, kind, text) for i, (kind, text) in enumerate(clauses)], CLAUSES)
-    assert rows_of(lexical.match_clauses(documents, frame), "post_id") == [(p,) for p in expected]
-
-
-def test_many_queries_at_once(spark, documents):
-    frame = spark.createDataFrame(
-        [(1, 0, "must", "quick"), (2, 0, "phrase", "the lazy dog"), (2, 1, "prefix", "jump"), (3, 0, "prefix", "zzz")],
-        CLAUSES,
-    )
-    assert rows_of(lexical.match_clauses(documents, frame), "query_id", "post_id") == [(1, 1), (1, 2), (1, 5), (2, 1)]
-
-
-def test_hot_word_and_hot_thread(spark):
-    """A third of all words are one word and one thread holds most posts; no row is lost."""
-    posts = spark.range(1, 3001).select(
-        F.col("id").alias("post_id"),
-        F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).cast("bigint").alias("thread_id"),
-        F.lit("ann").alias("user_name"),
-        F.concat(F.lit("hot hot "), (F.col("id") % 7).cast("string"), F.lit(" hot cold w"), F.col("id")).alias("message"),
-        F.col("id").alias("post_date"),
-    )
-    threads = posts.select("thread_id").distinct().withColumns(
-        {"title": F.lit("hot topic"), "last_post_date": F.lit(1), "node": F.lit(0)}
-    )
-    documents = lexical.lexical_documents(posts, threads)
-    queries = spark.createDataFrame([(1, "hot 3", None), (2, "w77 hot", None)], QUERIES)
-    matches = lexical.score_matches(lexical.postings(documents), queries, batch_figures(queries))
-    assert matches.where("query_id = 1").count() == sum(i % 7 == 3 for i in range(1, 3001))
-    assert rows_of(matches.where("query_id = 2"), "post_id") == [(77,)]
+def test_requests_cover_whole_passages(spark, small):
+    passages = {r["query_id"]: words(r["query"]) for r in tables.text_queries(spark, small).collect()}
+    pairs = {}
+    for row in tables.keyword_queries(spark, small).collect():
+        pairs.setdefault(row["query_id"] // tables.PLACES, []).append((row["query_id"] % tables.PLACES, row["query"], row["max_results"]))
+    for item, listed in passages.items():
+        own = sorted(pairs[item])
+        assert [q.split() for _, q, _ in own] == [[]] + [listed[i : i + 2] for i in range(len(listed))]
+        assert [limit for _, _, limit in own[:4]] == [None, 1, 3, 2000]
+
+
+def test_posts_without_a_thread_stay_searchable(spark, tables_of):
+    posts, threads = tables_of
+    asked = clauses.must_clauses(spark.createDataFrame([(1, "quick", None)], QUERIES))
+    assert [p for _, p, _ in fresh(posts, threads.where("thread_id <> 1"), asked)] == [1, 2, 5]
 
 
 def test_lookup_join_salting(spark):
