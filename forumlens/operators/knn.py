@@ -1,24 +1,28 @@
 """Exact nearest neighbours of a batch of query vectors.
 
-Every task scores blocks of stored vectors against the query matrix and keeps the best k per query, so a
-task sends k rows per query to the final ranking and vectors never shuffle. A query batch travels to the tasks
-in slices of bounded size, each of which meets the corpus where it is stored. Vectors are compared with queries
-of their own length, whatever other lengths the batch holds.
+The store is read once, where it lies. A task holds a chunk of its vectors, grouped by their nearest pivot, and reads the
+query batch from the shared folder slice by slice; no query passes through the driver. Pivots are stored vectors, so the
+k-th nearest of them bounds how far a neighbour of a query can be, and by the triangle inequality a group whose pivot is
+farther than that bound and the group's radius together holds none: it is skipped. Of the other groups the best k are kept
+per query, so a task sends at most k rows per query and chunk to the final ranking and vectors never shuffle. Vectors are
+compared with queries of their own length, whatever other lengths the batch holds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from forumlens.operators.ranking import top_per_query
-from forumlens.sources.snapshots import materialize
+from forumlens.sources.snapshots import materialize, scratch_directory
 
 L2 = "l2"
 COSINE = "cosine"
@@ -26,9 +30,11 @@ COSINE = "cosine"
 # Scores are compared at this many decimals, so that equal scores stay ties whatever order their sums ran in.
 RANK_DECIMALS = 9
 
-# A slice of the query batch has about so many vectors and numbers (128 MB of doubles) at most.
-BROADCAST_QUERIES = 4096
-BROADCAST_VALUES = 1 << 24
+# A slice of the query batch has so many vectors and numbers (32 MB of doubles) at most, and a chunk of stored vectors so
+# many numbers (128 MB of doubles).
+SLICE_QUERIES, SLICE_VALUES, CHUNK_VALUES = 4096, 1 << 22, 1 << 24
+# Stored vectors that reach the driver and every task as pivots, and their numbers at most.
+PIVOTS, PIVOT_VALUES = 512, 1 << 20
 _BLOCK_SCORES = 1 << 22
 _EXACT_VALUES = 1 << 23
 
@@ -65,41 +71,41 @@ def _matrix(vectors: pa.ListArray, dim: int, metric: str) -> tuple[np.ndarray, n
 
 
 class _BestHits:
-    """The best k hits of every query of a block seen so far by one task."""
+    """The best k hits of every query of a block seen so far; ``worst`` are scores that better ones must not exceed."""
 
-    def __init__(self, block: QueryBlock, k: int, metric: str, columns: list[str]):
+    def __init__(self, block: QueryBlock, k: int, metric: str, columns: list[str], worst: np.ndarray | None = None):
         self.block, self.k, self.metric, self.columns = block, k, metric, columns
         self.squares = (block.matrix * block.matrix).sum(axis=1)
         self.query = np.empty(0, dtype=np.int64)
         self.score = np.empty(0)
         self.rows: pa.Table | None = None
-        self.worst = np.full(len(block.ids), np.inf)
+        self.worst = np.full(len(block.ids), np.inf) if worst is None else worst.copy()
 
-    def add(self, batch: pa.RecordBatch) -> None:
-        found, matrix = _matrix(batch.column("embedding"), self.block.matrix.shape[1], self.metric)
-        payload = pa.Table.from_batches([batch.select(self.columns)])
-        step = max(1, _BLOCK_SCORES // max(1, len(self.block.ids)))
-        for start in range(0, len(found), step):
-            self._add_block(matrix[start : start + step], payload.take(pa.array(found[start : start + step])))
+    def add(self, vectors: np.ndarray, payload: pa.Table, asked: np.ndarray) -> None:
+        """Compare vectors with the queries whose places are ``asked``."""
+        step = max(1, _BLOCK_SCORES // max(1, len(asked)))
+        for start in range(0, len(vectors), step):
+            self._add_block(vectors[start : start + step], payload.slice(start, step), asked)
 
-    def _add_block(self, vectors: np.ndarray, payload: pa.Table) -> None:
-        queries = self.block.matrix
+    def _add_block(self, vectors: np.ndarray, payload: pa.Table, asked: np.ndarray) -> None:
+        queries = self.block.matrix[asked]
         # Rough scores from one matrix product, then exact scores for the few pairs that can still win.
         rough = vectors @ queries.T
         if self.metric == L2:
             squares = (vectors * vectors).sum(axis=1)
-            size = squares[:, None] + self.squares[None, :]
+            size = squares[:, None] + self.squares[asked][None, :]
             rough = size - 2.0 * rough
-            margin = 4.0 * queries.shape[1] * np.finfo(np.float64).eps * float(size.max()) + 10.0**-RANK_DECIMALS
+            margin = _rounding(queries.shape[1], float(size.max())) + 10.0**-RANK_DECIMALS
         else:
             rough = -rough
-            margin = 4.0 * queries.shape[1] * np.finfo(np.float64).eps + 10.0**-RANK_DECIMALS
-        bound = self.worst
+            margin = _rounding(queries.shape[1], 1.0) + 10.0**-RANK_DECIMALS
+        bound = self.worst[asked]
         if len(vectors) > self.k:
             bound = np.minimum(bound, np.partition(rough, self.k - 1, axis=0)[self.k - 1] + margin)
-        row, query = np.nonzero(rough <= bound + margin)
+        row, place = np.nonzero(rough <= bound + margin)
         if not len(row):
             return
+        query = asked[place]
         self._merge(query, self._exact(vectors, row, query), payload.take(pa.array(row)))
 
     def _exact(self, vectors: np.ndarray, row: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -124,40 +130,181 @@ class _BestHits:
         keep = order[place < self.k]
         last = order[place == self.k - 1]
         self.query, self.score, self.rows = query[keep], score[keep], rows.take(pa.array(keep))
-        self.worst[query[last]] = rounded[last]
+        self.worst[query[last]] = np.minimum(self.worst[query[last]], rounded[last])
 
-    def result(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    def result(self) -> dict[str, pa.Array]:
         if self.rows is None:
-            return
+            return {}
         columns = {"query_id": pa.array(self.block.ids[self.query]), "score": pa.array(self.score)}
-        columns |= {name: self.rows.column(name) for name in self.columns}
-        yield from pa.table([columns[name] for name in schema.names], schema=schema).to_batches()
+        return columns | {name: self.rows.column(name) for name in self.columns}
+
+
+def _rounding(dim: int, size: float) -> float:
+    """How far a sum of products may be off."""
+    return 4.0 * dim * np.finfo(np.float64).eps * size
+
+
+@dataclass(frozen=True)
+class Pivots:
+    """Pivots of one vector length, as rows of a matrix (of unit length for cosine)."""
+
+    matrix: np.ndarray
+
+    def distances(self, vectors: np.ndarray) -> tuple[np.ndarray, float]:
+        """Distances to all pivots, and how far they may be off."""
+        squares, own = (vectors * vectors).sum(axis=1), (self.matrix * self.matrix).sum(axis=1)
+        size = squares[:, None] + own[None, :]
+        off = _rounding(vectors.shape[1], float(size.max(initial=0.0)))
+        return np.sqrt(np.maximum(size - 2.0 * (vectors @ self.matrix.T), 0.0)), math.sqrt(off)
 
 
-def _hit_schema(corpus: DataFrame, columns: list[str]) -> T.StructType:
+@dataclass
+class _Chunk:
+    """Stored vectors of one length, in groups of a common nearest pivot."""
+
+    vectors: np.ndarray
+    payload: pa.Table
+    pivots: Pivots | None
+    groups: np.ndarray
+    starts: np.ndarray
+    radii: np.ndarray
+    off: float
+
+    @staticmethod
+    def of(vectors: np.ndarray, payload: pa.Table, pivots: Pivots | None) -> _Chunk:
+        if pivots is None:
+            return _Chunk(vectors, payload, None, np.zeros(1, np.int64), np.array([0, len(vectors)]), np.zeros(1), 0.0)
+        nearest, distance, off = np.empty(len(vectors), np.int64), np.empty(len(vectors)), 0.0
+        step = max(1, _BLOCK_SCORES // len(pivots.matrix))
+        for start in range(0, len(vectors), step):
+            part = slice(start, start + step)
+            found, part_off = pivots.distances(vectors[part])
+            nearest[part] = found.argmin(axis=1)
+            distance[part] = found.min(axis=1)
+            off = max(off, part_off)
+        order = np.argsort(nearest, kind="stable")
+        groups, starts = np.unique(nearest[order], return_index=True)
+        radii = np.maximum.reduceat(distance[order], starts) if len(starts) else np.empty(0)
+        return _Chunk(vectors[order], payload.take(pa.array(order)), pivots, groups, np.append(starts, len(order)), radii, off)
+
+    def search(self, block: QueryBlock, k: int, metric: str, columns: list[str]) -> tuple[_BestHits, int, int]:
+        """The best hits of the block here, the pairs of a query and a group, and how many of them were compared."""
+        everyone = np.arange(len(block.ids))
+        if self.pivots is None:
+            best = _BestHits(block, k, metric, columns)
+            best.add(self.vectors, self.payload, everyone)
+            return best, len(everyone), len(everyone)
+        distance, off = self.pivots.distances(block.matrix)
+        off += self.off
+        reach = np.full(len(everyone), np.inf)
+        if len(self.pivots.matrix) >= k:
+            reach = np.partition(distance, k - 1, axis=1)[:, k - 1] + off
+        score = reach * reach if metric == L2 else reach * reach / 2.0 - 1.0
+        best = _BestHits(block, k, metric, columns, score + 10.0**-RANK_DECIMALS)
+        compared = 0
+        # Groups that lie nearest to the block come first, so that later ones meet lower bounds.
+        for place in np.argsort(distance[:, self.groups].min(axis=0), kind="stable"):
+            bound = best.worst if metric == L2 else 2.0 + 2.0 * best.worst
+            reach = np.sqrt(np.maximum(bound, 0.0)) + 2.0 * off + 1e-7
+            asked = np.flatnonzero(distance[:, self.groups[place]] - self.radii[place] <= reach)
+            compared += len(asked)
+            if len(asked):
+                rows = slice(self.starts[place], self.starts[place + 1])
+                best.add(self.vectors[rows], self.payload.slice(rows.start, rows.stop - rows.start), asked)
+        return best, len(everyone) * len(self.groups), compared
+
+
+def _schema(corpus: DataFrame, columns: list[str]) -> T.StructType:
+    """Hits, and for every task and slice one row without a query that says how many pairs of query and group were met."""
     fields = [T.StructField("query_id", T.LongType()), T.StructField("score", T.DoubleType())]
-    return T.StructType(fields + [corpus.schema[name] for name in columns])
+    fields += [corpus.schema[name] for name in columns]
+    return T.StructType([*fields, T.StructField("pairs", T.LongType()), T.StructField("compared", T.LongType())])
+
 
+def _slices(folder: str) -> Iterator[pa.Table]:
+    """The row groups of a Parquet folder, one at a time."""
+    files, path = pa.fs.FileSystem.from_uri(folder)
+    found = files.get_file_info(pa.fs.FileSelector(path))
+    for name in sorted(one.path for one in found if one.base_name.endswith(".parquet")):
+        with files.open_input_file(name) as file:
+            parquet = pq.ParquetFile(file)
+            for number in range(parquet.num_row_groups):
+                yield parquet.read_row_group(number)
 
-def _arrow_schema(schema: T.StructType) -> pa.Schema:
-    arrow = {T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.IntegerType(): pa.int32()}
-    return pa.schema([pa.field(f.name, arrow[f.dataType]) for f in schema])
 
+def _pivots(stored: DataFrame, metric: str, count: int) -> dict[int, Pivots]:
+    """Some stored vectors by their length. Any will do: they decide what is skipped, never what is found."""
+    sample = stored.select("embedding").limit(count).toArrow().column("embedding").combine_chunks()
+    lengths = np.unique(pc.list_value_length(sample).to_numpy()) if len(sample) else []
+    found = {int(length): _matrix(sample, int(length), metric)[1] for length in lengths if length}
+    return {length: Pivots(matrix[: max(1, PIVOT_VALUES // length)]) for length, matrix in found.items() if len(matrix)}
 
-def _scan(corpus: DataFrame, blocks: list[QueryBlock], k: int, metric: str, columns: list[str]) -> DataFrame:
-    schema = _hit_schema(corpus, columns)
-    arrow = _arrow_schema(schema)
-    shared = corpus.sparkSession.sparkContext.broadcast(blocks)
 
-    def best_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [_BestHits(block, k, metric, columns) for block in shared.value]
-        for batch in batches:
-            for best in found:
-                best.add(batch)
-        for best in found:
-            yield from best.result(arrow)
+def scan(
+    queries: DataFrame, corpus: DataFrame, k: int, metric: str, columns: list[str], slice_queries: int, pivots: int
+) -> DataFrame:
+    """Candidates of every query from every chunk of the store, written, and the figures of the scan.
 
-    return corpus.mapInArrow(best_of_partition, schema)
+    The batch of queries is written to the shared folder in slices, which every task reads through Arrow's file systems.
+    """
+    spark = corpus.sparkSession
+    batch = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
+    stored = corpus.select("embedding", *columns).where(F.col("embedding").isNotNull())
+    dim = batch.agg(F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()[0]
+    folder = scratch_directory(spark)
+    rows = max(1, min(slice_queries, SLICE_VALUES // max(1, dim)))
+    batch.write.option("parquet.block.row.count.limit", rows).parquet(folder)
+    uri = folder if "://" in folder or ":/" in folder else f"file://{folder}"
+    uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    shared = spark.sparkContext.broadcast(_pivots(stored, metric, pivots) if k else {})
+    schema = _schema(corpus, columns)
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, values = [], 0
+        for one in batches:
+            held.append(one)
+            values += len(one.column("embedding").flatten())
+            if values >= CHUNK_VALUES:
+                yield pa.Table.from_batches(held)
+                held, values = [], 0
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def of_chunk(chunk: pa.Table, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+        vectors = chunk.column("embedding").combine_chunks()
+        payload, known = chunk.select(columns), {}
+        for part in _slices(uri):
+            pairs = compared = 0
+            for block in QueryBlock.by_length(part, metric):
+                length = block.matrix.shape[1]
+                if length not in known:
+                    found, matrix = _matrix(vectors, length, metric)
+                    known[length] = _Chunk.of(matrix, payload.take(pa.array(found)), shared.value.get(length))
+                best, met, read = known[length].search(block, k, metric, columns)
+                pairs, compared = pairs + met, compared + read
+                result = best.result()
+                if result:
+                    empty = pa.nulls(len(result["score"]), pa.int64())
+                    listed = result | {"pairs": empty, "compared": empty}
+                    yield from pa.table([listed[name] for name in arrow.names], schema=arrow).to_batches()
+            figures = {name: pa.nulls(1, arrow.field(name).type) for name in arrow.names}
+            figures |= {"pairs": pa.array([pairs]), "compared": pa.array([compared])}
+            yield pa.RecordBatch.from_arrays(list(figures.values()), schema=arrow)
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = pa.schema([pa.field(field.name, _ARROW[field.dataType]) for field in schema])
+        for chunk in chunks(batches):
+            yield from of_chunk(chunk, arrow)
+
+    return materialize(stored.mapInArrow(of_task, schema))
+
+
+_ARROW = {T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.IntegerType(): pa.int32()}
+
+
+def scanned_share(scanned: DataFrame) -> DataFrame:
+    """``pairs, compared``: pairs of a query and a group of stored vectors, and those that were not skipped."""
+    return scanned.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"))
 
 
 def nearest(
@@ -166,8 +313,9 @@ def nearest(
     k: int,
     metric: str = L2,
     carry: tuple[str, ...] = ("post_id", "thread_id"),
-    broadcast_queries: int = BROADCAST_QUERIES,
+    slice_queries: int = SLICE_QUERIES,
     scan_tasks: int | None = None,
+    pivots: int = PIVOTS,
 ) -> DataFrame:
     """The ``k`` nearest stored vectors of every query.
 
@@ -176,24 +324,24 @@ def nearest(
     (cosine, descending). Equal scores rank by ``vec_id``. Vectors without a score (NULL, other length, not
     finite, zero for cosine) are left out, and a query gets fewer than ``k`` rows when fewer exist.
 
-    Each task of the scan hands ``k`` rows per query to the ranking. For a large batch over very many splits,
+    Each chunk of the scan hands at most ``k`` rows per query to the ranking. For a large batch over very many splits,
     ``scan_tasks`` lets fewer tasks read several splits each, without a shuffle.
     """
     columns = ["vec_id", *carry]
-    batch = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
-    stored = corpus.select("embedding", *columns).where(F.col("embedding").isNotNull())
-    figures = batch.agg(F.count("*").alias("rows"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("dim")).first()
-    slice_rows = max(1, min(broadcast_queries, BROADCAST_VALUES // max(1, figures["dim"])))
-    slices = max(1, -(-figures["rows"] // slice_rows))
-    stored = stored.coalesce(scan_tasks) if scan_tasks else stored
-    # Several slices are read from a written table, one at a time.
-    batch = materialize(batch) if slices > 1 else batch
-    part = F.pmod(F.xxhash64("query_id"), F.lit(slices))
-    scans = [
-        _scan(stored, QueryBlock.by_length(own.toArrow(), metric), max(k, 1), metric, columns)
-        for own in ([batch.where(part == n) for n in range(slices)] if slices > 1 else [batch])
-    ]
-    hits = reduce(DataFrame.unionByName, scans)
-    ranked = top_per_query(hits, [F.round("score", RANK_DECIMALS), F.col("vec_id")], k)
+    corpus = corpus.coalesce(scan_tasks) if scan_tasks else corpus
+    scanned = scan(queries, corpus, max(k, 0), metric, columns, slice_queries, pivots) if k > 0 else None
+    return ranked(scanned, k, metric, columns) if scanned is not None else _nothing(corpus, metric, columns)
+
+
+def ranked(scanned: DataFrame, k: int, metric: str, columns: list[str]) -> DataFrame:
+    """The best candidates of every query, over all chunks."""
+    hits = scanned.where(F.col("query_id").isNotNull()).drop("pairs", "compared")
+    found = top_per_query(hits, [F.round("score", RANK_DECIMALS), F.col("vec_id")], k)
     name, sign = ("distance", 1) if metric == L2 else ("similarity", -1)
-    return ranked.select("query_id", "rank", *columns, (sign * F.col("score")).alias(name))
+    return found.select("query_id", "rank", *columns, (sign * F.col("score")).alias(name))
+
+
+def _nothing(corpus: DataFrame, metric: str, columns: list[str]) -> DataFrame:
+    name = "distance" if metric == L2 else "similarity"
+    blank = corpus.limit(0).select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("rank"), *columns, F.lit(0.0).alias(name))
+    return blank

@@ -47,7 +47,7 @@ def test_equals_brute_force(spark, metric, grid):
     vectors += [(1000, None), (1001, [1.0, 2.0]), (1002, [float("nan")] * 6), (1003, [0.0] * 6)]
     queries = [(i, (rng.integers(-2, 3, size=6) / 2).tolist()) for i in range(23)] + [(99, None)]
     q, corpus = frames(spark, vectors, queries)
-    limits = {"broadcast_queries": 5} if grid else {}
+    limits = {"slice_queries": 5, "pivots": 20} if grid else {}
     hits = knn.nearest(q, corpus, 7, metric, **limits)
     assert rows_of(hits, "query_id", "rank", "vec_id") == brute_force(vectors, queries, 7, metric)
 
@@ -72,28 +72,55 @@ def test_blocks_inside_a_task(spark, monkeypatch):
     import pyarrow as pa
 
     best = knn._BestHits(block, 3, knn.L2, ["vec_id"])
-    table = pa.table({"vec_id": [i for i, _ in vectors], "embedding": pa.array([v for _, v in vectors], pa.list_(pa.float32()))})
-    for batch in table.to_batches(max_chunksize=130):
-        best.add(batch)
-    found = sorted(zip(best.query.tolist(), best.rows.column("vec_id").to_pylist()))
     matrix = np.array([v for _, v in vectors], dtype=np.float32).astype(float)
+    for start in range(0, 500, 130):
+        payload = pa.table({"vec_id": [i for i, _ in vectors[start : start + 130]]})
+        best.add(matrix[start : start + 130], payload, np.arange(9))
+    found = sorted(zip(best.query.tolist(), best.rows.column("vec_id").to_pylist()))
     expected = []
     for number, q in enumerate(block.matrix):
         expected += [(number, int(i)) for i in np.argsort(((matrix - q) ** 2).sum(axis=1))[:3]]
     assert found == sorted(expected)
 
 
-def test_wide_queries_come_in_slices(spark, monkeypatch):
+@pytest.mark.parametrize("metric", [knn.L2, knn.COSINE])
+def test_slices_chunks_and_pivots_change_nothing(spark, monkeypatch, metric):
     rng = np.random.default_rng(9)
+    vectors = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(300)]
+    q, corpus = frames(spark, vectors, vectors[:40])
+    expected = brute_force(vectors, vectors[:40], 4, metric)
+    for values, chunk, pivots in ((1 << 22, 1 << 24, 512), (16, 80, 30), (64, 400, 2), (8, 8, 1)):
+        monkeypatch.setattr(knn, "SLICE_VALUES", values)
+        monkeypatch.setattr(knn, "CHUNK_VALUES", chunk)
+        assert rows_of(knn.nearest(q, corpus, 4, metric, pivots=pivots), "query_id", "rank", "vec_id") == expected
+
+
+@pytest.mark.parametrize("metric", [knn.L2, knn.COSINE])
+def test_groups_out_of_reach_are_skipped(spark, metric):
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(12, 16)) * 10
+    spread = [(centres[i % 12] + rng.normal(size=16) * 0.05).astype(np.float32).tolist() for i in range(1200)]
+    vectors = list(enumerate(spread)) + [(2000 + i, spread[0]) for i in range(400)]  # a quarter are copies
+    q, corpus = frames(spark, vectors, vectors[:60], partitions=3)
+    scanned = knn.scan(q, corpus, 5, metric, ["vec_id"], 4096, 512)
+    found = knn.ranked(scanned, 5, metric, ["vec_id"])
+    assert rows_of(found, "query_id", "rank", "vec_id") == brute_force(vectors, vectors[:60], 5, metric)
+    figures = knn.scanned_share(scanned).first()
+    assert 0 < figures["compared"] < 0.3 * figures["pairs"]
+
+
+def test_queries_do_not_reach_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    rng = np.random.default_rng(11)
     vectors = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(60)]
-    q, corpus = frames(spark, vectors, vectors[:9])
-    expected = rows_of(knn.nearest(q, corpus, 4), "query_id", "rank", "vec_id")
-    monkeypatch.setattr(knn, "BROADCAST_VALUES", 16)
-    scans = []
-    scan = knn._scan
-    monkeypatch.setattr(knn, "_scan", lambda *args: scans.append(args) or scan(*args))
-    assert rows_of(knn.nearest(q, corpus, 4), "query_id", "rank", "vec_id") == expected
-    assert len(scans) == 5
+    q, corpus = frames(spark, vectors, vectors)
+    taken = []
+    to_arrow = Classic.toArrow
+    monkeypatch.setattr(Classic, "toArrow", lambda self: taken.append(self.columns) or to_arrow(self))
+    monkeypatch.setattr(knn, "SLICE_VALUES", 80)
+    assert knn.nearest(q, corpus, 4).count() == 240
+    assert taken == [["embedding"]]  # the pivots
 
 
 def test_fewer_vectors_than_k(spark):
@@ -130,7 +157,7 @@ def test_mixed_lengths_get_their_own_answers(spark, slice_rows):
     vectors = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, None)]
     queries = [(1, [1.0, 0.1]), (2, [0.1, 1.0]), (3, [1.0, 0.0, 0.1]), (4, [1.0]), (5, [])]
     q, corpus = frames(spark, vectors, queries)
-    found = rows_of(knn.nearest(q, corpus, 3, broadcast_queries=slice_rows), "query_id", "rank", "vec_id")
+    found = rows_of(knn.nearest(q, corpus, 3, slice_queries=slice_rows), "query_id", "rank", "vec_id")
     assert found == [(1, 1, 1), (1, 2, 2), (2, 1, 2), (2, 2, 1), (3, 1, 3)]
 
 
