@@ -14,7 +14,7 @@ from forumlens.functions import scoring, text
 from forumlens.operators import keyword_index
 from forumlens.operators.joins import BROADCAST_ROWS, SALTS
 from forumlens.operators.keyword_index import MESSAGE, TITLE, KeywordIndex
-from forumlens.operators.ranking import top_per_query, with_result_limit, within_own_limit
+from forumlens.operators.ranking import top_per_query, with_result_limit, within_own_limit, worth_ranking
 from forumlens.schemas import BM25_K1, TITLE_BOOST
 from forumlens.sources.snapshots import materialize
 
@@ -289,7 +289,8 @@ def ranked(index: KeywordIndex, units: Units, queries: DataFrame, origin: Column
     """
     search = Search(index, units)
     limits = with_result_limit(queries).select("query_id", "max_results")
-    largest = limits.agg(F.coalesce(F.max("max_results"), F.lit(0))).first()[0]
+    least, largest = limits.agg(*[F.coalesce(f("max_results"), F.lit(0)) for f in (F.min, F.max)]).first()
+    mixed = largest > 10 * max(least, 1)
     by_bound = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "span")
     spans = materialize(search.spans(origin).withColumn("place", F.row_number().over(by_bound)))
     order = [F.round("score", DECIMALS).desc(), F.col("date").desc(), F.col("post_id")]
@@ -299,6 +300,8 @@ def ranked(index: KeywordIndex, units: Units, queries: DataFrame, origin: Column
         return found.withColumn("score", F.col("relevance") + scoring.recency(F.col("date"), origin)).drop("relevance")
 
     def top(hits: DataFrame) -> DataFrame:
+        if mixed:  # one large limit must not make every query move as many rows
+            hits = worth_ranking(materialize(hits), limits, "score")
         return within_own_limit(top_per_query(hits, order, largest), queries)
 
     first = materialize(top(best(spans.where(F.col("place") <= first_spans))))

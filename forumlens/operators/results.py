@@ -72,14 +72,29 @@ def _fields(names: list[str]) -> Column:
     return F.struct(*names)
 
 
-def vector_json(details: DataFrame) -> DataFrame:
-    """One JSON response per query. Fields a result does not have are left out."""
+def _responses(grouped: DataFrame, queries: DataFrame | None, keys: tuple[str, ...]) -> DataFrame:
+    """One JSON document per query; a query without results has empty lists."""
+    if queries is not None:
+        grouped = queries.select("query_id").join(grouped, "query_id", "left")
+        kinds = {key: grouped.schema[key].dataType for key in keys}
+        grouped = grouped.select("query_id", *[F.coalesce(key, F.array().cast(kind)).alias(key) for key, kind in kinds.items()])
+    return grouped.select("query_id", F.to_json(F.struct(*keys)).alias("response"))
+
+
+def vector_json(details: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """One JSON response per query of ``queries``, or else per query with results. Fields a result lacks are left out."""
     grouped = details.groupBy("query_id").agg(_as_list("rank", _fields(DETAIL.names)).alias(VECTOR_RESULTS_KEY))
-    return grouped.select("query_id", F.to_json(F.struct(VECTOR_RESULTS_KEY)).alias("response"))
+    return _responses(grouped, queries, (VECTOR_RESULTS_KEY,))
 
 
-def combined_json(fused: DataFrame, keyword_fields: tuple[str, ...]) -> DataFrame:
-    """One JSON response per query with the two lists and their fusion."""
+def keyword_json(hits: DataFrame, keyword_fields: tuple[str, ...], queries: DataFrame | None = None) -> DataFrame:
+    """The same for keyword hits with the fields of :func:`forumlens.operators.lexical.project_hits`."""
+    grouped = hits.groupBy("query_id").agg(_as_list("rank", _fields(list(keyword_fields))).alias(KEYWORD_RESULTS_KEY))
+    return _responses(grouped, queries, (KEYWORD_RESULTS_KEY,))
+
+
+def combined_json(fused: DataFrame, keyword_fields: tuple[str, ...], queries: DataFrame | None = None) -> DataFrame:
+    """One JSON response per query with the two lists and their fusion, or with the fusion of nothing."""
     names = DETAIL.names + [f for f in keyword_fields if f not in DETAIL.names]
     item = _fields(names)
     from_vector, from_keyword = (
@@ -95,8 +110,7 @@ def combined_json(fused: DataFrame, keyword_fields: tuple[str, ...]) -> DataFram
         listed(from_keyword).alias(KEYWORD_RESULTS_KEY),
         _as_list("position", item).alias(COMBINED_RESULTS_KEY),
     )
-    keys = (VECTOR_RESULTS_KEY, KEYWORD_RESULTS_KEY, COMBINED_RESULTS_KEY)
-    return grouped.select("query_id", F.to_json(F.struct(*keys)).alias("response"))
+    return _responses(grouped, queries, (VECTOR_RESULTS_KEY, KEYWORD_RESULTS_KEY, COMBINED_RESULTS_KEY))
 
 
 def write_json(responses: DataFrame, directory: str) -> None:

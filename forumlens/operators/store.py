@@ -26,10 +26,17 @@ def with_kind(rows: DataFrame) -> DataFrame:
 
 
 def with_dates(store: DataFrame, posts: DataFrame, threads: DataFrame) -> DataFrame:
-    """Store rows with the date of their post, or else of their thread."""
-    dated = nullable_key_left_join(store, posts.select("post_id", "post_date"), "post_id", "vec_id")
+    """Store rows with the date of their post, or else of their thread. Row keys (``vec_id``) are unique.
+
+    Dates are found for the ids alone and meet the rows by their key: vectors move once at most, and not at all if the
+    store is bucketed by ``vec_id`` (:func:`forumlens.sources.snapshots.write_bucketed`).
+    """
+    dated = nullable_key_left_join(
+        store.select("vec_id", "post_id", "thread_id"), posts.select("post_id", "post_date"), "post_id", "vec_id"
+    )
     dated = nullable_key_left_join(dated, threads.select("thread_id", "last_post_date"), "thread_id", "vec_id")
-    return dated.withColumn("date", F.coalesce("post_date", "last_post_date")).drop("post_date", "last_post_date")
+    dates = dated.select("vec_id", F.coalesce("post_date", "last_post_date").alias("date"))
+    return store.join(dates, "vec_id", "left").select(*store.columns, "date")
 
 
 def lookup(items: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -63,8 +70,34 @@ def keyset_page(rows: DataFrame, key: str, size: int, after: int = 0) -> DataFra
     return rows.where(F.col(key) > after).orderBy(key).limit(size)
 
 
-def offset_page(rows: DataFrame, key: str, size: int, offset: int) -> DataFrame:
-    return rows.orderBy(key).offset(offset).limit(size)
+def offset_page(rows: DataFrame, key: str, size: int, offset: int, ranges: int | None = None) -> DataFrame:
+    """The ``size`` rows after the first ``offset`` ones in key order, NULL keys first.
+
+    Keys alone are dealt into ranges and counted. Sums of the counts tell which ranges hold the page, and only rows
+    between their ends are read, so no task sorts more than a range and the page. ``ranges`` defaults to the shuffle
+    partitions.
+    """
+    spark = rows.sparkSession
+    count = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(key).where(F.col(key).isNotNull()).repartitionByRange(count, key)
+    dealt = materialize(dealt.withColumn("range_no", F.spark_partition_id()))
+    sizes = dealt.groupBy("range_no").agg(F.count("*").alias("n"), F.min(key).alias("first"), F.max(key).alias("last"))
+    before = rows.where(F.col(key).isNull()).count()
+    if offset < before:  # the page begins among rows without a key, which have no order
+        return rows.orderBy(key).offset(offset).limit(size)
+    first = last = None
+    skipped, held = before, 0
+    for row in sizes.orderBy("range_no").collect():  # as many rows as ranges
+        if first is None and skipped + row["n"] <= offset:
+            skipped += row["n"]
+            continue
+        first = row["first"] if first is None else first
+        last, held = row["last"], held + row["n"]
+        if skipped + held >= offset + size:
+            break
+    if first is None:
+        return rows.limit(0)
+    return rows.where(F.col(key).between(first, last)).orderBy(key).offset(offset - skipped).limit(size)
 
 
 def embedded_ids(store: DataFrame, key: str) -> DataFrame:
@@ -106,14 +139,28 @@ def last_wins(rows: DataFrame, key: str, version: str) -> DataFrame:
     return kept.select(key, "row.*").select(*rows.columns)
 
 
+def newest(rows: DataFrame, key: str, version: str) -> DataFrame:
+    """Rows with one per key, as :func:`last_wins` takes it, where few keys repeat.
+
+    Keys alone are counted, and only rows of repeated keys move whole. ``rows`` is read twice and should be a written
+    table. Rows without a key all stay.
+    """
+    counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows_of_key"))
+    repeated = materialize(counted.where(F.col("rows_of_key") > 1).select(key))
+    if repeated.isEmpty():
+        return rows
+    once = rows.join(repeated, key, "left_anti").select(*rows.columns)
+    return once.unionByName(last_wins(rows.join(repeated, key, "left_semi").select(*rows.columns), key, version))
+
+
 def upsert(store: DataFrame, rows: DataFrame, key: str, update: tuple[str, ...] = UPSERT_COLUMNS) -> DataFrame:
     """The store with rows inserted, or merged into the row that has their key.
 
     An existing key takes only the ``update`` columns. Of rows that repeat a key one is taken, the last updated, so
-    the store never gains a row for a key that it has. ``rows`` is read twice, so it should be a written table. A small batch is broadcast by Spark for the merge, and only ids of the store take
-    part in finding the new keys.
+    the store never gains a row for a key that it has. ``rows`` is read several times and should be a written table. A
+    small batch is broadcast by Spark for the merge, and only ids take part in finding repeated and new keys.
     """
-    rows = last_wins(rows, key, "last_updated")
+    rows = newest(rows, key, "last_updated")
     merged = _replace(store, rows, key, {c: F.col(f"_new_{c}") for c in update}, update)
     fresh = rows.join(store.where(F.col(key).isNotNull()).select(key), key, "left_anti")
     return merged.unionByName(fresh, allowMissingColumns=True).select(*store.columns)
@@ -122,9 +169,10 @@ def upsert(store: DataFrame, rows: DataFrame, key: str, update: tuple[str, ...]
 def update_existing(store: DataFrame, rows: DataFrame, key: str, now: Column, unique: bool = False) -> DataFrame:
     """The store with vectors of known keys replaced and their time set; other rows are not added.
 
-    Of rows that repeat a key the last updated is taken: the store keeps its rows. ``unique`` says that none do.
+    Of rows that repeat a key the last updated is taken: the store keeps its rows. ``unique`` says that none do; else
+    ``rows`` should be a written table.
     """
-    rows = rows if unique else last_wins(rows, key, "last_updated")
+    rows = rows if unique else newest(rows, key, "last_updated")
     values = {c: F.col(f"_new_{c}") for c in UPSERT_COLUMNS}
     return _replace(store, rows, key, values | {"last_updated": now}, UPSERT_COLUMNS).select(*store.columns)
 

@@ -114,8 +114,13 @@ def rebuild(
     After the deletion every item is pending, so none has to be looked for.
     """
     cleared = ops.delete_kind(store, None if every_kind else kind)
-    every_item = items.where(F.col(ops.KEYS[kind]) > 0)
-    return cleared.unionByName(accepted(embed_items(every_item, kind, embedder, dim, now)))
+    return cleared.unionByName(accepted(rebuilt_rows(items, kind, embedder, dim, now)))
+
+
+def rebuilt_rows(items: DataFrame, kind: str, embedder: Embedder, dim: int, now: Column) -> DataFrame:
+    """Store rows, with their reason, for every item: what :func:`rebuild` takes, and what it leaves out, for
+    :func:`quarantined`. A written table of it serves both."""
+    return embed_items(items.where(F.col(ops.KEYS[kind]) > 0), kind, embedder, dim, now)
 
 
 def refresh(

@@ -396,6 +396,12 @@ _ORACLE: dict[str, str] = {
             LEFT JOIN threads t ON s.thread_id = t.thread_id""",
         "store", "posts", "threads",
     ),
+    "store_with_dates_bucketed": _with(
+        f"""SELECT vec_id, s.post_id, s.thread_id, coalesce(p.post_date, t.last_post_date) AS date,
+            {_digest('embedding')} AS total FROM store s LEFT JOIN posts p ON s.post_id = p.post_id
+            LEFT JOIN threads t ON s.thread_id = t.thread_id""",
+        "store", "posts", "threads",
+    ),
     "point_lookup": _with(
         """SELECT 'post' AS type, post_id AS id, message AS content FROM posts WHERE post_id IN (SELECT post_id FROM store)
            UNION ALL SELECT 'thread', thread_id, title FROM threads WHERE thread_id IN (SELECT thread_id FROM store)""",
@@ -439,6 +445,15 @@ _ORACLE: dict[str, str] = {
             AS response FROM stored_details GROUP BY query_id""",
         "stored_details",
     ),
+    "keyword_json": _with(
+        """SELECT query_id, '{"elasticsearch_results":[' || coalesce(string_agg(CASE WHEN post_id IS NOT NULL THEN json_object('title', title, 'message', message,
+              'date', date, 'user', "user", 'discussion_id', thread_id, 'node', node, 'post_id', post_id)::VARCHAR END, ','
+              ORDER BY rank), '') || ']}' AS response
+            FROM fused_queries LEFT JOIN (SELECT *, thread_id, user_name AS user, post_date AS date FROM
+              (SELECT query_id, rank, post_id FROM fused_ranked) JOIN documents_by_post USING (post_id)) h USING (query_id)
+            WHERE length(trim(query)) > 0 GROUP BY query_id""",
+        "fused_queries", "fused_ranked", "documents_by_post",
+    ),
     "results_from_json": _with(
         """SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1)::INT AS position,
            type, post_id, thread_id, message, post_date, thread_title, title, last_post_date FROM stored_details""",
@@ -448,9 +463,10 @@ _ORACLE: dict[str, str] = {
         f"""SELECT query_id,
               '{{"faiss_results":[' || coalesce(string_agg(j, ',' ORDER BY rank) FILTER (source_no = 0), '')
               || '],"elasticsearch_results":[' || coalesce(string_agg(j, ',' ORDER BY rank) FILTER (source_no = 1), '')
-              || '],"combined_results":[' || string_agg(j, ',' ORDER BY position) || ']}}' AS response
-            FROM (SELECT *, ({_COMBINED_JSON})::VARCHAR AS j FROM combined) GROUP BY query_id""",
-        "combined",
+              || '],"combined_results":[' || coalesce(string_agg(j, ',' ORDER BY position), '') || ']}}' AS response
+            FROM fused_queries LEFT JOIN (SELECT *, ({_COMBINED_JSON})::VARCHAR AS j FROM combined) USING (query_id)
+            WHERE length(trim(query)) > 0 GROUP BY query_id""",
+        "combined", "fused_queries",
     ),
     "lexical_project": _with("SELECT * EXCLUDE (score) FROM keyword_hits", "keyword_hits"),
     "store_kind": _with(
@@ -642,5 +658,9 @@ _ORACLE: dict[str, str] = {
 }
 
 
+_ORACLE["store_upsert_keyed"] = _ORACLE["store_upsert"]
+_ORACLE["vector_export_versions"] = _ORACLE["vector_export"]
+
+
 def all_oracles() -> dict[str, str]:
     return dict(_ORACLE)

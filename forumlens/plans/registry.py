@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from forumlens.functions import scoring, text, vectors
 from forumlens.operators import clauses, embedding, keyword_index, knn, lexical, results, store as ops
 from forumlens.operators.ranking import batch_figures, with_result_limit
-from forumlens.plans import maintenance, search
-from forumlens.sources import snapshots, tables
+from forumlens.plans import export, maintenance, search
+from forumlens.schemas import EMBEDDING_STORE
+from forumlens.sources import keyed_store, snapshots, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -135,6 +136,15 @@ def store_with_dates(spark: SparkSession, directory: str) -> DataFrame:
     return ops.with_dates(store, tables.posts(spark, directory), tables.threads(spark, directory))
 
 
+@query
+def store_with_dates_bucketed(spark: SparkSession, directory: str) -> DataFrame:
+    """The same with vectors, which stay in their buckets."""
+    rows = tables.embedding_store(spark, directory)
+    store = snapshots.write_bucketed(rows, snapshots.scratch_directory(spark), "vec_id", BUCKETS)
+    dated = ops.with_dates(store, tables.posts(spark, directory), tables.threads(spark, directory))
+    return dated.select("vec_id", "post_id", "thread_id", "date", _total())
+
+
 @query
 def point_lookup(spark: SparkSession, directory: str) -> DataFrame:
     store = tables.embedding_store(spark, directory)
@@ -162,9 +172,18 @@ def store_upsert(spark: SparkSession, directory: str) -> DataFrame:
     return _store_rows(ops.upsert(tables.embedding_store(spark, directory), rows, "post_id"))
 
 
+@query
+def store_upsert_keyed(spark: SparkSession, directory: str) -> DataFrame:
+    """The same in a store on disk, of which only the buckets of the new rows are written."""
+    folder, schema = snapshots.scratch_directory(spark), EMBEDDING_STORE
+    keyed_store.create(tables.embedding_store(spark, directory).select(*schema.names), folder, BUCKETS)
+    keyed_store.upsert(_embedded_posts(spark, directory), folder, schema, "post_id")
+    return _store_rows(keyed_store.read(spark, folder, schema))
+
+
 @query
 def store_update(spark: SparkSession, directory: str) -> DataFrame:
-    rows = _embedded_posts(spark, directory)
+    rows = snapshots.materialize(_embedded_posts(spark, directory))
     return _store_rows(ops.update_existing(tables.embedding_store(spark, directory), rows, "post_id", _now()))
 
 
@@ -180,6 +199,15 @@ def vector_export(spark: SparkSession, directory: str) -> DataFrame:
     return exported.select("post_id", "embedding_length", _total())
 
 
+@query
+def vector_export_versions(spark: SparkSession, directory: str) -> DataFrame:
+    """The export read back after a first run over half of the store and a second over all of it."""
+    store, folder = tables.damaged_store(spark, directory), snapshots.scratch_directory(spark)
+    export.export(store.where(F.col("vec_id") % 2 == 0), DIM, folder, drop_first=True)
+    export.export(store, DIM, folder)
+    return export.read_export(spark, folder).select("post_id", "embedding_length", _total())
+
+
 @query
 def index_build_if_missing(spark: SparkSession, directory: str) -> DataFrame:
     target = snapshots.scratch_directory(spark)
@@ -196,7 +224,14 @@ def query_batch(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def results_json(spark: SparkSession, directory: str) -> DataFrame:
-    return results.vector_json(_details(spark, directory))
+    return results.vector_json(_details(spark, directory), tables.vector_queries(spark, directory))
+
+
+@query
+def keyword_json(spark: SparkSession, directory: str) -> DataFrame:
+    queries = tables.keyword_queries(spark, directory, FUSED_LIMITS)
+    hits = search.keyword_search(queries, tables.posts(spark, directory), tables.threads(spark, directory), _origin())
+    return results.keyword_json(hits, lexical.HIT_FIELDS, queries.where(~text.is_blank(F.col("query"))))
 
 
 @query
@@ -206,7 +241,8 @@ def results_from_json(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def combined_json(spark: SparkSession, directory: str) -> DataFrame:
-    return results.combined_json(combined_search(spark, directory), lexical.HIT_FIELDS)
+    asked = tables.keyword_queries(spark, directory, FUSED_LIMITS).where(~text.is_blank(F.col("query")))
+    return results.combined_json(combined_search(spark, directory), lexical.HIT_FIELDS, asked)
 
 
 # Projections, filters and predicates

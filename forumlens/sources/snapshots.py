@@ -33,6 +33,23 @@ def materialize(rows: DataFrame) -> DataFrame:
     return write_snapshot(rows, scratch_directory(rows.sparkSession))
 
 
+def write_bucketed(rows: DataFrame, directory: str, key: str, buckets: int) -> DataFrame:
+    """Write rows into buckets by key and read them back. Joins on the key then leave these rows where they are."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    dealt = rows.repartition(buckets, key)
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", directory).mode("errorifexists").saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
+def read_bucketed(spark: SparkSession, directory: str, schema: StructType, key: str, buckets: int) -> DataFrame:
+    """Rows that :func:`write_bucketed` wrote, in another session perhaps."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in schema)
+    place = f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{directory}'"
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {place}")
+    return spark.table(name)
+
+
 def is_complete(spark: SparkSession, directory: str) -> bool:
     """Whether a write to the directory has ended: writers leave a marker when they commit."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{directory.rstrip('/')}/_SUCCESS")

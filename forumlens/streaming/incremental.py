@@ -49,11 +49,14 @@ def start_backfill(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         stored = _stored_before(batch.sparkSession, store_directory, batch_id, existing)
-        newest = ops.last_wins(batch, key, _DATE_COLUMN[kind])
+        # The files of the batch are read again, not shuffled, to find what arrived twice.
+        newest = ops.newest(batch, key, _DATE_COLUMN[kind])
         rows = maintenance.backfill(newest, stored, kind, embedder, dim, F.current_timestamp()).persist()
-        write_batch(maintenance.accepted(rows), store_directory, batch_id)
-        write_batch(maintenance.quarantined(rows), quarantine_directory, batch_id)
-        rows.unpersist()
+        try:
+            write_batch(maintenance.accepted(rows), store_directory, batch_id)
+            write_batch(maintenance.quarantined(rows), quarantine_directory, batch_id)
+        finally:
+            rows.unpersist()
 
     return (
         items.writeStream.foreachBatch(run)
@@ -78,6 +81,10 @@ def start_export(rows: DataFrame, target_directory: str, checkpoint_directory: s
 
 
 def read_export(spark: SparkSession, directory: str) -> DataFrame:
-    """The exported vectors, the last batch of a post winning."""
+    """The exported vectors, the last batch of a post winning. A batch has a post once, so ids and batch numbers decide;
+    vectors stay where they are while few posts are in several batches."""
     rows = read_batches(spark, directory, VECTOR_EXPORT)
-    return ops.last_wins(rows, "post_id", "batch_id").drop("batch_id")
+    counted = rows.groupBy("post_id").agg(F.max("batch_id").alias("last"), F.count("*").alias("n"))
+    repeated = counted.where(F.col("n") > 1).select("post_id", "last")
+    kept = rows.join(repeated, "post_id", "left").where(F.col("last").isNull() | (F.col("batch_id") == F.col("last")))
+    return kept.select(*VECTOR_EXPORT.names)
