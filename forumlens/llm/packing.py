@@ -9,20 +9,19 @@ sequences. Pieces then take the places of their length by rank.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
-from struct import pack as pack_ids
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from forumlens.llm.ranks import numbered
+from forumlens.llm.spaced_words import SpacedWords, words_of
 
 CAPACITY = 1024
 END_ID = 2
@@ -32,90 +31,94 @@ END_ID = 2
 # take from a pattern.
 ROUNDS, DRAWS, UPDATES, RATE, FINISH, FREE_ROOM, DROPPED = 3, 30, 400, 0.5, 0.7, 0.0002, 16
 
-# The classes of the byte-level pre-tokenizer below U+0250. Texts with other characters, whose classes
-# depend on the version of Unicode, and with control characters that libraries class differently, are encoded whole.
-_LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
-_pre_tokens = re.compile(
-    rf" ?[{_LETTERS}]+| ?[{_NUMBERS}]+|'(?:[stmd]|re|ve|ll)| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+"
-).findall
-_other = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ‐-‧]").search
-# Bytes that the byte-level vocabulary writes as themselves; the others are U+0100 and on, in order.
-_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-# Pre-tokens and parts that a worker remembers, in each of two generations: some 200 bytes each.
-_TOKENS_KEPT, _PARTS_KEPT = 1 << 16, 1 << 19
+# Bytes of words and ids that a worker remembers, and what a word takes besides them. Longer words are not kept.
+_KEPT, _WORD_BYTES, _LONGEST = 96 << 20, 200, 64
+# Bytes of texts that are encoded at a time.
+_AT_ONCE = 1 << 21
 
 Plan = list[tuple[tuple[int, ...], int]]
 
 
-class _Known(dict):
-    """Results of a function, forgotten by generations: what was used since the last change stays."""
-
-    def __init__(self, compute, kept: int):
-        super().__init__()
-        self.compute, self.kept, self.older = compute, kept, {}
-
-    def __missing__(self, asked: str) -> bytes:
-        found = self.older.get(asked)
-        if found is None:
-            found = self.compute(asked)
-        if len(self) >= self.kept:
-            self.older = dict(self)
-            self.clear()
-        self[asked] = found
-        return found
-
-
 class _Tokens:
-    """Ids of texts as little-endian bytes.
+    """Ids of texts as little-endian bytes, as the tokenizer alone gives them.
 
-    Byte-pair merges never cross a pre-token, and a single space always starts one, so the ids of a text are those of
-    its pre-tokens, or of its parts between single spaces, one after the other; known ones need not be encoded again.
+    Byte-pair merges never cross a place before a single space that stands between words, so the ids of a text are those of
+    its first word and of the words after a space, one after the other; known words need not be encoded again. A text that
+    holds a control token's string is encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, merges: str, ranks: str | None):
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.merge = self.tokenizer.model.tokenize
-        hidden = [byte for byte in range(256) if byte not in _VISIBLE]
-        self.spelling = {byte: 256 + place for place, byte in enumerate(hidden)}
-        self.tokens = _Known(self._merged, _TOKENS_KEPT)
-        self.parts = _Known(lambda part: self._joined(" " + part), _PARTS_KEPT)
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _merged(self, token: str) -> bytes:
-        spelled = token.encode().decode("latin-1").translate(self.spelling)
-        ids = [part.id for part in self.merge(spelled)]
-        return pack_ids(f"<{len(ids)}I", *ids)
-
-    def _joined(self, text: str) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, _pre_tokens(text)))
-
-    def of(self, text: str) -> bytes:
-        if _other(text):
-            return self.encode(text)
-        if "  " in text:
-            return self._joined(text)
-        first, *parts = text.split(" ")
-        return self._joined(first) + b"".join(map(self.parts.__getitem__, parts))
+        self.spaced = SpacedWords(merges, ranks)
+        self.plain = Tokenizer.from_file(merges)
+        self.controls = [token.content.encode() for token in self.plain.get_added_tokens_decoder().values()]
+        self.words: dict[str, bytes] = {}
+        self.held = 0
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts that are not empty."""
+        if self.held > _KEPT:
+            self.words, self.held = {}, 0
+        cut = [None if any(control in text for control in self.controls) else words_of(text) for text in texts]
+        found = self._known(list(set(chain.from_iterable(words[1:] for words in cut if words)) - self.words.keys()))
+        heads = [text.decode() if words is None else words[0] for text, words in zip(texts, cut)]
+        firsts = self.plain.encode_batch(heads, add_special_tokens=False)
+        known = self.words if not found else _Both(found, self.words)
+        return [
+            np.array(first.ids, "<u4").tobytes() + (b"".join(map(known.__getitem__, words[1:])) if words else b"")
+            for first, words in zip(firsts, cut)
+        ]
+
+    def _known(self, new: list[str]) -> dict[str, bytes]:
+        """Remember new words; returns those that are too long to be kept."""
+        if not new:
+            return {}
+        words, ids, counts = self.spaced.ids(new)
+        joined, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        long = {}
+        for word, a, b in zip(words, [0, *ends[:-1]], ends):
+            (self.words if len(word) <= _LONGEST else long)[word] = joined[a:b]
+        self.held += _WORD_BYTES * len(words) + len(joined)
+        return long
+
+
+class _Both(dict):
+    """Words of one batch, and behind them those that are kept."""
+
+    def __init__(self, own: dict[str, bytes], kept: dict[str, bytes]):
+        super().__init__(own)
+        self.kept = kept
+
+    def __missing__(self, word: str) -> bytes:
+        return self.kept[word]
 
 
 @cache
-def _tokens(path: str) -> _Tokens:
+def _tokens(merges: str, ranks: str | None) -> _Tokens:
     """One per worker process, so that what it knows outlives a task."""
-    return _Tokens(path)
+    return _Tokens(merges, ranks)
+
+
+def _portions(texts: list[bytes]) -> Iterator[slice]:
+    """Slices of a batch of texts of bounded size, one text at least."""
+    start = size = 0
+    for place, text in enumerate(texts):
+        if size > _AT_ONCE:
+            yield slice(start, place)
+            start, size = place, 0
+        size += len(text)
+    yield slice(start, len(texts))
 
 
-def pieces(rows: DataFrame, tokenizer: str, key: str, text: str, capacity: int = CAPACITY, end: int = END_ID) -> DataFrame:
+def pieces(
+    rows: DataFrame, tokenizer: str, key: str, text: str, capacity: int = CAPACITY, end: int = END_ID, ranks: str | None = None
+) -> DataFrame:
     """``key, piece, start, length, ids_crc32`` of every piece of every row.
 
     A document is its ids and ``end``; NULL counts as the empty text, which is ``end`` alone. A document longer than
     ``capacity`` is cut into pieces of ``capacity``, of which the first may be shorter. ``tokenizer`` is a path that
-    exists on every machine.
+    exists on every machine, as is ``ranks``, the same vocabulary for the quicker library.
     """
     schema = T.StructType([
         rows.schema[key], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -124,21 +127,26 @@ def pieces(rows: DataFrame, tokenizer: str, key: str, text: str, capacity: int =
     last = np.array([end], "<u4").tobytes()
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens(tokenizer)
+        tokens = _tokens(tokenizer, ranks)
         for batch in batches:
-            found = []
-            for row, document in enumerate(batch.column(1)):
-                ids = tokens.of(document.as_py() or "") + last
-                total = len(ids) // 4
-                first = total % capacity or capacity
-                edges = [0, *range(first, total + 1, capacity)]
-                for piece, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-                    found.append((row, piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
-            places, *columns = zip(*found) if found else [()] * 5
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(places, pa.int64())), *map(pa.array, columns, kinds)], names=schema.names
-            )
+            texts = [one or b"" for one in batch.column(1).cast(pa.binary()).to_pylist()]
+            for portion in _portions(texts):
+                yield cut(batch.column(0), portion.start, texts[portion], tokens)
+
+    def cut(keys: pa.Array, start: int, texts: list[bytes], tokens: _Tokens) -> pa.RecordBatch:
+        found, encoded = [], iter(tokens.of([text for text in texts if text]))
+        for row, text in enumerate(texts, start):
+            ids = (next(encoded) if text else b"") + last
+            total = len(ids) // 4
+            first = total % capacity or capacity
+            edges = [0, *range(first, total + 1, capacity)]
+            for piece, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+                found.append((row, piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
+        places, *columns = zip(*found) if found else [()] * 5
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [keys.take(pa.array(places, pa.int64())), *map(pa.array, columns, kinds)], names=schema.names
+        )
 
     return rows.select(F.col(key), F.col(text)).mapInArrow(of_batches, schema)
 
@@ -324,14 +332,16 @@ class Places:
         return sequence, offset
 
 
-def pack(rows: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pack(
+    rows: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, ranks: str | None = None
+) -> DataFrame:
     """Every piece as ``key, piece, start, length, ids_crc32, sequence_id, offset``.
 
     Sequences are numbered from 0 and hold at most ``capacity`` ids; offsets are gapless from 0. Repeated rows are
     documents of their own, NULL texts are empty documents, a NULL key stays NULL, no rows give no pieces. Other
     columns are not carried.
     """
-    cut = numbered(pieces(rows, tokenizer, key, text, capacity), "length", [key, "piece", "start"], "rank")
+    cut = numbered(pieces(rows, tokenizer, key, text, capacity, ranks=ranks), "length", [key, "piece", "start"], "rank")
     demand = {row["length"]: row["pieces"] for row in cut.groupBy("length").agg(F.count("*").alias("pieces")).collect()}
     shared = rows.sparkSession.sparkContext.broadcast(Places(plan(demand, capacity)))
     kept = cut.select(key, "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank"))

@@ -138,7 +138,7 @@ def op8_language(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def op3_packing(spark: SparkSession, directory: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 ids."""
-    return packing.pack(read_parquet(spark, directory, "documents"), tokenizer_path())
+    return packing.pack(read_parquet(spark, directory, "documents"), tokenizer_path(), ranks=tokenizer_path(RANKS))
 
 
 @query

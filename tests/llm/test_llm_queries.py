@@ -15,7 +15,7 @@ from helpers import plain
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_points
-from forumlens.llm import oracle, queries
+from forumlens.llm import fingerprints, oracle, queries
 
 SF = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
@@ -83,7 +83,6 @@ def test_op2_keeps_the_article(spark):
 
 def test_op3_packs_all_ids(spark):
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     ids = {row["doc_id"]: [*tokenizer.encode(row["text"] or "", add_special_tokens=False).ids, 2] for row in table("documents")}
     pieces, sequences = defaultdict(list), defaultdict(list)
     for row in rows(spark, "op3_packing"):
@@ -162,9 +161,9 @@ def test_op6_errors_stay_within_four_standard_errors(spark):
         text, other = texts[row.doc_id], texts[after[row.doc_id]]
         half = len(text) // 2
         edited = text[: len(text) - half] + other[:half]
-        assert len(row.fingerprint) == 64 * 8
-        assert abs(row.near_edited - jaccard(shingles(text, 5), shingles(edited, 5))) < 4 * 0.5 / 64**0.5
-        assert abs(row.near_next - jaccard(shingles(text, 5), shingles(other, 5))) < 4 * 0.5 / 64**0.5
+        assert len(row.fingerprint) == fingerprints.SAMPLES * 8
+        assert abs(row.near_edited - jaccard(shingles(text, 5), shingles(edited, 5))) < 4 * 0.5 / fingerprints.SAMPLES**0.5
+        assert abs(row.near_next - jaccard(shingles(text, 5), shingles(other, 5))) < 4 * 0.5 / fingerprints.SAMPLES**0.5
 
 
 def test_op7_equals_brute_force(spark):
