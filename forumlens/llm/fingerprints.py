@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from forumlens.sources.snapshots import materialize
 
-SAMPLES = 64
+SAMPLES = 32
 WORDS = 5
 # Hexadecimal digits of a sample in a fingerprint.
 DIGITS = 8
