@@ -35,12 +35,14 @@ class Field:
         return self._scope_score(block.scope) + sum(weight(name, 0.0) for name in block.features)
 
     def _scope_score(self, scope) -> float:
-        if scope is None:
-            return 0.0
-        if scope.score is None:  # blocks of one element share it
-            own = sum(self.features.get(name, 0.0) for name in scope.features)
-            scope.score = own + self._scope_score(scope.parent)
-        return scope.score
+        open_scopes = []
+        while scope is not None and scope.score is None:  # blocks of one element share it
+            open_scopes.append(scope)
+            scope = scope.parent
+        score = scope.score if scope is not None else 0.0
+        for scope in reversed(open_scopes):
+            score = scope.score = score + sum(self.features.get(name, 0.0) for name in scope.features)
+        return score
 
     def decode(self, blocks: list[Block]) -> list[bool]:
         """The most likely labels of a page; of equally likely ones those that keep more text."""

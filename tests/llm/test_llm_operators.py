@@ -3,8 +3,11 @@
 import random
 import re
 import textwrap
+import time
 from collections import Counter, defaultdict
+from itertools import product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +101,48 @@ def test_blocks_keep_what_follows_empty_icons():
     assert [block.text for block in leaf_blocks(page)] == ["The text with x.", "End"]
 
 
+def test_pages_that_stop_a_careless_reader(spark):
+    field = extraction.train(extraction.labelled_pages(spark, 200))
+    pages = [
+        "<div>" * 10_000 + "<p>deep text</p>" + "</div>" * 10_000, "<blockquote>x" * 10_000, "<div>" * 3_000 + "</ul>x" * 50_000,
+        "x <y " * 400_000, '<p title="a ' * 170_000, '<p title="a ' * 170_001 + ">", "<button>" * 250_000, "</button <button>" * 100_000,
+        "<!" * 1_000_000, "<!--" * 500_000, "<a" * 1_000_000, "<svg>" * 250_000, "<" * 1_000_000,
+    ]
+    for page in pages:
+        start = time.perf_counter()
+        extraction.main_text(page, field)
+        assert time.perf_counter() - start < 8, page[:20]
+    assert "x <y x" in " ".join(block.text for block in leaf_blocks(pages[3]))
+
+
+def test_field_equals_brute_force():
+    draw = np.random.default_rng(4)
+    html = ["<p>one</p><div>two words</div><h1>three</h1>", "<ul><li>a<li>b</ul>", "<p>x<p>y<p>z<p>w"]
+    for page in html:
+        blocks = leaf_blocks(page)
+        names = {name for block in blocks for name in [*block.features, *(n for s in block.scope.chain() for n in s.features)]}
+        field = extraction.Field({name: float(draw.normal()) for name in sorted(names)}, draw.normal(size=(2, 2, 2)))
+        scores = [field.score(block) for block in blocks]
+        same = [0] + [int(a.container == b.container) for a, b in zip(blocks, blocks[1:])]
+
+        def weight(labels):
+            total = sum(score for score, label in zip(scores, labels) if label)
+            return total + sum(field.pairs[same[i], labels[i - 1], labels[i]] for i in range(1, len(labels)))
+
+        every = list(product((0, 1), repeat=len(blocks)))
+        weights = np.exp([weight(labels) for labels in every])
+        assert tuple(field.decode(blocks)) == every[int(np.argmax(weights))]
+        chance = weights / weights.sum()
+        on, pairs = extraction._marginals(np.array([scores]), field.pairs, np.array([same]), np.ones((1, len(blocks)), bool))
+        expected = [sum(c for c, labels in zip(chance, every) if labels[i]) for i in range(len(blocks))]
+        assert np.allclose(on[0], expected)
+        counts = np.zeros((2, 2, 2))
+        for c, labels in zip(chance, every):
+            for i in range(1, len(blocks)):
+                counts[same[i], labels[i - 1], labels[i]] += c
+        assert np.allclose(pairs, counts)
+
+
 def test_blocks_use_all_names():
     page = "<div class='mt-4 px-2 py-3 w-full max-w-lg text-sm flex-row sidebar'><p>Some text.</p></div>"
     assert any("name:sidebar" in scope.features for scope in leaf_blocks(page)[0].scope.chain())
@@ -109,9 +154,28 @@ def test_packing(spark, odd, empty):
     assert packing.pack(empty, path).count() == 0
     assert Counter(row.doc_id for row in found if row.start == 0) == Counter(row[0] for row in ODD)
     assert {(row.doc_id, row.length) for row in found if row.doc_id in (1, 2)} == {(1, 1), (2, 1)}
-    tokens = packing._Tokens(path)
-    for text in ("a   b  c \n d\n\n e\t f ", "'s 't don't", "x\x1cy \x85z\xa0", "日本 語", "é½² 3.14 <|endoftext|>", " ", "\n\n a"):
-        assert tokens.of(text) == tokens.encode(text)
+    quick = packing.pack(odd, path, ranks=queries.tokenizer_path(queries.RANKS)).select("doc_id", "piece", "start", "ids_crc32")
+    assert sorted(map(tuple, quick.collect()), key=repr) == sorted(((r.doc_id, r.piece, r.start, r.ids_crc32) for r in found), key=repr)
+
+
+TEXTS = (
+    "a   b  c \n d\n\n e\t f ", "'s 't don't", "x\x1cy \x85z\xa0", "日本 語", "é½² 3.14 <|endoftext|>", " ", "\n\n a", "x <|endoftext|> y",
+    "<|endoftext|>", " lead", "trail ", "x\n \ny", "two  blanks  here", "plain words of one text", "Ünï cödé ɐ ɏ words", "a" * 3000 + " b",
+)
+
+
+@pytest.mark.parametrize("ranks", [None, queries.tokenizer_path(queries.RANKS)])
+def test_ids_are_those_of_the_tokenizer(ranks, monkeypatch):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    expected = [b"".join(i.to_bytes(4, "little") for i in plain.encode(t, add_special_tokens=False).ids) for t in TEXTS]
+    tokens = packing._Tokens(queries.tokenizer_path(), ranks)
+    for _ in range(2):
+        assert tokens.of([text.encode() for text in TEXTS]) == expected
+    assert all(len(word) <= packing._LONGEST for word in tokens.words)
+    monkeypatch.setattr(packing, "_KEPT", 0)
+    assert tokens.of([text.encode() for text in TEXTS]) == expected
 
 
 @pytest.mark.parametrize("seed", range(4))
