@@ -7,13 +7,10 @@ counts of its pairs up by slot, with the pair itself compared.
 
 from __future__ import annotations
 
-import base64
 import hashlib
-import os
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -23,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from forumlens.llm import perfect_hash
 from forumlens.llm.perfect_hash import PerfectHash
+from forumlens.llm.spaced_words import SpacedWords, words_of
 from forumlens.sources.snapshots import materialize
 
 # Up to so many distinct pairs, hash, counts and keys travel to the tasks: 25 bytes a pair and some bits. Beyond, pairs
@@ -32,35 +30,10 @@ BROADCAST_PAIRS = 1 << 22
 FAN, VECTORS_A_CORE = 16, 4
 # Bytes of parts and alignments that a worker remembers, and what a part takes besides its texts and pairs.
 _KEPT, _PART_BYTES = 128 << 20, 300
-# Characters of texts that are aligned at a time, and pairs that a task counts before it hands them on.
-_CHARACTERS, _COUNTED = 1 << 21, 1 << 21
-
-# White space and what may pass for it: a cut needs a character beside it that is none for certain.
-_STRANGE = r"\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff"
-_SPACES = rf"\t\n\r\x20{_STRANGE}"
-_odd = re.compile(rf"[{_STRANGE}\u2581]|  |\A | \Z|[\t\n\r] [\t\n\r]").search
-_cut = re.compile(rf"(?<=[^{_SPACES}]) (?=[^{_SPACES}])").split
-# Characters beyond these belong to classes that differ between the libraries' versions of Unicode.
-_foreign = re.compile(r"[^\x00-\x1b\x20-\x84\x86-\u024f\u2010-\u2027]").search
-_WORD_MARK = "\u2581"
-# Parts up to this many characters are encoded together.
-_JOINED = 256
-
-
-def parts_of(text: str) -> list[str]:
-    """A text, after a space, cut before single spaces where neither tokenizer has a token across.
-
-    Every part begins with a space. Single spaces cut a text that has no strange or doubled white space; any other text is
-    cut where both neighbours of a space are no white space.
-    """
-    return [" " + part for part in (_cut(text) if _odd(text) else text.split(" "))]
-
+# Bytes of texts that are aligned at a time, and pairs that a task counts before it hands them on.
+_BYTES_AT_ONCE, _COUNTED = 1 << 21, 1 << 21
 
-def _visible_bytes() -> dict[str, int]:
-    """How a byte-level vocabulary writes bytes: visible ones as themselves, the others from U+0100 on, in order."""
-    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [byte for byte in range(256) if byte not in visible]
-    return {chr(byte): byte for byte in visible} | {chr(256 + place): byte for place, byte in enumerate(hidden)}
+_WORD_MARK = "\u2581"
 
 
 class AlignedParts:
@@ -70,27 +43,17 @@ class AlignedParts:
     are its own; ``groups`` the written groups; ``pairs`` the id pairs of its links, which begin at ``starts``.
     """
 
-    def __init__(self, merges: str, ranks: str, pieces: str):
+    def __init__(self, merges: str, ranks: str, pieces: str, writes: bool = True):
         import sentencepiece
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        import public_tokenizers
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.whole = Tokenizer.from_file(merges)
-        self.whole.encode_special_tokens = True  # their strings are plain text
-        with open(ranks, "rb") as file:
-            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.latin = tiktoken.Encoding("parts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+        self.first = SpacedWords(merges, ranks)
         self.second = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        spelled = _visible_bytes()
-        self.first_bytes = {number: bytes(map(spelled.get, token)) for token, number in self.whole.get_vocab(False).items()}
+        self.first_bytes = self.first.bytes
         self.second_bytes = [self._piece(number) for number in range(self.second.get_piece_size())]
-        self.first_sizes = np.zeros(max(self.first_bytes) + 1, np.int64)
-        self.first_sizes[list(self.first_bytes)] = list(map(len, self.first_bytes.values()))
+        self.first_sizes = self.first.sizes
         self.second_sizes = np.array(list(map(len, self.second_bytes)), np.int64)
         self.names = list(map(str, range(max(len(self.first_sizes), len(self.second_sizes)))))
+        self.writes = writes
         self.forget()
 
     def _piece(self, number: int) -> bytes:
@@ -104,70 +67,50 @@ class AlignedParts:
         self.pairs, self.starts = np.zeros(0, np.int64), np.zeros(1, np.int64)
         self.held = 0
 
+    def __len__(self) -> int:
+        return len(self.good)
+
     @property
     def full(self) -> bool:
         return self.held > _KEPT
 
-    def number(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def number(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of the parts of texts that are not empty, one after the other, and where each text begins."""
-        listed = [parts_of(text) for text in texts]
+        listed = [words_of(text) for text in texts]
         flat = list(chain.from_iterable(listed))
         new = list(set(flat) - self.numbers.keys())
         if new:
-            self._add(sorted(new))
+            self._add(new)
         found = np.fromiter(map(self.numbers.__getitem__, flat), np.int64, len(flat))
-        return found, np.concatenate([[0], np.cumsum([len(parts) for parts in listed])])[:-1].astype(np.int64)
-
-    def _first_ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the first tokenizer, and how many each part has."""
-        counts, ids = np.zeros(len(parts), np.int64), [None] * len(parts)
-        plain, others = [], []
-        for place, part in enumerate(parts):
-            # Parts whose text neither begins nor ends with white space keep their ids when they are joined.
-            word = part[1:]
-            joined = len(part) <= _JOINED and word[0] not in " \t\n\r" and word[-1] not in " \t\n\r"
-            (plain if joined and not _odd(word) and not _foreign(word) else others).append(place)
-        if plain:
-            found = np.array(self.latin.encode_ordinary("".join([parts[place] for place in plain])), np.int64)
-            ends = np.cumsum(self.first_sizes[found])
-            last = np.searchsorted(ends, np.cumsum([len(parts[place].encode()) for place in plain])) + 1
-            for place, a, b in zip(plain, [0, *last[:-1].tolist()], last.tolist()):
-                ids[place] = found[a:b]
-        if others:
-            encoded = self.whole.encode_batch([parts[place] for place in others], add_special_tokens=False)
-            for place, one in zip(others, encoded):
-                ids[place] = np.array(one.ids, np.int64)
-        counts[:] = list(map(len, ids))
-        return np.concatenate(ids), counts
-
-    def _add(self, parts: list[str]) -> None:
-        first, first_counts = self._first_ids(parts)
-        encoded = self.second.encode([part[1:] for part in parts], num_threads=1)
-        second_counts = np.array(list(map(len, encoded)), np.int64)
+        return found, np.concatenate([[0], np.cumsum([len(words) for words in listed])])[:-1].astype(np.int64)
+
+    def _add(self, words: list[str]) -> None:
+        words, first, first_counts = self.first.ids(words)
+        encoded = self.second.encode(words, num_threads=1)
+        second_counts = np.fromiter(map(len, encoded), np.int64, len(words))
         second = np.fromiter(chain.from_iterable(encoded), np.int64, int(second_counts.sum()))
-        texts = [part.encode() for part in parts]
-        good = np.ones(len(parts), bool)
+        texts = [b" " + word.encode() for word in words]
+        good = np.ones(len(words), bool)
         whole = b"".join(texts)
         first_bytes, second_bytes = self.first_bytes, self.second_bytes
-        same = b"".join([second_bytes[i] for i in second.tolist()]) == whole
-        if not same or b"".join([first_bytes[i] for i in first.tolist()]) != whole:
+        same = b"".join(map(second_bytes.__getitem__, second.tolist())) == whole
+        if not same or b"".join(map(first_bytes.__getitem__, first.tolist())) != whole:
             a, b = np.cumsum(first_counts), np.cumsum(second_counts)
             for place, text in enumerate(texts):
                 mine = first[a[place] - first_counts[place] : a[place]], second[b[place] - second_counts[place] : b[place]]
                 joined = b"".join(first_bytes[i] for i in mine[0].tolist()), b"".join(second_bytes[i] for i in mine[1].tolist())
                 good[place] = joined == (text, text)
             first, second = first[np.repeat(good, first_counts)], second[np.repeat(good, second_counts)]
-        first_counts, second_counts = first_counts * good, second_counts * good
-        part_ends = np.cumsum(np.array(list(map(len, texts)), np.int64) * good)
+        part_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) * good)
         counts, groups, keys, starts = self._aligned(first, second, part_ends, good)
-        counts[:, 0], counts[:, 1] = first_counts, second_counts
-        at = len(self.groups)
-        self.numbers.update(zip(parts, range(at, at + len(parts))))
+        counts[:, 0], counts[:, 1] = first_counts * good, second_counts * good
+        at = len(self)
+        self.numbers.update(zip(words, range(at, at + len(words))))
         self.counts, self.good = np.concatenate([self.counts, counts]), np.concatenate([self.good, good])
         self.groups += groups
         self.starts = np.concatenate([self.starts, len(self.pairs) + starts])
         self.pairs = np.concatenate([self.pairs, keys])
-        self.held += _PART_BYTES * len(parts) + len(whole) + sum(map(len, groups)) + 8 * len(keys)
+        self.held += _PART_BYTES * len(words) + len(whole) + sum(map(len, groups)) + 8 * len(keys)
 
     def _aligned(self, first: np.ndarray, second: np.ndarray, part_ends: np.ndarray, good: np.ndarray):
         """Counts, written groups and pairs of good parts, whose tokens follow each other.
@@ -185,6 +128,12 @@ class AlignedParts:
         counts = np.zeros((len(good), 4), np.int64)
         counts[:, 2] = np.bincount(of_group, minlength=len(good))
         counts[:, 3] = np.bincount(of_link, minlength=len(good))
+        return counts, self._written(first, second, ends, other_ends, cuts, counts[:, 2]), keys, np.cumsum(counts[:, 3])
+
+    def _written(self, first, second, ends, other_ends, cuts, group_counts: np.ndarray) -> list[bytes]:
+        """The groups of every part as text, if this aligner writes them."""
+        if not self.writes:
+            return []
         names = self.names
         a, b = [names[i] for i in first.tolist()], [names[i] for i in second.tolist()]
         a_ends, b_ends = (np.searchsorted(ends, cuts) + 1).tolist(), (np.searchsorted(other_ends, cuts) + 1).tolist()
@@ -192,9 +141,8 @@ class AlignedParts:
         for m, n in zip(a_ends, b_ends):
             written.append(f"{a[i] if m == i + 1 else ','.join(a[i:m])}|{b[j] if n == j + 1 else ','.join(b[j:n])}")
             i, j = m, n
-        last = np.cumsum(counts[:, 2]).tolist()
-        groups = [";".join(written[x:y]).encode() for x, y in zip([0, *last[:-1]], last)]
-        return counts, groups, keys, np.cumsum(counts[:, 3])
+        last = np.cumsum(group_counts).tolist()
+        return [";".join(written[x:y]).encode() for x, y in zip([0, *last[:-1]], last)]
 
     def pairs_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pairs of numbered parts, one after the other, and how many each has."""
@@ -204,10 +152,10 @@ class AlignedParts:
         return self.pairs[np.repeat(self.starts[numbers], sizes) + inside], sizes
 
 
-@cache
-def _parts(merges: str, ranks: str, pieces: str) -> AlignedParts:
-    """One per worker process, so that what it knows outlives a task."""
-    return AlignedParts(merges, ranks, pieces)
+@lru_cache(maxsize=1)
+def _parts(merges: str, ranks: str, pieces: str, writes: bool) -> AlignedParts:
+    """One per worker process and pass, so that what it knows outlives a task."""
+    return AlignedParts(merges, ranks, pieces, writes)
 
 
 @dataclass(frozen=True)
@@ -218,18 +166,18 @@ class Tokenizers:
     ranks: str
     pieces: str
 
-    def parts(self) -> AlignedParts:
-        return _parts(self.merges, self.ranks, self.pieces)
+    def parts(self, writes: bool) -> AlignedParts:
+        return _parts(self.merges, self.ranks, self.pieces, writes)
 
 
-def _portions(texts: list[str | None]) -> Iterator[slice]:
+def _portions(texts: list[bytes | None]) -> Iterator[slice]:
     """Slices of a batch of texts of bounded length, one text at least."""
     start = size = 0
     for place, text in enumerate(texts):
-        if size > _CHARACTERS:
+        if size > _BYTES_AT_ONCE:
             yield slice(start, place)
             start, size = place, 0
-        size += len(text or "")
+        size += len(text or b"")
     yield slice(start, len(texts))
 
 
@@ -251,8 +199,8 @@ def pair_counts(rows: DataFrame, tokenizers: Tokenizers, text: str) -> DataFrame
     """``key, n``: how often every task met an id pair in a link. A pair has a row for each task that met it, or a few."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = tokenizers.parts()
-        used, keys, counts = np.zeros(len(parts.groups), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts = tokenizers.parts(writes=False)
+        used, keys, counts = np.zeros(len(parts), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def gathered() -> tuple[np.ndarray, np.ndarray]:
             met = np.flatnonzero(used)
@@ -260,7 +208,7 @@ def pair_counts(rows: DataFrame, tokenizers: Tokenizers, text: str) -> DataFrame
             return _summed(np.concatenate([keys, pairs]), np.concatenate([counts, np.repeat(used[met], sizes)]))
 
         for batch in batches:
-            texts = [one for one in batch.column(0).to_pylist() if one]
+            texts = [one for one in batch.column(0).cast(pa.binary()).to_pylist() if one]
             for portion in _portions(texts):
                 if parts.full:
                     keys, counts = gathered()
@@ -272,7 +220,7 @@ def pair_counts(rows: DataFrame, tokenizers: Tokenizers, text: str) -> DataFrame
                 numbers, starts = parts.number(texts[portion])
                 whole = _sums(~parts.good[numbers], starts) == 0
                 numbers = numbers[np.repeat(whole, np.diff(np.append(starts, len(numbers))))]
-                used = np.concatenate([used, np.zeros(len(parts.groups) - len(used), np.int64)])
+                used = np.concatenate([used, np.zeros(len(parts) - len(used), np.int64)])
                 used += np.bincount(numbers, minlength=len(used))
         keys, counts = gathered()
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
@@ -357,15 +305,15 @@ def _second_pass(rows: DataFrame, tokenizers: Tokenizers, key: str, text: str, l
     def figures_of(parts: AlignedParts, start: int) -> np.ndarray:
         """Links with a best count and summed counts of the parts from a number on."""
         known, counts, best = looked_up.value
-        pairs, sizes = parts.pairs_of(np.arange(start, len(parts.groups)))
+        pairs, sizes = parts.pairs_of(np.arange(start, len(parts)))
         slots = known.slots(pairs)
         begins = np.cumsum(sizes) - sizes
         return np.stack([_sums(best[slots].astype(np.int64), begins), _sums(counts[slots], begins)], axis=1)
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, more = tokenizers.parts(), np.zeros((0, 2), np.int64)
+        parts, more = tokenizers.parts(writes=True), np.zeros((0, 2), np.int64)
         for batch in batches:
-            listed = batch.column(1).to_pylist()
+            listed = batch.column(1).cast(pa.binary()).to_pylist()
             for portion in _portions(listed):
                 texts = listed[portion]
                 if parts.full:
@@ -376,7 +324,7 @@ def _second_pass(rows: DataFrame, tokenizers: Tokenizers, key: str, text: str, l
                 ends = np.append(starts[1:], len(numbers))
                 figures = np.zeros((len(texts), 6), np.int64)
                 digests, pairs, times = [""] * len(texts), [[]] * len(texts), [[]] * len(texts)
-                if looked_up is not None and len(more) < len(parts.groups):
+                if looked_up is not None and len(more) < len(parts):
                     more = np.concatenate([more, figures_of(parts, len(more))])
                 good = _sums(~parts.good[numbers], starts) == 0
                 each = parts.counts[numbers] if looked_up is None else np.hstack([parts.counts[numbers], more[numbers]])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_points
-from forumlens.llm import alignment, perfect_hash, queries
+from forumlens.llm import alignment, perfect_hash, queries, spaced_words
 from forumlens.sources.tables import read_parquet
 
 SMALL = "/root/testdata/sf0.001"
@@ -29,7 +29,7 @@ def brute_force(texts):
     first = Tokenizer.from_file(FILES.merges)
     first.encode_special_tokens = True
     second = sentencepiece.SentencePieceProcessor(model_file=FILES.pieces)
-    spelled = alignment._visible_bytes()
+    spelled = spaced_words.visible_bytes()
     names = {number: token for token, number in first.get_vocab(False).items()}
 
     def second_bytes(number):
@@ -104,9 +104,9 @@ def test_repeated_keys_count_each(spark):
 
 def test_what_a_worker_remembers_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(alignment, "_KEPT", 2000)
-    monkeypatch.setattr(alignment, "_CHARACTERS", 200)
+    monkeypatch.setattr(alignment, "_BYTES_AT_ONCE", 200)
     parts = alignment.AlignedParts(FILES.merges, FILES.ranks, FILES.pieces)
-    texts = [f"number {n} of many texts, {n * n}" for n in range(50)]
+    texts = [f"number {n} of many texts, {n * n}".encode() for n in range(50)]
     for portion in alignment._portions(texts):
         if parts.full:
             parts.forget()
@@ -120,7 +120,7 @@ def test_what_a_worker_remembers_is_bounded(spark, monkeypatch):
 
 class AlignedWhole:
     def __init__(self, texts):
-        figures = brute_force(dict(enumerate(texts)))
+        figures = brute_force({place: text.decode() for place, text in enumerate(texts)})
         parts = alignment.AlignedParts(FILES.merges, FILES.ranks, FILES.pieces)
         self.groups = []
         for place, text in enumerate(texts):
@@ -131,9 +131,12 @@ class AlignedWhole:
 
 def test_both_libraries_agree_on_the_vocabulary():
     parts = alignment.AlignedParts(FILES.merges, FILES.ranks, FILES.pieces)
-    texts = [b.decode() for b in parts.first_bytes.values() if b.isascii() and b[:1] == b" " and b.strip() and b[-1:] > b" "]
-    whole = [encoding.ids for encoding in parts.whole.encode_batch(texts, add_special_tokens=False)]
-    ids, counts = parts._first_ids(texts)
+    words = [b[1:].decode() for b in parts.first_bytes.values() if b.isascii() and b[:1] == b" " and b.strip()]
+    plain, _ = parts.first.sorted_out(words)
+    assert len(plain) > 25_000
+    whole = [encoding.ids for encoding in parts.first.whole.encode_batch([" " + word for word in plain], add_special_tokens=False)]
+    again, ids, counts = parts.first.ids(plain)
+    assert again == plain
     assert [own.tolist() for own in np.split(ids, np.cumsum(counts)[:-1])] == whole
 
 
