@@ -142,7 +142,7 @@ def test_phrases_of_repeated_words(spark, tmp_path):
     assert matched(keyword_index.add(posts, threads, str(tmp_path), 4, 16), asked) == expected
 
 
-@pytest.mark.parametrize("first_spans", [1, 4, 1000])
+@pytest.mark.parametrize("first_spans", [1, 1000])
 def test_ranking_reads_only_what_can_matter(spark, first_spans, monkeypatch):
     posts, threads, draw, names = drawn(spark, 400, 2)
     listed = [(0, "must", "stop"), (1, "should", "stop"), (1, "should", "w3"), (2, "must", "w1"), (2, "should", "w29")]
