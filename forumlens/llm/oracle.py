@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from forumlens.llm.chat import ASSISTANT, CLOSE, END, OPEN, ROLE_ESCAPES, TEXT_ESCAPES
 from forumlens.llm.decontamination import WORD_PATTERN
-from forumlens.llm.licences import COPYRIGHT_LINE, EQUIVALENT_WORDS, KNOWN_TEXTS, SEPARATORS
+from forumlens.llm.licences import EQUIVALENT_WORDS, KNOWN_TEXTS, NO_OWNER, NOTICE_LINE, OWNER, OWNER_NAME, SEPARATORS
 from forumlens.llm.linkgraph import ALLOW, BLOCK, DAMPING, LINK, THRESHOLD, URL_PARTS, WAVES
 from forumlens.llm.queries import PLANTED_CONVERSATION, PLANTED_TEXT, URL_RULES
 from forumlens.llm.ranked_search import RESULTS, TERM_PATTERN
@@ -69,8 +69,16 @@ def _prefix_targets() -> str:
     FROM placed GROUP BY conv_id"""
 
 
-def _canonical(column: str) -> str:
-    form = f"regexp_replace(lower(coalesce({column}, '')), {_text(COPYRIGHT_LINE)}, '', 'g')"
+def _lines(column: str) -> str:
+    return f"string_split(replace(lower(coalesce({column}, '')), chr(13) || chr(10), chr(10)), chr(10)) AS ls"
+
+
+def _canonical() -> str:
+    """The canonical form of a text whose lines are the column ``ls``."""
+    named = f"""regexp_matches(l, {_text(f"^{OWNER}{OWNER_NAME}$")})
+      AND NOT regexp_matches(l, {_text(f"^{OWNER}(?:{NO_OWNER})(?:[^a-z0-9]|$)")})"""
+    notice = f"regexp_matches(l, {_text(NOTICE_LINE)}) OR (i < len(ls) AND (i = 1 OR ls[i - 1] = '') AND {named})"
+    form = f"array_to_string(list_transform(ls, lambda l, i: CASE WHEN {notice} THEN '' ELSE l END), chr(10))"
     form = f"replace(regexp_replace({form}, {_text(SEPARATORS)}, '  ', 'g'), chr(10), '  ' || chr(10) || '  ')"
     form = f"('  ' || {form} || '  ')"
     for other, usual in EQUIVALENT_WORDS.items():
@@ -85,9 +93,9 @@ def _licences() -> str:
     known = ", ".join(f"({_text(name)}, {_text(text)})" for name, text in KNOWN_TEXTS)
     return f"""
     WITH known AS (
-      SELECT {digest(_canonical("text"))} AS d, min(licence) AS licence
-      FROM (VALUES {known}) AS k(licence, text) GROUP BY d),
-    forms AS (SELECT doc_id, {_canonical("text")} AS form FROM documents),
+      SELECT {digest(_canonical())} AS d, min(licence) AS licence
+      FROM (SELECT licence, {_lines("text")} FROM (VALUES {known}) AS k(licence, text)) GROUP BY d),
+    forms AS (SELECT doc_id, {_canonical()} AS form FROM (SELECT doc_id, {_lines("text")} FROM documents)),
     notices AS (
       SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices
       FROM (SELECT doc_id, {digest("line")} AS d
@@ -97,6 +105,21 @@ def _licences() -> str:
     FROM forms LEFT JOIN known ON d = {digest("form")} LEFT JOIN notices USING (doc_id)"""
 
 
+def _warc() -> str:
+    digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    # Five hexadecimal digits are four digits of base 32.
+    number = "('0x' || substr(sha1(html), part * 5 + 1, 5))::INTEGER"
+    part = " || ".join(f"substr('{digits}', (({number} >> {shift}) & 31) + 1, 1)" for shift in (15, 10, 5, 0))
+    return f"""
+    WITH payloads AS (
+      SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS newest FROM pages)
+    SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+           array_to_string(list_transform(range(8), lambda part: {part}), '') AS payload_digest,
+           CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> newest THEN newest END AS refers_to
+    FROM payloads"""
+
+
 def _ranked_search() -> str:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     found = f"regexp_extract_all(translate(text, '{upper}', '{upper.lower()}'), '{TERM_PATTERN}')"
@@ -186,6 +209,7 @@ def _link_graph() -> str:
 
 def all_oracles() -> dict[str, str]:
     return {
+        "op4_warc": _warc(),
         "op5_decontamination": _decontamination(10),
         "op9_prefix_targets": _prefix_targets(),
         "op10_licences": _licences(),

@@ -7,12 +7,13 @@ import time
 from collections import Counter, defaultdict
 from itertools import product
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from forumlens.llm import (
-    chat, decontamination, extraction, fingerprints, language, licences, packing, queries, sharding, simhash, warc,
+    chat, decontamination, extraction, fingerprints, language, licences, oracle, packing, queries, sharding, simhash, warc,
 )
 from forumlens.llm.blocks import MARK, leaf_blocks
 from forumlens.llm.components import components
@@ -345,7 +346,7 @@ def test_licences(spark, odd, empty):
     varied = "Copyright (c) 2020 Someone\n\n" + texts["MIT"].upper().replace(",", " ;").replace("SUBLICENSE", "sublicence")
     rows = [
         (1, "MIT Licence\n\n(C) 2021 me\n" + licences._MIT), (2, "More.\nlicensed under  CC BY-NC 4.0\nReleased under the MIT licence."),
-        (3, None), (4, ""), (4, "x"), (None, licences._ISC), (5, "A " + licences._ISC), (6, varied),
+        (3, None), (4, ""), (4, "x"), (None, texts["ISC"]), (5, "A " + texts["ISC"]), (6, varied),
     ]
     found = licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()
     matched = sorted(((row.doc_id or 0, row.licence, row.notices) for row in found), key=repr)
@@ -368,6 +369,52 @@ def test_licences_in_any_layout(spark):
     assert [found[i] for i in range(len(rows))] == expected
 
 
+HEADS = (
+    "Copyright (c) 2020 Foo\nAll rights reserved.\n\n", "The MIT License\n\n", "Copyright Foo Inc.\n", "Copyright  Foo Inc.\n\n",
+    "The MIT License (MIT)\r\n\r\nCopyright (c) 2020 Foo\r\n\r\n", "MIT License\n\nCopyright Foo Inc.\n", "(C) 1999 A. B.\n",
+    "\n\n * Copyright 2001-2004 Foo\n * ALL RIGHTS RESERVED\n *\n",
+)
+
+
+def test_licences_below_usual_heads(spark):
+    def first(name):
+        return next(text for licence, text in licences.KNOWN_TEXTS if licence == name)
+
+    rows = [(f"{number}", head + first("MIT"), "MIT") for number, head in enumerate(HEADS)]
+    rows += [("b", HEADS[0] + first("BSD-2-Clause"), "BSD-2-Clause"), ("c", HEADS[0] + first("Unlicense"), "Unlicense")]
+    rows += [("d", "Copyright  holders agree\n" + first("MIT"), None), ("e", "Copyright Foo Inc.", None), ("f", "All rights reserved", None)]
+    rows += [("g", first("MIT") + "\nCopyright Foo Inc.\nmore", None), ("h", "The MIT License" * 9 + first("MIT"), None)]
+    frame = spark.createDataFrame([row[:2] for row in rows], "doc_id string, text string")
+    found = {row.doc_id: row.licence for row in licences.scan(frame, licences.known_licences(spark)).collect()}
+    assert found == {key: licence for key, _, licence in rows}
+
+
+def test_licences_equal_their_sql(spark):
+    draw = random.Random(6)
+    lines = [
+        "", "", "", " ", "Copyright Foo", "Copyright (c) 2020 Foo", "copyright notice of it", "All rights reserved.", "(c) 2020", "(c) Foo",
+        "© Foo", "Copyright", "copyright " + "x" * 80, "copyright " + "x" * 79, "-- Copyright  Bar --", "copyright  holders are", "Licence, whilst",
+        "all rights reserved by Foo", "Released under the MIT Licence.", "plain text\r", "Copyright Foo\r", "\r", "copyright 'owner'", "© é",
+    ]
+    rows = [(i, "\n".join(draw.choices(lines, k=draw.randint(0, 7)))) for i in range(3_000)]
+    rows += [(10_000 + i, head + text) for i, head in enumerate(HEADS) for _, text in licences.KNOWN_TEXTS[:3]]
+    rows = [(i, text) for i, (_, text) in enumerate(rows)] + [(99_999, None)]
+    found = licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), licences.known_licences(spark))
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    connection.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    answer = connection.execute(oracle.all_oracles()["op10_licences"]).fetchall()
+    assert sorted(map(tuple, found.select("doc_id", "text_digest", "licence", "notices").collect())) == sorted(answer)
+
+
+def test_licences_of_a_table(spark):
+    listed = [("A", "Do what you like, whilst you can."), ("B", "do what you like while you can"), ("C", " !"), (None, "x"), ("D", None)]
+    known = licences.known_texts(spark.createDataFrame(listed, "licence string, text string"))
+    assert [row.licence for row in known.collect()] == ["A"]
+    rows = spark.createDataFrame([(1, "DO WHAT YOU LIKE\nwhile you can"), (2, "!"), (3, "x")], "doc_id long, text string")
+    assert {row.doc_id: row.licence for row in licences.scan(rows, known).collect()} == {1: "A", 2: None, 3: None}
+
+
 NATIVE = ("op6_fingerprints", "op9_prefix_targets", "op10_licences")
 
 
