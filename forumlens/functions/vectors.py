@@ -83,25 +83,27 @@ def has_stored_length_issue(embedding_length: Column, dim: int = EXPECTED_DIM) -
 
 @F.arrow_udf(T.ArrayType(T.FloatType()))
 def decode_blob(blobs: pa.Array) -> pa.Array:
-    """Little-endian float32 bytes to a vector; NULL when the bytes cannot be one."""
+    """Little-endian float32 bytes to a vector; NULL when the bytes cannot be one. The bytes are not copied by row."""
     lengths = pc.binary_length(blobs)
     usable = pc.fill_null(pc.equal(pc.bit_wise_and(lengths, 3), 0), False)
-    sizes = np.where(usable.to_numpy(zero_copy_only=False), pc.fill_null(lengths, 0).to_numpy(), 0)
-    payload = b"".join(blob for blob in pc.filter(blobs, usable).to_pylist())
-    offsets = np.zeros(len(blobs) + 1, dtype=np.int32)
-    np.cumsum(sizes // 4, out=offsets[1:])
-    floats = pa.array(np.frombuffer(payload, dtype="<f4"))
-    return pa.ListArray.from_arrays(pa.array(offsets), floats, mask=pc.invert(usable))
+    # The values then lie end to end in one buffer, whatever the nulls held.
+    kept = blobs if pc.all(usable).as_py() else pc.if_else(usable, blobs, pa.scalar(b"", blobs.type))
+    offset_type = np.int64 if pa.types.is_large_binary(kept.type) else np.int32
+    ends = np.frombuffer(kept.buffers()[1] or bytes(8), offset_type)[kept.offset : kept.offset + len(kept) + 1]
+    start, size = int(ends[0]), int(ends[-1] - ends[0])
+    floats = np.frombuffer(kept.buffers()[2], "<f4", count=size // 4, offset=start) if size else np.zeros(0, "<f4")
+    floats = np.require(floats, requirements="A")
+    offsets = pa.array(((ends - ends[0]) // 4).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(floats), mask=pc.invert(usable))
 
 
 @F.arrow_udf(T.BinaryType())
 def encode_blob(vectors: pa.Array) -> pa.Array:
-    """A vector to little-endian float32 bytes."""
+    """A vector to little-endian float32 bytes. The floats of a batch become the bytes of its rows as they lie."""
     sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()
-    ends = np.cumsum(sizes) * 4
-    payload = vectors.flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes()
-    known = vectors.is_valid().to_numpy(zero_copy_only=False)
-    return pa.array(
-        [payload[end - 4 * size : end] if ok else None for end, size, ok in zip(ends, sizes, known)],
-        pa.binary(),
-    )
+    ends = np.zeros(len(vectors) + 1, dtype=np.int64)
+    np.cumsum(sizes * 4, out=ends[1:])
+    payload = vectors.flatten().to_numpy(zero_copy_only=False).astype("<f4", copy=False)
+    known = np.packbits(vectors.is_valid().to_numpy(zero_copy_only=False), bitorder="little")
+    parts = [pa.py_buffer(known), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(payload))]
+    return pa.Array.from_buffers(pa.large_binary(), len(vectors), parts).cast(pa.binary())

@@ -2,6 +2,7 @@ import math
 import struct
 
 import numpy as np
+import pyarrow as pa
 from helpers import rows_of
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -60,6 +61,36 @@ def test_codec_roundtrip(spark, values):
             assert np.array_equal(np.float32(found[number]), np.float32(value), equal_nan=True)
 
 
+def test_codec_equals_bytes_packed_by_hand(spark):
+    lists = [[1.5, -2.0], None, [], [0.1], [NAN, INF, -INF, 3e38]] * 3
+    frame = spark.createDataFrame(list(enumerate(lists)), "id bigint, v array<float>").coalesce(1)
+    found = dict(rows_of(frame.select("id", vectors.encode_blob("v").alias("b")), "id", "b"))
+    assert found == {i: None if v is None else struct.pack(f"<{len(v)}f", *v) for i, v in enumerate(lists)}
+
+    blobs = [struct.pack("<2f", 1, 2), b"abc", None, b"", struct.pack("<f", 7) + b"x", struct.pack("<f", 7)] * 3
+    frame = spark.createDataFrame(list(enumerate(blobs)), "id bigint, b binary").coalesce(1)
+    found = dict(rows_of(frame.select("id", vectors.decode_blob("b").alias("v")), "id", "v"))
+    assert found == dict(enumerate([(1.0, 2.0), None, None, (), None, (7.0,)] * 3))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.binary(max_size=13)), max_size=12), st.data())
+def test_decoding_any_slice_of_a_batch(blobs, data):
+    start = data.draw(st.integers(0, len(blobs)))
+    stop = data.draw(st.integers(start, len(blobs)))
+    for kind in (pa.binary(), pa.large_binary()):
+        found = vectors.decode_blob.func(pa.array(blobs, kind).slice(start, stop - start))
+        found.validate(full=True)
+        for blob, vector in zip(blobs[start:stop], found.to_pylist(), strict=True):
+            if blob is None or len(blob) % 4:
+                assert vector is None
+            else:
+                assert struct.pack(f"<{len(vector)}f", *vector) == blob or any(map(math.isnan, vector))
+        again = vectors.encode_blob.func(found)
+        again.validate(full=True)
+        assert vectors.decode_blob.func(again).is_valid().equals(found.is_valid())
+
+
 def test_distances_match_numpy(spark):
     rng = np.random.default_rng(7)
     pairs = [(i, rng.normal(size=8).astype(np.float32), rng.normal(size=8).astype(np.float32)) for i in range(50)]
