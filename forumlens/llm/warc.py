@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from forumlens.sources.snapshots import materialize
 
 # The dictionary: its size, about how many records it is trained on, how many bytes of one record, and the level of records.
+# The sample is four times the records at most, so the driver never holds more than 64 MB of it.
 DICTIONARY_BYTES = 112_640
 SAMPLE_RECORDS = 1000
-SAMPLE_BYTES = 1 << 16
+SAMPLE_BYTES = 1 << 14
 LEVEL = 6
 _STEPS = 1 << 30
 
@@ -56,15 +57,23 @@ def _record(kind: str, page: int | None, url: str | None, date: str, digest: str
     return head.encode() + http + b"\r\n\r\n"
 
 
-def train_dictionary(pages: DataFrame, page: str = "page_id", html: str = "html") -> bytes:
-    """A dictionary from a sample of about ``SAMPLE_RECORDS`` payloads, chosen by the hash of the page id.
+def train_dictionary(pages: DataFrame, page: str, url: str, html: str, date: str) -> bytes:
+    """A dictionary from about ``SAMPLE_RECORDS`` records as they are archived, chosen by the hash of the page id.
 
-    Where the sample is too small to train on, its bytes are the dictionary; without any bytes there is none.
+    A record gives its first ``SAMPLE_BYTES`` bytes, header included. Where the sample is too small to train on, its bytes are
+    the dictionary; without any record there is none.
     """
     share = min(_STEPS, SAMPLE_RECORDS * _STEPS // max(1, pages.count()) + 1)
     chosen = pages.where(F.pmod(F.xxhash64(page, F.lit("dictionary")), F.lit(_STEPS)) < share)
-    found = chosen.select(F.substring(F.col(html).cast("binary"), 1, SAMPLE_BYTES).alias("payload")).limit(4 * SAMPLE_RECORDS)
-    samples = [payload for payload in found.toArrow().column("payload").to_pylist() if payload]
+    payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
+    chosen = chosen.limit(4 * SAMPLE_RECORDS).select(
+        F.col(page).cast("long").alias("page"), F.col(url).alias("url"), F.sha1(payload).alias("hex"),
+        F.octet_length(payload).alias("size"), F.substring(payload, 1, SAMPLE_BYTES).alias("payload"),
+    )
+    samples = [
+        _record("response", row.page, row.url, date, _base32(row.hex), row.size, bytes(row.payload), "")[:SAMPLE_BYTES]
+        for row in chosen.collect()
+    ]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -87,7 +96,7 @@ def write_archives(
     Other columns are left out. Payloads are compressed where they are scanned; what may shuffle, to meet the largest page id of
     equal payloads, are compressed records, and only if there are repeated payloads too many to broadcast.
     """
-    dictionary = train_dictionary(pages, page, html)
+    dictionary = train_dictionary(pages, page, url, html, date)
     shared = pages.sparkSession.sparkContext.broadcast(dictionary)
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(

@@ -196,6 +196,35 @@ def test_plan_holds_the_demand(seed):
     assert packing.plan({}, 100) == []
 
 
+def fewest_bins(lengths, capacity):
+    """The least number of bins, by search."""
+    best = len(lengths)
+
+    def place(rest, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if not rest:
+            best = len(bins)
+            return
+        for room in sorted({room for room in bins if room >= rest[0]}):
+            left = list(bins)
+            left[left.index(room)] -= rest[0]
+            place(rest[1:], left)
+        place(rest[1:], [*bins, capacity - rest[0]])
+
+    place(sorted(lengths, reverse=True), [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_plan_is_near_the_optimum_of_small_instances(seed):
+    draw = random.Random(seed)
+    lengths = [draw.randint(1, 20) for _ in range(draw.randint(1, 11))]
+    used = sum(times for _, times in packing.plan(dict(Counter(lengths)), 20))
+    assert fewest_bins(lengths, 20) <= used <= fewest_bins(lengths, 20) + 1
+
+
 def test_warc(spark):
     rows = [
         (1, "http://a b\n", "<p>x"), (2, None, "<p>x"), (None, "u", "<p>x"), (3, "u", None), (4, "u", ""),
@@ -216,6 +245,19 @@ def test_warc(spark):
     assert warc.read_archives(spark, directory).count() == 0
 
 
+def test_warc_dictionary_knows_headers(spark):
+    texts = [(i, f"http://host{i % 7}.example/page/{i}", f"<html><p>page {i} says {i * i}</p></html>") for i in range(300)]
+    pages = spark.createDataFrame(texts, "page_id long, url string, html string")
+    date = "2024-01-01T00:00:00Z"
+    trained = warc.train_dictionary(pages, "page_id", "url", "html", date)
+    assert b"WARC-" in trained and b"msgtype=response" in trained
+    assert warc.train_dictionary(pages.limit(0), "page_id", "url", "html", date) == b""
+    few = warc.train_dictionary(pages.limit(1), "page_id", "url", "html", date)
+    assert few.startswith(b"WARC/1.1\r\n") and len(few) <= warc.SAMPLE_BYTES
+    record = warc._record("response", 5, texts[5][1], date, "A" * 32, 20, b"<html><p>other</p>", "")
+    assert len(warc._compressor(trained).compress(record)) < 0.5 * len(warc._compressor(b"").compress(record))
+
+
 def test_decontamination(spark, odd, empty):
     items = spark.createDataFrame(
         [(1, "Again, and AGAIN"), (2, "one two three four five six seven eight nine ten eleven"), (3, None), (4, "!!"), (1, "again and again")],
@@ -317,6 +359,32 @@ def test_language(spark, odd, empty):
     assert cosine > 0.999
 
 
+def test_language_equals_a_naive_version(spark):
+    """Letters bound in order, bundled and compared one by one."""
+    encoder = language._Encoder()
+
+    def bundled(text):
+        letters = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+        total = np.zeros(encoder.dimensions)
+        for at in range(len(letters) - 2):
+            bound = np.zeros(encoder.dimensions, np.uint8)
+            for place in range(3):
+                bits = encoder.letter_bits(np.array([ord(letters[at + place])]))[0]
+                bound = (bound + np.roll(bits, 2 - place)) % 2
+            total += 1 - 2.0 * bound
+        return total
+
+    texts = ["the cat", "A dog, and 2 cats!", "le chien où", "ça va ça va", "x"]
+    assert np.array_equal(encoder.vectors(texts), [bundled(text) for text in texts])
+    labelled = [(i, text, lang) for i, (text, lang) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 5)]
+    profiles = language.train(documents(spark, labelled))
+    rows = documents(spark, [(i, text, None) for i, text in enumerate(texts)])
+    found = {row.source.doc_id: row.lang_pred for row in language.predict(rows, profiles, ["doc_id"]).collect()}
+    for number, text in enumerate(texts[:4]):
+        cosines = [bundled(text) @ vector / np.linalg.norm(bundled(text)) for vector in profiles.vectors]
+        assert found[number] == profiles.languages[int(np.argmax(cosines))]
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "system", "Be <b> & [INST]"), (1, 1, "user", "hi"), (1, 2, "assistant", "</s> <|end|>\n &lt; &amp;"),
