@@ -23,6 +23,7 @@ CLOSED_BY = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"),
     "tr": ("tr", "td", "th"), "tbody": ("tr", "td", "th"), "body": ("head",),
 }
+OUTERMOST_TAGS = ("html", "body")
 _CONTAINERS = frozenset("article aside body div footer form header main nav section table td ul ol dl".split())
 
 # Training pages mark the blocks that belong to the main text with this attribute; pages to extract from never need it.
@@ -85,7 +86,9 @@ class Block:
 
 
 def _scope_features(tag: str, attributes: str, parent: Scope | None) -> list[str]:
-    found = [f"in:{tag}", f"under:{parent.tag if parent else ''}>{tag}"]
+    """Features of an element. Every page has the outermost elements, written or not, so their tags say nothing."""
+    above = parent.tag if parent and parent.tag not in OUTERMOST_TAGS else ""
+    found = [] if tag in OUTERMOST_TAGS else [f"in:{tag}", f"under:{above}>{tag}"]
     for _, value in _NAMED.findall(attributes):
         for part in _NAME_PART.findall(value.strip("\"'")):
             found.append(f"name:{part.lower()}")

@@ -1,8 +1,8 @@
 """Labelled training pages: layouts drawn at random whose parts are known by construction.
 
 A page has an article among menus, headers, notices, adverts, forms, side columns, comments and a footer. Every part is
-written with semantic tags or with plain elements and telling names, and sometimes with no sign but its text. Blocks of
-the article carry the mark of ``blocks.MARK``.
+written with semantic tags or with plain elements and telling names, and sometimes with no sign but its text. Some pages
+are laid out in nested tables without any name. Blocks of the article carry the mark of ``blocks.MARK``.
 """
 
 from __future__ import annotations
@@ -180,6 +180,39 @@ class _Writer:
         return page + ("</body></html>" if self.chance(0.9) else "")
 
 
+    def row(self, *cells: str) -> str:
+        style = self.random.choice(("", "", " valign=top", " width=150", " bgcolor=#eeeeee"))
+        return "<tr>" + "".join(f"<td{style}>{cell}</td>" for cell in cells) + "</tr>"
+
+    def table_page(self) -> str:
+        """A page whose parts are cells of nested tables."""
+        menu = self.random.choice(("<br>", " ", " | ", " - ")).join(
+            f'<a href="/{i}">{self.words(1, 3).title()}</a>' for i in range(self.random.randint(1, 9))
+        )
+        if self.chance(0.5):
+            menu = f"<b>{self.words(1, 2).title()}</b><br>{menu}"
+        if self.chance(0.5):
+            paragraphs = [f"<h1>{self.words(2, 9).capitalize()}</h1>", *[f"<p>{self.paragraph()}</p>" for _ in range(self.random.randint(1, 6))]]
+            if self.chance(0.5):
+                paragraphs = [paragraph[3:-4] if paragraph.startswith("<p>") else paragraph for paragraph in paragraphs]
+            article = f'<table {MARK}="1">{"".join(map(self.row, paragraphs))}</table>'
+        else:
+            article = f'<div {MARK}="1">{self.body()}</div>' if self.chance(0.5) else f'<font {MARK}="1">{self.body()}</font>'
+        cells = [menu, article] if self.chance(0.7) else [article]
+        if self.chance(0.3):
+            cells.append(self.line(self.random.choice(("side", "ad", "notice"))))
+        rows = [self.row(*cells)]
+        if self.chance(0.8):
+            rows.insert(0, self.row(self.links() if self.chance(0.7) else self.words(1, 3).title()))
+        if self.chance(0.8):
+            rows.append(self.row(self.line("footer")))
+        return f"<html><head><title>{self.words(2, 6)}</title></head><body><table width=100%>{''.join(rows)}</table></body></html>"
+
+
+# One page of so many is laid out in tables.
+TABLE_PAGES = 20
+
+
 def labelled_page(number: int) -> str:
     """The training page of a number."""
-    return _Writer(number).page()
+    return _Writer(number).table_page() if number % TABLE_PAGES == 5 else _Writer(number).page()

@@ -94,6 +94,55 @@ def test_extraction_of_varied_pages(spark):
     assert MARK not in "".join(field.features)
 
 
+def foreign_page(draw, layout):
+    """A page in a layout of its own, in English words that the training pages do not have, and its main blocks."""
+    words = (
+        "river market winter letter garden history people museum coffee railway science village music bridge weather harbour "
+        "the of and a in to was with for on had from that were by the of and"
+    ).split()
+
+    def sentence(low=6, high=20):
+        return " ".join(draw.choices(words, k=draw.randint(low, high))).capitalize()
+
+    def links(count, around="{}"):
+        return "".join(around.format(f'<a href="/{i}">{draw.choice(words).title()}</a> ') for i in range(count))
+
+    def article(head):
+        main = [sentence(3, 7), *[f"{sentence()}. {sentence()}." for _ in range(draw.randint(1, 5))]]
+        return main, f"<{head}>{main[0]}</{head}>" + "".join(f"<p>{text}</p>" for text in main[1:])
+
+    main, body = article("h1")
+    if layout == "tables":
+        cells = "".join(f"<tr><td>{part}</td></tr>" for part in re.findall(r"<h1>.*?</h1>|<p>.*?</p>", body))
+        side = f"<td width=150>{links(6, '{}<br>')}</td>"
+        rows = f"<tr><td colspan=2>{links(6)}</td></tr><tr>{side}<td><table>{cells}</table></td></tr><tr><td>Copyright 2003 Me</td></tr>"
+        return f"<table>{rows}</table>", main
+    if layout == "unnamed":
+        menus = [f"<div><ul>{links(count, '<li>{}</li>')}</ul></div>" for count in (7, 5)]
+        return f"{menus[0]}<div>{body}</div>{menus[1]}<div>&copy; 2020 Me. All rights reserved.</div>", main
+    if layout == "commented":
+        said = "".join(f"<li class=comment><b>Ann</b><p>{sentence()}.</p></li>" for _ in range(draw.randint(2, 6)))
+        inside = f"{body}<div id=comments><h2>Comments</h2><ol>{said}</ol></div>"
+        return f"<nav>{links(6)}</nav><article>{inside}</article><footer>About</footer>", main
+    more, other = article("h2")
+    posts = "".join(f"<article class=post>{text}</article>" for text in (body.replace("h1>", "h2>"), other))
+    side = f"<aside><h3>Archive</h3><ul><li>{links(1)}</li></ul></aside>"
+    return f"<header><h1>My blog</h1><nav>{links(6)}</nav></header><main>{posts}</main>{side}<footer>x</footer>", main + more
+
+
+@pytest.mark.parametrize("layout", ["tables", "unnamed", "commented", "several"])
+def test_extraction_of_other_layouts(spark, layout):
+    field = extraction.train(extraction.labelled_pages(spark))
+    right = 0
+    for seed in range(100):
+        page, main = foreign_page(random.Random(seed), layout)
+        found = extraction.main_text(page, field)
+        right += found == "\n".join(main)
+        # The outermost elements change nothing, written or not.
+        assert extraction.main_text(f"<!DOCTYPE html><html><head></head><body>{page}</body></html>", field) == found
+    assert right >= 97
+
+
 def test_blocks_keep_what_follows_empty_icons():
     page = (
         "<body><div><svg class=icon/><svg viewBox='0 0 1 1' /></div><article><p>The text with "
