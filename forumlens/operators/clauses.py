@@ -213,15 +213,17 @@ class Search:
         every = parts[0]
         for part in parts[1:]:
             every = every.unionByName(part)
+        # Pairs of query and posting are what moves most here, so they carry only what the kinds of the batch ask for.
+        told = [kind for kind in (MUST_NOT, SHOULD) if kind in self.units.kinds]
         found = every.groupBy("query_id", "post_id").agg(
             *self._bits(),
-            F.max(F.col("kind") == MUST_NOT).alias("forbidden"),
-            F.max(F.col("kind") == SHOULD).alias("optional"),
-            F.first("date").alias("date"),
+            *[F.max(F.col("kind") == kind).alias(kind) for kind in told],
+            F.max("date").alias("date"),
             F.sum("weight").alias("relevance"),
         )
         found = found.join(_sized(self.units.needed, self.units.few), "query_id")
-        matched = (self._met() == F.col("needed")) & ~F.col("forbidden") & ((F.col("needed") > 0) | F.col("optional"))
+        forbidden, optional = [F.col(kind) if kind in told else F.lit(False) for kind in (MUST_NOT, SHOULD)]
+        matched = (self._met() == F.col("needed")) & ~forbidden & ((F.col("needed") > 0) | optional)
         return found.where(matched).select("query_id", "post_id", "date", "relevance")
 
     def _phrase_hits(self, spans: DataFrame) -> DataFrame:
