@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from forumlens.functions import scoring, text
 from forumlens.operators import keyword_index
-from forumlens.operators.joins import BROADCAST_ROWS, SALTS
+from forumlens.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, SALTS
 from forumlens.operators.keyword_index import MESSAGE, TITLE, KeywordIndex
 from forumlens.operators.ranking import top_per_query, with_result_limit, within_own_limit, worth_ranking
 from forumlens.schemas import BM25_K1, TITLE_BOOST
@@ -56,9 +56,10 @@ class Units:
         bit = F.when(F.col("required"), F.row_number().over(order) - 1).otherwise(-1)
         self.rows = materialize(each.select("query_id", "kind", "required", "text", bit.alias("bit")))
         self.needed = self.rows.groupBy("query_id").agg(F.count_if("required").alias("needed"))
-        figures = self.rows.agg(F.coalesce(F.max("bit"), F.lit(-1)), F.count("*")).first()
+        sized = F.coalesce(F.sum(F.octet_length("text")), F.lit(0))
+        figures = self.rows.agg(F.coalesce(F.max("bit"), F.lit(-1)), F.count("*"), sized).first()
         self.chunks = max(1, -(-(figures[0] + 1) // _BITS))
-        self.few = figures[1] <= BROADCAST_ROWS
+        self.few = figures[1] <= BROADCAST_ROWS and figures[2] <= BROADCAST_BYTES
         known = self.rows.where(F.col("text") != "").select("query_id", "bit", "kind", "text")
         self.words = known.where(F.col("kind").isin(MUST, SHOULD, MUST_NOT)).withColumnRenamed("text", "term")
         self.phrases = known.where(F.col("kind") == PHRASE).withColumnRenamed("text", "phrase")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 # Rows of a side that may be broadcast. Rows of these sides are narrow (ids, one term, a few numbers).
 BROADCAST_ROWS = 100_000
+# Bytes of their texts, where rows carry words or phrases of any length.
+BROADCAST_BYTES = 32 << 20
 SALTS = 64
 
 

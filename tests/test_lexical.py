@@ -189,6 +189,15 @@ def test_joins_without_broadcast_give_the_same(spark, tables_of, monkeypatch):
     assert fresh(*tables_of, asked) == expected
 
 
+def test_long_texts_of_few_clauses_are_not_broadcast(spark, tables_of, monkeypatch):
+    asked = spark.createDataFrame([(1, 0, "phrase", "quick brown"), (1, 1, "must", "fox"), (2, 0, "must", "größe")], CLAUSES)
+    expected = fresh(*tables_of, asked)
+    assert clauses.Units(asked).few and expected
+    monkeypatch.setattr(clauses, "BROADCAST_BYTES", len("quick brownfoxgröße".encode()) - 1)
+    assert not clauses.Units(asked).few
+    assert fresh(*tables_of, asked) == expected
+
+
 def test_no_posts_and_no_clauses(spark, tables_of):
     posts, threads = tables_of
     asked = spark.createDataFrame([(1, 0, "must", "quick"), (2, 0, "prefix", "q")], CLAUSES)
