@@ -28,6 +28,8 @@ TELLING_LETTERS = 20
 UNUSUAL = 0.001
 _SAMPLE_STEPS = 1 << 30
 _SYMBOLS_AT_ONCE = 1 << 18
+# Texts whose vectors a task holds at once, and n-grams whose vectors it draws at once: some 4 to 8 MB each.
+_TEXTS_AT_ONCE, _GRAMS_AT_ONCE = 512, 1024
 _SPACE = 32
 _BITS = 21  # of a code point
 
@@ -102,11 +104,24 @@ class _Encoder:
             packed.append(value)
             owners.append(np.full(count, number))
         grams, at = np.unique(np.concatenate(packed), return_inverse=True)
-        counts = np.bincount(np.concatenate(owners) * len(grams) + at, minlength=len(parts) * len(grams))
-        sums = counts.reshape(len(parts), len(grams)).astype(np.float32) @ self.gram_signs(grams)
+        order = np.argsort(at, kind="stable")
+        at, owner = at[order], np.concatenate(owners)[order]
+        sums = np.zeros((len(parts), self.dimensions), np.float32)
+        for start in range(0, len(grams), _GRAMS_AT_ONCE):
+            some = grams[start : start + _GRAMS_AT_ONCE]
+            a, b = np.searchsorted(at, [start, start + len(some)])
+            counts = np.bincount(owner[a:b] * len(some) + at[a:b] - start, minlength=len(parts) * len(some))
+            sums += counts.reshape(len(parts), len(some)).astype(np.float32) @ self.gram_signs(some)
         np.add.at(total, rows, sums)
 
 
+def _in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches so small that a task never holds the vectors of many texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _TEXTS_AT_ONCE):
+            yield batch.slice(at, _TEXTS_AT_ONCE)
+
+
 @dataclass(frozen=True)
 class Profiles:
     """Languages in alphabetical order and their vectors of length one."""
@@ -138,7 +153,7 @@ def train(
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, total = _Encoder(), {}
-        for batch in batches:
+        for batch in _in_slices(batches):
             languages = np.array(batch.column("l").to_pylist(), object)
             vectors = encoder.vectors(batch.column("t").to_pylist())
             for name in set(languages):
@@ -171,7 +186,7 @@ def predict(rows: DataFrame, profiles: Profiles, carry: list[str], text: str = "
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, known = _Encoder(), shared.value
         names = np.array([*known.languages, UNKNOWN], object)
-        for batch in batches:
+        for batch in _in_slices(batches):
             vectors = encoder.vectors(batch.column("predicted").to_pylist())
             sizes = np.linalg.norm(vectors, axis=1)
             best, score = np.full(len(vectors), len(names) - 1), np.zeros(len(vectors))

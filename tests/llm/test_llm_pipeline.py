@@ -149,3 +149,36 @@ def test_language_stage_without_labels_keeps_letters(spark):
     rows = [(1, "some text", None), (2, "12 !", None), (3, None, None), (4, "Größe", None)]
     documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {row.doc_id for row in corpus_pipeline.identify_language(spark, documents, SMALL).collect()} == {1, 4}
+
+
+def test_simhash_finds_candidates_and_the_similarity_decides(spark, monkeypatch):
+    # Without buckets of minimum hashes only SimHash is left to find the pairs.
+    buckets = corpus_pipeline.jaccard._buckets
+    monkeypatch.setattr(corpus_pipeline.jaccard, "_buckets", lambda nodes: buckets(nodes).where("false"))
+    words = [f"w{i}" for i in range(600)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join(f"o{i}" for i in range(600)))]
+    # A passage that one text repeats far more often than the other: like fingerprints, but sets that have little in common.
+    passage = " ".join(words[:21])
+    rows += [(n, " ".join([passage] * 60 + [f"{n}x{i}" for i in range(25)])) for n in (4, 5)]
+    documents = spark.createDataFrame([*rows, (6, ""), (7, None)], "doc_id long, text string")
+    close = {row.doc_id: row.component_id for row in corpus_pipeline.simhash.near_duplicates(documents).collect()}
+    assert close[2] == close[1] and close[5] == close[4]
+    kept = {row.doc_id for row in corpus_pipeline.drop_near_duplicates(spark, documents, SMALL).collect()}
+    assert kept == {1, 3, 4, 5, 6}
+
+
+def test_vectors_of_many_texts_take_little_memory():
+    import tracemalloc
+
+    from forumlens.llm import language
+
+    draw = random.Random(5)
+    texts = ["".join(chr(draw.randint(0x4E00, 0x9000)) for _ in range(60)) for _ in range(400)]
+    encoder = language._Encoder()
+    one_by_one = np.vstack([encoder.vectors([text]) for text in texts])
+    tracemalloc.start()
+    found = encoder.vectors(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found == one_by_one).all()
+    assert peak < 40 << 20
