@@ -3,8 +3,8 @@
 The store is read once, where it lies. A task holds a chunk of its vectors, grouped by their nearest pivot, and reads the
 query batch from the shared folder slice by slice; no query passes through the driver. Pivots are stored vectors, so the
 k-th nearest of them bounds how far a neighbour of a query can be, and by the triangle inequality a group whose pivot is
-farther than that bound and the group's radius together holds none: it is skipped. Of the other groups the best k are kept
-per query, so a task sends at most k rows per query and chunk to the final ranking and vectors never shuffle. Vectors are
+farther than that bound and the group's radius together holds none: it is skipped. Where that leaves out little, all vectors
+are compared in whole blocks. The best k are kept per query, so a task sends at most k rows per query and chunk to the final ranking and vectors never shuffle. Vectors are
 compared with queries of their own length, whatever other lengths the batch holds.
 """
 
@@ -36,6 +36,8 @@ SLICE_QUERIES, SLICE_VALUES, CHUNK_VALUES = 4096, 1 << 22, 1 << 24
 # Stored vectors that reach the driver and every task as pivots, and their numbers at most.
 PIVOTS, PIVOT_VALUES = 512, 1 << 20
 _BLOCK_SCORES = 1 << 22
+# Where more than this share of the pairs of a query and a group is in reach, all vectors are compared in whole blocks.
+_DENSE_SHARE = 0.25
 _EXACT_VALUES = 1 << 23
 
 
@@ -80,6 +82,7 @@ class _BestHits:
         self.score = np.empty(0)
         self.rows: pa.Table | None = None
         self.worst = np.full(len(block.ids), np.inf) if worst is None else worst.copy()
+        self.full = np.zeros(len(block.ids), bool)
 
     def add(self, vectors: np.ndarray, payload: pa.Table, asked: np.ndarray) -> None:
         """Compare vectors with the queries whose places are ``asked``."""
@@ -88,19 +91,21 @@ class _BestHits:
             self._add_block(vectors[start : start + step], payload.slice(start, step), asked)
 
     def _add_block(self, vectors: np.ndarray, payload: pa.Table, asked: np.ndarray) -> None:
-        queries = self.block.matrix[asked]
+        every = len(asked) == len(self.block.ids)
+        queries, squares = (self.block.matrix, self.squares) if every else (self.block.matrix[asked], self.squares[asked])
         # Rough scores from one matrix product, then exact scores for the few pairs that can still win.
-        rough = vectors @ queries.T
         if self.metric == L2:
-            squares = (vectors * vectors).sum(axis=1)
-            size = squares[:, None] + self.squares[asked][None, :]
-            rough = size - 2.0 * rough
-            margin = _rounding(queries.shape[1], float(size.max())) + 10.0**-RANK_DECIMALS
+            own, ones = (vectors * vectors).sum(axis=1), np.ones
+            left = np.column_stack([vectors, own, ones(len(vectors))])
+            rough = left @ np.column_stack([-2.0 * queries, ones(len(queries)), squares]).T
+            size = float(own.max(initial=0.0)) + float(squares.max(initial=0.0))
+            margin = _rounding(queries.shape[1] + 2, size) + 10.0**-RANK_DECIMALS
         else:
-            rough = -rough
+            rough = vectors @ -queries.T
             margin = _rounding(queries.shape[1], 1.0) + 10.0**-RANK_DECIMALS
         bound = self.worst[asked]
-        if len(vectors) > self.k:
+        # The k-th score of a block bounds a query only as long as it has not k hits of its own.
+        if len(vectors) > self.k and not self.full[asked].all():
             bound = np.minimum(bound, np.partition(rough, self.k - 1, axis=0)[self.k - 1] + margin)
         row, place = np.nonzero(rough <= bound + margin)
         if not len(row):
@@ -131,6 +136,7 @@ class _BestHits:
         last = order[place == self.k - 1]
         self.query, self.score, self.rows = query[keep], score[keep], rows.take(pa.array(keep))
         self.worst[query[last]] = np.minimum(self.worst[query[last]], rounded[last])
+        self.full[query[last]] = True
 
     def result(self) -> dict[str, pa.Array]:
         if self.rows is None:
@@ -201,6 +207,11 @@ class _Chunk:
             reach = np.partition(distance, k - 1, axis=1)[:, k - 1] + off
         score = reach * reach if metric == L2 else reach * reach / 2.0 - 1.0
         best = _BestHits(block, k, metric, columns, score + 10.0**-RANK_DECIMALS)
+        pairs = len(everyone) * len(self.groups)
+        in_reach = distance[:, self.groups] - self.radii <= (reach + off + 1e-7)[:, None]
+        if in_reach.sum() > _DENSE_SHARE * pairs:
+            self._search_all(best, everyone)
+            return best, pairs, pairs
         compared = 0
         # Groups that lie nearest to the block come first, so that later ones meet lower bounds.
         for place in np.argsort(distance[:, self.groups].min(axis=0), kind="stable"):
@@ -211,7 +222,14 @@ class _Chunk:
             if len(asked):
                 rows = slice(self.starts[place], self.starts[place + 1])
                 best.add(self.vectors[rows], self.payload.slice(rows.start, rows.stop - rows.start), asked)
-        return best, len(everyone) * len(self.groups), compared
+        return best, pairs, compared
+
+    def _search_all(self, best: _BestHits, everyone: np.ndarray) -> None:
+        """Compare all vectors, in blocks that each hold some of every group, so that the first one bounds the others well."""
+        rows = len(self.vectors)
+        blocks = -(-rows * len(everyone) // _BLOCK_SCORES)
+        for number in range(blocks):
+            best.add(self.vectors[number::blocks], self.payload.take(pa.array(np.arange(number, rows, blocks))), everyone)
 
 
 def _schema(corpus: DataFrame, columns: list[str]) -> T.StructType:
@@ -324,11 +342,12 @@ def nearest(
     (cosine, descending). Equal scores rank by ``vec_id``. Vectors without a score (NULL, other length, not
     finite, zero for cosine) are left out, and a query gets fewer than ``k`` rows when fewer exist.
 
-    Each chunk of the scan hands at most ``k`` rows per query to the ranking. For a large batch over very many splits,
-    ``scan_tasks`` lets fewer tasks read several splits each, without a shuffle.
+    Each chunk of the scan hands at most ``k`` rows per query to the ranking. ``scan_tasks`` tasks, by default as many as run
+    at once, read several splits each, without a shuffle.
     """
     columns = ["vec_id", *carry]
-    corpus = corpus.coalesce(scan_tasks) if scan_tasks else corpus
+    # Every task hands k rows per query to the ranking, so by default there are no more tasks than can run at once.
+    corpus = corpus.coalesce(scan_tasks or corpus.sparkSession.sparkContext.defaultParallelism)
     scanned = scan(queries, corpus, max(k, 0), metric, columns, slice_queries, pivots) if k > 0 else None
     return ranked(scanned, k, metric, columns) if scanned is not None else _nothing(corpus, metric, columns)
 

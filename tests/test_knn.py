@@ -169,3 +169,32 @@ def test_ranking_in_parts(spark, k):
         (q, n + 1, i) for q in (0, 1) for n, (_, i) in enumerate(sorted((i % 7, i) for i in range(q, 3000, 2))[:k])
     ]
     assert sorted(rows_of(ranked, "query_id", "rank", "id")) == sorted(expected)
+
+
+@pytest.mark.parametrize("metric", [knn.L2, knn.COSINE])
+def test_vectors_without_clusters_are_compared_in_whole_blocks(monkeypatch, metric):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    matrix = rng.normal(size=(700, 32))
+    matrix /= np.sqrt((matrix**2).sum(axis=1))[:, None]
+    monkeypatch.setattr(knn, "_BLOCK_SCORES", 200 * 60)
+    sizes = []
+    add = knn._BestHits._add_block
+    monkeypatch.setattr(knn._BestHits, "_add_block", lambda self, v, p, a: sizes.append((len(v), len(a))) or add(self, v, p, a))
+    chunk = knn._Chunk.of(matrix, pa.table({"vec_id": np.arange(700)}), knn.Pivots(matrix[:300]))
+    best, pairs, compared = chunk.search(knn.QueryBlock(np.arange(60), matrix[-60:]), 4, metric, ["vec_id"])
+    assert sizes == [(175, 60)] * 4 and pairs == compared
+    found = sorted(zip(best.query.tolist(), best.rows.column("vec_id").to_pylist()))
+    assert found == sorted((i, int(v)) for i in range(60) for v in np.argsort(-(matrix @ matrix[640 + i]))[:4])
+
+
+def test_no_more_scan_tasks_than_run_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    vectors = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(200)]
+    q, corpus = frames(spark, vectors, vectors[:10], partitions=100)
+    parts = []
+    scan = knn.scan
+    monkeypatch.setattr(knn, "scan", lambda *a: parts.append(a[1].rdd.getNumPartitions()) or scan(*a))
+    assert knn.nearest(q, corpus, 3).count() == 30
+    assert parts[0] <= spark.sparkContext.defaultParallelism
