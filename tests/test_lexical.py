@@ -296,3 +296,51 @@ def test_lookup_join_salting(spark):
     plain = rows_of(joins.lookup_join(big, small, ["k"], "id", True))
     assert rows_of(joins.lookup_join(big, small, ["k"], "id", False)) == plain
     assert len(plain) == 1500
+
+
+@pytest.mark.parametrize("cells, pairs", [(1 << 20, 1 << 21), (7, 5), (1, 1)])
+def test_matches_of_one_group_against_brute_force(monkeypatch, cells, pairs):
+    import pyarrow as pa
+
+    monkeypatch.setattr(clauses, "_CELLS", cells)
+    monkeypatch.setattr(clauses, "_PAIRS", pairs)
+    draw = random.Random(4)
+    # Units repeat for a post, as in two fields or two rows of one id; some dates are not known.
+    held = [(f"w {draw.randint(0, 5)}", draw.randint(40, 50), draw.choice([None, 5, 9]), draw.random()) for _ in range(80)]
+    asked, expected = [], {}
+    for query in range(60):
+        kinds = [draw.choice(["must", "must", "should", "must_not"]) for _ in range(draw.randint(1, 3))]
+        listed = [(kind, f"w {draw.randint(0, 7)}") for kind in kinds]
+        needed = kinds.count("must")
+        bits = iter(range(3))
+        asked += [(query, unit, kind, next(bits) if kind == "must" else -1, needed) for kind, unit in listed]
+        for post in {row[1] for row in held}:
+            own = [[row for row in held if row[1] == post and row[0] == unit] for _, unit in listed]
+            met = sum(bool(rows) for (kind, _), rows in zip(listed, own) if kind == "must")
+            optional = any(rows for (kind, _), rows in zip(listed, own) if kind == "should")
+            forbidden = any(rows for (kind, _), rows in zip(listed, own) if kind == "must_not")
+            if met == needed and not forbidden and (needed or optional):
+                dates = [row[2] for rows in own for row in rows if row[2] is not None]
+                weight = sum(row[3] for (kind, _), rows in zip(listed, own) if kind != "must_not" for row in rows)
+                expected[query, post] = (max(dates, default=None), round(weight, 9))
+
+    def table(names, rows):
+        return pa.table({name: list(column) for name, column in zip(names, zip(*rows))})
+
+    found = clauses.matches_of_group(
+        table(["unit", "post_id", "date", "weight"], held), table(["query_id", "unit", "kind", "bit", "needed"], asked)
+    ).to_pylist()
+    assert {(r["query_id"], r["post_id"]): (r["date"], round(r["relevance"], 9)) for r in found} == expected
+    assert len(found) == len(expected) > 50
+
+
+def test_pairs_of_query_and_posting_do_not_shuffle(spark):
+    posts = spark.createDataFrame([(i, 1, f"one two w{i % 3}", i) for i in range(40)], "post_id long, thread_id long, message string, post_date long")
+    threads = spark.createDataFrame([(1, "two three")], "thread_id long, title string")
+    queries = spark.createDataFrame([(1, "one two"), (2, "two w1")], "query_id long, query string")
+    units = clauses.Units(clauses.must_clauses(queries))
+    found = clauses.matches(clauses.index_for(posts, threads, units), units)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan.split("FlatMapCoGroupsInArrow")[0]
+    assert not [line for line in plan.splitlines() if "hashpartitioning(query_id" in line and "post_id" in line]
+    assert found.count() == 40 + len([i for i in range(40) if i % 3 == 1])
