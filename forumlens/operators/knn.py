@@ -17,12 +17,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from forumlens.operators.ranking import top_per_query
-from forumlens.sources.snapshots import materialize, scratch_directory
+from forumlens.sources.snapshots import materialize, read_slices, write_slices
 
 L2 = "l2"
 COSINE = "cosine"
@@ -239,17 +237,6 @@ def _schema(corpus: DataFrame, columns: list[str]) -> T.StructType:
     return T.StructType([*fields, T.StructField("pairs", T.LongType()), T.StructField("compared", T.LongType())])
 
 
-def _slices(folder: str) -> Iterator[pa.Table]:
-    """The row groups of a Parquet folder, one at a time."""
-    files, path = pa.fs.FileSystem.from_uri(folder)
-    found = files.get_file_info(pa.fs.FileSelector(path))
-    for name in sorted(one.path for one in found if one.base_name.endswith(".parquet")):
-        with files.open_input_file(name) as file:
-            parquet = pq.ParquetFile(file)
-            for number in range(parquet.num_row_groups):
-                yield parquet.read_row_group(number)
-
-
 def _pivots(stored: DataFrame, metric: str, count: int) -> dict[int, Pivots]:
     """Some stored vectors by their length. Any will do: they decide what is skipped, never what is found."""
     sample = stored.select("embedding").limit(count).toArrow().column("embedding").combine_chunks()
@@ -269,11 +256,7 @@ def scan(
     batch = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
     stored = corpus.select("embedding", *columns).where(F.col("embedding").isNotNull())
     dim = batch.agg(F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()[0]
-    folder = scratch_directory(spark)
-    rows = max(1, min(slice_queries, SLICE_VALUES // max(1, dim)))
-    batch.write.option("parquet.block.row.count.limit", rows).parquet(folder)
-    uri = folder if "://" in folder or ":/" in folder else f"file://{folder}"
-    uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    uri = write_slices(batch, max(1, min(slice_queries, SLICE_VALUES // max(1, dim))))
     shared = spark.sparkContext.broadcast(_pivots(stored, metric, pivots) if k else {})
     schema = _schema(corpus, columns)
 
@@ -291,7 +274,7 @@ def scan(
     def of_chunk(chunk: pa.Table, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
         vectors = chunk.column("embedding").combine_chunks()
         payload, known = chunk.select(columns), {}
-        for part in _slices(uri):
+        for part in read_slices(uri):
             pairs = compared = 0
             for block in QueryBlock.by_length(part, metric):
                 length = block.matrix.shape[1]

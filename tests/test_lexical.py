@@ -6,7 +6,7 @@ import regex
 from helpers import forum, rows_of
 from pyspark.sql import functions as F
 
-from forumlens.operators import clauses, joins, keyword_index, lexical
+from forumlens.operators import clauses, joins, keyword_index, lexical, phrases
 from forumlens.operators.ranking import BatchFigures, batch_figures
 from forumlens.plans import search
 from forumlens.sources import tables
@@ -344,3 +344,35 @@ def test_pairs_of_query_and_posting_do_not_shuffle(spark):
     assert "hashpartitioning(query_id" not in plan.split("FlatMapCoGroupsInArrow")[0]
     assert not [line for line in plan.splitlines() if "hashpartitioning(query_id" in line and "post_id" in line]
     assert found.count() == 40 + len([i for i in range(40) if i % 3 == 1])
+
+
+@pytest.mark.parametrize("chunk, phrases_of_slice", [(1 << 18, 1 << 17), (1, 3)])
+def test_phrases_of_postings_against_brute_force(spark, monkeypatch, chunk, phrases_of_slice):
+    monkeypatch.setattr(phrases, "CHUNK_POSTINGS", chunk)
+    monkeypatch.setattr(phrases, "SLICE_PHRASES", phrases_of_slice)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000" if chunk > 1 else "7")
+    posts, threads, draw, _ = drawn(spark, 60, 5, vocabulary=4)
+    listed = sorted({" ".join(draw.choices(["w0", "w1", "w2", "w3", "stop", "absent"], k=1 + n % 6)) for n in range(90)})
+    asked = spark.createDataFrame([(text, text.split()) for text in listed], "phrase string, words array<string>")
+    found = phrases.standing(keyword_index.field_postings(posts, threads, 16), asked)
+    expected = []
+    for row in lexical.lexical_documents(posts, threads).collect():
+        for field, text in enumerate((row["title"], row["message"])):
+            for phrase in listed:
+                if times := occurrences(phrase.split(), words(text)):
+                    expected.append((phrase, row["post_id"] // 16, field, row["post_id"], row["date"], len(words(text)), times))
+    columns = "phrase", "span", "field", "post_id", "date", "length", "times"
+    got = rows_of(found, *columns)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(expected, key=repr) and len(expected) > 500
+
+
+def test_pairs_of_phrase_and_posting_do_not_shuffle(spark, tmp_path):
+    # All phrases begin with a word that every post has, and none stands in one: only postings may move, each once.
+    posts = spark.createDataFrame([(i, 1, "u", "one two three", i) for i in range(64)], POSTS)
+    threads = spark.createDataFrame([(1, "title", 0, 0)], THREADS)
+    asked = spark.createDataFrame([(n, 0, "phrase", f"{a} {b} {c}") for n, (a, b, c) in enumerate([("one", "three", "two"), ("two", "one", "three"), ("three", "two", "one")] * 20)], CLAUSES)
+    units = clauses.Units(asked)
+    search_of = clauses.Search(clauses.index_for(posts, threads, units, 16), units)
+    assert search_of.spans().count() == 0  # before, every span that holds the words was looked at
+    assert fresh(posts, threads, asked, 16) == []
