@@ -376,3 +376,22 @@ def test_pairs_of_phrase_and_posting_do_not_shuffle(spark, tmp_path):
     search_of = clauses.Search(clauses.index_for(posts, threads, units, 16), units)
     assert search_of.spans().count() == 0  # before, every span that holds the words was looked at
     assert fresh(posts, threads, asked, 16) == []
+
+
+def test_no_score_in_a_span_is_above_its_bound(spark):
+    posts, threads, draw, names = drawn(spark, 100, 6)
+    listed = [(n, "should", word) for n in range(20) for word in draw.sample(names, 4)] + [(30, "must", "stop"), (30, "phrase", "stop w9")]
+    asked = spark.createDataFrame([(q, i, kind, text) for i, (q, kind, text) in enumerate(listed)], CLAUSES)
+    units = clauses.Units(asked)
+    search_of = clauses.Search(clauses.index_for(posts, threads, units, 8), units)
+    bounds = {(r["query_id"], r["span"]): r["bound"] for r in search_of.spans(F.lit(20_000)).collect()}
+    dates = {r["post_id"]: r["post_date"] for r in posts.collect()}
+    found = brute_force(lexical.lexical_documents(posts, threads), listed)
+    assert found and all(score + 0.5 ** (abs(dates[post] - 20_000) / 864000) <= bounds[query, post // 8] + 1e-9 for query, post, score in found)
+
+
+def test_pairs_of_query_and_block_do_not_shuffle(spark):
+    posts, threads, _, _ = drawn(spark, 60, 7)
+    units = clauses.Units(clauses.must_clauses(spark.createDataFrame([(n, f"stop w{n}", None) for n in range(20)], QUERIES)))
+    plan = clauses.Search(clauses.index_for(posts, threads, units, 4), units).spans()._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(query_id" in line and "span" in line]
