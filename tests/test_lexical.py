@@ -395,3 +395,31 @@ def test_pairs_of_query_and_block_do_not_shuffle(spark):
     units = clauses.Units(clauses.must_clauses(spark.createDataFrame([(n, f"stop w{n}", None) for n in range(20)], QUERIES)))
     plan = clauses.Search(clauses.index_for(posts, threads, units, 4), units).spans()._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(query_id" in line and "span" in line]
+
+
+def test_an_index_cuts_texts_into_words_once_for_postings_and_once_for_lengths(spark, tmp_path):
+    posts, threads = (rows.localCheckpoint() for rows in drawn(spark, 60, 5)[:2])
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return text
+
+    watched = F.udf(counted).asNondeterministic()
+    index = keyword_index.add(posts.withColumn("message", watched("message")), threads, str(tmp_path / "watched"), 4, 8)
+    assert seen.value == 2 * posts.count()
+    plain = keyword_index.build(posts, threads, span=8)
+    names = ["term", "field", "post_id", "positions", "span"]
+    assert rows_of(index.postings, *names) == rows_of(plain.postings, *names)
+    assert rows_of(index.blocks, *plain.blocks.columns) == rows_of(plain.blocks, *plain.blocks.columns)
+
+
+def test_a_large_bucket_fills_many_files(spark, tmp_path):
+    posts, threads, *_ = drawn(spark, 4000, 6)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    try:
+        keyword_index.add(posts.repartition(8), threads, str(tmp_path / "index"), 1, 8)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    for part in ("postings", "blocks"):
+        assert len(list((tmp_path / "index" / part / "segment=0" / "bucket=0").glob("*.parquet"))) > 2
