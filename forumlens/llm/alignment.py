@@ -36,6 +36,18 @@ _BYTES_AT_ONCE, _COUNTED = 1 << 21, 1 << 21
 _WORD_MARK = "\u2581"
 
 
+class _Numbers(dict):
+    """Numbers of parts; a part that is not there gets the next number and is listed as new."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = number = len(self)
+        return number
+
+
 class AlignedParts:
     """Alignments of parts of texts by number, as far as they are remembered.
 
@@ -52,7 +64,9 @@ class AlignedParts:
         self.second_bytes = [self._piece(number) for number in range(self.second.get_piece_size())]
         self.first_sizes = self.first.sizes
         self.second_sizes = np.array(list(map(len, self.second_bytes)), np.int64)
-        self.names = list(map(str, range(max(len(self.first_sizes), len(self.second_sizes)))))
+        # Every number three times: before another one of its side, before the other side, before the next group.
+        self.most = max(len(self.first_sizes), len(self.second_sizes))
+        self.names = pa.array([f"{number}{mark}".encode() for mark in ",|;" for number in range(self.most)], pa.large_binary())
         self.writes = writes
         self.forget()
 
@@ -61,7 +75,7 @@ class AlignedParts:
         return bytes([int(piece[3:5], 16)]) if self.second.is_byte(number) else piece.replace(_WORD_MARK, " ").encode()
 
     def forget(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.numbers = _Numbers()
         self.counts, self.good = np.zeros((0, 4), np.int64), np.zeros(0, bool)
         self.groups: list[bytes] = []
         self.pairs, self.starts = np.zeros(0, np.int64), np.zeros(1, np.int64)
@@ -77,12 +91,17 @@ class AlignedParts:
     def number(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of the parts of texts that are not empty, one after the other, and where each text begins."""
         listed = [words_of(text) for text in texts]
-        flat = list(chain.from_iterable(listed))
-        new = list(set(flat) - self.numbers.keys())
+        sizes = np.fromiter(map(len, listed), np.int64, len(listed))
+        found = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(listed)), np.int64, int(sizes.sum()))
+        known, new = len(self), self.numbers.new
         if new:
+            self.numbers.new = []
             self._add(new)
-        found = np.fromiter(map(self.numbers.__getitem__, flat), np.int64, len(flat))
-        return found, np.concatenate([[0], np.cumsum([len(words) for words in listed])])[:-1].astype(np.int64)
+            # The numbers that the new parts got in the end, in the order in which they were met.
+            last = np.fromiter(map(self.numbers.__getitem__, new), np.int64, len(new))
+            fresh = found >= known
+            found[fresh] = last[found[fresh] - known]
+        return found, np.cumsum(sizes) - sizes
 
     def _add(self, words: list[str]) -> None:
         words, first, first_counts = self.first.ids(words)
@@ -119,9 +138,10 @@ class AlignedParts:
         share: every such stretch is a link.
         """
         ends, other_ends = np.cumsum(self.first_sizes[first]), np.cumsum(self.second_sizes[second])
-        stretches = np.union1d(ends, other_ends)
+        both = np.sort(np.concatenate([ends, other_ends]), kind="stable")  # two runs, which a stable sort merges
+        again = both[1:] == both[:-1]
+        stretches, cuts = both[np.append(~again, True)] if len(both) else both, both[1:][again]
         keys = (first[np.searchsorted(ends, stretches)] << 32) | second[np.searchsorted(other_ends, stretches)]
-        cuts = np.intersect1d(ends, other_ends, assume_unique=True)
         numbered = np.flatnonzero(good)
         of_link = numbered[np.searchsorted(part_ends[numbered], stretches)]
         of_group = numbered[np.searchsorted(part_ends[numbered], cuts)]
@@ -134,15 +154,23 @@ class AlignedParts:
         """The groups of every part as text, if this aligner writes them."""
         if not self.writes:
             return []
-        names = self.names
-        a, b = [names[i] for i in first.tolist()], [names[i] for i in second.tolist()]
-        a_ends, b_ends = (np.searchsorted(ends, cuts) + 1).tolist(), (np.searchsorted(other_ends, cuts) + 1).tolist()
-        written, i, j = [], 0, 0
-        for m, n in zip(a_ends, b_ends):
-            written.append(f"{a[i] if m == i + 1 else ','.join(a[i:m])}|{b[j] if n == j + 1 else ','.join(b[j:n])}")
-            i, j = m, n
-        last = np.cumsum(group_counts).tolist()
-        return [";".join(written[x:y]).encode() for x, y in zip([0, *last[:-1]], last)]
+        if not len(cuts):
+            return [b""] * len(group_counts)
+        a_ends, b_ends = np.searchsorted(ends, cuts) + 1, np.searchsorted(other_ends, cuts) + 1
+        a_sizes, b_sizes = np.diff(a_ends, prepend=0), np.diff(b_ends, prepend=0)
+        # The numbers of a group's first side stand before those of its second.
+        a_places = np.arange(len(first)) + np.repeat(b_ends - b_sizes, a_sizes)
+        b_places = np.arange(len(second)) + np.repeat(a_ends, b_sizes)
+        named = np.empty(len(first) + len(second), np.int64)
+        named[a_places], named[b_places] = first, second
+        named[a_places[a_ends - 1]] += self.most
+        named[b_places[b_ends - 1]] += 2 * self.most
+        taken = self.names.take(pa.array(named))
+        places, text = np.frombuffer(taken.buffers()[1], np.int64), taken.buffers()[2].to_pybytes()
+        group_ends = np.append(0, places[a_ends + b_ends])
+        last = np.cumsum(group_counts)
+        starts, stops = group_ends[last - group_counts], group_ends[last] - (group_counts > 0)
+        return [text[x:y] for x, y in zip(starts.tolist(), stops.tolist())]
 
     def pairs_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pairs of numbered parts, one after the other, and how many each has."""

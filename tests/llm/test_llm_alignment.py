@@ -1,6 +1,8 @@
 """Alignment of two tokenizers against whole-text tokenization, and the perfect hash behind its counts."""
 
 import hashlib
+import itertools
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -172,3 +174,34 @@ def test_dense_sums_equal_sums(spark):
     for segments, fan in ((1, 2), (4, 3)):
         sums = alignment.dense_sums(counts, perfect_hash.build(distinct, segments), segments, 12, fan)
         assert {row.key: row["count"] for row in sums.collect()} == expected
+
+
+def test_groups_are_written_without_a_step_for_each():
+    """Calls from Python, as a profiler sees them, stay below the groups."""
+    parts = alignment.AlignedParts(FILES.merges, FILES.ranks, FILES.pieces)
+    words = [f"{a}{b}x{n}" for n, (a, b) in enumerate(itertools.product(("un", "Straße", "日", "w"), ("able", "é", "🎉", "ing")))] * 200
+    words, first, _ = parts.first.ids(words)
+    second = np.array([i for ids in parts.second.encode(words) for i in ids])
+    ends = np.cumsum([len(word.encode()) + 1 for word in words])
+    calls = Counter()
+    sys.setprofile(lambda frame, event, called: calls.update([event]))
+    try:
+        counts, groups, _, _ = parts._aligned(first, second, ends, np.ones(len(words), bool))
+    finally:
+        sys.setprofile(None)
+    assert len(groups) == len(words) and sum(counts[:, 2]) == sum(len(one.split(b";")) for one in groups) > 2 * len(words)
+    assert calls["c_call"] < len(words) / 4
+
+
+def test_parts_without_groups_and_new_parts_of_any_kind():
+    parts = alignment.AlignedParts(FILES.merges, FILES.ranks, FILES.pieces)
+    numbers, starts = parts.number(["▁ ▁".encode()])
+    assert not parts.good[numbers].all() and parts.groups[numbers[~parts.good[numbers]][0]] == b"" and starts.tolist() == [0]
+    texts = ["ab 日本 cd ab", "日本 ef ▁x cd", "ef"]
+    numbers, starts = parts.number([text.encode() for text in texts])
+    flat = [word for text in texts for word in text.split(" ")]
+    assert starts.tolist() == [0, 4, 8] and [list(parts.numbers)[n] for n in range(len(parts))] != flat
+    for word, number in zip(flat, numbers):
+        alone = alignment.AlignedParts(FILES.merges, FILES.ranks, FILES.pieces)
+        own, _ = alone.number([word.encode()])
+        assert parts.groups[number] == alone.groups[own[0]] and parts.counts[number].tolist() == alone.counts[own[0]].tolist()
