@@ -13,7 +13,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Windows of one slice: with ten 32-bit numbers for each, and words shared by neighbours, some hundred megabytes at most.
 SLICE_WINDOWS = 1 << 20
@@ -24,6 +24,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
+_FOUND = "struct<spans:array<struct<start:int,stop:int>>,items:array<string>,n_words:bigint,n_hit:bigint,cut_text:string>"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,68 +130,55 @@ def scan(
     spark = rows.sparkSession
     windows = item_windows(items, n, item, item_text)
     slices = max(1, -(-windows.count() // slice_windows))
-    span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
-    listed = T.ArrayType(T.StringType())
     part = F.pmod(F.xxhash64("item", "words"), F.lit(slices))
-    found = rows.select(
-        F.struct(*carry).alias("source"),
-        F.col(text).alias("scanned"),
-        F.array().cast(span).alias("spans"),
-        F.array().cast(listed).alias("items"),
-    )
-    schema = T.StructType([
-        *found.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
-        T.StructField("cut_text", T.StringType()),
-    ])
+    # A carried text is read from the row that carries it.
+    source, own_text = F.struct(*carry).alias("source"), [] if text in carry else [F.col(text).alias("scanned")]
+    scanned = F.col("source")[text] if text in carry else F.col("scanned")
+    found = rows.select(source, *own_text, F.lit(None).cast(_FOUND).alias("found"))
     for number in range(slices):
         own = windows.where(part == number) if slices > 1 else windows
         shared = spark.sparkContext.broadcast(WindowSet.of(own.toArrow()))
         last = number == slices - 1
-        passed = found.select("source", "scanned", "spans", "items")
-        found = passed.mapInArrow(_scanner(shared, cut and last, not last), schema)
-    return found.select("source", "n_words", "n_hit", "spans", "items", "cut_text")
-
-
-def _scanner(shared, cut: bool, keep_text: bool):
-    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-
-    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of a row, only its text goes to Python, once a slice, and none comes back but a cut one. Marked nondeterministic, so
+        # that no filter on what is found repeats the call.
+        passed = F.arrow_udf(_scanner(shared, cut and last), _FOUND).asNondeterministic()
+        found = found.withColumn("found", passed(scanned, F.col("found")))
+    return found.select("source", *[f"found.{name}" for name in ("n_words", "n_hit", "spans", "items", "cut_text")])
+
+
+def _scanner(shared, cut: bool):
+    kinds = {
+        "spans": pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])),
+        "items": pa.list_(pa.string()),
+        "n_words": pa.int64(),
+        "n_hit": pa.int64(),
+        "cut_text": pa.string(),
+    }
+
+    def of_texts(texts: pa.Array, before: pa.Array) -> pa.Array:
         known: WindowSet = shared.value
-        for batch in batches:
-            texts = batch.column("scanned")
-            columns = {name: [] for name in ("spans", "items", "n_words", "n_hit", "cut_text")}
-            before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist())
-            for text, (old_spans, old_items) in zip(texts.cast(pa.binary()), before):
-                raw = text.as_py()
-                spelled = (raw or b"").translate(_WORD_BYTES)
-                found = spelled.split()
-                hit, owners = np.zeros(len(found), np.int8), set(old_items)
-                for span in old_spans:
-                    hit[span["start"] : span["stop"]] = 1
-                for start, size, names in known.hits(found):
-                    hit[start : start + size] = 1
-                    owners.update(names)
-                spans = _spans(hit)
-                columns["spans"].append(spans)
-                columns["items"].append(list(owners))
-                columns["n_words"].append(len(found))
-                columns["n_hit"].append(int(hit.sum()))
-                rest = _cut(raw, spelled, found, spans) if spans else raw
-                columns["cut_text"].append(rest.decode() if cut and raw is not None else None)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("source"),
-                    texts if keep_text else pa.nulls(len(texts), pa.string()),
-                    pa.array(columns["spans"], spans_type),
-                    pa.array(columns["items"], pa.list_(pa.string())),
-                    pa.array(columns["n_words"], pa.int64()),
-                    pa.array(columns["n_hit"], pa.int64()),
-                    pa.array(columns["cut_text"], pa.string()),
-                ],
-                names=["source", "scanned", "spans", "items", "n_words", "n_hit", "cut_text"],
-            )
-
-    return of_batches
+        columns = {name: [] for name in kinds}
+        for text, old in zip(texts.cast(pa.binary()), before):
+            raw, old = text.as_py(), old.as_py() or {"spans": [], "items": []}
+            spelled = (raw or b"").translate(_WORD_BYTES)
+            found = spelled.split()
+            hit, owners = np.zeros(len(found), np.int8), set(old["items"])
+            for span in old["spans"]:
+                hit[span["start"] : span["stop"]] = 1
+            for start, size, names in known.hits(found):
+                hit[start : start + size] = 1
+                owners.update(names)
+            spans = _spans(hit)
+            columns["spans"].append(spans)
+            columns["items"].append(list(owners))
+            columns["n_words"].append(len(found))
+            columns["n_hit"].append(int(hit.sum()))
+            rest = _cut(raw, spelled, found, spans) if cut and spans else raw
+            columns["cut_text"].append(rest.decode() if cut and raw is not None else None)
+        arrays = [pa.array(columns[name], kind) for name, kind in kinds.items()]
+        return pa.StructArray.from_arrays(arrays, list(kinds))
+
+    return of_texts
 
 
 def clean_documents(rows: DataFrame, items: DataFrame, text: str = "text", n: int = 10) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 UNKNOWN = "und"
 DIMENSIONS = 1024
@@ -177,29 +177,29 @@ def predict(rows: DataFrame, profiles: Profiles, carry: list[str], text: str = "
     texts, texts without a letter, and all texts if there is no profile are ``und`` with score 0. Columns that are not
     carried are left out.
     """
-    chosen = rows.select(F.struct(*carry).alias("source"), F.col(text).alias("predicted"))
     shared = rows.sparkSession.sparkContext.broadcast(profiles)
-    schema = T.StructType([
-        chosen.schema["source"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
-    ])
 
-    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_texts(texts: pa.Array) -> pa.Array:
         encoder, known = _Encoder(), shared.value
         names = np.array([*known.languages, UNKNOWN], object)
-        for batch in _in_slices(batches):
-            vectors = encoder.vectors(batch.column("predicted").to_pylist())
+        found, scores = [pa.array([], pa.string())], [pa.array([], pa.float64())]
+        for at in range(0, len(texts), _TEXTS_AT_ONCE):
+            vectors = encoder.vectors(texts.slice(at, _TEXTS_AT_ONCE).to_pylist())
             sizes = np.linalg.norm(vectors, axis=1)
             best, score = np.full(len(vectors), len(names) - 1), np.zeros(len(vectors))
-            if known.languages and len(vectors):
+            if known.languages:
                 cosines = vectors @ known.vectors.T / np.where(sizes > 0, sizes, 1.0)[:, None]
                 best = np.where(sizes > 0, cosines.argmax(axis=1), best)
                 score = np.where(sizes > 0, np.clip(cosines.max(axis=1), 0.0, 1.0), 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("source"), pa.array(names[best], pa.string()), pa.array(score)],
-                names=["source", "lang_pred", "score"],
-            )
-
-    return chosen.mapInArrow(of_batches, schema)
+            found.append(pa.array(names[best], pa.string()))
+            scores.append(pa.array(score))
+        return pa.StructArray.from_arrays([pa.concat_arrays(found), pa.concat_arrays(scores)], ["lang_pred", "score"])
+
+    # Of a row, only its text goes to Python, once, and none comes back. Marked nondeterministic, so that no filter on what
+    # is found repeats the call.
+    predicted = F.arrow_udf(of_texts, "struct<lang_pred:string,score:double>").asNondeterministic()
+    found = rows.select(F.struct(*carry).alias("source"), predicted(F.col(text)).alias("predicted"))
+    return found.select("source", "predicted.lang_pred", "predicted.score")
 
 
 def held_out(key: Column) -> Column:

@@ -540,3 +540,17 @@ def test_native_operators_run_no_python(spark, name):
     frame = queries.all_queries()[name](spark, "/root/testdata/sf0.001")
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "ExistingRDD"))
+
+
+def test_language_and_decontamination_send_only_texts_to_python(spark, odd):
+    """Rows that carry all their columns stay in the JVM: a task once held every text four times, outside its heap too."""
+    items = spark.createDataFrame([("a", "one two three")], "item_id string, text string")
+    profiles = language.train(documents(spark, [(1, "some english words", "en")]))
+    found = language.predict(odd, profiles, odd.columns)
+    for frame in (found, decontamination.scan(odd, items, odd.columns), decontamination.clean_documents(odd, items)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    # A filter on what is found does not repeat the call.
+    plan = found.where((F.col("score") > 0) & (F.col("lang_pred") == "en"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert sorted(map(repr, found.select("source.*").collect())) == sorted(map(repr, odd.collect()))
