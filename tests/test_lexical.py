@@ -423,3 +423,37 @@ def test_a_large_bucket_fills_many_files(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     for part in ("postings", "blocks"):
         assert len(list((tmp_path / "index" / part / "segment=0" / "bucket=0").glob("*.parquet"))) > 2
+
+
+def most_rows_of_a_step(found):
+    """The most rows that any step of a plan gave when it ran."""
+    found.collect()
+    nodes, most = [found._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        rows = node.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+        inside = [node.executedPlan()] if node.nodeName().startswith("AdaptiveSparkPlan") else [node.plan()] if "QueryStage" in node.nodeName() else []
+        below = node.children()
+        nodes += [*inside, *[below.apply(i) for i in range(below.size())]]
+    return most
+
+
+@pytest.mark.parametrize("bound", [clauses.BROADCAST_ROWS, 1, -1])
+def test_word_starts_do_not_meet_the_dictionary_once_for_each_span(spark, monkeypatch, bound):
+    # 1,200 words of one start, each in one post, and 300 spans: before, every word was looked for in every span.
+    posts = [(i, i % 40, "u", " ".join(f"wo{4 * i + j} other" for j in range(4)), i) for i in range(300)]
+    posts = spark.createDataFrame([*posts, (300, 40, "u", "wound wound wo", None)], POSTS)
+    threads = spark.createDataFrame([(i, f"Wo title{i}" if i % 2 else None, 0, 0) for i in range(41)], THREADS)
+    asked = spark.createDataFrame([(1, 0, "prefix", "wo"), (2, 0, "prefix", "wo11"), (2, 1, "should", "other"), (3, 0, "prefix", "?"), (4, 0, "prefix", "w")], CLAUSES)
+    listed = [(1, "prefix", "wo"), (2, "prefix", "wo11"), (2, "should", "other"), (3, "prefix", "?"), (4, "prefix", "w")]
+    monkeypatch.setattr(clauses, "BROADCAST_ROWS", bound if bound < 0 else clauses.BROADCAST_ROWS)
+    units = clauses.Units(asked)
+    assert units.few == (bound > 0)
+    search_of = clauses.Search(clauses.index_for(posts, threads, units, 1), units)
+    spans = clauses.materialize(search_of.spans().select("query_id", "span"))
+    monkeypatch.setattr(clauses, "BROADCAST_ROWS", bound)
+    assert most_rows_of_a_step(search_of._prefix_hits(spans)[1]) < 25_000
+    found = search_of.scores(spans).withColumn("relevance", F.round("relevance", 9))
+    expected = brute_force(lexical.lexical_documents(posts, threads), listed)
+    assert len(expected) > 600 and rows_of(found, "query_id", "post_id", "relevance") == expected
