@@ -8,6 +8,7 @@ of signs is XOR of bits.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -212,22 +213,26 @@ def rejected(language: Column) -> Column:
     return language == UNKNOWN
 
 
-def least_score(
-    rows: DataFrame, profiles: Profiles, key: str = "doc_id", text: str = "text", language: str = "lang",
-    documents: int = TRAINING_DOCUMENTS,
-) -> float:
+def least_score(found: DataFrame, text: str = "text", language: str = "lang") -> float:
     """The score below which a text is in none of the languages: what chance gives, or less if labelled texts of enough
     letters whose language is found score less.
+
+    ``found`` is what :func:`predict` gives, a written table that carries text and label. All labelled texts count, and the
+    share of them that may score less is counted exactly; only scores below chance are ordered.
     """
-    labelled = rows.select(key, text, language).where(F.col(language).isNotNull())
-    found = predict(_sampled(labelled, key, language, documents), profiles, [text, language], text)
-    found = found.where((F.col("lang_pred") == F.col("source")[language]) & _telling(F.col("source")[text]))
-    usual = found.agg(F.percentile_approx("score", UNUSUAL, 10000)).first()[0]
-    return CHANCE if usual is None else min(CHANCE, usual)
+    source = F.col("source")
+    usual = found.where((F.col("lang_pred") == source[language]) & _telling(source[text]))
+    low = F.col("score") < CHANCE
+    texts, below = usual.agg(F.count("*"), F.count_if(low)).first()
+    place = max(1, math.ceil(UNUSUAL * texts))
+    if below < place:
+        return CHANCE
+    return usual.where(low).select("score").orderBy("score").offset(place - 1).first()[0]
 
 
 def _telling(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"\P{L}+", "")) >= TELLING_LETTERS
+    """Whether a text has enough letters; no more of it is looked at than that takes."""
+    return text.rlike(r"\A(?:\P{L}*+\p{L}){%d}" % TELLING_LETTERS)
 
 
 def unlike_all(text: Column, score: Column, least: float) -> Column:

@@ -182,3 +182,31 @@ def test_vectors_of_many_texts_take_little_memory():
     tracemalloc.stop()
     assert (found == one_by_one).all()
     assert peak < 40 << 20
+
+
+def test_what_is_usual_is_learnt_from_all_labelled_texts(spark):
+    from forumlens.llm import language
+
+    # More texts of one label than train its profile; 40 of them have few letters of the others.
+    draw = random.Random(11)
+    drawn = lambda letters, words: " ".join("".join(draw.choices(letters, k=5)) for _ in range(words))
+    rows = [(n, drawn("abcd", 1 if n % 300 == 7 else 6) + " " + drawn("жзийклмнопрст", 12 * (n % 300 == 7)), "en") for n in range(12_000)]
+    rows += [(12_000, "12 3", "en"), (12_001, None, "en"), (12_002, "щщ", "en")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    found = language.predict(documents, language.train(documents), ["doc_id", "text"]).collect()
+    telling = [(row.score, row.source.doc_id) for row in found if row.source.doc_id < 12_000]
+    least = sorted(telling)[11][0]  # a thousandth of 12,000 texts is 12
+    assert 0 < least < language.CHANCE
+    dropped = {doc_id for score, doc_id in telling if score < least}
+    assert len(dropped) == 11
+    kept = {row.doc_id for row in corpus_pipeline.identify_language(spark, documents, SMALL).select("doc_id").collect()}
+    assert kept == {*range(12_000), 12_002} - dropped
+
+
+def test_enough_letters(spark):
+    from forumlens.llm import language
+
+    texts = ["", "a" * 19, "a" * 20, "1 a\n" * 19, "1 a\n" * 20, "\U00010400" * 19, "\U00010400" * 20, "?" * 50_000 + "b" * 20, ("?" * 5_000 + "b") * 19 + "?" * 50_000, None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "n int, text string").orderBy("n")
+    telling = [row[0] for row in frame.select(language._telling(F.col("text"))).collect()]
+    assert telling == [None if text is None else sum(c.isalpha() for c in text) >= 20 for text in texts]
