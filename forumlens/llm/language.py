@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from forumlens.sources.snapshots import materialize
+
 UNKNOWN = "und"
 DIMENSIONS = 1024
 GRAM = 3
@@ -213,21 +215,21 @@ def rejected(language: Column) -> Column:
     return language == UNKNOWN
 
 
-def least_score(found: DataFrame, text: str = "text", language: str = "lang") -> float:
+def least_score(rows: DataFrame, profiles: Profiles, text: str = "text", language: str = "lang") -> float:
     """The score below which a text is in none of the languages: what chance gives, or less if labelled texts of enough
     letters whose language is found score less.
 
-    ``found`` is what :func:`predict` gives, a written table that carries text and label. All labelled texts count, and the
-    share of them that may score less is counted exactly; only scores below chance are ordered.
+    All labelled texts count, and the share of them that may score less is counted exactly. Their scores alone are written;
+    only those below chance are ordered.
     """
-    source = F.col("source")
-    usual = found.where((F.col("lang_pred") == source[language]) & _telling(source[text]))
-    low = F.col("score") < CHANCE
-    texts, below = usual.agg(F.count("*"), F.count_if(low)).first()
-    place = max(1, math.ceil(UNUSUAL * texts))
-    if below < place:
+    labelled = rows.select(text, language).where(F.col(language).isNotNull() & _telling(F.col(text)))
+    found = predict(labelled, profiles, [language], text)
+    usual = materialize(found.where(F.col("lang_pred") == F.col("source")[language]).select("score"))
+    low = usual.where(F.col("score") < CHANCE)
+    place = max(1, math.ceil(UNUSUAL * usual.count()))
+    if low.count() < place:
         return CHANCE
-    return usual.where(low).select("score").orderBy("score").offset(place - 1).first()[0]
+    return low.orderBy("score").offset(place - 1).first()[0]
 
 
 def _telling(text: Column) -> Column:
